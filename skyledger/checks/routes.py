@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skyledger.functions import sqltext
 from skyledger.operators import routes
 from skyledger.plans.views import load, oracle
 
@@ -96,3 +97,183 @@ ORACLES["route_totals"] = oracle("WITH RECURSIVE " + LEGS.lstrip() + """
 SELECT plan_id, count(*) AS n_legs, round(sum(nm), 6) AS total_nm, round(sum(nm / 90e0 * 3600e0), 4) AS total_seconds,
   false AS over_speed FROM leg GROUP BY plan_id
 """, "plan_point")
+
+
+def assembled(spark, sf):
+    return _points(spark, sf).select(
+        "plan_id", "seq", "is_wp", "code", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")
+    )
+
+
+QUERIES["plan_assembly"] = assembled
+ORACLES["plan_assembly"] = oracle("WITH RECURSIVE " + ASSEMBLED.lstrip() + """
+SELECT plan_id, seq, is_wp, code, round(lat, 6) AS lat, round(lon, 6) AS lon FROM assembled
+""", "plan_point")
+
+
+def labels(spark, sf):
+    return routes.label_points(_points(spark, sf)).select("plan_id", "seq", "label")
+
+
+QUERIES["point_labels"] = labels
+ORACLES["point_labels"] = oracle(
+    "WITH RECURSIVE " + LABELLED.lstrip() + " SELECT plan_id, seq, label FROM labelled", "plan_point"
+)
+
+
+def plan_tokens(spark, sf):
+    tokens, _ = routes.parse_plans(load(spark, sf, "plan_text"))
+    return tokens.select(
+        "plan_id", "position", "kind", "code", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")
+    )
+
+
+def plan_errors(spark, sf):
+    return routes.parse_plans(load(spark, sf, "plan_text"))[1]
+
+
+TOKENISED = r"""
+tok AS (
+  SELECT plan_id, unnest(parts) AS token, generate_subscripts(parts, 1) AS position
+  FROM (SELECT plan_id, string_split(trim(text), ' ') AS parts FROM plan_text) q
+),
+judged AS (
+  SELECT *, regexp_full_match(token, '[A-Z]{4,5}') AS is_code,
+    regexp_full_match(token, '[0-9]{4}[NS][0-9]{5}[EW]') AS is_coord,
+    TRY_CAST(substr(token, 1, 2) AS INT) AS ad, TRY_CAST(substr(token, 3, 2) AS INT) AS am,
+    TRY_CAST(substr(token, 6, 3) AS INT) AS od, TRY_CAST(substr(token, 9, 2) AS INT) AS om FROM tok
+),
+graded AS (
+  SELECT *, CASE WHEN token = '' THEN 'empty token' WHEN is_code THEN NULL
+    WHEN is_coord AND am < 60 AND om < 60 AND ad * 60 + am <= 5400 AND od * 60 + om <= 10800 THEN NULL
+    WHEN is_coord THEN 'coordinate out of range' ELSE 'not a code or coordinate' END AS reason FROM judged
+),
+bad AS (SELECT plan_id, min(position) AS position FROM graded WHERE reason IS NOT NULL GROUP BY plan_id),
+good AS (
+  SELECT plan_id, CAST(position AS INT) AS position, CASE WHEN is_code THEN 'code' ELSE 'coord' END AS kind,
+    CASE WHEN is_code THEN token END AS code,
+    CASE WHEN NOT is_code THEN (ad + am / 60e0) * CASE WHEN token LIKE '____S%' THEN -1 ELSE 1 END END AS lat,
+    CASE WHEN NOT is_code THEN (od + om / 60e0) * CASE WHEN token LIKE '%W' THEN -1 ELSE 1 END END AS lon
+  FROM graded WHERE plan_id NOT IN (SELECT plan_id FROM bad)
+)"""
+
+QUERIES["plan_tokens"] = plan_tokens
+ORACLES["plan_tokens"] = oracle("WITH " + TOKENISED.lstrip() + """
+SELECT plan_id, position, kind, code, round(lat, 6) AS lat, round(lon, 6) AS lon FROM good
+""", "plan_text")
+QUERIES["plan_parse_errors"] = plan_errors
+ORACLES["plan_parse_errors"] = oracle("WITH " + TOKENISED.lstrip() + """
+SELECT g.plan_id, CAST(g.position AS INT) AS position, g.token, g.reason FROM graded g JOIN bad b USING (plan_id, position)
+""", "plan_text")
+
+
+def _resolved(spark, sf):
+    tokens, _ = routes.parse_plans(load(spark, sf, "plan_text"))
+    return routes.resolve_plans(tokens, load(spark, sf, "waypoint"))
+
+
+def resolved_points(spark, sf):
+    return _resolved(spark, sf)[0].select(
+        "plan_id", "seq", "is_wp", "code", "name", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")
+    )
+
+
+RESOLVED = TOKENISED + """,
+looked AS (SELECT g.*, w.code AS wcode, w.name_he, w.lat AS wlat, w.lon AS wlon FROM good g LEFT JOIN waypoint w ON w.code = g.code),
+unknown AS (SELECT plan_id, min(position) AS position FROM looked WHERE kind = 'code' AND wcode IS NULL GROUP BY plan_id)"""
+
+QUERIES["plan_resolve"] = resolved_points
+ORACLES["plan_resolve"] = oracle("WITH " + RESOLVED.lstrip() + """
+SELECT plan_id, CAST(position - 1 AS INT) AS seq, kind = 'code' AS is_wp, wcode AS code, name_he AS name,
+  round(coalesce(wlat, lat), 6) AS lat, round(coalesce(wlon, lon), 6) AS lon
+FROM looked WHERE plan_id NOT IN (SELECT plan_id FROM unknown)
+""", "plan_text", "waypoint")
+QUERIES["plan_resolve_errors"] = lambda spark, sf: _resolved(spark, sf)[1]
+ORACLES["plan_resolve_errors"] = oracle("WITH " + RESOLVED.lstrip() + """
+SELECT l.plan_id, l.position, l.code AS token, 'unknown code' AS reason FROM looked l JOIN unknown u USING (plan_id, position)
+""", "plan_text", "waypoint")
+
+
+def strings(spark, sf):
+    pts = _points(spark, sf)
+    full = routes.plan_strings(pts)
+    short = routes.plan_strings(pts, include_intermediates=False).select(
+        "plan_id", "part", F.col("plan_text").alias("filed_text")
+    )
+    return full.join(short, ["plan_id", "part"], "left")
+
+
+QUERIES["plan_strings"] = strings
+ORACLES["plan_strings"] = oracle("WITH RECURSIVE " + ASSEMBLED.lstrip() + f"""
+SELECT plan_id, 0 AS part,
+  string_agg(CASE WHEN is_wp THEN code ELSE {sqltext.coord('lat', 'lon')} END, ' ' ORDER BY seq) AS plan_text,
+  string_agg(CASE WHEN is_wp THEN CASE WHEN name = '' THEN code ELSE name END ELSE {sqltext.coord('lat', 'lon')} END, ' ' ORDER BY seq) AS local_text,
+  string_agg(code, ' ' ORDER BY seq) FILTER (WHERE is_wp) AS filed_text
+FROM assembled GROUP BY plan_id
+""", "plan_point")
+QUERIES["plan_names"] = lambda spark, sf: routes.plan_names(_points(spark, sf))
+ORACLES["plan_names"] = oracle("WITH RECURSIVE " + ASSEMBLED.lstrip() + """
+SELECT plan_id, CASE WHEN a IS NULL THEN 'flight-plan.cvfr' WHEN a = b THEN a || '.cvfr' ELSE a || '-' || b || '.cvfr' END AS plan_name
+FROM (SELECT plan_id, arg_min(code, seq) FILTER (WHERE is_wp) AS a, arg_max(code, seq) FILTER (WHERE is_wp) AS b FROM assembled GROUP BY plan_id) t
+""", "plan_point")
+
+
+def _overridden(spark, sf):
+    return routes.apply_overrides(routes.legs(_points(spark, sf)), load(spark, sf, "leg_edit"), 90.0)
+
+
+def overridden_legs(spark, sf):
+    return _overridden(spark, sf).select(
+        "plan_id", "leg_no", F.round("eff_distance_nm", 6).alias("eff_distance_nm"), "eff_bearing",
+        F.array_join(F.transform("eff_altitudes_ft", lambda v: v.cast("string")), ",").alias("eff_altitudes"),
+        F.round("eff_seconds", 4).alias("eff_seconds"), "ctr", "freq",
+    )
+
+
+OVERRIDDEN = LEGS + r""",
+valid AS (
+  SELECT *, trim(text) AS t FROM leg_edit
+),
+canon AS (
+  SELECT plan_id, from_label, to_label, field, edit_no,
+    CASE WHEN field = 'distance' AND regexp_full_match(t, '[0-9]{1,4}([.][0-9]{1,2})?') AND CAST(t AS DOUBLE) > 0 THEN format('{:.1f}', CAST(t AS DOUBLE))
+      WHEN field = 'altitude' AND regexp_full_match(t, '[0-9]{1,5}(\s*,\s*[0-9]{1,5})*') AND NOT regexp_matches(',' || replace(t, ' ', '') || ',', ',0+,') THEN replace(t, ' ', '')
+      WHEN field = 'bearing' AND regexp_full_match(t, '[0-9]{1,3}') AND CAST(t AS INT) <= 360 THEN t
+      WHEN field = 'freq' AND regexp_full_match(t, '[0-9]{3}[.]([0-9]{3}|[0-9])') THEN t
+      WHEN field = 'ctr' AND t <> '' THEN t END AS v
+  FROM valid
+),
+side AS (
+  SELECT plan_id, from_label, to_label,
+    arg_max(v, edit_no) FILTER (WHERE field = 'distance') AS d, arg_max(v, edit_no) FILTER (WHERE field = 'altitude') AS al,
+    arg_max(v, edit_no) FILTER (WHERE field = 'bearing') AS br, arg_max(v, edit_no) FILTER (WHERE field = 'freq') AS freq,
+    arg_max(v, edit_no) FILTER (WHERE field = 'ctr') AS ctr
+  FROM canon WHERE v IS NOT NULL GROUP BY ALL
+),
+eff AS (
+  SELECT l.*, CASE WHEN regexp_full_match(d, '[0-9]{1,4}([.][0-9]{1,2})?') AND CAST(d AS DOUBLE) > 0 THEN CAST(d AS DOUBLE) ELSE nm END AS ed,
+    coalesce(CAST(br AS INT), CAST((CAST(floor(fmod(brg - 5e0 + 360e0, 360e0) - 0.5e0) AS INT) + 360) % 360 AS INT)) AS eb, coalesce(al, '') AS ea, ctr, freq
+  FROM leg l LEFT JOIN side s ON s.plan_id = l.plan_id AND s.from_label = l.from_label AND s.to_label = l.to_label
+)"""
+QUERIES["leg_overrides"] = overridden_legs
+ORACLES["leg_overrides"] = oracle("WITH RECURSIVE " + OVERRIDDEN.lstrip() + """
+SELECT plan_id, CAST(leg_no AS INT) AS leg_no, round(ed, 6) AS eff_distance_nm, eb AS eff_bearing, ea AS eff_altitudes,
+  round(ed / 90e0 * 3600e0, 4) AS eff_seconds, ctr, freq FROM eff
+""", "plan_point", "leg_edit")
+
+
+def overridden_totals(spark, sf):
+    speed = (F.lit(90.0) + F.col("plan_id") % 120).cast("double")
+    return routes.route_totals(_overridden(spark, sf), speed).select(
+        "plan_id", "n_legs", F.round("total_nm", 5).alias("total_nm"),
+        F.round("total_seconds", 3).alias("total_seconds"), "max_altitude_ft", "over_speed",
+    )
+
+
+QUERIES["route_totals_effective"] = overridden_totals
+ORACLES["route_totals_effective"] = oracle("WITH RECURSIVE " + OVERRIDDEN.lstrip() + """
+SELECT plan_id, count(*) AS n_legs, round(sum(ed), 5) AS total_nm, round(sum(ed / (90e0 + plan_id % 120) * 3600e0), 3) AS total_seconds,
+  max(CASE WHEN ea <> '' THEN list_max(list_transform(string_split(ea, ','), lambda x: CAST(x AS INT))) END) AS max_altitude_ft,
+  bool_or(90 + plan_id % 120 > 180) AS over_speed
+FROM eff GROUP BY plan_id
+""", "plan_point", "leg_edit")

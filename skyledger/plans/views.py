@@ -45,7 +45,51 @@ SELECT plan_id, n_points, block, seq, is_wp,
   34.1e0 + CAST((k * 53) % 180 AS DOUBLE) / 100e0 + CASE WHEN is_wp THEN 0e0 WHEN plan_id % 3 = 0 THEN 0e0 ELSE 0.02e0 END AS lon
 FROM plan_raw
 """
-DEPENDS = {"plan_point": ("plan_raw",)}
+def code_sql(k: str) -> str:
+    """Five-letter base-26 code of an integer expression, as in ``waypoint``."""
+    parts = ", ".join(f"chr(CAST(65 + (({k}) DIV {26 ** e}) % 26 AS INT))" for e in (4, 3, 2, 1, 0))
+    return f"concat({parts})"
+
+
+# One plan line per order: valid lines, unknown codes, doubled spaces, bad minutes, stray text.
+VIEWS["plan_text"] = f"""
+SELECT o_orderkey AS plan_id,
+  concat(CASE WHEN o_orderkey % 9 = 0 THEN '  ' ELSE '' END,
+    CASE WHEN o_orderkey % 23 = 5 THEN 'ZZZZZ' ELSE {code_sql("(o_orderkey * 7) % 97")} END, ' ',
+    CASE WHEN o_orderkey % 4 = 0 THEN concat('31', lpad(CAST((o_orderkey * 11) % 63 AS VARCHAR(2)), 2, '0'), 'N034',
+                                              lpad(CAST((o_orderkey * 17) % 60 AS VARCHAR(2)), 2, '0'), 'E')
+         WHEN o_orderkey % 31 = 2 THEN '' WHEN o_orderkey % 37 = 3 THEN 'ab12'
+         ELSE {code_sql("(o_orderkey * 7 + 13) % 97")} END, ' ',
+    {code_sql("(o_orderkey * 7 + 26) % 97")},
+    CASE WHEN o_orderkey % 4 = 1 THEN concat(' ', {code_sql("(o_orderkey * 5 + 39) % 101")}) ELSE '' END,
+    CASE WHEN o_orderkey % 41 = 0 THEN ' 9001N18000W' ELSE '' END) AS text
+FROM orders
+"""
+# Hand edits on the first leg of every third plan: three edits, some of them invalid.
+VIEWS["leg_edit"] = f"""
+SELECT plan_id, {code_sql("(plan_id * 7) % 97")} AS from_label, {code_sql("(plan_id * 7 + 13) % 97")} AS to_label,
+  CASE WHEN e = 0 THEN 'distance' WHEN e = 1 THEN 'altitude' WHEN e = 2 THEN 'bearing' WHEN e = 3 THEN 'distance'
+       WHEN e = 4 THEN 'freq' ELSE 'ctr' END AS field,
+  CASE WHEN e = 0 OR e = 3 THEN
+      CASE WHEN (plan_id + e) % 8 = 0 THEN '0.04' WHEN (plan_id + e) % 8 = 1 THEN '1.25' WHEN (plan_id + e) % 8 = 2 THEN ' 12.34 '
+           WHEN (plan_id + e) % 8 = 3 THEN 'abc' WHEN (plan_id + e) % 8 = 4 THEN '0' WHEN (plan_id + e) % 8 = 5 THEN '9999.99'
+           ELSE concat(CAST(plan_id % 300 AS VARCHAR(10)), '.', CAST(plan_id % 10 AS VARCHAR(2)), '5') END
+    WHEN e = 1 THEN CASE WHEN plan_id % 4 = 0 THEN '1600,800' WHEN plan_id % 4 = 1 THEN '0' WHEN plan_id % 4 = 2 THEN '900 , 2100' ELSE '' END
+    WHEN e = 2 THEN CASE WHEN plan_id % 3 = 0 THEN '400' WHEN plan_id % 3 = 1 THEN '7' ELSE '360' END
+    WHEN e = 4 THEN CASE WHEN plan_id % 2 = 0 THEN '123.4' ELSE '123.45' END ELSE 'Center' END AS text,
+  CAST(e AS INT) AS edit_no
+FROM (SELECT o_orderkey AS plan_id, EXPAND(0, 5) AS e FROM orders WHERE o_orderkey % 3 = 0) t
+"""
+VIEWS["click"] = """
+SELECT CAST(o * 4 + j AS BIGINT) AS click_id, o AS plan_id,
+  29.4e0 + CAST((o * 37 + j * 11) % 3900 AS DOUBLE) / 1000e0 AS lat, 34.1e0 + CAST((o * 53 + j * 7) % 1800 AS DOUBLE) / 1000e0 AS lon
+FROM (SELECT o_orderkey AS o, EXPAND(0, 1) AS j FROM orders) t
+"""
+VIEWS["plan_click"] = """
+SELECT CAST(plan_id * 16 + seq AS BIGINT) AS click_id, plan_id, lat + CAST(plan_id % 11 AS DOUBLE) / 100e0 AS lat, lon + CAST(plan_id % 13 AS DOUBLE) / 200e0 AS lon
+FROM plan_point WHERE seq % 2 = 1
+"""
+DEPENDS = {"plan_point": ("plan_raw",), "plan_click": ("plan_point",)}
 
 
 def with_dependencies(names: Iterable[str]) -> list[str]:

@@ -25,6 +25,7 @@ def local_session(app: str = "skyledger", cpus: str = "*", partitions: int = 8)
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", os.environ.get("SKYLEDGER_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
