@@ -89,6 +89,30 @@ VIEWS["plan_click"] = """
 SELECT CAST(plan_id * 16 + seq AS BIGINT) AS click_id, plan_id, lat + CAST(plan_id % 11 AS DOUBLE) / 100e0 AS lat, lon + CAST(plan_id % 13 AS DOUBLE) / 200e0 AS lon
 FROM plan_point WHERE seq % 2 = 1
 """
+VIEWS["ping"] = """
+SELECT date_trunc('hour', ts) AS snapshot_ts, event_id AS pos, event_id AS cid,
+  concat('CS', CAST(user_id AS VARCHAR(20))) AS callsign,
+  28.8e0 + CAST((event_id * 37) % 5600 AS DOUBLE) / 1000e0 AS lat, 33.2e0 + CAST((event_id * 53) % 3600 AS DOUBLE) / 1000e0 AS lon,
+  (event_id * 131) % 42000 - 300 AS altitude_ft, (event_id * 53) % 300 - 5 AS groundspeed_kts,
+  CAST((event_id * 7) % 360 AS INT) AS heading_deg,
+  CASE event_id % 9 WHEN 0 THEN 'B738' WHEN 1 THEN 'A388/X' WHEN 2 THEN 'C172' WHEN 3 THEN 'XX/h/b738' WHEN 4 THEN 'H/A333/L'
+    WHEN 5 THEN ' c172 ' WHEN 6 THEN 'ZZZZ' WHEN 7 THEN '/A388' END AS aircraft_type,
+  CASE event_id % 4 WHEN 0 THEN 'V' WHEN 1 THEN 'I' WHEN 2 THEN ' v ' ELSE '' END AS flight_rules,
+  CASE WHEN event_id % 3 = 0 THEN 'LLBG' ELSE '' END AS departure, CASE WHEN event_id % 5 = 0 THEN 'LLHA' ELSE '' END AS arrival
+FROM events
+"""
+VIEWS["wake_dim"] = """
+SELECT * FROM (VALUES ('B738', 'M'), ('A333', 'H'), ('A388', 'J'), ('C172', 'L'), ('B744', 'H'), ('P28A', 'L')) AS t(type_code, wake)
+"""
+# The fields of feed entries (two per event) before they become JSON text.
+VIEWS["feed_elem"] = """
+SELECT event_id AS doc, CAST(j AS INT) AS pos, date_trunc('second', ts) AS snapshot_ts,
+  event_id * 2 + j AS cid, (event_id + j) % 17 = 0 AS no_cid, (event_id + j) % 19 = 1 AS no_lat, (event_id + j) % 23 = 5 AS not_object,
+  28.8e0 + CAST((event_id * 37) % 5600 AS DOUBLE) / 1000e0 AS lat, 33.2e0 + CAST((event_id * 53) % 3600 AS DOUBLE) / 1000e0 AS lon,
+  (event_id + j) % 13 AS alt_kind, (event_id * 131) % 42000 AS alt, (event_id * 7 + j) % 720 - 180 AS heading,
+  (event_id + j) % 7 AS plan_kind, event_id % 29 = 3 AS broken, event_id % 31 = 4 AS no_list
+FROM (SELECT event_id, ts, EXPAND(0, 1) AS j FROM events) t
+"""
 DEPENDS = {"plan_point": ("plan_raw",), "plan_click": ("plan_point",)}
 
 
