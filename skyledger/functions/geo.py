@@ -181,16 +181,13 @@ def lcc_xy(lat, lon) -> tuple[Column, Column]:
 
 
 def lcc_latlon(x, y) -> tuple[Column, Column]:
+    """Inverse projection; the apex of the cone comes out as 90 N on the central meridian."""
     x, dy = _c(x), LCC_RHO0 - _c(y)
-    rho = F.sqrt(x * x + dy * dy)
     lon = LCC_ORIGIN[1] + F.degrees(F.atan2(x, dy)) / LCC_CONE
     lat = F.degrees(
-        2.0 * F.atan(F.pow(LCC_SCALE / F.when(rho > 0.0, rho), F.lit(1.0 / LCC_CONE))) - math.pi / 2
-    )
-    return (
-        F.when(rho == 0.0, F.lit(90.0)).otherwise(lat),
-        F.when(rho == 0.0, F.lit(LCC_ORIGIN[1])).otherwise(lon),
+        2.0 * F.atan(F.pow(F.hypot(x, dy) / LCC_SCALE, F.lit(-1.0 / LCC_CONE))) - math.pi / 2
     )
+    return lat, lon
 
 
 # --- 11-character coordinates -------------------------------------------------

@@ -31,10 +31,10 @@ def world_x(lon, z) -> Column:
 
 
 def world_y(lat, z) -> Column:
-    # asinh spelled out: Spark's own version loses digits for negative input.
-    t = F.tan(F.radians(clamp_lat(lat)))
-    asinh = F.signum(t) * F.log(F.abs(t) + F.sqrt(t * t + 1.0))
-    return (1.0 - asinh / math.pi) / 2.0 * world_span(z)
+    # asinh(tan(lat)) written as ln(tan(45 deg + lat / 2)): one use of the argument,
+    # and no cancellation south of the equator.
+    merc = F.log(F.tan(math.pi / 4 + F.radians(clamp_lat(lat)) / 2.0))
+    return (1.0 - merc / math.pi) / 2.0 * world_span(z)
 
 
 def lon_of(px, z) -> Column:

@@ -27,3 +27,38 @@ def coord(lat: str, lon: str) -> str:
         )
 
     return f"({part(lat, 2, 'N', 'S')} || {part(lon, 3, 'E', 'W')})"
+
+
+def tile_x(lon: str, z: str) -> str:
+    return f"CAST(floor(({lon} + 180e0) / 360e0 * pow(2e0, {z})) AS INT)"
+
+
+def tile_y(lat: str, z: str) -> str:
+    return (
+        f"CAST(floor((1e0 - ln(tan(radians({lat})) + 1e0 / cos(radians({lat}))) / pi()) / 2e0 * pow(2e0, {z})) AS INT)"
+    )
+
+
+# Conic projection: cone constant, scale and origin radius spelled out in SQL.
+LCC = """
+lcc AS (
+  SELECT cone, cos(radians(29e0)) * pow(tan(pi() / 4 + radians(29e0) / 2), cone) / cone AS scl,
+    cos(radians(29e0)) * pow(tan(pi() / 4 + radians(29e0) / 2), cone) / cone / pow(tan(pi() / 4 + radians(31e0) / 2), cone) AS rho0
+  FROM (SELECT ln(cos(radians(29e0)) / cos(radians(33e0))) / ln(tan(pi() / 4 + radians(33e0) / 2) / tan(pi() / 4 + radians(29e0) / 2)) AS cone) c
+)"""
+
+
+def lcc_x(lat: str, lon: str) -> str:
+    return f"(scl / pow(tan(pi() / 4 + radians({lat}) / 2), cone) * sin(cone * radians({lon} - 35e0)))"
+
+
+def lcc_y(lat: str, lon: str) -> str:
+    return f"(rho0 - scl / pow(tan(pi() / 4 + radians({lat}) / 2), cone) * cos(cone * radians({lon} - 35e0)))"
+
+
+def unlcc_lat(x: str, y: str) -> str:
+    return f"degrees(2e0 * atan(pow(scl / sqrt(({x}) * ({x}) + (rho0 - ({y})) * (rho0 - ({y}))), 1e0 / cone)) - pi() / 2)"
+
+
+def unlcc_lon(x: str, y: str) -> str:
+    return f"(35e0 + degrees(atan2({x}, rho0 - ({y})) / cone))"

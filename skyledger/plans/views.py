@@ -113,7 +113,82 @@ SELECT event_id AS doc, CAST(j AS INT) AS pos, date_trunc('second', ts) AS snaps
   (event_id + j) % 7 AS plan_kind, event_id % 29 = 3 AS broken, event_id % 31 = 4 AS no_list
 FROM (SELECT event_id, ts, EXPAND(0, 1) AS j FROM events) t
 """
-DEPENDS = {"plan_point": ("plan_raw",), "plan_click": ("plan_point",)}
+# 4,000 files per provider, unique by (z, x, y), over the default box and a rim around it.
+VIEWS["inventory"] = """
+SELECT concat('prov', CAST(event_id DIV 4000 AS VARCHAR(20))) AS provider, z,
+  CAST(CASE z WHEN 12 THEN 2432 WHEN 13 THEN 4867 WHEN 14 THEN 9736 ELSE 19475 END + i % 25 AS INT) AS x,
+  CAST(CASE z WHEN 12 THEN 1640 WHEN 13 THEN 3286 WHEN 14 THEN 6580 ELSE 13170 END + i DIV 25 AS INT) AS y,
+  CASE WHEN event_id % 97 = 0 THEN 0 ELSE (event_id * 7919) % 20000 + 1 END AS bytes,
+  CASE WHEN event_id % 5 = 0 THEN date_trunc('day', ts) ELSE ts END AS mtime
+FROM (SELECT event_id, ts, CAST(12 + event_id % 4 AS INT) AS z, (event_id % 4000) DIV 4 AS i FROM events) t
+"""
+VIEWS["tile_file"] = """
+SELECT concat('/cache/', provider, '/', CAST(z AS VARCHAR(3)), '/',
+    CASE WHEN bytes % 53 = 7 THEN 'x' ELSE '' END, CAST(x AS VARCHAR(9)), '/', CAST(y AS VARCHAR(9)),
+    CASE WHEN bytes % 41 = 3 THEN '.jpg.tmp' WHEN bytes % 41 = 4 THEN '.png' ELSE '.jpg' END) AS path,
+  bytes AS length, mtime AS modificationTime
+FROM inventory
+"""
+VIEWS["box"] = """
+SELECT s_suppkey AS box_id, 29.3e0 + CAST((s_suppkey * 37) % 390 AS DOUBLE) / 100e0 AS min_lat,
+  29.3e0 + CAST((s_suppkey * 37) % 390 AS DOUBLE) / 100e0 + CASE WHEN s_suppkey % 13 = 0 THEN -0.1e0 ELSE CAST(s_suppkey % 20 AS DOUBLE) / 100e0 END AS max_lat,
+  34.0e0 + CAST((s_suppkey * 53) % 180 AS DOUBLE) / 100e0 AS min_lon,
+  34.0e0 + CAST((s_suppkey * 53) % 180 AS DOUBLE) / 100e0 + CAST(s_suppkey % 17 AS DOUBLE) / 100e0 AS max_lon
+FROM supplier
+"""
+VIEWS["viewport"] = """
+SELECT event_id AS view_id, 29.4e0 + CAST((event_id * 37) % 3900 AS DOUBLE) / 1000e0 AS min_lat,
+  29.4e0 + CAST((event_id * 37) % 3900 AS DOUBLE) / 1000e0 + CAST(20 + event_id % 30 AS DOUBLE) / 1000e0 AS max_lat,
+  34.1e0 + CAST((event_id * 53) % 1800 AS DOUBLE) / 1000e0 AS min_lon,
+  34.1e0 + CAST((event_id * 53) % 1800 AS DOUBLE) / 1000e0 + CAST(20 + event_id % 40 AS DOUBLE) / 1000e0 AS max_lon
+FROM events
+"""
+VIEWS["bulk_point"] = """
+SELECT 29.4e0 + CAST((l_partkey * 37 + l_suppkey * 11) % 39000 AS DOUBLE) / 10000e0 AS lat,
+  34.1e0 + CAST((l_partkey * 53 + l_orderkey) % 18000 AS DOUBLE) / 10000e0 AS lon
+FROM lineitem
+"""
+VIEWS["attempt"] = """
+SELECT CAST(12 + (event_id DIV 7) % 4 AS INT) AS z, CAST((event_id DIV 7) % 1000 AS INT) AS x, CAST((event_id DIV 7) DIV 1000 AS INT) AS y,
+  CAST(event_id % 7 AS INT) AS attempt_no,
+  CAST(CASE (event_id * 7919 DIV 13) % 11 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 429 WHEN 5 THEN 500 WHEN 6 THEN 403
+    WHEN 7 THEN 503 WHEN 8 THEN 200 WHEN 9 THEN 429 END AS INT) AS status,
+  (event_id * 31) % 600 AS bytes,
+  CASE WHEN event_id % 5 = 0 THEN '12' WHEN event_id % 5 = 1 THEN 'soon' WHEN event_id % 5 = 2 THEN '-3' WHEN event_id % 5 = 3 THEN '0' END AS retry_after,
+  CASE WHEN (event_id * 7919 DIV 13) % 11 = 10 THEN 'timeout' END AS error
+FROM events
+"""
+# Seven anchors per sheet, two sheets per edition; three codes are shared inside an edition.
+VIEWS["anchor"] = """
+SELECT p_partkey DIV 14 AS edition, CASE WHEN (p_partkey DIV 7) % 2 = 0 THEN 'north' ELSE 'south' END AS sheet,
+  CASE WHEN i < 3 THEN concat(' shr', CAST(i AS VARCHAR(2)))
+       ELSE concat(CASE WHEN (p_partkey DIV 7) % 2 = 0 THEN 'N' ELSE 'S' END,
+                   CAST(CASE WHEN (p_partkey DIV 14) % 19 = 5 AND i = 6 THEN 5 ELSE i END AS VARCHAR(2))) END AS code,
+  CASE WHEN (p_partkey DIV 14) % 23 = 7 THEN 31e0 ELSE lat END AS lat, lon,
+  (lon - 34.0e0) / 2.2e0 + CAST(i % 3 AS DOUBLE) / 5000e0 AS u,
+  CASE WHEN (p_partkey DIV 7) % 2 = 0 THEN (33.5e0 - lat) / 2.6e0 ELSE (31.6e0 - lat) / 2.4e0 END + CAST(i % 4 AS DOUBLE) / 7000e0 + (lon - 35e0) / 90e0 AS v
+FROM (SELECT p_partkey, p_partkey % 7 AS i,
+    CASE WHEN p_partkey % 7 < 3 THEN 31.3e0 + CAST(p_partkey % 7 AS DOUBLE) / 20e0
+         WHEN (p_partkey DIV 7) % 2 = 0 THEN 31.6e0 + CAST((p_partkey * 37) % 170 AS DOUBLE) / 100e0
+         ELSE 29.5e0 + CAST((p_partkey * 37) % 170 AS DOUBLE) / 100e0 END AS lat,
+    CASE WHEN p_partkey % 7 < 3 THEN 34.6e0 + CAST((p_partkey % 7) * (p_partkey % 7) AS DOUBLE) / 6e0 ELSE 34.2e0 + CAST((p_partkey * 53) % 170 AS DOUBLE) / 100e0 END AS lon
+  FROM part) t
+"""
+VIEWS["sheet_size"] = """
+SELECT edition, CAST(4000 + edition % 7 * 100 AS DOUBLE) AS north_w, CAST(6000 + edition % 5 * 100 AS DOUBLE) AS north_h,
+  CAST(4100 + edition % 3 * 100 AS DOUBLE) AS south_w, CAST(5600 + edition % 4 * 100 AS DOUBLE) AS south_h
+FROM (SELECT DISTINCT p_partkey DIV 14 AS edition FROM part) t
+"""
+# Positions and scene points to place on the sheets of an edition.
+VIEWS["chart_item"] = """
+SELECT p_partkey AS item_id, p_partkey DIV 14 AS edition, CASE WHEN p_partkey % 2 = 0 THEN 'north' ELSE 'south' END AS sheet,
+  29.0e0 + CAST((p_partkey * 41) % 470 AS DOUBLE) / 100e0 AS lat, 33.7e0 + CAST((p_partkey * 59) % 270 AS DOUBLE) / 100e0 AS lon,
+  CAST((p_partkey * 97) % 5000 AS DOUBLE) AS scene_x, CAST((p_partkey * 89) % 11000 AS DOUBLE) AS scene_y,
+  CAST((p_partkey * 7) % 100 AS DOUBLE) / 100e0 AS u, CAST((p_partkey * 13) % 100 AS DOUBLE) / 100e0 AS v,
+  CAST(12 AS INT) AS z, CAST(2434 + p_partkey % 24 AS INT) AS x, CAST(1645 + p_partkey % 50 AS INT) AS y
+FROM part
+"""
+DEPENDS = {"plan_point": ("plan_raw",), "plan_click": ("plan_point",), "tile_file": ("inventory",)}
 
 
 def with_dependencies(names: Iterable[str]) -> list[str]:
