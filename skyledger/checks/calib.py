@@ -136,7 +136,7 @@ def _assigned(mode, cols):
         extra = ["on_chart"] if mode == "centre" else []
         geo_cols = ["lat", "lon"] if mode == "scene" else []
         return out.select(
-            "item_id", "sheet", *[(F.round(c, 7) + 0.0).alias(c) for c in ("u", "v", *geo_cols)], *extra
+            "item_id", "sheet", *[(F.round(c, 9) + 0.0).alias(c) for c in ("u", "v", *geo_cols)], *extra
         )
 
     return run
@@ -155,14 +155,14 @@ loc AS (
   FROM chart_item i JOIN laid f ON f.edition = i.edition
 ),
 pick AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sheet DESC) AS rn FROM loc WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1)
-SELECT item_id, sheet, round(u, 7) + 0e0 AS u, round(v, 7) + 0e0 AS v,
-  round({sqltext.unlcc_lat('ia * u + ib * v + itx', 'ic * u + id * v + ity')}, 7) AS lat,
-  round({sqltext.unlcc_lon('ia * u + ib * v + itx', 'ic * u + id * v + ity')}, 7) AS lon
+SELECT item_id, sheet, round(u, 9) + 0e0 AS u, round(v, 9) + 0e0 AS v,
+  round({sqltext.unlcc_lat('ia * u + ib * v + itx', 'ic * u + id * v + ity')}, 9) AS lat,
+  round({sqltext.unlcc_lon('ia * u + ib * v + itx', 'ic * u + id * v + ity')}, 9) AS lon
 FROM pick, lcc WHERE rn = 1
 """, "anchor", "sheet_size", "chart_item")
 QUERIES["assign_sheet_position"] = _assigned("position", ["lat", "lon"])
 ORACLES["assign_sheet_position"] = oracle("WITH " + SEEN + """
-SELECT item_id, sheet, round(u, 7) + 0e0 AS u, round(v, 7) + 0e0 AS v FROM (
+SELECT item_id, sheet, round(u, 9) + 0e0 AS u, round(v, 9) + 0e0 AS v FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 THEN 0 ELSE 1 END, sheet DESC) AS rn FROM seen
 ) t WHERE rn = 1
 """, "anchor", "sheet_size", "chart_item")
@@ -172,7 +172,7 @@ scored AS (
   SELECT *, u BETWEEN -0.01e0 AND 1.01e0 AND v BETWEEN -0.01e0 AND 1.01e0 AS inb, sqrt(pow(u - 0.5e0, 2) + pow(v - 0.5e0, 2)) AS cd,
     sqrt(pow(greatest(0e0, -u, u - 1), 2) + pow(greatest(0e0, -v, v - 1), 2)) AS od FROM seen
 )
-SELECT item_id, sheet, round(u, 7) + 0e0 AS u, round(v, 7) + 0e0 AS v, inb AS on_chart FROM (
+SELECT item_id, sheet, round(u, 9) + 0e0 AS u, round(v, 9) + 0e0 AS v, inb AS on_chart FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN inb THEN 0 ELSE 1 END, CASE WHEN inb THEN cd ELSE od END, sheet) AS rn FROM scored
 ) t WHERE rn = 1
 """, "anchor", "sheet_size", "chart_item")

@@ -19,6 +19,8 @@ MIN_ANCHORS = 3
 MIN_SHARED = 2
 SINGULAR = 1e-18
 
+FIT_FIELDS = ("a", "b", "c", "d", "tx", "ty", "ia", "ib", "ic", "id", "itx", "ity")
+
 
 def _with_xy(df: DataFrame) -> DataFrame:
     x, y = geo.lcc_xy(F.col("lat"), F.col("lon"))
@@ -59,8 +61,15 @@ def fit_sheets(anchors: DataFrame) -> DataFrame:
         F.pow(F.col("a") * F.col("X") + F.col("b") * F.col("Y") + F.col("tx") - F.col("u"), F.lit(2.0))
         + F.pow(F.col("c") * F.col("X") + F.col("d") * F.col("Y") + F.col("ty") - F.col("v"), F.lit(2.0))
     )
-    residual = pts.join(fit, SHEET).groupBy(*SHEET).agg(F.sqrt(F.avg(err)).alias("residual_uv"))
-    return fit.join(residual, SHEET)
+    # The coefficients leave through this aggregate as plain values, so later
+    # expressions and filters never pull their formulas into themselves.
+    fields = ["n_anchors", *FIT_FIELDS]
+    return (
+        pts.join(fit, SHEET)
+        .groupBy(*SHEET)
+        .agg(F.first(F.struct(*fields)).alias("_fit"), F.sqrt(F.avg(err)).alias("residual_uv"))
+        .select(*SHEET, "_fit.*", "residual_uv")
+    )
 
 
 def with_inverse(fit: DataFrame) -> DataFrame:
@@ -145,7 +154,6 @@ def align_overlap(anchors: DataFrame, sizes: DataFrame) -> DataFrame:
 
 # --- projection and assignment ------------------------------------------------------
 
-FIT_FIELDS = ("a", "b", "c", "d", "tx", "ty", "ia", "ib", "ic", "id", "itx", "ity")
 LAYOUT_FIELDS = ("pos_x", "pos_y", "scale", "width", "height")
 
 

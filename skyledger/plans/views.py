@@ -188,6 +188,26 @@ SELECT p_partkey AS item_id, p_partkey DIV 14 AS edition, CASE WHEN p_partkey %
   CAST(12 AS INT) AS z, CAST(2434 + p_partkey % 24 AS INT) AS x, CAST(1645 + p_partkey % 50 AS INT) AS y
 FROM part
 """
+# Raw reporting-point cells: 500 rows per edition, two sheets, strict and recognised texts,
+# repeated rows, missing hemispheres, letters read for digits.
+VIEWS["cell"] = f"""
+SELECT edition, CASE WHEN edition % 2 = 0 THEN 'vec' ELSE 'rec' END AS mode_id,
+  CASE WHEN i < 250 THEN 'north' ELSE 'south' END AS sheet, CAST(i DIV 250 AS INT) AS sheet_ord, CAST(i % 250 AS INT) AS ord,
+  CASE WHEN edition % 2 = 0 THEN 'vector' ELSE 'recognised' END AS strategy,
+  CASE WHEN k % 29 = 3 THEN 'Code Letter' WHEN k % 31 = 4 THEN 'AB1' ELSE {code_sql("k0")} END AS code,
+  CASE WHEN k % 17 = 3 THEN concat(CAST(d AS VARCHAR(2)), 'x')
+       WHEN edition % 2 = 0 THEN concat(CAST(d AS VARCHAR(2)), '° ', lpad(CAST(m AS VARCHAR(2)), 2, '0'), ' ', chr(39), lpad(CAST(s AS VARCHAR(2)), 2, '0'), '.5" N')
+       ELSE replace(replace(concat(CAST(d AS VARCHAR(2)), '.', lpad(CAST(m AS VARCHAR(2)), 2, '0'), ' ', lpad(CAST(s AS VARCHAR(2)), 2, '0'), 'N'), '0', 'O'), '1', 'l') END AS lat_text,
+  CASE WHEN edition % 2 = 0 THEN concat(CAST(od AS VARCHAR(2)), '°', CAST(om AS VARCHAR(2)), chr(39), lpad(CAST(s AS VARCHAR(2)), 2, '0'), '"E')
+       ELSE replace(concat(CAST(od AS VARCHAR(2)), lpad(CAST(om AS VARCHAR(2)), 2, '0'), lpad(CAST(s AS VARCHAR(2)), 2, '0')), '5', 'S') END AS lon_text,
+  d, m, s, od, om, k, CAST(k0 % 6 AS INT) AS name_kind
+FROM (
+  SELECT *, CAST(29 + k0 * 37 % 4 AS INT) AS d, CAST(k0 * 7 % 60 AS INT) AS m, CAST(k0 * 11 % 60 AS INT) AS s,
+    CAST(34 + k0 % 2 AS INT) AS od, CAST(k0 * 13 % 60 AS INT) AS om
+  FROM (SELECT p_partkey AS k, p_partkey DIV 500 AS edition, p_partkey % 500 AS i,
+          CASE WHEN p_partkey % 10 = 7 THEN p_partkey - 3 ELSE p_partkey END AS k0 FROM part) p
+) q
+"""
 DEPENDS = {"plan_point": ("plan_raw",), "plan_click": ("plan_point",), "tile_file": ("inventory",)}
 
 
