@@ -117,3 +117,8 @@ def nearest(
             F.col("_best.d").alias("near_nm"),
         )
     )
+
+
+def cell_centre(band: Column, column: Column, nm: float) -> tuple[Column, Column]:
+    h = _band_height(nm)
+    return (band + 0.5) * h, (column + 0.5) * _cell_width(band, nm)

@@ -208,7 +208,39 @@ FROM (
           CASE WHEN p_partkey % 10 = 7 THEN p_partkey - 3 ELSE p_partkey END AS k0 FROM part) p
 ) q
 """
-DEPENDS = {"plan_point": ("plan_raw",), "plan_click": ("plan_point",), "tile_file": ("inventory",)}
+# Short plans (six points) over the chart, and chart arrows in small stacks.
+VIEWS["hop_point"] = """
+SELECT plan_id, 6 AS n_points, 0 AS block, seq, is_wp, CASE WHEN is_wp THEN concat('W', CAST(seq AS VARCHAR(3))) END AS code, CAST(NULL AS VARCHAR(9)) AS name, lat, lon
+FROM (
+  SELECT c AS plan_id, CAST(j AS INT) AS seq, (c + j) % 4 <> 3 AS is_wp,
+    29.6e0 + CAST((c * 37) % 350 AS DOUBLE) / 100e0 + CAST(j * ((c * 7) % 9 - 4) AS DOUBLE) / 25e0 + CAST(j % 2 * ((c * 3) % 5) AS DOUBLE) / 20e0 AS lat,
+    34.2e0 + CAST((c * 53) % 160 AS DOUBLE) / 100e0 + CAST(j * ((c * 11) % 9 - 4) AS DOUBLE) / 25e0 AS lon
+  FROM (SELECT c_custkey AS c, EXPAND(0, 5) AS j FROM customer) t
+) u
+"""
+VIEWS["chart_arrow"] = """
+SELECT 'north' AS sheet, s_suppkey AS arrow_no,
+  29.5e0 + CAST(((s_suppkey DIV 3) * 61) % 370 AS DOUBLE) / 100e0 + CAST(s_suppkey % 3 AS DOUBLE) / 400e0 AS lat,
+  34.15e0 + CAST(((s_suppkey DIV 3) * 43) % 170 AS DOUBLE) / 100e0 + CAST(s_suppkey % 3 AS DOUBLE) / 700e0 AS lon,
+  CAST(((s_suppkey DIV 3) * 47 + (s_suppkey % 3) * 5) % 360 AS DOUBLE) AS bearing_deg, (s_suppkey DIV 3) % 4 = 0 AS bidirectional,
+  CAST(300 + (s_suppkey * 700) % 9000 AS INT) AS alt1, CAST(300 + (s_suppkey DIV 3) * 700 % 9000 AS INT) AS alt2
+FROM supplier
+"""
+# Chart drawings: arrows up, right and down, rectangles, off-colour shapes; 200 per sheet.
+VIEWS["drawing"] = """
+SELECT p_partkey DIV 400 AS edition, CASE WHEN (p_partkey DIV 200) % 2 = 0 THEN 'north' ELSE 'south' END AS sheet, p_partkey AS drawing_id,
+  CAST(p_partkey % 5 AS INT) AS kind, CAST(50 + (p_partkey % 200) % 20 * 40 + p_partkey % 7 AS DOUBLE) AS x0, CAST(60 + (p_partkey % 200) DIV 20 * 40 + p_partkey % 3 AS DOUBLE) AS y0,
+  CASE WHEN p_partkey % 5 = 1 THEN 20e0 ELSE 12e0 END AS w, CASE WHEN p_partkey % 5 = 1 THEN 12e0 ELSE 20e0 END AS h
+FROM part
+"""
+VIEWS["span"] = """
+SELECT edition, sheet, drawing_id * 2 + j AS span_id, drawing_id, CAST(j AS INT) AS j,
+  CASE WHEN drawing_id % 11 = 5 THEN '450' WHEN drawing_id % 11 = 6 THEN '12a' WHEN drawing_id % 11 = 7 THEN '9600'
+       WHEN j = 1 AND drawing_id % 2 = 0 THEN '300' ELSE concat(' ', CAST(300 + (drawing_id * 700 + j * 1100) % 9200 AS VARCHAR(6))) END AS text,
+  x0 + 2 AS x0, y0 + 2 + 7 * j AS y0, x0 + 8 AS x1, y0 + 6 + 7 * j AS y1
+FROM (SELECT edition, sheet, drawing_id, x0, y0, EXPAND(0, 1) AS j FROM drawing) t
+"""
+DEPENDS = {"plan_point": ("plan_raw",), "plan_click": ("plan_point",), "tile_file": ("inventory",), "span": ("drawing",)}
 
 
 def with_dependencies(names: Iterable[str]) -> list[str]:
