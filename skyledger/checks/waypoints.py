@@ -68,8 +68,7 @@ ORACLES["waypoint_clean"] = oracle("WITH " + CLEANED.lstrip() + f" SELECT editio
 
 
 def merged(spark, sf):
-    df = clean(spark, sf)
-    return waypoints.merge_waypoints(df.where("sheet_ord = 0"), df.where("sheet_ord = 1"))
+    return waypoints.merge_waypoints(clean(spark, sf))
 
 
 QUERIES["waypoint_merge"] = lambda spark, sf: _rounded(merged(spark, sf), "edition", "mode_id", "idx")

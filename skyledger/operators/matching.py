@@ -37,6 +37,16 @@ def _ends() -> tuple[Column, Column, Column, Column]:
     return F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon")
 
 
+def _near_line(lat: Column, lon: Column) -> Column:
+    """Squared flat distance of a cell's centre from the leg: plain arithmetic, run per cell."""
+    a_lat, a_lon, b_lat, b_lon = _ends()
+    k = F.col("_k")
+    bx, by = (b_lon - a_lon) * k, (b_lat - a_lat) * geo.NM_PER_DEGREE
+    px, py = (lon - a_lon) * k, (lat - a_lat) * geo.NM_PER_DEGREE
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * bx + py * by) / F.greatest(bx * bx + by * by, F.lit(1e-9))))
+    return (px - t * bx) * (px - t * bx) + (py - t * by) * (py - t * by)
+
+
 def arrow_leg_candidates(legs: DataFrame, arrows: DataFrame, reach: float = REACH) -> DataFrame:
     """Every (leg, arrow) pair within ``reach``, with its measures and whether it fits.
 
@@ -53,11 +63,13 @@ def arrow_leg_candidates(legs: DataFrame, arrows: DataFrame, reach: float = REAC
     mid_lat, mid_lon = grid.cell_centre(F.col("gy"), F.col("gx"), CELL_NM)
     spread = (
         legs.select(*LEG, "from_is_wp", "to_is_wp", *[c for c in ("from_lat", "from_lon", "to_lat", "to_lon")], "true_bearing_deg")
+        .withColumn("_k", F.cos(F.radians((a_lat + b_lat) * 0.5)) * geo.NM_PER_DEGREE)
         .withColumn("_cell", F.explode(cells))
         .withColumn("gy", F.col("_cell.gy"))
         .withColumn("gx", F.col("_cell.gx"))
         .drop("_cell")
-        .where(geo.leg_distance_nm(a_lat, a_lon, b_lat, b_lon, mid_lat, mid_lon) <= reach + CELL_NM)
+        .where(_near_line(mid_lat, mid_lon) <= (reach + CELL_NM) ** 2)
+        .drop("_k")
     )
     gy, gx = grid.cell_of(F.col("lat"), F.col("lon"), CELL_NM)
     side = arrows.select(
@@ -184,20 +196,27 @@ def collect_stacks(owners: DataFrame, neighbours: DataFrame, candidates: DataFra
     )
 
 
-def _bend_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk bends in leg order; each takes its best arrow that no earlier bend took."""
-    plan, used, done = None, set(), -1
-    for pdf in batches:
-        out = []
-        for pid, leg, s, a in zip(pdf.plan_id, pdf.leg_no, pdf.sheet_no, pdf.arrow_no):
-            if pid != plan:
-                plan, used, done = pid, set(), -1
-            if leg <= done or (s, a) in used:
-                continue
-            used.add((s, a))
-            done = leg + 1  # both legs of the bend now have altitudes
-            out.append((pid, leg, s, a))
-        yield pd.DataFrame(out, columns=["plan_id", "leg_no", "sheet_no", "arrow_no"])
+def _bend_fold():
+    """Walk bends in leg order; each takes its best arrow that no earlier bend took.
+
+    Built as a closure, so that it travels to workers that do not have this package.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan, used, done = None, set(), -1
+        for pdf in batches:
+            out = []
+            for pid, leg, s, a in zip(pdf.plan_id, pdf.leg_no, pdf.sheet_no, pdf.arrow_no):
+                if pid != plan:
+                    plan, used, done = pid, set(), -1
+                if leg <= done or (s, a) in used:
+                    continue
+                used.add((s, a))
+                done = leg + 1  # both legs of the bend now have altitudes
+                out.append((pid, leg, s, a))
+            yield pd.DataFrame(out, columns=["plan_id", "leg_no", "sheet_no", "arrow_no"])
+
+    return fold
 
 
 def rescue_bends(legs: DataFrame, filled: DataFrame, owners: DataFrame, candidates: DataFrame, arrows: DataFrame) -> DataFrame:
@@ -237,7 +256,7 @@ def rescue_bends(legs: DataFrame, filled: DataFrame, owners: DataFrame, candidat
     kind = options.schema["plan_id"].dataType.simpleString()
     leg_kind = options.schema["leg_no"].dataType.simpleString()
     return options.mapInPandas(
-        _bend_fold, f"plan_id {kind}, leg_no {leg_kind}, sheet_no int, arrow_no bigint"
+        _bend_fold(), f"plan_id {kind}, leg_no {leg_kind}, sheet_no int, arrow_no bigint"
     ).select(*LEG, F.struct("sheet_no", "arrow_no").alias("arrow_ord"))
 
 
@@ -266,14 +285,15 @@ def match_altitudes(legs: DataFrame, arrows: DataFrame) -> DataFrame:
     """``legs`` plus ``altitudes_ft`` (empty where the chart gives none).
 
     ``arrows``: arrow_ord struct<sheet_no, arrow_no>, lat, lon, bearing_deg,
-    altitudes_ft, bidirectional. The candidate pairs feed every later step, so
-    they are written to the checkpoint folder once instead of being joined anew.
+    altitudes_ft, bidirectional. Tables that several steps read (legs, candidate
+    pairs, owners) are written to the shared folder once instead of being built anew.
     """
+    legs, arrows = cut(legs), cut(arrows)
     candidates = cut(arrow_leg_candidates(legs, arrows))
-    neighbours = arrow_neighbours(arrows)
-    owners = promote(arrow_owners(candidates), neighbours, candidates)
-    stacked = collect_stacks(owners, neighbours, candidates, arrows).where(F.size("altitudes_ft") > 0)
-    rescued = rescue_bends(legs, stacked, owners, candidates, arrows)
+    neighbours = cut(arrow_neighbours(arrows))
+    owners = cut(promote(cut(arrow_owners(candidates)), neighbours, candidates))
+    stacked = cut(collect_stacks(owners, neighbours, candidates, arrows).where(F.size("altitudes_ft") > 0))
+    rescued = cut(rescue_bends(legs, stacked, owners, candidates, arrows))
     texts = arrows.select("arrow_ord", "altitudes_ft")
     bend_pairs = rescued.unionByName(rescued.withColumn("leg_no", F.col("leg_no") + 1))
     bend = bend_pairs.join(texts, "arrow_ord").select(*LEG, "altitudes_ft")

@@ -126,32 +126,33 @@ def resolve_plans(tokens: DataFrame, waypoints: DataFrame) -> tuple[DataFrame, D
 # --- assembly -------------------------------------------------------------------
 
 
-def _drift_kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _drift_kept(tolerance: float = SAME_POINT_DEG):
     """Decide the near-equal intermediates, row by row in plan order.
 
-    Holds one anchor position, never a group. ``keep`` is NULL for rows to
-    decide; other rows only set the anchor.
+    Holds one anchor position, never a group. ``keep0`` is NULL for rows to
+    decide; other rows only set the anchor. Built as a closure, so that it
+    travels to workers that do not have this package.
     """
-    plan, lat0, lon0 = None, 0.0, 0.0
-    for pdf in batches:
-        out = []
-        for pid, block, seq, keep, lat, lon, plat, plon in zip(
-            pdf.plan_id, pdf.block, pdf.seq, pdf.keep0, pdf.lat, pdf.lon, pdf.prev_lat, pdf.prev_lon
-        ):
-            if keep is None or keep != keep:
-                near = (
-                    pid == plan
-                    and abs(lat - lat0) < SAME_POINT_DEG
-                    and abs(lon - lon0) < SAME_POINT_DEG
-                )
-                if not near:
-                    out.append((pid, block, seq))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan, lat0, lon0 = None, 0.0, 0.0
+        for pdf in batches:
+            out = []
+            for pid, block, seq, keep, lat, lon, plat, plon in zip(
+                pdf.plan_id, pdf.block, pdf.seq, pdf.keep0, pdf.lat, pdf.lon, pdf.prev_lat, pdf.prev_lon
+            ):
+                if keep is None or keep != keep:
+                    near = pid == plan and abs(lat - lat0) < tolerance and abs(lon - lon0) < tolerance
+                    if not near:
+                        out.append((pid, block, seq))
+                        plan, lat0, lon0 = pid, lat, lon
+                elif keep:
                     plan, lat0, lon0 = pid, lat, lon
-            elif keep:
-                plan, lat0, lon0 = pid, lat, lon
-            else:
-                plan, lat0, lon0 = pid, plat, plon
-        yield pd.DataFrame(out, columns=["plan_id", "block", "seq"])
+                else:
+                    plan, lat0, lon0 = pid, plat, plon
+            yield pd.DataFrame(out, columns=["plan_id", "block", "seq"])
+
+    return fold
 
 
 def assemble_plans(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
@@ -215,7 +216,7 @@ def assemble_plans(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> Da
     fields = drift.schema
     kept = (
         drift.mapInPandas(
-            _drift_kept,
+            _drift_kept(),
             f"plan_id {fields['plan_id'].dataType.simpleString()}, block int,"
             f" seq {fields['seq'].dataType.simpleString()}",
         )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.operators import blocks
+from skyledger.session import cut
 
 # Words, letters, patterns and limits of the catalogue's format.
 TYPE_ON_DEMAND = "דרישה"
@@ -39,10 +40,17 @@ MAP_LINKS = {
 SEPARATOR = "\x1f"
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility form; the one text function Spark does not have."""
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility form; the one text function Spark does not have.
+
+    Defined in place, so that it travels to workers that do not have this package.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def normalise(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+    return normalise(text)
 
 
 # --- text helpers ------------------------------------------------------------------
@@ -391,8 +399,9 @@ def merge_waypoints(*sheets: DataFrame, block_rows: int = blocks.BLOCK_ROWS) ->
         .select("edition", "mode_id", "code", "r.*")
         .withColumn("_block", F.struct("sheet_ord", F.floor(F.col("ord") / block_rows).alias("b")))
     )
+    # Numbering reads the rows twice; the cleaned catalogue is written once for that.
     return (
-        blocks.running_total(first, ["edition", "mode_id"], ["sheet_ord", "ord"], F.lit(1), "idx", block="_block")
+        blocks.running_total(cut(first), ["edition", "mode_id"], ["sheet_ord", "ord"], F.lit(1), "idx", block="_block")
         .withColumn("idx", F.col("idx").cast("int"))
         .drop("_block")
     )

@@ -220,7 +220,7 @@ FROM (
 """
 VIEWS["chart_arrow"] = """
 SELECT 'north' AS sheet, s_suppkey AS arrow_no,
-  29.5e0 + CAST(((s_suppkey DIV 3) * 61) % 370 AS DOUBLE) / 100e0 + CAST(s_suppkey % 3 AS DOUBLE) / 400e0 AS lat,
+  29.50137e0 + CAST(((s_suppkey DIV 3) * 61) % 370 AS DOUBLE) / 100e0 + CAST(s_suppkey % 3 AS DOUBLE) / 400e0 AS lat,
   34.15e0 + CAST(((s_suppkey DIV 3) * 43) % 170 AS DOUBLE) / 100e0 + CAST(s_suppkey % 3 AS DOUBLE) / 700e0 AS lon,
   CAST(((s_suppkey DIV 3) * 47 + (s_suppkey % 3) * 5) % 360 AS DOUBLE) AS bearing_deg, (s_suppkey DIV 3) % 4 = 0 AS bidirectional,
   CAST(300 + (s_suppkey * 700) % 9000 AS INT) AS alt1, CAST(300 + (s_suppkey DIV 3) * 700 % 9000 AS INT) AS alt2
@@ -240,6 +240,15 @@ SELECT edition, sheet, drawing_id * 2 + j AS span_id, drawing_id, CAST(j AS INT)
   x0 + 2 AS x0, y0 + 2 + 7 * j AS y0, x0 + 8 AS x1, y0 + 6 + 7 * j AS y1
 FROM (SELECT edition, sheet, drawing_id, x0, y0, EXPAND(0, 1) AS j FROM drawing) t
 """
+# Catalogues of 60 waypoints per edition to choose anchors from.
+VIEWS["anchor_pool"] = f"""
+SELECT p_partkey DIV 60 AS edition, p_partkey % 60 AS ord,
+  CASE WHEN p_partkey % 60 = 7 THEN 'SDROT' WHEN p_partkey % 60 = 11 THEN 'OMMER' WHEN p_partkey % 60 = 20 AND (p_partkey DIV 60) % 3 <> 0 THEN 'engdi' ELSE {code_sql("p_partkey")} END AS code,
+  CASE WHEN p_partkey % 13 = 0 THEN ' Arp' ELSE '' END AS reporting_type,
+  CASE WHEN p_partkey % 60 IN (7, 11, 20) THEN 31.3e0 + CAST(p_partkey % 60 AS DOUBLE) / 100e0 ELSE 29.5e0 + CAST((p_partkey * 7919) % 38000 AS DOUBLE) / 10007e0 END AS lat,
+  34.2e0 + CAST((p_partkey * 6007) % 17000 AS DOUBLE) / 10009e0 AS lon
+FROM part
+"""
 DEPENDS = {"plan_point": ("plan_raw",), "plan_click": ("plan_point",), "tile_file": ("inventory",), "span": ("drawing",)}
 
 
