@@ -110,5 +110,12 @@ def lost_stream(spark, sf):
 
 
 QUERIES["presence_stream"] = lost_stream
+# The last snapshots have not outlived watermark (10 min) plus grace (1 min) when the stream ends.
+ORACLES["presence_stream"] = oracle("""
+WITH seen AS (SELECT DISTINCT callsign, snapshot_ts AS t FROM ping), m AS (SELECT max(t) AS last FROM seen)
+SELECT callsign, t AS last_seen, t + INTERVAL '1 hour' AS snapshot_ts FROM seen a, m
+WHERE NOT EXISTS (SELECT 1 FROM seen b WHERE b.callsign = a.callsign AND b.t = a.t + INTERVAL '1 hour')
+  AND t + INTERVAL '61 minutes' <= last - INTERVAL '10 minutes'
+""", "ping")
 
 QUERIES["route_replay"] = lambda spark, sf: edits.replay_edits(load(spark, sf, "route_edit"), load(spark, sf, "waypoint"))

@@ -43,34 +43,42 @@ def presence_processor(period_s: float, grace_s: float) -> StatefulProcessor:
     Built as a local class, so that it travels to workers that do not have this package.
     """
 
+    period_ms, grace_ms = int(period_s * 1000), int(grace_s * 1000)
+
+    def report(callsign: str, last_ms: list[int]) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "callsign": [callsign] * len(last_ms),
+                "last_seen": pd.to_datetime(last_ms, unit="ms"),
+                "snapshot_ts": pd.to_datetime([m + period_ms for m in last_ms], unit="ms"),
+            }
+        )
+
     class Presence(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.last = handle.getValueState("last_seen_ms", "ms bigint")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            newest = None
-            for pdf in rows:
-                ms = int(pdf["snapshot_ts"].max().timestamp() * 1000)
-                newest = ms if newest is None or ms > newest else newest
             known = self.last.get()[0] if self.last.exists() else None
-            if newest is not None and (known is None or newest > known):
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.last.update((newest,))
-                self.handle.registerTimer(newest + int((period_s + grace_s) * 1000))
-            yield pd.DataFrame({"callsign": [], "last_seen": [], "snapshot_ts": []})
+            seen = set()  # snapshot times, not rows
+            for pdf in rows:
+                seen.update(int(t.timestamp() * 1000) for t in pdf["snapshot_ts"].unique())
+            times = sorted(t for t in seen if known is None or t > known)
+            if not times:
+                return iter(())
+            chain = times if known is None else [known, *times]
+            gaps = [a for a, b in zip(chain, chain[1:]) if b - a > period_ms]
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.last.update((times[-1],))
+            self.handle.registerTimer(times[-1] + period_ms + grace_ms)
+            return iter([report(key[0], gaps)] if gaps else ())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             ms = self.last.get()[0]
             self.last.clear()
-            yield pd.DataFrame(
-                {
-                    "callsign": [key[0]],
-                    "last_seen": [pd.Timestamp(ms, unit="ms")],
-                    "snapshot_ts": [pd.Timestamp(ms + int(period_s * 1000), unit="ms")],
-                }
-            )
+            return iter([report(key[0], [ms])])
 
         def close(self) -> None:
             pass
