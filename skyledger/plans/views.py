@@ -257,6 +257,21 @@ SELECT user_id AS plan_id, event_id AS edit_no,
   34.1e0 + CAST((k * 53) % 180 AS DOUBLE) / 100e0 AS lon
 FROM (SELECT event_id, user_id, (event_id - CASE WHEN event_id % 5 = 4 THEN 1 ELSE 0 END) * 7 % 97 AS k FROM events) t
 """
+# Fingerprints of chart files: present state and what the last ingest recorded.
+VIEWS["source_now"] = """
+SELECT p_partkey DIV 2 AS edition, CASE WHEN p_partkey % 2 = 0 THEN 'north' ELSE 'south' END AS sheet, p_partkey * 1000 AS mtime_ns,
+  CASE WHEN p_partkey % 23 = 4 THEN NULL ELSE p_partkey * 7 END AS size, 'https://charts.example/a%20b/x.pdf' AS url,
+  CAST(p_partkey AS DOUBLE) AS layout_x, 5e0 AS layout_y, CASE WHEN p_partkey % 41 = 7 THEN NULL ELSE 1e0 END AS layout_scale
+FROM part WHERE p_partkey % 29 <> 8
+"""
+VIEWS["source_then"] = """
+SELECT p_partkey DIV 2 AS edition, CASE WHEN p_partkey % 2 = 0 THEN 'north' ELSE 'south' END AS sheet,
+  p_partkey * 1000 + CASE WHEN p_partkey % 19 = 3 THEN 1 ELSE 0 END AS mtime_ns, p_partkey * 7 AS size,
+  CASE WHEN p_partkey % 37 = 9 THEN 'https://charts.example/other.pdf' ELSE 'HTTPS://charts.example/a b/x.pdf' END AS url,
+  CAST(p_partkey AS DOUBLE) + CASE WHEN p_partkey % 17 = 2 THEN 0.6e0 WHEN p_partkey % 17 = 3 THEN 0.5e0 ELSE 0e0 END AS layout_x, 5e0 AS layout_y, 1.00005e0 AS layout_scale,
+  p_partkey % 43 <> 5 AS version_ok, p_partkey % 47 <> 6 AS valid
+FROM part WHERE p_partkey % 31 <> 11
+"""
 DEPENDS = {"plan_point": ("plan_raw",), "plan_click": ("plan_point",), "tile_file": ("inventory",), "span": ("drawing",)}
 
 
