@@ -49,20 +49,22 @@ def cells_around(lat: Column, lon: Column, nm: float) -> Column:
     return F.array(*cells)
 
 
-def cells_of_box(
-    lat0: Column, lat1: Column, lon0: Column, lon1: Column, nm: float
-) -> Column:
-    """Array of the cells that cover a latitude/longitude box."""
-    bands = F.sequence(band_of(lat0, nm), band_of(lat1, nm))
-
-    def row(b: Column) -> Column:
-        width = _cell_width(b, nm)
-        return F.transform(
-            F.sequence(F.floor(lon0 / width).cast("int"), F.floor(lon1 / width).cast("int")),
-            lambda x: F.struct(b.alias("gy"), x.alias("gx")),
+def with_cells_of_box(
+    df: DataFrame, lat0: Column, lat1: Column, lon0: Column, lon1: Column, nm: float
+) -> DataFrame:
+    """One row per cell (gy, gx) that a latitude/longitude box touches, band by band."""
+    width = _cell_width(F.col("gy"), nm)
+    return (
+        df.withColumns({"_lon0": lon0, "_lon1": lon1})
+        .withColumn("gy", F.explode(F.sequence(band_of(lat0, nm), band_of(lat1, nm))))
+        .withColumn(
+            "gx",
+            F.explode(
+                F.sequence(F.floor(F.col("_lon0") / width).cast("int"), F.floor(F.col("_lon1") / width).cast("int"))
+            ),
         )
-
-    return F.flatten(F.transform(bands, row))
+        .drop("_lon0", "_lon1")
+    )
 
 
 def nearest(
@@ -73,12 +75,13 @@ def nearest(
     keys: Sequence[str] = (),
     target_order: str,
     target_cols: Sequence[str],
+    keep_all: bool = True,
 ) -> DataFrame:
     """Nearest target strictly closer than ``max_nm`` for every point.
 
     Both sides need ``lat`` and ``lon``; ``keys`` restrict matches to the same
     group (a plan, an edition). Ties go to the lowest ``target_order``. Points
-    without a match keep their row with NULLs. Targets at the same spot are
+    without a match keep their row with NULLs unless ``keep_all`` is off. Targets at the same spot are
     reduced to the first of them before the join: the others can never win.
     """
     cols = [c for c in dict.fromkeys([target_order, *target_cols]) if c not in keys]
@@ -100,7 +103,7 @@ def nearest(
     return (
         points.withColumn("gy", gy)
         .withColumn("gx", gx)
-        .join(spots, [*keys, "gy", "gx"], "left")
+        .join(spots, [*keys, "gy", "gx"], "left" if keep_all else "inner")
         .withColumn("_d", dist)
         .withColumn(
             "_hit",

@@ -56,18 +56,15 @@ def arrow_leg_candidates(legs: DataFrame, arrows: DataFrame, reach: float = REAC
     a_lat, a_lon, b_lat, b_lon = _ends()
     pad = reach / geo.NM_PER_DEGREE * 1.02
     pad_lon = pad / F.cos(F.radians(F.greatest(F.abs(a_lat), F.abs(b_lat)) + 1.0))
-    cells = grid.cells_of_box(
-        F.least(a_lat, b_lat) - pad, F.greatest(a_lat, b_lat) + pad,
-        F.least(a_lon, b_lon) - pad_lon, F.greatest(a_lon, b_lon) + pad_lon, CELL_NM,
-    )
     mid_lat, mid_lon = grid.cell_centre(F.col("gy"), F.col("gx"), CELL_NM)
     spread = (
-        legs.select(*LEG, "from_is_wp", "to_is_wp", *[c for c in ("from_lat", "from_lon", "to_lat", "to_lon")], "true_bearing_deg")
-        .withColumn("_k", F.cos(F.radians((a_lat + b_lat) * 0.5)) * geo.NM_PER_DEGREE)
-        .withColumn("_cell", F.explode(cells))
-        .withColumn("gy", F.col("_cell.gy"))
-        .withColumn("gx", F.col("_cell.gx"))
-        .drop("_cell")
+        grid.with_cells_of_box(
+            legs.select(*LEG, "from_is_wp", "to_is_wp", "from_lat", "from_lon", "to_lat", "to_lon", "true_bearing_deg").withColumn(
+                "_k", F.cos(F.radians((a_lat + b_lat) * 0.5)) * geo.NM_PER_DEGREE
+            ),
+            F.least(a_lat, b_lat) - pad, F.greatest(a_lat, b_lat) + pad,
+            F.least(a_lon, b_lon) - pad_lon, F.greatest(a_lon, b_lon) + pad_lon, CELL_NM,
+        )
         .where(_near_line(mid_lat, mid_lon) <= (reach + CELL_NM) ** 2)
         .drop("_k")
     )

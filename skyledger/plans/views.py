@@ -299,10 +299,16 @@ def render(sql: str, dialect: str) -> str:
     return sql.replace(" DIV ", " // ").replace("EPOCH(", "epoch(")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that fits one or two input splits to all cores; larger tables stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view (or a base table) as a DataFrame."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     sql = render(VIEWS[name], "spark")
     names = {n for n in [*BASE_TABLES, *VIEWS] if re.search(rf"\b{n}\b", sql) and n != name}
     frames = {n: load(spark, sf_dir, n) for n in names if re.search(rf"(FROM|JOIN)\s+{n}\b", sql)}

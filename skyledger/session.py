@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # The JVM never compiles methods above 8000 bytes of bytecode; a fused stage of
+    # trigonometry beyond that would run interpreted (8x slower on the candidate join),
+    # so Spark is told to split such stages into smaller methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
