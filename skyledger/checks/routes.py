@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.functions import sqltext
-from skyledger.operators import routes
+from skyledger.operators import blocks, routes
 from skyledger.plans.views import load, oracle
 
 QUERIES = {}
@@ -13,7 +13,12 @@ ORACLES = {}
 
 
 def _points(spark, sf):
-    return routes.assemble_plans(load(spark, sf, "plan_point"))
+    raw = load(spark, sf, "plan_point")
+    return routes.assemble_plans(raw, long_plans=blocks.has_long_groups(raw))
+
+
+def _legs(spark, sf):
+    return routes.plan_legs(load(spark, sf, "plan_point"))
 
 
 # SQL twin of the assembly: the repeats are found with windows over whole plans, the
@@ -67,7 +72,7 @@ leg AS (
 
 
 def plan_legs(spark, sf):
-    return routes.with_times(routes.legs(_points(spark, sf)), 90.0).select(
+    return routes.with_times(_legs(spark, sf), 90.0).select(
         "plan_id", "leg_no", "from_label", "to_label",
         F.round("distance_nm", 6).alias("distance_nm"),
         F.round("mag_bearing_deg", 5).alias("mag_bearing_deg"),
@@ -86,7 +91,7 @@ FROM (SELECT *, CAST(round_even(nm / 90e0 * 3600e0, 0) AS BIGINT) AS s FROM leg)
 
 
 def plan_totals(spark, sf):
-    return routes.route_totals(routes.legs(_points(spark, sf)), 90.0).select(
+    return routes.route_totals(_legs(spark, sf), 90.0).select(
         "plan_id", "n_legs", F.round("total_nm", 6).alias("total_nm"),
         F.round("total_seconds", 4).alias("total_seconds"), "over_speed",
     )
@@ -219,7 +224,7 @@ FROM (SELECT plan_id, arg_min(code, seq) FILTER (WHERE is_wp) AS a, arg_max(code
 
 
 def _overridden(spark, sf):
-    return routes.apply_overrides(routes.legs(_points(spark, sf)), load(spark, sf, "leg_edit"), 90.0)
+    return routes.apply_overrides(_legs(spark, sf), load(spark, sf, "leg_edit"), 90.0)
 
 
 def overridden_legs(spark, sf):

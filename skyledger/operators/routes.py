@@ -155,7 +155,17 @@ def _drift_kept(tolerance: float = SAME_POINT_DEG):
     return fold
 
 
-def assemble_plans(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+def _carried(df: DataFrame, carry: DataFrame, long_plans: bool) -> DataFrame:
+    """Join what earlier blocks hand over; NULL columns where no plan has a second block."""
+    if long_plans:
+        return df.join(carry, PLAN_BLOCK, "left")
+    types = {f.name: f.dataType for f in carry.schema.fields if f.name not in PLAN_BLOCK}
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in types.items()})
+
+
+def assemble_plans(
+    points: DataFrame, block_rows: int = blocks.BLOCK_ROWS, long_plans: bool = True
+) -> DataFrame:
     """Drop repeats the way an editor refuses them, comparing with the last *kept* point.
 
     A waypoint falls out when the last kept point is a waypoint of the same
@@ -164,6 +174,9 @@ def assemble_plans(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> Da
     kept point looks sequential, but any waypoint row fixes that state, and so
     does an intermediate more than two tolerances from its neighbour; only runs
     of near-equal intermediates between such rows need an ordered fold.
+
+    ``long_plans`` off (see ``blocks.has_long_groups``) leaves out the passes
+    that carry state between the blocks of a plan.
     """
     row = F.struct("is_wp", "code", "lat", "lon")
     w = blocks.in_block(PLAN, "seq")
@@ -185,7 +198,7 @@ def assemble_plans(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> Da
     a = (
         points.withColumn("_lag", F.lag(row).over(w))
         .withColumn("_wp", F.max("is_wp").over(before))
-        .join(carry1, PLAN_BLOCK, "left")
+        .transform(_carried, carry1, long_plans)
         .withColumn("prev", F.coalesce("_lag", "c_prev"))
         .withColumn("wp_before", F.coalesce("_wp", F.lit(False)) | F.coalesce("c_wp", F.lit(False)))
         .drop("_lag", "_wp", "c_prev", "c_wp")
@@ -265,7 +278,7 @@ def assemble_plans(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> Da
     )
     return (
         b.withColumn("_lag", F.lag(row).over(w))
-        .join(carry2, PLAN_BLOCK, "left")
+        .transform(_carried, carry2, long_plans)
         .withColumn("prev", F.coalesce("_lag", "c_prev"))
         .where(~repeat_of("prev"))
         .withColumn(
@@ -288,7 +301,7 @@ def _label(last_wp: Column, seq: Column, is_wp: Column, code: Column) -> Column:
     )
 
 
-def _with_context(points: DataFrame, block_rows: int) -> DataFrame:
+def _with_context(points: DataFrame, block_rows: int, long_plans: bool) -> DataFrame:
     """Add ``last_wp`` (code, seq) and the next point, across blocks."""
     w = blocks.in_block(PLAN, "seq")
     wp = F.when(F.col("is_wp"), F.struct("code", "seq"))
@@ -308,17 +321,19 @@ def _with_context(points: DataFrame, block_rows: int) -> DataFrame:
     return (
         points.withColumn("_wp", F.last(wp, ignorenulls=True).over(w))
         .withColumn("_next", F.lead(point).over(w))
-        .join(carry, PLAN_BLOCK, "left")
+        .transform(_carried, carry, long_plans)
         .withColumn("last_wp", F.coalesce("_wp", "c_wp"))
         .withColumn("next", F.coalesce("_next", "c_next"))
         .drop("_wp", "_next", "c_wp", "c_next")
     )
 
 
-def label_points(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+def label_points(
+    points: DataFrame, block_rows: int = blocks.BLOCK_ROWS, long_plans: bool = True
+) -> DataFrame:
     """Waypoints show their code, intermediates ``<last code>.<n>``."""
     return (
-        _with_context(points, block_rows)
+        _with_context(points, block_rows, long_plans)
         .withColumn("label", _label(F.col("last_wp"), F.col("seq"), F.col("is_wp"), F.col("code")))
         .drop("last_wp", "next")
     )
@@ -328,9 +343,10 @@ def legs(
     points: DataFrame,
     magvar: float = geo.DEFAULT_MAGVAR_E,
     block_rows: int = blocks.BLOCK_ROWS,
+    long_plans: bool = True,
 ) -> DataFrame:
     """One row per adjacent pair of points, with labels, distance and bearings."""
-    ctx = _with_context(points, block_rows).where(F.col("next").isNotNull())
+    ctx = _with_context(points, block_rows, long_plans).where(F.col("next").isNotNull())
     a_lat, a_lon, b_lat, b_lon = F.col("lat"), F.col("lon"), F.col("next.lat"), F.col("next.lon")
     true_brg = geo.true_bearing_deg(a_lat, a_lon, b_lat, b_lon)
     return ctx.select(
@@ -351,6 +367,12 @@ def legs(
     ).withColumn("mag_bearing_deg", F.pmod(F.col("true_bearing_deg") - magvar, F.lit(360.0)))
 
 
+def plan_legs(points: DataFrame, magvar: float = geo.DEFAULT_MAGVAR_E) -> DataFrame:
+    """Assemble and measure in one go, looking once whether any plan spans blocks."""
+    long_plans = blocks.has_long_groups(points)
+    return legs(assemble_plans(points, long_plans=long_plans), magvar, long_plans=long_plans)
+
+
 def with_times(legs_df: DataFrame, speed_kts: float | Column) -> DataFrame:
     """Leg time in seconds and as HH:MM:SS, and the whole-degree heading."""
     return (
