@@ -218,7 +218,7 @@ FROM assembled GROUP BY plan_id
 """, "plan_point")
 QUERIES["plan_names"] = lambda spark, sf: routes.plan_names(_points(spark, sf))
 ORACLES["plan_names"] = oracle("WITH RECURSIVE " + ASSEMBLED.lstrip() + """
-SELECT plan_id, CASE WHEN a IS NULL THEN 'flight-plan.cvfr' WHEN a = b THEN a || '.cvfr' ELSE a || '-' || b || '.cvfr' END AS plan_name
+SELECT plan_id, CASE WHEN a IS NULL THEN 'flight-plan' WHEN a = b THEN a ELSE a || '-' || b END AS plan_name
 FROM (SELECT plan_id, arg_min(code, seq) FILTER (WHERE is_wp) AS a, arg_max(code, seq) FILTER (WHERE is_wp) AS b FROM assembled GROUP BY plan_id) t
 """, "plan_point")
 

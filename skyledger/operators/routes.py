@@ -23,8 +23,7 @@ CODE_PATTERN = r"^[A-Z]{4,5}$"
 SAME_POINT_DEG = 1e-6
 ORPHAN_BASE = "VIA"
 SPEED_LIMIT_KTS = 180.0
-FALLBACK_PLAN_NAME = "flight-plan.cvfr"
-PLAN_SUFFIX = ".cvfr"
+FALLBACK_PLAN_NAME = "flight-plan"
 UNKNOWN_ALTITUDE = "unknown"
 
 # --- plan text ----------------------------------------------------------------
@@ -525,7 +524,7 @@ def plan_strings(points: DataFrame, include_intermediates: bool = True) -> DataF
 
 
 def plan_names(points: DataFrame) -> DataFrame:
-    """File-style name from the first and last waypoint of each plan."""
+    """Name of each plan from its first and last waypoint (a file suffix is the caller's)."""
     at = F.when(F.col("is_wp"), F.col("seq"))
     clean = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "")
     ends = points.groupBy("plan_id").agg(
@@ -534,7 +533,7 @@ def plan_names(points: DataFrame) -> DataFrame:
     return ends.select(
         "plan_id",
         F.when(F.col("a").isNull() | (F.col("a") == "") | (F.col("b") == ""), FALLBACK_PLAN_NAME)
-        .when(F.col("a") == F.col("b"), F.concat("a", F.lit(PLAN_SUFFIX)))
-        .otherwise(F.concat("a", F.lit("-"), "b", F.lit(PLAN_SUFFIX)))
+        .when(F.col("a") == F.col("b"), F.col("a"))
+        .otherwise(F.concat("a", F.lit("-"), "b"))
         .alias("plan_name"),
     )
