@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import bpe, sharding
+from skyledger.llm import anchors, bpe, sharding, simhash
 from skyledger.llm.common import table
 
 #: Where the public vocabulary files lie, on the driver.
@@ -17,5 +17,13 @@ def op4_ring_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_ring_shards": op4_ring_shards}
+def op6_simhash(spark, sf_dir):
+    return simhash.component_rows(table(spark, sf_dir, "documents"))
+
+
+def op10_anchor_dedup(spark, sf_dir):
+    return anchors.dedup_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op4_ring_shards": op4_ring_shards, "op6_simhash": op6_simhash, "op10_anchor_dedup": op10_anchor_dedup}
 ORACLES: dict[str, str] = {}
