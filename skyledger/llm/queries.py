@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import anchors, bpe, sharding, simhash
+from skyledger.llm import anchors, bpe, lines, quality, sharding, simhash
 from skyledger.llm.common import table
 
 #: Where the public vocabulary files lie, on the driver.
@@ -17,13 +17,21 @@ def op4_ring_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.component_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_line_runs(spark, sf_dir):
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_anchor_dedup(spark, sf_dir):
     return anchors.dedup_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_ring_shards": op4_ring_shards, "op6_simhash": op6_simhash, "op10_anchor_dedup": op10_anchor_dedup}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_bpe": op2_bpe, "op4_ring_shards": op4_ring_shards, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op8_line_runs": op8_line_runs, "op10_anchor_dedup": op10_anchor_dedup}
+ORACLES = {"op8_line_runs": lines.LINE_SQL}
