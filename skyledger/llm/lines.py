@@ -31,9 +31,10 @@ def _named(places: DataFrame, by: list[str]) -> DataFrame:
     """Places that share `by` with another place, with the earliest of them as (n_row, n_at)."""
     first = F.min(F.struct("nameless", "doc", "row", "at"))
     names = places.groupBy(*by).agg(first.alias("n"), F.count("*").alias("c")).filter("c > 1")
-    names = names.select(*by, "n")
+    # joined by one key made of all, so that both sides are shuffled for the join alone and hot partitions can be split
+    names = names.select(F.struct(*by).alias("k"), "n")
     kept = ["nameless", "doc", "row", "at", "line", "words"]
-    return places.join(names, by).select(*kept, F.col("n.row").alias("n_row"), F.col("n.at").alias("n_at"))
+    return places.withColumn("k", F.struct(*by)).join(names, "k").select(*kept, F.col("n.row").alias("n_row"), F.col("n.at").alias("n_at"))
 
 
 def _doubled(named: DataFrame, step: int) -> DataFrame:

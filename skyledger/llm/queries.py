@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import anchors, bpe, lines, quality, sharding, simhash
+from skyledger.llm import anchors, bpe, forest, lines, quality, sharding, simhash
 from skyledger.llm.common import table
 
 #: Where the public vocabulary files lie, on the driver.
@@ -25,6 +25,10 @@ def op6_simhash(spark, sf_dir):
     return simhash.component_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_forest(spark, sf_dir):
+    return forest.hundredth_queries(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_runs(spark, sf_dir):
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,5 @@ def op10_anchor_dedup(spark, sf_dir):
     return anchors.dedup_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_ring_shards": op4_ring_shards, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op8_line_runs": op8_line_runs, "op10_anchor_dedup": op10_anchor_dedup}
+QUERIES = {"op2_bpe": op2_bpe, "op4_ring_shards": op4_ring_shards, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_forest": op7_forest, "op8_line_runs": op8_line_runs, "op10_anchor_dedup": op10_anchor_dedup}
 ORACLES = {"op8_line_runs": lines.LINE_SQL}
