@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import anchors, bpe, forest, lines, quality, sharding, simhash
+from skyledger.llm import anchors, bpe, forest, lines, quality, sharding, simhash, tiling
 from skyledger.llm.common import table
 
 #: Where the public vocabulary files lie, on the driver.
@@ -33,9 +33,13 @@ def op8_line_runs(spark, sf_dir):
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_tiling(spark, sf_dir):
+    return tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_anchor_dedup(spark, sf_dir):
     return anchors.dedup_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_ring_shards": op4_ring_shards, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_forest": op7_forest, "op8_line_runs": op8_line_runs, "op10_anchor_dedup": op10_anchor_dedup}
+QUERIES = {"op2_bpe": op2_bpe, "op4_ring_shards": op4_ring_shards, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_forest": op7_forest, "op8_line_runs": op8_line_runs, "op9_tiling": op9_tiling, "op10_anchor_dedup": op10_anchor_dedup}
 ORACLES = {"op8_line_runs": lines.LINE_SQL}
