@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import anchors, bpe, forest, lines, quality, sharding, simhash, tiling
+from skyledger.llm import anchors, bpe, forest, lines, quality, sharding, simhash, tiling, warc
 from skyledger.llm.common import table
 
 #: Where the public vocabulary files lie, on the driver.
@@ -13,6 +13,10 @@ def op2_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), bpe.load_automaton(f"{TOKENIZERS}/word_bpe_49k.json"))
 
 
+def op3_warc_index(spark, sf_dir):
+    return warc.capture_rows(table(spark, sf_dir, "pages"))
+
+
 def op4_ring_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -41,5 +45,5 @@ def op10_anchor_dedup(spark, sf_dir):
     return anchors.dedup_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_ring_shards": op4_ring_shards, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_forest": op7_forest, "op8_line_runs": op8_line_runs, "op9_tiling": op9_tiling, "op10_anchor_dedup": op10_anchor_dedup}
-ORACLES = {"op8_line_runs": lines.LINE_SQL}
+QUERIES = {"op2_bpe": op2_bpe, "op3_warc_index": op3_warc_index, "op4_ring_shards": op4_ring_shards, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_forest": op7_forest, "op8_line_runs": op8_line_runs, "op9_tiling": op9_tiling, "op10_anchor_dedup": op10_anchor_dedup}
+ORACLES = {"op3_warc_index": warc.CAPTURE_SQL, "op8_line_runs": lines.LINE_SQL}
