@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from skyledger.llm import anchors, bpe, forest, lines, quality, sharding, simhash, tiling, warc
+from skyledger.llm import anchors, bpe, forest, html, lines, quality, sharding, simhash, tiling, warc
 from skyledger.llm.common import table
 
 #: Where the public vocabulary files lie, on the driver.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_html_text(spark, sf_dir):
+    return html.page_rows(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), bpe.load_automaton(f"{TOKENIZERS}/word_bpe_49k.json"))
 
@@ -45,5 +49,5 @@ def op10_anchor_dedup(spark, sf_dir):
     return anchors.dedup_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_warc_index": op3_warc_index, "op4_ring_shards": op4_ring_shards, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_forest": op7_forest, "op8_line_runs": op8_line_runs, "op9_tiling": op9_tiling, "op10_anchor_dedup": op10_anchor_dedup}
+QUERIES = {"op1_html_text": op1_html_text, "op2_bpe": op2_bpe, "op3_warc_index": op3_warc_index, "op4_ring_shards": op4_ring_shards, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_forest": op7_forest, "op8_line_runs": op8_line_runs, "op9_tiling": op9_tiling, "op10_anchor_dedup": op10_anchor_dedup}
 ORACLES = {"op3_warc_index": warc.CAPTURE_SQL, "op8_line_runs": lines.LINE_SQL}
