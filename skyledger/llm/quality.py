@@ -187,17 +187,15 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     return Model({g: float(scaled[i]) for g, i in numbers.items() if scaled[i]}, float(bias), slope, shift)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every whole text; NULL texts count as empty, other columns play no part."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """All columns of `docs` and the score of every whole text; NULL texts count as empty, a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the kept n-grams
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "score": shared.value.scores(batch["text"])})
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.scores(texts))
 
-    kind = docs.schema[key].dataType.simpleString()
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return slim.mapInPandas(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return docs.withColumn(name, of(F.col(text)))
 
 
 def fold(key: str = "doc_id"):
@@ -216,5 +214,5 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 8000, least_score: float = 0.3) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted (1 from `least_score` on)."""
-    scored = score(docs, fit_quality(docs, labels, sample))
+    scored = score(docs.select("doc_id", "text"), fit_quality(docs, labels, sample))
     return scored.select("doc_id", fold().alias("held_out"), "score", (F.col("score") >= least_score).cast("int").alias("predicted"))

@@ -51,17 +51,14 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("uint64")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """(key, fp): the fingerprint as a signed long. NULL and empty texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
+    """All columns of `docs` and `fp`, the fingerprint as a signed long. NULL and empty texts have fingerprint zero."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, size) for t in batch["text"]], "uint64").view("int64")
-            yield pd.DataFrame({"key": batch["key"], "fp": fps})
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, size) for t in texts], "uint64").view("int64"))
 
-    kind = docs.schema[key].dataType.simpleString()
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return slim.mapInPandas(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return docs.withColumn("fp", of(F.col(text)))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -222,7 +219,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     component of such rows only has a NULL id. Equal rows share their component. Other
     columns play no part; an empty table gives an empty result.
     """
-    marked = cut(fingerprints(docs, key, text, size))
+    marked = cut(fingerprints(docs.select(key, F.col(text).alias("_text")), "_text", size).select(key, "fp"))
     each = marked.groupBy("fp").agg(F.min(key).alias("_least"))
     found = components(links(each, radius))
     named = each.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -231,6 +228,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return marked.join(of_fp, "fp").select(key, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest key, the first read of several.
+
+    A row with a NULL key stays only where its component has no other.
+    """
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("all")).withColumn("row", F.monotonically_increasing_id())
+    # written once, so that a row keeps its number whatever happens to its task
+    rows = cut(rows)
+    texts = rows.select("row", F.col(f"all.`{key}`").alias("_key"), F.col(f"all.`{text}`").alias("_text"))
+    marked = cut(fingerprints(texts, "_text", size).select("row", "_key", "fp"))
+    place = F.struct(F.col("_key").isNull(), "_key", "row")
+    each = marked.groupBy("fp").agg(F.min(place).alias("least"))
+    found = components(links(each, radius)).withColumnRenamed("node", "fp")
+    kept = each.join(found, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*[F.col(f"all.`{c}`").alias(c) for c in names])
+
+
 def component_rows(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hexadecimal digits), component_id."""
     out = near_duplicates(docs)

@@ -44,7 +44,7 @@ def test_recall(spark):
     rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
     asked = set(range(0, 2000, 50))
     want = by_hand(rows, asked)
-    got = as_dict(forest.forest_neighbours(vectors, vectors.filter("vec_id % 50 = 0"), leaf_rows=32, least=100).collect())
+    got = as_dict(forest.forest_neighbours(vectors, vectors.filter("vec_id % 50 = 0"), least=100).collect())
     hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
 
@@ -56,7 +56,7 @@ def test_odd_rows_and_hot_vectors(frame, monkeypatch):
     rows = [(i, [1.0, 2.0, 0.5]) for i in range(60)] + [(100 + i, [float(i), 1.0, -1.0]) for i in range(30)]
     rows += [(200, None), (201, [0.0, 0.0, 0.0]), (202, [1.0, None, 2.0]), (203, [nan, 1.0, 1.0]), (204, [inf, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (5, [1.0, 2.0, 0.5]), (206, [])]
     df = frame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, leaf string, rank int")
-    got = as_dict(forest.forest_neighbours(df, df.filter("vec_id % 10 = 0"), leaf_rows=8).collect())
+    got = as_dict(forest.forest_neighbours(df, df.filter("vec_id % 10 = 0"), leaves=8).collect())
     same(got, by_hand(rows, {*range(0, 60, 10), *range(100, 130, 10), 200}))
 
 
