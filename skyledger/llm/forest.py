@@ -1,9 +1,8 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 A tree halves a bounded sample of the vectors again and again, each time by the
-direction between two of them, down to leaves of about `leaf_rows` sample rows. Every
-row of the table is then put into its leaf of each tree. A query searches all trees
-through one priority queue, ordered by how far a branch lies beyond the planes passed
+direction between two of them, into about `leaves` leaves. Every row of the table is
+then put into its leaf of each tree. A query searches all trees through one priority queue, ordered by how far a branch lies beyond the planes passed
 so far, and takes leaves until they hold `share` of the rows (`least` at any rate).
 Within each leaf its queries meet its rows as two blocks of vectors, and each query
 keeps the exact nearest ones; those of all leaves are ranked once more.
@@ -111,7 +110,7 @@ def nearest_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k
 
 def forest_neighbours(
     vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10,
-    trees: int = 16, sample: int = 65_536, leaf_rows: int = 256, share: float = 1.1, least: int = 3000,
+    trees: int = 16, sample: int = 65_536, leaves: int = 64, share: float = 1.1, least: int = 3000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query row, by Euclidean distance.
 
@@ -120,7 +119,7 @@ def forest_neighbours(
     not zero. A query's own id is no candidate. Rows that share an id count once, at
     their smallest distance. Fewer candidates than k give fewer rows; none give none.
     `share` trades time for recall: rows in the searched leaves, all trees together, per
-    row of the table. Other columns play no part.
+    row of the table. A query visits about `leaves` * `share` leaves at any table size. Other columns play no part.
     """
     item = F.col(vector)
     sound = F.col(key).isNotNull() & F.coalesce(
@@ -139,10 +138,10 @@ def forest_neighbours(
 
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     base = matrix(drawn["v"]).astype("float64")
-    forest = [grow(base, leaf_rows, seed) for seed in range(trees)]
+    forest = [grow(base, max(1, len(base) // leaves), seed) for seed in range(trees)]
     shared = spark.sparkContext.broadcast(forest)
 
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sort_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x = matrix(batch["v"]).astype("float64")
@@ -150,7 +149,7 @@ def forest_neighbours(
                 yield pd.DataFrame({"tree": np.repeat(np.arange(trees), len(batch)), "leaf": at.ravel()})
 
     counts = [np.zeros(t.leaves, "int64") for t in forest]
-    for r in rows.mapInPandas(leaves, "tree int, leaf int").groupBy("tree", "leaf").count().collect():
+    for r in rows.mapInPandas(sort_in, "tree int, leaf int").groupBy("tree", "leaf").count().collect():
         counts[r["tree"]][r["leaf"]] = r["count"]
     total = int(counts[0].sum()) if trees else 0
     wanted = max(least, share * total) if total > least else float("inf")
