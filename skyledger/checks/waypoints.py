@@ -18,6 +18,15 @@ NAMES = [
     ([(1.0, "שדה"), (2.0, "בוקר")], ("שדה בוקר", ""), ("בוקר שדה", "")),
     ([(1.0, "ב נמל אשדוד"), (2.0, "")], ("נמל אשדוד", ""), ("נמל אשדודב", "")),
     ([(1.0, "מגדלימ"), (2.0, "חובה")], ("מגדלים", "חובה"), ("מגדלים", "חובה")),
+    ([(1.0, "שפך")], ("שפך", ""), ("שפך", "")),
+    ([(1.0, "בית שמש רז רדז"), (2.0, "חובה")], ("בית שמש רז רדז", "חובה"), ("בית שמש רז רדז", "חובה")),
+    ([(1.0, 'כרם מהר"ל')], ("כרם מהר", ""), ('כרם מהר"ל', "")),
+    ([(1.0, "דור*"), (2.0, "דרישה")], ("דור", "דרישה"), ("דור", "דרישה")),
+    ([(1.0, "א אור עקיב")], ("אור עקיב", ""), ("אור עקיבא", "")),
+    ([(1.0, "| גילת")], ("גילת", ""), ("גילת", "")),
+    ([(1.0, "7 עין גדי"), (2.0, "חובה")], ("עין גדי", "חובה"), ("עין גדי", "חובה")),
+    ([(1.0, "xx ווו מחלף ינאי היד")], ("מחלף ינאי", ""), ("ווו מחלף ינאי היד", "")),
+    ([(1.0, "ים המלחימ - צפונ"), (2.0, "דרישה")], ("ים המלחים צפון", "דרישה"), ("ים המלחים - צפון", "דרישה")),
 ]
 
 

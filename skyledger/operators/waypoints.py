@@ -18,6 +18,7 @@ TYPE_ON_DEMAND = "דרישה"
 TYPE_MANDATORY = "חובה"
 TYPE_AERODROME = "ARP"
 HEBREW = r"[\u0590-\u05FF\uFB1D-\uFB4F]"
+LETTERS = r"[\u05D0-\u05EA\u05F0-\u05F2\uFB1D-\uFB4F]"  # the same without points and marks
 STEM_WORDS = {
     "מחלף": 5, "צומת": 5, "מצפה": 4, "קרית": 3, "נווה": 4, "כפר": 5, "עינות": 3,
     "שדה": 3, "עין": 4, "בית": 5, "ים": 4, "הר": 3, "נמל": 3,
@@ -202,108 +203,78 @@ def split_cells(cells: Column) -> Column:
     return F.struct(F.trim(F.array_join(F.transform(kept, lambda p: p["t"]), " ")).alias("name"), rtype.alias("rtype"))
 
 
-def _needs_recovery(c: Column) -> Column:
-    return c.rlike(r"[A-Za-z]|\d|[(){}\[\]<>/\\]|\.\.|--|—|\sו{3,}\s|^ו{3,}\s|\sו{3,}$")
+def _final_letters(c: Column) -> Column:
+    """Every word's last letter in its closing form."""
+    medial, final = ("".join(x) for x in (FINAL_LETTERS, FINAL_LETTERS.values()))
 
+    def close(w: Column) -> Column:
+        last = F.translate(F.right(w, F.lit(1)), medial, final)
+        return F.when(w.rlike(rf"^{HEBREW}{{2,}}$"), F.concat(F.left(w, F.length(w) - 1), last)).otherwise(w)
 
-def _denoise(df: DataFrame, col: str) -> DataFrame:
-    """Drop repeated-letter, stray one-letter and junk words."""
-    w = F.col("_w")
-    two = (F.size(w) == 2) & (F.length(F.get(w, 0)) == 1) & (F.length(F.get(w, 1)) >= 2)
-    real = F.filter(w, lambda t: ~t.isin(*JUNK_WORDS))
-    return (
-        df.withColumn("_w", F.filter(_words(F.col(col)), lambda t: ~t.rlike(r"^(.)\1+$")))
-        .withColumn(
-            "_w",
-            F.when(F.size(w) >= 3, F.filter(w, lambda t: F.length(t) > 1)).when(two, F.slice(w, 2, 1)).otherwise(w),
-        )
-        .withColumn("_w", F.when(F.size(real) > 0, real).otherwise(w))
-        .withColumn(col, F.when(F.size(w) > 0, F.array_join(w, " ")).otherwise(F.trim(col)))
-        .drop("_w")
-    )
+    return F.array_join(F.transform(F.split(c, " "), close), " ")
 
 
-def _final_letters(c: Column) -> Column:
-    return _replace_all(
-        c, [(rf"(?<!\S)({HEBREW}+){medial}(?!\S)", f"$1{final}") for medial, final in FINAL_LETTERS.items()]
-    )
+def _without_noise(words: Column) -> Column:
+    """Words less repeated letters, lone letters beside longer words, and known junk (unless all is junk)."""
 
+    def no_lone(w: Column) -> Column:
+        led = (F.size(w) == 2) & (F.length(F.get(w, 0)) == 1) & (F.length(F.get(w, 1)) > 1)
+        return F.when(led, F.slice(w, 2, 1)).when(F.size(w) > 2, F.filter(w, lambda x: F.length(x) > 1)).otherwise(w)
 
-NAME_STRIP = [
-    (r'["\u201C\u201D\u2033\u05F4]+', " "), (r"[|\[\]<>]+", " "), (r"={2,}", " "), (r"[.:]{2,}", " "), (r"[–—]+", " "),
-    (r"\s-\s-\s", " "), (r"[(){}\[\]/\\]+", " "),
-]
-NAME_TRIM = [
-    (rf"^[^{HEBREW[1:-1]}]+(?={HEBREW})", ""), (r"^[\s\-_=.|/\\:]+", ""), (r"[\s\-_=.|/\\:]+$", ""),
-    (r"\s*[a-zA-Z]{1,12}\s*", " "), (r"\s+\d+\s*", " "), (r"^[a-zA-Z]{1,4}\s+", ""), (r"\s+[a-zA-Z]{1,3}\s*$", ""),
-    (r"^[0-9\-.|]+\s+", ""), (r"^ן\s+", ""),
-]
+    def no_junk(w: Column) -> Column:
+        return _let(F.filter(w, lambda x: ~x.isin(*JUNK_WORDS)), lambda good: F.when(F.size(good) > 0, good).otherwise(w))
 
+    varied = F.filter(words, lambda x: ~x.rlike(r"^(.)\1+$"))
+    return _let(_let(varied, no_lone), no_junk)
 
-def polish_names(df: DataFrame, col: str) -> DataFrame:
-    """Clean names taken from mixed text: strip foreign characters, recover the place phrase.
 
-    Each stage is its own column so that a stage is computed once, not once per use.
-    """
-    s = F.col("_s")
-    stems = F.concat(
-        *[
-            F.regexp_extract_all(s, F.lit(rf"({word}\s+{HEBREW}+(?:\s+{HEBREW}+){{0,{more}}})"), F.lit(1))
-            for word, more in STEM_WORDS.items()
-        ]
+def _place(words: Column, mixed: Column) -> Column:
+    """The words of the place: the longest phrase a known first word opens, or the end of a long text."""
+    more = F.create_map(*[F.lit(x) for pair in STEM_WORDS.items() for x in pair])
+    phrases = F.filter(
+        F.transform(words, lambda w, i: F.slice(words, i + 1, F.coalesce(F.try_element_at(more, w), F.lit(-2)) + 2)),
+        lambda ph: F.size(ph) > 1,
     )
+    letters = lambda ph: F.length(F.array_join(ph, " "))
     longest = F.aggregate(
-        stems, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best)
+        phrases, F.array().cast("array<string>"), lambda best, ph: F.when(letters(ph) > letters(best), ph).otherwise(best)
     )
-    tail_words = F.slice(F.reverse(F.slice(F.reverse(F.col("_words")), 1, 5)), 1, 5)
-    starts = F.array_position(
-        F.transform("_tail", lambda t: t.isin(*KEY_FIRST_WORDS) | (F.length(t) >= 4)), True
-    )
-    w0, w1 = F.get("_words", 0), F.get("_words", 1)
-    df = (
-        df.withColumn("_raw", _clean_line(F.col(col)))
-        .withColumn("_s", _squeeze(_replace_all(F.col("_raw"), NAME_STRIP)))
-        .withColumn("_s", _squeeze(_replace_all(s, NAME_TRIM)))
-        .withColumn("_stem", longest)
-        .withColumn(
-            "_use_stem",
-            (F.col("_stem") != "")
-            & (F.col("_stem") != s)
-            & (_needs_recovery(s) | (F.length(s) - F.length("_stem") >= 4)),
-        )
-        .withColumn("_s", F.when(F.col("_use_stem"), F.col("_stem")).otherwise(s))
-        .withColumn("_words", _words(s))
-        .withColumn("_tail", tail_words)
-        .withColumn("_from", starts)
-        .withColumn(
-            "_s",
-            F.when(
-                ~F.col("_use_stem") & (_needs_recovery(s) | (F.size("_words") >= 5)) & (F.col("_from") > 0),
-                F.array_join(F.slice("_tail", F.greatest(F.col("_from"), F.lit(1)).cast("int"), F.lit(5)), " "),
-            ).otherwise(s),
+    tail = F.slice(words, F.greatest(F.size(words) - 4, F.lit(1)), 5)
+    opening = F.array_position(F.transform(tail, lambda w: w.isin(*KEY_FIRST_WORDS) | (F.length(w) > 3)), True)
+
+    def choose(found: Column) -> Column:
+        return (
+            F.when((F.size(found) > 0) & (mixed | (letters(words) - letters(found) > 3)), found)
+            .when((mixed | (F.size(words) > 4)) & (opening > 0), F.slice(tail, F.greatest(opening, F.lit(1)).cast("int"), 5))
+            .otherwise(words)
         )
-        .withColumn("_s", _squeeze(F.regexp_replace(s, r"(?:^|\s)ו{2,}(?:\s|$)", " ")))
-    )
-    df = _denoise(df, "_s")
-    df = df.withColumn(
-        "_s",
-        _squeeze(
-            F.regexp_replace(
-                _squeeze(F.regexp_replace(_final_letters(s), r"\u05F3+\s*$", "")), r"(?:\.|-|–|—|\u05BE)+", " "
-            )
-        ),
-    )
-    df = _denoise(df, "_s").withColumn("_words", _words(s))
-    drop_first = (
-        _needs_recovery(F.col("_raw"))
-        & (F.size("_words") == 2)
-        & (F.length(w0) <= 3)
-        & (F.length(w1) >= 4)
-        & ~w0.isin(*KEY_FIRST_WORDS)
-    )
-    return df.withColumn(col, F.when(drop_first, w1).otherwise(s)).drop(
-        "_raw", "_s", "_stem", "_use_stem", "_words", "_tail", "_from"
-    )
+
+    return _let(longest, choose)
+
+
+def polish_name(c: Column) -> Column:
+    """The place name in a text of mixed origin.
+
+    The text is cut once into runs of letters of the name's script; whatever stood
+    between them only tells whether the text is ``mixed``. Words then lose noise, give
+    up the place phrase, and get their closing letters.
+    """
+
+    def of(line: Column) -> Column:
+        mixed = line.rlike(r"[A-Za-z0-9(){}\[\]<>/\\|]|[.\-]{2,}|\u2014")
+
+        def lead(w: Column) -> Column:
+            stray = mixed & (F.size(w) == 2) & (F.length(F.get(w, 0)) < 4) & (F.length(F.get(w, 1)) > 3)
+            return F.when(stray & ~F.get(w, 0).isin(*KEY_FIRST_WORDS), F.slice(w, 2, 1)).otherwise(w)
+
+        words = F.regexp_extract_all(line, F.lit(f"({LETTERS}+)"), F.lit(1))
+        return _let(_let(_let(words, _without_noise), lambda w: _place(w, mixed)), lead)
+
+    return _final_letters(F.array_join(_let(_clean_line(c), of), " "))
+
+
+def polish_names(df: DataFrame, col: str) -> DataFrame:
+    return df.withColumn(col, polish_name(F.col(col)))
 
 
 def clean_light(c: Column) -> Column:
@@ -368,12 +339,12 @@ def clean_waypoints(cells: DataFrame) -> DataFrame:
         placed.withColumn("_cells", F.when(n_meta > 0, meta).otherwise(F.array().cast("array<struct<x0:double,text:string>>")))
         .withColumn("_blob", _squeeze(F.array_join(F.transform("_cells", lambda c: c["text"]), " ")))
         .withColumn("_nt", F.when(recognised, split_cells(F.col("_cells"))).otherwise(split_name_type(F.col("_blob"))))
-        .withColumn("_name", F.col("_nt.name"))
-        .withColumn("_light", clean_light(F.col("_name")))
+        # a row takes one of the two ways only
+        .withColumn("_name", F.when(recognised, clean_light(F.col("_nt.name"))).otherwise(polish_name(F.col("_nt.name"))))
     )
-    return polish_names(named, "_name").select(
+    return named.select(
         "edition", "mode_id", "sheet", "sheet_ord", "ord", "code",
-        F.when(recognised, F.col("_light")).otherwise(F.col("_name")).alias("name_he"),
+        F.col("_name").alias("name_he"),
         F.trim("_nt.rtype").alias("reporting_type"),
         "lat", "lon", "lat_dms", "lon_dms",
     )

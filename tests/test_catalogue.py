@@ -12,12 +12,26 @@ CELL = "edition string, mode_id string, sheet string, sheet_ord int, ord int, st
     [
         ("(xx) צומת גולני 12", "צומת גולני"), ("רה עין גדי abc", "עין גדי"), ("שש ממממ תל אביב צפונ", "תל אביב צפון"),
         ("ו מגדל", "מגדל"), ("\"נמל חיפה\" ..", "נמל חיפה"), ("כפר סבא", "כפר סבא"), ("", ""),
+        ("xx ווו מחלף ינאי היד", "מחלף ינאי"), ("abc דיו קיסריה", "קיסריה"), ("אבג קיסריה 7", "קיסריה"), ('כרם מהר"ל', "כרם מהר"),
+        ("ים המלחימ - צפונ", "ים המלחים צפון"), ("אחת שתיים שלוש ארבע חמש שבע", "שתיים שלוש ארבע חמש שבע"), ("ABC", ""),
     ],
 )
 def test_polished_names(spark, raw, clean):
     assert waypoints.polish_names(spark.createDataFrame([(raw,)], "n string"), "n").first().n == clean
 
 
+@pytest.mark.parametrize(
+    "raw,clean",
+    [
+        ("שפך", "שפך"), ("בת שלמה", "בת שלמה"), ("בית שמש", "בית שמש"), ("גלילות מזרח", "גלילות מזרח"), ("עין יהב", "עין יהב"),
+        ('כרם מהר"ל', 'כרם מהר"ל'), ("דור*", "דור"), ("א אור עקיב", "אור עקיבא"), ("| גילת", "גילת"), ("7 עין גדי", "עין גדי"),
+    ],
+)
+def test_light_names_stay_whole(spark, raw, clean):
+    df = spark.createDataFrame([(raw,)], "n string")
+    assert df.select(waypoints.clean_light(F.col("n")).alias("c")).first().c == clean
+
+
 def test_light_names(spark):
     df = spark.createDataFrame([("ב אר שבע",), ("שלומ -",), ("xx קצרינ.",)], "n string")
     assert [r.c for r in df.select(waypoints.clean_light(F.col("n")).alias("c")).collect()] == ["אר שבעב", "שלום", "קצרין"]
