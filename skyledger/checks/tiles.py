@@ -36,17 +36,22 @@ ORACLES["tiles_for_boxes"] = oracle("WITH " + BOXED.lstrip() + " SELECT box_id,
 
 
 def missing(spark, sf):
-    cached = load(spark, sf, "inventory").where(F.col("provider") == "prov0")
-    return tiles.missing_tiles(tiles.tiles_for_boxes(load(spark, sf, "box"), ZOOMS), cached)
+    provider = F.when(F.col("box_id") % 2 == 0, "prov0").otherwise("prov1")
+    required = tiles.tiles_for_boxes(load(spark, sf, "box"), ZOOMS).withColumn("provider", provider)
+    return tiles.missing_tiles(required, load(spark, sf, "inventory"))
 
 
 QUERIES["missing_tiles"] = missing
-ORACLES["missing_tiles"] = oracle("WITH " + BOXED.lstrip() + """
-SELECT DISTINCT z, x, y, 'https://tiles.example/' || z || '/' || y || '/' || x AS url FROM boxed b
-WHERE NOT EXISTS (SELECT 1 FROM inventory i WHERE i.provider = 'prov0' AND i.bytes > 0 AND i.z = b.z AND i.x = b.x AND i.y = b.y)
+ORACLES["missing_tiles"] = oracle("WITH " + BOXED.lstrip() + """,
+asked AS (SELECT DISTINCT CASE WHEN box_id % 2 = 0 THEN 'prov0' ELSE 'prov1' END AS provider, z, x, y FROM boxed)
+SELECT provider, z, x, y, 'https://tiles.example/' || z || '/' || y || '/' || x AS url FROM asked b
+WHERE NOT EXISTS (SELECT 1 FROM inventory i WHERE i.provider = b.provider AND i.bytes > 0 AND i.z = b.z AND i.x = b.x AND i.y = b.y)
 """, "box", "inventory")
 
-QUERIES["viewport_tiles"] = lambda spark, sf: tiles.viewport_tiles(load(spark, sf, "viewport"), load(spark, sf, "inventory"), 13)
+QUERIES["viewport_tiles"] = lambda spark, sf: tiles.viewport_tiles(
+    load(spark, sf, "viewport").withColumn("provider", F.concat(F.lit("prov"), (F.col("view_id") % 3).cast("string"))),
+    load(spark, sf, "inventory"), 13,
+)
 _wx = lambda c: f"(({c} + 180e0) / 360e0 * 8192e0)"
 _wy = lambda c: f"((1e0 - ln(tan(radians({c})) + 1e0 / cos(radians({c}))) / pi()) / 2e0 * 8192e0)"
 ORACLES["viewport_tiles"] = oracle(f"""
@@ -54,7 +59,7 @@ WITH w AS (SELECT view_id, {_wx('min_lon')} AS x0, {_wx('max_lon')} AS x1, {_wy(
 g AS (SELECT view_id, unnest(generate_series(CAST(floor(x0 - (x1 - x0) / 2) AS INT), CAST(floor(x1 + (x1 - x0) / 2) AS INT))) AS x,
   CAST(floor(y0 - (y1 - y0) / 2) AS INT) AS a, CAST(floor(y1 + (y1 - y0) / 2) AS INT) AS b FROM w),
 t AS (SELECT view_id, CAST(x AS INT) AS x, CAST(unnest(generate_series(a, b)) AS INT) AS y FROM g)
-SELECT view_id, 13 AS z, x, y, EXISTS (SELECT 1 FROM inventory i WHERE i.z = 13 AND i.x = t.x AND i.y = t.y AND i.bytes > 0) AS cached FROM t
+SELECT view_id, 'prov' || view_id % 3 AS provider, 13 AS z, x, y, EXISTS (SELECT 1 FROM inventory i WHERE i.provider = 'prov' || view_id % 3 AND i.z = 13 AND i.x = t.x AND i.y = t.y AND i.bytes > 0) AS cached FROM t
 """, "viewport", "inventory")
 
 QUERIES["tile_coverage"] = lambda spark, sf: tiles.tile_coverage(
@@ -95,12 +100,12 @@ graded AS (
 ),
 timed AS (
   SELECT *, outcome IN ('rate_limited', 'network_error') AS transient,
-    CASE WHEN outcome = 'rate_limited' THEN CASE WHEN TRY_CAST(retry_after AS DOUBLE) > 0 THEN TRY_CAST(retry_after AS DOUBLE) ELSE 30e0 END END AS backoff_s
+    CASE WHEN outcome = 'rate_limited' THEN CASE WHEN TRY_CAST(retry_after AS DOUBLE) > 0 THEN TRY_CAST(retry_after AS DOUBLE) ELSE 30e0 END WHEN outcome = 'network_error' THEN 5e0 END AS wait_s
   FROM graded
 ),
 island AS (SELECT *, sum(CASE WHEN transient THEN 0 ELSE 1 END) OVER (PARTITION BY z, x, y ORDER BY attempt_no) AS isl FROM timed),
 runs AS (SELECT *, count(*) FILTER (WHERE transient) OVER (PARTITION BY z, x, y, isl ORDER BY attempt_no) AS run FROM island),
-given AS (SELECT *, transient AND run > 0 AND run % 3 = 0 AS gave_up FROM runs)"""
+given AS (SELECT *, transient AND run > 0 AND run % 3 = 0 AS gave_up, CASE WHEN NOT (transient AND run > 0 AND run % 3 = 0) THEN wait_s END AS backoff_s FROM runs)"""
 QUERIES["attempt_outcomes"] = lambda spark, sf: tiles.with_give_up(
     tiles.attempt_outcomes(load(spark, sf, "attempt"))
 ).select("z", "x", "y", "attempt_no", "outcome", "backoff_s", "gave_up")

@@ -12,11 +12,13 @@ from skyledger.functions import geo, mercator
 from skyledger.operators import blocks
 
 TILE = ["z", "x", "y"]
+PROVIDER_TILE = ["provider", *TILE]
 
 # Fixed values.
 IMAGERY_TEMPLATE = "https://tiles.example/{z}/{y}/{x}"
 MIN_TILE_BYTES = 256
 DEFAULT_BACKOFF_S = 30.0
+NETWORK_BACKOFF_S = 5.0
 MAX_TRANSIENT_RETRIES = 3
 
 Box = tuple[float, float, float, float]
@@ -94,18 +96,18 @@ def tiles_for_boxes(boxes: DataFrame, zooms: Sequence[int], spread: bool = False
 
 
 def missing_tiles(required: DataFrame, inventory: DataFrame, template: str = IMAGERY_TEMPLATE) -> DataFrame:
-    """Required tiles that are not cached, with their download address."""
-    cached = inventory.where(F.col("bytes") > 0).select(*TILE)
+    """Required tiles (provider, z, x, y) that their provider has not cached, with their download address."""
+    cached = inventory.where(F.col("bytes") > 0).select(*PROVIDER_TILE)
     return (
-        required.select(*TILE)
+        required.select(*PROVIDER_TILE)
         .distinct()
-        .join(cached, TILE, "left_anti")
+        .join(cached, PROVIDER_TILE, "left_anti")
         .withColumn("url", mercator.tile_url(template, F.col("z"), F.col("x"), F.col("y")))
     )
 
 
 def viewport_tiles(viewports: DataFrame, inventory: DataFrame, z: int, pad: float = 0.5) -> DataFrame:
-    """Tiles under each viewport grown by ``pad`` of its size, marked cached or not."""
+    """Tiles under each viewport (view_id, provider, box) grown by ``pad`` of its size, marked cached by that provider or not."""
     zc = F.lit(z)
     x0, x1 = mercator.world_x(F.col("min_lon"), zc), mercator.world_x(F.col("max_lon"), zc)
     y0, y1 = mercator.world_y(F.col("max_lat"), zc), mercator.world_y(F.col("min_lat"), zc)
@@ -115,24 +117,25 @@ def viewport_tiles(viewports: DataFrame, inventory: DataFrame, z: int, pad: floa
         return F.greatest(F.lit(0), F.least(F.lit(limit), F.floor(v / mercator.TILE_PX))).cast("int")
 
     seen = (
-        viewports.select("view_id", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
+        viewports.select("view_id", "provider", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
         .where((F.col("x1") >= F.col("x0")) & (F.col("y1") >= F.col("y0")))
         .withColumn("px", (F.col("x1") - F.col("x0")) * pad)
         .withColumn("py", (F.col("y1") - F.col("y0")) * pad)
         .select(
             "view_id",
+            "provider",
             zc.alias("z"),
             tile(F.col("y0") - F.col("py")).alias("ty0"),
             tile(F.col("y1") + F.col("py")).alias("ty1"),
             F.explode(F.sequence(tile(F.col("x0") - F.col("px")), tile(F.col("x1") + F.col("px")))).alias("x"),
         )
-        .select("view_id", "z", "x", F.explode(F.sequence("ty0", "ty1")).alias("y"))
+        .select("view_id", "provider", "z", "x", F.explode(F.sequence("ty0", "ty1")).alias("y"))
     )
     cached = (
-        inventory.where((F.col("bytes") > 0) & (F.col("z") == z)).select(*TILE).distinct().withColumn("cached", F.lit(True))
+        inventory.where((F.col("bytes") > 0) & (F.col("z") == z)).select(*PROVIDER_TILE).distinct().withColumn("cached", F.lit(True))
     )
-    return seen.join(cached, TILE, "left").select(
-        "view_id", *TILE, F.coalesce("cached", F.lit(False)).alias("cached")
+    return seen.join(cached, PROVIDER_TILE, "left").select(
+        "view_id", *PROVIDER_TILE, F.coalesce("cached", F.lit(False)).alias("cached")
     )
 
 
@@ -234,35 +237,39 @@ def attempt_outcomes(log: DataFrame) -> DataFrame:
             F.when(
                 F.col("outcome") == "rate_limited",
                 F.when(wait > 0.0, wait).otherwise(F.lit(DEFAULT_BACKOFF_S)),
-            ),
+            ).when(F.col("outcome") == "network_error", F.lit(min(DEFAULT_BACKOFF_S, NETWORK_BACKOFF_S))),
         )
     )
 
 
 def with_give_up(outcomes: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """Mark the attempts at which a tile is given up (every third transient failure in a row).
+    """Mark the attempts at which a tile is given up (every third transient failure in a row); such an attempt has no wait.
 
-    The place in a run of failures is the distance to the last other attempt;
-    ``attempt_no`` counts from 0 without gaps. Blocks of attempts pass that
-    attempt's number on, so one tile with very many attempts spreads out.
+    Failures are counted, whatever numbers the attempts have. Attempts are numbered
+    within blocks; a block gets the count of the failures it continues, so one tile
+    with very many attempts spreads out.
     """
     df = outcomes.withColumn("block", blocks.block_of(F.col("attempt_no"), block_rows))
-    solid = F.when(~F.col("transient"), F.col("attempt_no"))
-    before = Window.unboundedPreceding
+    w = blocks.in_block(TILE, "attempt_no")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = blocks.over_blocks(TILE).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_r", F.row_number().over(w))
+    solid = F.when(~F.col("transient"), F.col("_r"))
     carry = (
         df.groupBy(*TILE, "block")
-        .agg(F.max(solid).alias("m"))
-        .withColumn("c_solid", F.max("m").over(blocks.over_blocks(TILE).rowsBetween(before, -1)))
-        .where(F.col("c_solid").isNotNull())
-        .drop("m")
+        .agg(F.count("*").alias("n"), F.max(solid).alias("m"))
+        .withColumn("_n", F.sum("n").over(earlier))
+        .withColumn("_m", F.max(F.coalesce("_n", F.lit(0)) + F.col("m")).over(earlier))
+        .where(F.col("_n").isNotNull())
+        .select(*TILE, "block", (F.col("_n") - F.coalesce("_m", F.lit(0))).alias("c_run"))
     )
-    w = blocks.in_block(TILE, "attempt_no").rowsBetween(before, Window.currentRow)
-    run = F.col("attempt_no") - F.coalesce("_solid", "c_solid", F.lit(-1))
+    run = F.when(F.col("_solid").isNotNull(), F.col("_r") - F.col("_solid")).otherwise(F.col("_r") + F.coalesce("c_run", F.lit(0)))
     return (
-        df.withColumn("_solid", F.max(solid).over(w))
+        df.withColumn("_solid", F.max(solid).over(so_far))
         .join(carry, [*TILE, "block"], "left")
         .withColumn("gave_up", F.col("transient") & (run > 0) & (run % MAX_TRANSIENT_RETRIES == 0))
-        .drop("_solid", "c_solid", "block")
+        .withColumn("backoff_s", F.when(~F.col("gave_up"), F.col("backoff_s")))
+        .drop("_solid", "c_run", "_r", "block")
     )
 
 

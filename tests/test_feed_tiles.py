@@ -76,6 +76,14 @@ def test_give_up_every_third_failure(spark, block_rows):
     out = tiles.with_give_up(tiles.attempt_outcomes(log), block_rows).orderBy("attempt_no").collect()
     assert [r.attempt_no for r in out if r.gave_up] == [2, 10, 13]
     assert out[4].outcome == "missing"  # 255 bytes
+    assert [r.backoff_s for r in out][:4] == [5.0, 30.0, None, 5.0]
+
+
+def test_give_up_counts_attempts_not_numbers(spark):
+    rows = [(12, 1, 1, n, 503, 0, None, None) for n in (0, 5, 9, 400, 401)]
+    log = spark.createDataFrame(rows, "z int, x int, y int, attempt_no int, status int, bytes int, retry_after string, error string")
+    out = tiles.with_give_up(tiles.attempt_outcomes(log), 7).orderBy("attempt_no").collect()
+    assert [r.attempt_no for r in out if r.gave_up] == [9]
 
 
 def test_listing(spark, tmp_path):
