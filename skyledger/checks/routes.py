@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.functions import sqltext
-from skyledger.operators import blocks, routes
+from skyledger.operators import routes
 from skyledger.plans.views import load, oracle
 
 QUERIES = {}
@@ -14,7 +14,7 @@ ORACLES = {}
 
 def _points(spark, sf):
     raw = load(spark, sf, "plan_point")
-    return routes.assemble_plans(raw, long_plans=blocks.has_long_groups(raw))
+    return routes.assemble_plans(raw)
 
 
 def _legs(spark, sf):
@@ -203,14 +203,14 @@ def strings(spark, sf):
     pts = _points(spark, sf)
     full = routes.plan_strings(pts)
     short = routes.plan_strings(pts, include_intermediates=False).select(
-        "plan_id", "part", F.col("plan_text").alias("filed_text")
+        "plan_id", F.col("plan_text").alias("filed_text")
     )
-    return full.join(short, ["plan_id", "part"], "left")
+    return full.join(short, "plan_id", "left")
 
 
 QUERIES["plan_strings"] = strings
 ORACLES["plan_strings"] = oracle("WITH RECURSIVE " + ASSEMBLED.lstrip() + f"""
-SELECT plan_id, 0 AS part,
+SELECT plan_id,
   string_agg(CASE WHEN is_wp THEN code ELSE {sqltext.coord('lat', 'lon')} END, ' ' ORDER BY seq) AS plan_text,
   string_agg(CASE WHEN is_wp THEN CASE WHEN name = '' THEN code ELSE name END ELSE {sqltext.coord('lat', 'lon')} END, ' ' ORDER BY seq) AS local_text,
   string_agg(code, ' ' ORDER BY seq) FILTER (WHERE is_wp) AS filed_text

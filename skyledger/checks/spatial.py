@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyledger.functions import sqltext
-from skyledger.operators import blocks, matching, routes, spatial
+from skyledger.operators import matching, routes, spatial
 from skyledger.plans.views import load, oracle
 
 QUERIES = {}
@@ -44,7 +44,7 @@ def chart_arrows(spark, sf):
 
 def hop_legs(spark, sf):
     points = load(spark, sf, "hop_point")
-    return routes.legs(points, long_plans=blocks.has_long_groups(points))
+    return routes.legs(points)
 
 
 def candidates(spark, sf):

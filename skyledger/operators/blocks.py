@@ -37,11 +37,6 @@ def long_groups(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return df.where(F.col("n_points") > block_rows)
 
 
-def has_long_groups(df: DataFrame, block_rows: int = BLOCK_ROWS) -> bool:
-    """Does any group span several blocks? Reads one column, stops at the first hit."""
-    return not long_groups(df.select("n_points"), block_rows).limit(1).isEmpty()
-
-
 def in_block(keys: Sequence[str], *order: str):
     return Window.partitionBy(*keys, "block").orderBy(*order)
 

@@ -101,8 +101,8 @@ def nearest(
     gy, gx = cell_of(F.col("lat"), F.col("lon"), max_nm)
     dist = geo.great_circle_nm(F.col("lat"), F.col("lon"), F.col("_tlat"), F.col("_tlon"))
     return (
-        points.withColumn("gy", gy)
-        .withColumn("gx", gx)
+        # numbered, so that equal rows stay apart and the grouping key is slim
+        points.withColumns({"_row": F.monotonically_increasing_id(), "gy": gy, "gx": gx})
         .join(spots, [*keys, "gy", "gx"], "left" if keep_all else "inner")
         .withColumn("_d", dist)
         .withColumn(
@@ -112,10 +112,10 @@ def nearest(
                 F.struct(F.col("_d").alias("d"), F.col(f"_t.{target_order}").alias("o"), F.col("_t").alias("t")),
             ),
         )
-        .groupBy(*points.columns)
-        .agg(F.min("_hit").alias("_best"))
+        .groupBy("_row")
+        .agg(F.first(F.struct(*points.columns)).alias("_p"), F.min("_hit").alias("_best"))
         .select(
-            *points.columns,
+            *[F.col(f"_p.{c}").alias(c) for c in points.columns],
             *[F.col(f"_best.t.{c}").alias(f"near_{c}") for c in cols],
             F.col("_best.d").alias("near_nm"),
         )

@@ -6,9 +6,6 @@ lon)``. Everything ordered runs per (plan_id, block), see ``blocks``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,46 +122,7 @@ def resolve_plans(tokens: DataFrame, waypoints: DataFrame) -> tuple[DataFrame, D
 # --- assembly -------------------------------------------------------------------
 
 
-def _drift_kept(tolerance: float = SAME_POINT_DEG):
-    """Decide the near-equal intermediates, row by row in plan order.
-
-    Holds one anchor position, never a group. ``keep0`` is NULL for rows to
-    decide; other rows only set the anchor. Built as a closure, so that it
-    travels to workers that do not have this package.
-    """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, lat0, lon0 = None, 0.0, 0.0
-        for pdf in batches:
-            out = []
-            for pid, block, seq, keep, lat, lon, plat, plon in zip(
-                pdf.plan_id, pdf.block, pdf.seq, pdf.keep0, pdf.lat, pdf.lon, pdf.prev_lat, pdf.prev_lon
-            ):
-                if keep is None or keep != keep:
-                    near = pid == plan and abs(lat - lat0) < tolerance and abs(lon - lon0) < tolerance
-                    if not near:
-                        out.append((pid, block, seq))
-                        plan, lat0, lon0 = pid, lat, lon
-                elif keep:
-                    plan, lat0, lon0 = pid, lat, lon
-                else:
-                    plan, lat0, lon0 = pid, plat, plon
-            yield pd.DataFrame(out, columns=["plan_id", "block", "seq"])
-
-    return fold
-
-
-def _carried(df: DataFrame, carry: DataFrame, long_plans: bool) -> DataFrame:
-    """Join what earlier blocks hand over; NULL columns where no plan has a second block."""
-    if long_plans:
-        return df.join(carry, PLAN_BLOCK, "left")
-    types = {f.name: f.dataType for f in carry.schema.fields if f.name not in PLAN_BLOCK}
-    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in types.items()})
-
-
-def assemble_plans(
-    points: DataFrame, block_rows: int = blocks.BLOCK_ROWS, long_plans: bool = True
-) -> DataFrame:
+def assemble_plans(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Drop repeats the way an editor refuses them, comparing with the last *kept* point.
 
     A waypoint falls out when the last kept point is a waypoint of the same
@@ -172,10 +130,7 @@ def assemble_plans(
     degrees on both axes of the last kept point. The comparison with the last
     kept point looks sequential, but any waypoint row fixes that state, and so
     does an intermediate more than two tolerances from its neighbour; only runs
-    of near-equal intermediates between such rows need an ordered fold.
-
-    ``long_plans`` off (see ``blocks.has_long_groups``) leaves out the passes
-    that carry state between the blocks of a plan.
+    of near-equal intermediates between such rows need an ordered fold, run by run.
     """
     row = F.struct("is_wp", "code", "lat", "lon")
     w = blocks.in_block(PLAN, "seq")
@@ -197,7 +152,7 @@ def assemble_plans(
     a = (
         points.withColumn("_lag", F.lag(row).over(w))
         .withColumn("_wp", F.max("is_wp").over(before))
-        .transform(_carried, carry1, long_plans)
+        .join(carry1, PLAN_BLOCK, "left")
         .withColumn("prev", F.coalesce("_lag", "c_prev"))
         .withColumn("wp_before", F.coalesce("_wp", F.lit(False)) | F.coalesce("c_wp", F.lit(False)))
         .drop("_lag", "_wp", "c_prev", "c_wp")
@@ -213,32 +168,46 @@ def assemble_plans(
         F.when(F.col("is_wp"), True).when(F.col("prev.is_wp"), ~near).when(far, True),
     )
 
-    # 2. the rare runs of near-equal intermediates
-    open_next = F.lead(F.col("keep0").isNull()).over(w)
-    drift = (
-        a.withColumn("_open_next", F.coalesce(open_next, F.col("n_points") > block_rows))
-        .where(F.col("keep0").isNull() | F.col("_open_next"))
+    # 2. the rare runs of near-equal intermediates, each from the decided row before it
+    start = F.struct(
+        F.col("seq"),
+        F.when(F.col("keep0"), F.col("lat")).otherwise(F.col("prev.lat")).alias("lat"),
+        F.when(F.col("keep0"), F.col("lon")).otherwise(F.col("prev.lon")).alias("lon"),
+    )
+    decided = F.when(F.col("keep0").isNotNull(), start)
+    carry_start = (
+        blocks.long_groups(a, block_rows)
+        .groupBy(*PLAN_BLOCK)
+        .agg(F.max(decided).alias("s"))
         .select(
-            *PLAN_BLOCK, "seq", "keep0", "lat", "lon",
-            F.col("prev.lat").alias("prev_lat"), F.col("prev.lon").alias("prev_lon"),
-        )
-        .repartition("plan_id")
-        .sortWithinPartitions("plan_id", "seq")
-    )
-    fields = drift.schema
-    kept = (
-        drift.mapInPandas(
-            _drift_kept(),
-            f"plan_id {fields['plan_id'].dataType.simpleString()}, block int,"
-            f" seq {fields['seq'].dataType.simpleString()}",
+            *PLAN_BLOCK,
+            F.last("s", ignorenulls=True)
+            .over(blocks.over_blocks(PLAN).rowsBetween(blocks.Window.unboundedPreceding, -1))
+            .alias("c_start"),
         )
-        .groupBy(*PLAN_BLOCK)
-        .agg(F.collect_list("seq").alias("kept_seqs"))  # at most one block of rows
+    )
+    a = a.withColumn("start", F.last(decided, ignorenulls=True).over(w))
+    runs = (
+        a.where(F.col("keep0").isNull())
+        .join(carry_start, PLAN_BLOCK, "left")
+        .groupBy("plan_id", F.coalesce("start", "c_start").alias("start"))
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "block", "lat", "lon"))).alias("rows"))
+    )
+    origin = F.struct(F.col("start.lat").alias("lat"), F.col("start.lon").alias("lon"), F.array().cast("array<struct<block:int,seq:int>>").alias("kept"))
+
+    def step(at: Column, r: Column) -> Column:
+        same = (F.abs(r.lat - at.lat) < SAME_POINT_DEG) & (F.abs(r.lon - at.lon) < SAME_POINT_DEG)
+        place = F.struct(r.block.alias("block"), r.seq.cast("int").alias("seq"))
+        moved = F.struct(r.lat.alias("lat"), r.lon.alias("lon"), F.concat(at.kept, F.array(place)).alias("kept"))
+        return F.when(same, at).otherwise(moved)
+
+    kept = runs.select("plan_id", F.explode(F.aggregate("rows", origin, step)["kept"]).alias("k")).select(
+        "plan_id", "k.block", F.col("k.seq").alias("seq"), F.lit(True).alias("kept")
     )
     b = (
-        a.join(kept, PLAN_BLOCK, "left")
-        .where(F.coalesce("keep0", F.array_contains("kept_seqs", F.col("seq")), F.lit(False)))
-        .drop("kept_seqs", "keep0", "prev", "wp_before")
+        a.join(kept, [*PLAN_BLOCK, "seq"], "left")
+        .where(F.coalesce("keep0", "kept", F.lit(False)))
+        .drop("kept", "keep0", "prev", "wp_before", "start")
     )
 
     # 3. repeated waypoints, and a gapless position
@@ -277,7 +246,7 @@ def assemble_plans(
     )
     return (
         b.withColumn("_lag", F.lag(row).over(w))
-        .transform(_carried, carry2, long_plans)
+        .join(carry2, PLAN_BLOCK, "left")
         .withColumn("prev", F.coalesce("_lag", "c_prev"))
         .where(~repeat_of("prev"))
         .withColumn(
@@ -300,7 +269,7 @@ def _label(last_wp: Column, seq: Column, is_wp: Column, code: Column) -> Column:
     )
 
 
-def _with_context(points: DataFrame, block_rows: int, long_plans: bool) -> DataFrame:
+def _with_context(points: DataFrame, block_rows: int) -> DataFrame:
     """Add ``last_wp`` (code, seq) and the next point, across blocks."""
     w = blocks.in_block(PLAN, "seq")
     wp = F.when(F.col("is_wp"), F.struct("code", "seq"))
@@ -320,19 +289,17 @@ def _with_context(points: DataFrame, block_rows: int, long_plans: bool) -> DataF
     return (
         points.withColumn("_wp", F.last(wp, ignorenulls=True).over(w))
         .withColumn("_next", F.lead(point).over(w))
-        .transform(_carried, carry, long_plans)
+        .join(carry, PLAN_BLOCK, "left")
         .withColumn("last_wp", F.coalesce("_wp", "c_wp"))
         .withColumn("next", F.coalesce("_next", "c_next"))
         .drop("_wp", "_next", "c_wp", "c_next")
     )
 
 
-def label_points(
-    points: DataFrame, block_rows: int = blocks.BLOCK_ROWS, long_plans: bool = True
-) -> DataFrame:
+def label_points(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Waypoints show their code, intermediates ``<last code>.<n>``."""
     return (
-        _with_context(points, block_rows, long_plans)
+        _with_context(points, block_rows)
         .withColumn("label", _label(F.col("last_wp"), F.col("seq"), F.col("is_wp"), F.col("code")))
         .drop("last_wp", "next")
     )
@@ -342,10 +309,9 @@ def legs(
     points: DataFrame,
     magvar: float = geo.DEFAULT_MAGVAR_E,
     block_rows: int = blocks.BLOCK_ROWS,
-    long_plans: bool = True,
 ) -> DataFrame:
     """One row per adjacent pair of points, with labels, distance and bearings."""
-    ctx = _with_context(points, block_rows, long_plans).where(F.col("next").isNotNull())
+    ctx = _with_context(points, block_rows).where(F.col("next").isNotNull())
     a_lat, a_lon, b_lat, b_lon = F.col("lat"), F.col("lon"), F.col("next.lat"), F.col("next.lon")
     true_brg = geo.true_bearing_deg(a_lat, a_lon, b_lat, b_lon)
     return ctx.select(
@@ -367,9 +333,8 @@ def legs(
 
 
 def plan_legs(points: DataFrame, magvar: float = geo.DEFAULT_MAGVAR_E) -> DataFrame:
-    """Assemble and measure in one go, looking once whether any plan spans blocks."""
-    long_plans = blocks.has_long_groups(points)
-    return legs(assemble_plans(points, long_plans=long_plans), magvar, long_plans=long_plans)
+    """Assemble and measure in one go."""
+    return legs(assemble_plans(points), magvar)
 
 
 def with_times(legs_df: DataFrame, speed_kts: float | Column) -> DataFrame:
@@ -498,11 +463,10 @@ def route_totals(eff_legs: DataFrame, speed_kts: float | Column) -> DataFrame:
 
 
 def plan_strings(points: DataFrame, include_intermediates: bool = True) -> DataFrame:
-    """Plan line and local-name line, one row per plan and block of points.
+    """Plan line and local-name line, one row per plan.
 
-    An ordinary plan is one row (``part`` 0). Longer plans come as several
-    rows whose texts, joined by a space in ``part`` order, are the line: no
-    plan is ever gathered whole in one task.
+    Blocks become texts first; only these are put together, so a long plan is
+    sorted in many tasks.
     """
     coord = geo.format_coord(F.col("lat"), F.col("lon"))
     df = points if include_intermediates else points.where(F.col("is_wp"))
@@ -511,15 +475,15 @@ def plan_strings(points: DataFrame, include_intermediates: bool = True) -> DataF
         F.when(F.col("is_wp"), F.col("code")).otherwise(coord).alias("code"),
         F.when(F.col("is_wp"), F.coalesce(F.nullif("name", F.lit("")), "code")).otherwise(coord).alias("name"),
     )
-    return (
+    parts = (
         df.groupBy(*PLAN_BLOCK)
         .agg(F.array_sort(F.collect_list(entry)).alias("e"))
-        .select(
-            "plan_id",
-            F.col("block").alias("part"),
-            F.array_join("e.code", " ").alias("plan_text"),
-            F.array_join("e.name", " ").alias("local_text"),
-        )
+        .select("plan_id", F.struct("block", F.array_join("e.code", " ").alias("plan"), F.array_join("e.name", " ").alias("local")).alias("p"))
+    )
+    return (
+        parts.groupBy("plan_id")
+        .agg(F.array_sort(F.collect_list("p")).alias("p"))
+        .select("plan_id", F.array_join("p.plan", " ").alias("plan_text"), F.array_join("p.local", " ").alias("local_text"))
     )
 
 

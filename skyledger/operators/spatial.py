@@ -24,42 +24,15 @@ CONCAVE_MIN_DEG = 25.0
 
 
 def nearest_waypoint(points: DataFrame, waypoints: DataFrame, max_nm: float = SNAP_NM) -> DataFrame:
-    """Closest waypoint strictly within ``max_nm``; ties go to the catalogue's order.
-
-    Points need a unique key among their columns (equal rows count as one).
-    """
+    """Closest waypoint strictly within ``max_nm``; ties go to the catalogue's order. Equal points keep a row each."""
     return grid.nearest(points, waypoints, max_nm, target_order="idx", target_cols=["code"])
 
 
-def nearest_plan_point(
-    clicks: DataFrame, points: DataFrame, max_nm: float = REMOVE_NM, direct_points: int = 64
-) -> DataFrame:
-    """Closest point of the same plan, strictly within ``max_nm``, lowest position on ties.
-
-    A plan of up to ``direct_points`` points (``n_points`` tells) is joined on
-    its id: that many pairs per click at most. Longer plans go through the
-    grid, where a click meets only the points of its neighbouring cells.
-    """
-    near = lambda d, seq: F.when(d < max_nm, F.struct(d.alias("d"), seq.alias("seq")))
-    short = points.where(F.col("n_points") <= direct_points).select(
-        "plan_id", F.col("seq").alias("_seq"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")
-    )
-    d = geo.great_circle_nm(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    direct = (
-        clicks.join(short, "plan_id", "left")
-        .withColumn("_d", d)
-        .select(*clicks.columns, near(F.col("_d"), F.col("_seq")).alias("_hit"))
-    )
-    gridded = grid.nearest(
-        clicks, points.where(F.col("n_points") > direct_points), max_nm,
-        keys=["plan_id"], target_order="seq", target_cols=["seq"], keep_all=False,
-    ).select(*clicks.columns, near(F.col("near_nm"), F.col("near_seq")).alias("_hit"))
-    return (
-        direct.unionByName(gridded)
-        .groupBy(*clicks.columns)
-        .agg(F.min("_hit").alias("_best"))
-        .select(*clicks.columns, F.col("_best.seq").alias("near_seq"), F.col("_best.d").alias("near_nm"))
-    )
+def nearest_plan_point(clicks: DataFrame, points: DataFrame, max_nm: float = REMOVE_NM) -> DataFrame:
+    """Closest point of the same plan, strictly within ``max_nm``, lowest position on ties."""
+    return grid.nearest(
+        clicks, points, max_nm, keys=["plan_id"], target_order="seq", target_cols=["seq"]
+    ).select(*clicks.columns, "near_seq", "near_nm")
 
 
 # --- arrows printed on a chart ----------------------------------------------------------

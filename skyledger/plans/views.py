@@ -65,7 +65,7 @@ SELECT o_orderkey AS plan_id,
     CASE WHEN o_orderkey % 41 = 0 THEN ' 9001N18000W' ELSE '' END) AS text
 FROM orders
 """
-# Hand edits on the first leg of every third plan: three edits, some of them invalid.
+# Hand edits on the first leg of every plan: six edits, some of them invalid.
 VIEWS["leg_edit"] = f"""
 SELECT plan_id, {code_sql("(plan_id * 7) % 97")} AS from_label, {code_sql("(plan_id * 7 + 13) % 97")} AS to_label,
   CASE WHEN e = 0 THEN 'distance' WHEN e = 1 THEN 'altitude' WHEN e = 2 THEN 'bearing' WHEN e = 3 THEN 'distance'
@@ -78,7 +78,7 @@ SELECT plan_id, {code_sql("(plan_id * 7) % 97")} AS from_label, {code_sql("(plan
     WHEN e = 2 THEN CASE WHEN plan_id % 3 = 0 THEN '400' WHEN plan_id % 3 = 1 THEN '7' ELSE '360' END
     WHEN e = 4 THEN CASE WHEN plan_id % 2 = 0 THEN '123.4' ELSE '123.45' END ELSE 'Center' END AS text,
   CAST(e AS INT) AS edit_no
-FROM (SELECT o_orderkey AS plan_id, EXPAND(0, 5) AS e FROM orders WHERE o_orderkey % 3 = 0) t
+FROM (SELECT o_orderkey AS plan_id, EXPAND(0, 5) AS e FROM orders) t
 """
 VIEWS["click"] = """
 SELECT CAST(o * 4 + j AS BIGINT) AS click_id, o AS plan_id,
@@ -87,7 +87,7 @@ FROM (SELECT o_orderkey AS o, EXPAND(0, 1) AS j FROM orders) t
 """
 VIEWS["plan_click"] = """
 SELECT CAST(plan_id * 16 + seq AS BIGINT) AS click_id, plan_id, lat + CAST(plan_id % 11 AS DOUBLE) / 100e0 AS lat, lon + CAST(plan_id % 13 AS DOUBLE) / 200e0 AS lon
-FROM plan_point WHERE seq % 2 = 1
+FROM plan_point
 """
 VIEWS["ping"] = """
 SELECT date_trunc('hour', ts) AS snapshot_ts, event_id AS pos, event_id AS cid,
@@ -113,14 +113,15 @@ SELECT event_id AS doc, CAST(j AS INT) AS pos, date_trunc('second', ts) AS snaps
   (event_id + j) % 7 AS plan_kind, event_id % 29 = 3 AS broken, event_id % 31 = 4 AS no_list
 FROM (SELECT event_id, ts, EXPAND(0, 1) AS j FROM events) t
 """
-# 4,000 files per provider, unique by (z, x, y), over the default box and a rim around it.
+# Unique by (provider, z, x, y): a third of all files belongs to one provider, the rest to providers of 2,667 each.
 VIEWS["inventory"] = """
-SELECT concat('prov', CAST(event_id DIV 4000 AS VARCHAR(20))) AS provider, z,
+SELECT CASE WHEN event_id % 3 = 0 THEN 'prov0' ELSE concat('prov', CAST(event_id DIV 4000 + 1 AS VARCHAR(20))) END AS provider, z,
   CAST(CASE z WHEN 12 THEN 2432 WHEN 13 THEN 4867 WHEN 14 THEN 9736 ELSE 19475 END + i % 25 AS INT) AS x,
-  CAST(CASE z WHEN 12 THEN 1640 WHEN 13 THEN 3286 WHEN 14 THEN 6580 ELSE 13170 END + i DIV 25 AS INT) AS y,
+  CAST(CASE z WHEN 12 THEN 1640 WHEN 13 THEN 3286 WHEN 14 THEN 6580 ELSE 13170 END + (i DIV 25) % 700 + i DIV 17500 * 1000 AS INT) AS y,
   CASE WHEN event_id % 97 = 0 THEN 0 ELSE (event_id * 7919) % 20000 + 1 END AS bytes,
   CASE WHEN event_id % 5 = 0 THEN date_trunc('day', ts) ELSE ts END AS mtime
-FROM (SELECT event_id, ts, CAST(12 + event_id % 4 AS INT) AS z, (event_id % 4000) DIV 4 AS i FROM events) t
+FROM (SELECT event_id, ts, CAST(12 + event_id % 4 AS INT) AS z,
+        CASE WHEN event_id % 3 = 0 THEN event_id DIV 12 ELSE (event_id % 4000) DIV 4 END AS i FROM events) t
 """
 VIEWS["tile_file"] = """
 SELECT concat('/cache/', provider, '/', CAST(z AS VARCHAR(3)), '/',
@@ -150,7 +151,7 @@ FROM lineitem
 """
 VIEWS["attempt"] = """
 SELECT CAST(12 + (event_id DIV 7) % 4 AS INT) AS z, CAST((event_id DIV 7) % 1000 AS INT) AS x, CAST((event_id DIV 7) DIV 1000 AS INT) AS y,
-  CAST(event_id % 7 AS INT) AS attempt_no,
+  CAST(event_id % 7 + CASE WHEN event_id % 7 > 2 THEN event_id DIV 7 % 5 ELSE 0 END AS INT) AS attempt_no,
   CAST(CASE (event_id * 7919 DIV 13) % 11 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 429 WHEN 5 THEN 500 WHEN 6 THEN 403
     WHEN 7 THEN 503 WHEN 8 THEN 200 WHEN 9 THEN 429 END AS INT) AS status,
   (event_id * 31) % 600 AS bytes,
@@ -200,7 +201,7 @@ SELECT edition, CASE WHEN edition % 2 = 0 THEN 'vec' ELSE 'rec' END AS mode_id,
        ELSE replace(replace(concat(CAST(d AS VARCHAR(2)), '.', lpad(CAST(m AS VARCHAR(2)), 2, '0'), ' ', lpad(CAST(s AS VARCHAR(2)), 2, '0'), 'N'), '0', 'O'), '1', 'l') END AS lat_text,
   CASE WHEN edition % 2 = 0 THEN concat(CAST(od AS VARCHAR(2)), '°', CAST(om AS VARCHAR(2)), chr(39), lpad(CAST(s AS VARCHAR(2)), 2, '0'), '"E')
        ELSE replace(concat(CAST(od AS VARCHAR(2)), lpad(CAST(om AS VARCHAR(2)), 2, '0'), lpad(CAST(s AS VARCHAR(2)), 2, '0')), '5', 'S') END AS lon_text,
-  d, m, s, od, om, k, CAST(k0 % 6 AS INT) AS name_kind
+  d, m, s, od, om, k, CAST(k0 % 15 AS INT) AS name_kind
 FROM (
   SELECT *, CAST(29 + k0 * 37 % 4 AS INT) AS d, CAST(k0 * 7 % 60 AS INT) AS m, CAST(k0 * 11 % 60 AS INT) AS s,
     CAST(34 + k0 % 2 AS INT) AS od, CAST(k0 * 13 % 60 AS INT) AS om
@@ -299,16 +300,10 @@ def render(sql: str, dialect: str) -> str:
     return sql.replace(" DIV ", " // ").replace("EPOCH(", "epoch(")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table that fits one or two input splits to all cores; larger tables stay as read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view (or a base table) as a DataFrame."""
     if name not in VIEWS:
-        return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = render(VIEWS[name], "spark")
     names = {n for n in [*BASE_TABLES, *VIEWS] if re.search(rf"\b{n}\b", sql) and n != name}
     frames = {n: load(spark, sf_dir, n) for n in names if re.search(rf"(FROM|JOIN)\s+{n}\b", sql)}

@@ -119,5 +119,5 @@ def test_overrides_fall_back_and_names(spark):
     plans = {1: [("AAAA", 1.0, 1.0), (None, 2.0, 2.0)], 2: [(None, 1.0, 1.0)], 3: [("A-B1", 1.0, 1.0), ("LLBG", 2.0, 2.0)]}
     names = {r.plan_id: r.plan_name for r in routes.plan_names(table(spark, plans)).collect()}
     assert names == {1: "AAAA", 2: "flight-plan", 3: "AB1-LLBG"}
-    texts = {(r.plan_id, r.part): r.plan_text for r in routes.plan_strings(table(spark, plans, 1)).collect()}
-    assert texts[(1, 0)] == "AAAA" and texts[(1, 1)] == "0200N00200E"
+    texts = {r.plan_id: r.plan_text for r in routes.plan_strings(table(spark, plans, 1)).collect()}
+    assert texts[1] == "AAAA 0200N00200E"
