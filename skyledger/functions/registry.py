@@ -17,6 +17,33 @@ _BRG = (
     "cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))), 360D) END"
 )
 _COORD = r"'^([0-9]{2})([0-9]{2})([NS])([0-9]{3})([0-9]{2})([EW])$'"
+
+
+def _part(group: int) -> str:
+    return f"try_cast(regexp_extract(token, {_COORD}, {group}) AS INT)"
+
+
+_IN_RANGE = " AND ".join(
+    f"{_part(m)} < 60 AND ({_part(d)} < {top} OR {_part(d)} = {top} AND {_part(m)} = 0)" for d, m, top in ((1, 2, 90), (4, 5, 180))
+)
+
+
+def _coord(deg: int, letter: int, negative: str) -> str:
+    """Degrees of an 11-character coordinate, NULL where geo.parse_coord gives NULL."""
+    sign = f"CASE WHEN regexp_extract(token, {_COORD}, {letter}) = '{negative}' THEN -1D ELSE 1D END"
+    value = f"({_part(deg)} + {_part(deg + 1)} / 60D) * {sign}"
+    return f"CASE WHEN NOT rlike(token, {_COORD}) THEN NULL WHEN {_IN_RANGE} THEN {value} END"
+
+
+def _text(v: str, width: int, pos: str, neg: str) -> str:
+    minutes = f"CAST(bround((abs({v}) - floor(abs({v}))) * 60D, 0) AS BIGINT)"
+    deg = f"CAST(floor(abs({v})) AS BIGINT) + CASE WHEN {minutes} >= 60 THEN 1 ELSE 0 END"
+    return (
+        f"lpad(CAST({deg} AS STRING), {width}, '0'), lpad(CAST({minutes} % 60 AS STRING), 2, '0'), "
+        f"CASE WHEN {v} >= 0D THEN '{pos}' ELSE '{neg}' END"
+    )
+
+
 _LIMIT = f"{mercator.MAX_LAT!r}D"
 _SECONDS = "bround(CASE WHEN s IS NULL OR isnan(s) OR s < 0 OR s = double('infinity') THEN 0D ELSE s END)"
 
@@ -56,15 +83,12 @@ SCALARS: dict[str, tuple[str, str, str]] = {
         "lat DOUBLE, z INT", "DOUBLE",
         f"{mercator.EARTH_CIRCUMFERENCE_M!r}D * cos(radians(greatest(-{_LIMIT}, least({_LIMIT}, lat)))) / (256 * pow(2D, z))",
     ),
-    "coord_lat": (
-        "token STRING", "DOUBLE",
-        f"(try_cast(regexp_extract(token, {_COORD}, 1) AS DOUBLE) + try_cast(regexp_extract(token, {_COORD}, 2) AS DOUBLE) / 60D)"
-        f" * CASE WHEN regexp_extract(token, {_COORD}, 3) = 'S' THEN -1 ELSE 1 END",
-    ),
-    "coord_lon": (
-        "token STRING", "DOUBLE",
-        f"(try_cast(regexp_extract(token, {_COORD}, 4) AS DOUBLE) + try_cast(regexp_extract(token, {_COORD}, 5) AS DOUBLE) / 60D)"
-        f" * CASE WHEN regexp_extract(token, {_COORD}, 6) = 'W' THEN -1 ELSE 1 END",
+    "coord_lat": ("token STRING", "DOUBLE", _coord(1, 3, "S")),
+    "coord_lon": ("token STRING", "DOUBLE", _coord(4, 6, "W")),
+    "coord_text": ("lat DOUBLE, lon DOUBLE", "STRING", f"concat({_text('lat', 2, 'N', 'S')}, {_text('lon', 3, 'E', 'W')})"),
+    "bisector": (
+        "a DOUBLE, b DOUBLE", "DOUBLE",
+        "pmod(degrees(atan2(sin(radians(a)) + sin(radians(b)), cos(radians(a)) + cos(radians(b)))), 360D)",
     ),
 }
 

@@ -85,3 +85,18 @@ def test_sql_functions_agree_with_columns(spark):
         for i in range(len(pairs)):
             assert r[f"s{i}"] == (pytest.approx(r[f"c{i}"], rel=1e-12) if not isinstance(r[f"c{i}"], str) else r[f"c{i}"])
     assert spark.sql("SELECT count(*) FROM tiles_for_box(29.3D, 33.4D, 34D, 36D, 12)").first()[0] == 1344
+
+
+def test_sql_coordinates_follow_the_same_rules(spark):
+    from skyledger.functions import registry
+
+    registry.register(spark)
+    tokens = ["3112N03446E", "3199N03400E", "9901N03400E", "3100N18159E", "9000S18000W", "9001N18000W", "abc", ""]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    lat, lon = geo.parse_coord(F.col("t"))
+    rows = df.select("t", lat.alias("a"), lon.alias("b"), F.expr("coord_lat(t)").alias("c"), F.expr("coord_lon(t)").alias("d")).collect()
+    assert [(r.c, r.d) for r in rows] == [(r.a, r.b) for r in rows]
+    assert [r.t for r in rows if r.c is not None] == ["3112N03446E", "9000S18000W"]
+    back = df.where("coord_lat(t) is not null").select("t", F.expr("coord_text(coord_lat(t), coord_lon(t))").alias("s")).collect()
+    assert all(r.s == r.t for r in back)
+    assert spark.sql("SELECT bisector(350D, 20D) AS b").first().b == pytest.approx(5.0)
