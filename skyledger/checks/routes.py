@@ -282,3 +282,21 @@ SELECT plan_id, count(*) AS n_legs, round(sum(ed), 5) AS total_nm, round(sum(ed
   bool_or(90 + plan_id % 120 > 180) AS over_speed
 FROM eff GROUP BY plan_id
 """, "plan_point", "leg_edit")
+
+
+def trail_totals(spark, sf):
+    points = routes.assemble_plans(load(spark, sf, "trail_point"), block_rows=4096)
+    return routes.route_totals(routes.legs(points, block_rows=4096), 90.0).select(
+        "plan_id", "n_legs", F.round("total_nm", 3).alias("total_nm"), F.round("total_seconds", 1).alias("total_seconds")
+    )
+
+
+QUERIES["trail_totals"] = trail_totals
+ORACLES["trail_totals"] = oracle(f"""
+WITH before AS (SELECT *, lag(is_wp) OVER w AS p_wp, lag(code) OVER w AS p_code FROM trail_point WINDOW w AS (PARTITION BY plan_id ORDER BY seq)),
+kept AS (SELECT * FROM before WHERE NOT (is_wp AND coalesce(p_wp, FALSE) AND code = p_code)),
+started AS (SELECT *, max(is_wp) OVER (PARTITION BY plan_id ORDER BY seq) AS seen FROM kept),
+paired AS (SELECT plan_id, lat AS a, lon AS o, lead(lat) OVER w AS b, lead(lon) OVER w AS q FROM started WHERE seen WINDOW w AS (PARTITION BY plan_id ORDER BY seq)),
+leg AS (SELECT plan_id, {sqltext.gc('a', 'o', 'b', 'q')} AS nm FROM paired WHERE b IS NOT NULL)
+SELECT plan_id, count(*) AS n_legs, round(sum(nm), 3) AS total_nm, round(sum(nm / 90e0 * 3600e0), 1) AS total_seconds FROM leg GROUP BY plan_id
+""", "trail_point")

@@ -193,11 +193,11 @@ def assemble_plans(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> Da
         .groupBy("plan_id", F.coalesce("start", "c_start").alias("start"))
         .agg(F.array_sort(F.collect_list(F.struct("seq", "block", "lat", "lon"))).alias("rows"))
     )
-    origin = F.struct(F.col("start.lat").alias("lat"), F.col("start.lon").alias("lon"), F.array().cast("array<struct<block:int,seq:int>>").alias("kept"))
+    origin = F.struct(F.col("start.lat").alias("lat"), F.col("start.lon").alias("lon"), F.array().cast("array<struct<block:int,seq:bigint>>").alias("kept"))
 
     def step(at: Column, r: Column) -> Column:
         same = (F.abs(r.lat - at.lat) < SAME_POINT_DEG) & (F.abs(r.lon - at.lon) < SAME_POINT_DEG)
-        place = F.struct(r.block.alias("block"), r.seq.cast("int").alias("seq"))
+        place = F.struct(r.block.alias("block"), r.seq.cast("bigint").alias("seq"))
         moved = F.struct(r.lat.alias("lat"), r.lon.alias("lon"), F.concat(at.kept, F.array(place)).alias("kept"))
         return F.when(same, at).otherwise(moved)
 
