@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skyledger.operators import feed
+from skyledger.functions import sqltext
+from skyledger.operators import feed, spatial
 from skyledger.plans.views import load, oracle
 from skyledger.session import checkpoint_dir
 from skyledger.streaming import edits, traffic
@@ -119,3 +120,33 @@ WHERE NOT EXISTS (SELECT 1 FROM seen b WHERE b.callsign = a.callsign AND b.t = a
 """, "ping")
 
 QUERIES["route_replay"] = lambda spark, sf: edits.replay_edits(load(spark, sf, "route_edit"), load(spark, sf, "waypoint"))
+# Edit by edit, every plan's route as a list.
+_near = sqltext.gc("r.lat", "r.lon", "w.lat", "w.lon")
+_to = sqltext.gc("e.lat", "e.lon", "p.lat", "p.lon")
+ORACLES["route_replay"] = oracle(f"""
+WITH RECURSIVE snap AS (
+  SELECT r.plan_id, r.edit_no, w.code, w.lat, w.lon, row_number() OVER (PARTITION BY r.plan_id, r.edit_no ORDER BY {_near}, w.idx) AS rn
+  FROM route_edit r JOIN waypoint w ON r.action = 'add' AND abs(w.lat - r.lat) < 1 AND {_near} < {spatial.SNAP_NM!r}
+),
+e AS (
+  SELECT r.plan_id, r.action, r.lat, r.lon, s.code, s.lat AS wlat, s.lon AS wlon, row_number() OVER (PARTITION BY r.plan_id ORDER BY r.edit_no) AS k
+  FROM route_edit r LEFT JOIN snap s ON s.plan_id = r.plan_id AND s.edit_no = r.edit_no AND s.rn = 1
+),
+walk AS (
+  SELECT plan_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(is_wp BOOLEAN, code VARCHAR, lat DOUBLE, lon DOUBLE)[]) AS route FROM (SELECT DISTINCT plan_id FROM e) d
+  UNION ALL
+  SELECT q.plan_id, q.k, CASE
+      WHEN action = 'clear' THEN []
+      WHEN action = 'remove' THEN CASE WHEN list_min(ds) < {spatial.REMOVE_NM!r} THEN list_concat(route[:list_position(ds, list_min(ds)) - 1], route[list_position(ds, list_min(ds)) + 1:]) ELSE route END
+      WHEN action = 'add' AND code IS NOT NULL THEN CASE WHEN len(route) > 0 AND last.is_wp AND last.code = code THEN route
+        ELSE list_append(route, {{'is_wp': TRUE, 'code': code, 'lat': wlat, 'lon': wlon}}) END
+      WHEN action = 'add' AND len(route) > 0 AND (abs(last.lat - lat) >= 1e-6 OR abs(last.lon - lon) >= 1e-6)
+        THEN list_append(route, {{'is_wp': FALSE, 'code': CAST(NULL AS VARCHAR), 'lat': lat, 'lon': lon}})
+      ELSE route END
+  FROM (SELECT e.*, s.route, s.route[len(s.route)] AS last, list_transform(s.route, lambda p: {_to}) AS ds FROM walk s JOIN e ON e.plan_id = s.plan_id AND e.k = s.k + 1) q
+),
+ended AS (SELECT plan_id, arg_max(route, k) AS route FROM walk GROUP BY plan_id)
+SELECT plan_id, CAST(unnest(range(len(route))) AS INT) AS seq, unnest(list_transform(route, lambda p: p.is_wp)) AS is_wp,
+  unnest(list_transform(route, lambda p: p.code)) AS code, unnest(list_transform(route, lambda p: p.lat)) AS lat, unnest(list_transform(route, lambda p: p.lon)) AS lon
+FROM ended
+""", "route_edit", "waypoint")
