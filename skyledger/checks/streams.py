@@ -32,11 +32,7 @@ def _finish(spark, stream, mode):
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.parquet(out)
-    if mode == "complete":
-        last = rows.agg(F.max("batch").alias("batch"))
-        rows = rows.join(F.broadcast(last), "batch")
-    return rows
+    return spark.read.parquet(out)
 
 
 def _events(spark, sf):
@@ -66,7 +62,7 @@ def counts_stream(spark, sf):
     waked = pings.join(_wake_by_type(spark, sf), "aircraft_type", "left").withColumn(
         "wake", F.coalesce("wake", F.lit(feed.UNKNOWN_WAKE))
     )
-    return _finish(spark, traffic.windowed_counts(waked, "6 hours"), "complete").select(
+    return _finish(spark, traffic.windowed_counts(waked, "6 hours"), "append").select(
         "window_start", "window_end", "wake", "n_aircraft"
     )
 
@@ -80,7 +76,10 @@ SELECT time_bucket(INTERVAL '6 hours', snapshot_ts, TIMESTAMP '1970-01-01') AS w
   time_bucket(INTERVAL '6 hours', snapshot_ts, TIMESTAMP '1970-01-01') + INTERVAL '6 hours' AS window_end, wake, count(*) AS n_aircraft
 FROM w GROUP BY ALL"""
 QUERIES["windowed_counts_stream"] = counts_stream
-ORACLES["windowed_counts_stream"] = oracle(COUNTED, "ping")
+# Windows that the watermark has not passed when the stream ends stay open.
+ORACLES["windowed_counts_stream"] = oracle(
+    f"SELECT * FROM ({COUNTED}) t WHERE window_end <= (SELECT max(snapshot_ts) - INTERVAL '10 minutes' FROM ping)", "ping"
+)
 QUERIES["windowed_counts"] = lambda spark, sf: traffic.windowed_counts(
     feed.with_wake(load(spark, sf, "ping"), load(spark, sf, "wake_dim")).withColumn(
         "snapshot_ts", F.col("snapshot_ts").cast("timestamp")
@@ -110,6 +109,21 @@ def lost_stream(spark, sf):
     )
 
 
+def current_stream(spark, sf):
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    query = (
+        _pings(spark, sf).writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        .foreachBatch(traffic.keep_current(f"{base}/now")).start()
+    )
+    query.awaitTermination()
+    return traffic.read_current(spark, f"{base}/now").select("snapshot_ts", "pos", "callsign")
+
+
+QUERIES["current_traffic_stream"] = current_stream
+ORACLES["current_traffic_stream"] = oracle(
+    "SELECT snapshot_ts, pos, callsign FROM ping WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM ping)", "ping"
+)
+
 QUERIES["presence_stream"] = lost_stream
 # The last snapshots have not outlived watermark (10 min) plus grace (1 min) when the stream ends.
 ORACLES["presence_stream"] = oracle("""

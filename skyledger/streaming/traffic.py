@@ -105,25 +105,43 @@ def presence_stream(pilots: DataFrame, period_s: float, grace_s: float) -> DataF
     )
 
 
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the complete versions under ``target``, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or ())
+
+
+def _drop_version(spark: SparkSession, target: str, number: int) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/version={number}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep_current(target: str):
-    """``foreachBatch`` function holding the newest snapshot at ``target``.
+    """``foreachBatch`` function that keeps the newest snapshot at ``target``.
 
-    A batch that carries an older snapshot than the stored one changes nothing.
-    Each batch writes its own folder and the newest is found by snapshot time,
-    so a repeated batch is harmless.
+    A batch whose newest snapshot is no newer than the stored one changes nothing,
+    unless it repeats the batch that stored it. Otherwise its rows become the next
+    version; of the earlier ones only the last stays, for readers that are still at it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max("snapshot_ts").alias("snapshot_ts"))
-        rows = batch.join(F.broadcast(newest), "snapshot_ts")  # one row
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark = batch.sparkSession
+        newest = batch.agg(F.max("snapshot_ts")).first()[0]
+        earlier = [v for v in _versions(spark, target) if v < batch_id]
+        if newest is None:
+            return
+        if earlier:
+            held = spark.read.parquet(f"{target}/version={earlier[-1]}").agg(F.max("snapshot_ts")).first()[0]
+            if held is not None and held >= newest:
+                return
+        batch.where(F.col("snapshot_ts") == F.lit(newest)).write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        for number in earlier[:-1]:
+            _drop_version(spark, target, number)
 
     return write
 
 
 def read_current(spark: SparkSession, target: str) -> DataFrame:
-    rows = spark.read.parquet(target)
-    newest = rows.agg(F.max("snapshot_ts").alias("snapshot_ts"))
-    latest = rows.join(F.broadcast(newest), "snapshot_ts")
-    last_batch = latest.agg(F.max("batch").alias("batch"))
-    return latest.join(F.broadcast(last_batch), "batch").drop("batch")
+    """The newest complete version."""
+    return spark.read.parquet(f"{target}/version={_versions(spark, target)[-1]}")

@@ -93,7 +93,13 @@ def test_current_snapshot_sink(spark, tmp_path):
     hour = dt.timedelta(hours=1)
     write(batch([(t, "A"), (t + hour, "B"), (t + hour, "C")]), 0)
     write(batch([(t, "OLD")]), 1)
+    write(batch([]), 2)
     assert sorted(r.callsign for r in traffic.read_current(spark, str(tmp_path / "now")).collect()) == ["B", "C"]
+    for n in range(3, 7):
+        write(batch([(t + n * hour, f"N{n}")]), n)
+        write(batch([(t + n * hour, f"N{n}")]), n)  # a repeated batch
+    assert [r.callsign for r in traffic.read_current(spark, str(tmp_path / "now")).collect()] == ["N6"]
+    assert sorted(p.name for p in (tmp_path / "now").iterdir()) == ["version=5", "version=6"]
 
 
 def test_windows_batch(spark):
