@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_PAGES = 1024
+GROUP_PAGES = 256
 KNOWN_HOSTS = 50_000  # most hosts of more than one group that are broadcast; more are joined
 
 _TOKEN = re.compile(
