@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from skyledger.functions import sqltext
+from skyledger.functions import registry, sqltext
 from skyledger.operators import routes
 from skyledger.plans.views import load, oracle
+from skyledger.session import checkpoint_dir
+from skyledger.sources import catalogue
 
 QUERIES = {}
 ORACLES = {}
@@ -300,3 +304,45 @@ paired AS (SELECT plan_id, lat AS a, lon AS o, lead(lat) OVER w AS b, lead(lon)
 leg AS (SELECT plan_id, {sqltext.gc('a', 'o', 'b', 'q')} AS nm FROM paired WHERE b IS NOT NULL)
 SELECT plan_id, count(*) AS n_legs, round(sum(nm), 3) AS total_nm, round(sum(nm / 90e0 * 3600e0), 1) AS total_seconds FROM leg GROUP BY plan_id
 """, "trail_point")
+
+
+def exported_plans(spark, sf):
+    path = f"{checkpoint_dir(spark)}/plans-{uuid.uuid4().hex}"
+    catalogue.export_plans(_points(spark, sf), path)
+    return spark.read.parquet(path).select("plan_id", "plan_text", "local_text", "plan_name")
+
+
+QUERIES["plan_export"] = exported_plans
+ORACLES["plan_export"] = oracle("WITH RECURSIVE " + ASSEMBLED.lstrip() + f"""
+SELECT plan_id,
+  string_agg(CASE WHEN is_wp THEN code ELSE {sqltext.coord('lat', 'lon')} END, ' ' ORDER BY seq) AS plan_text,
+  string_agg(CASE WHEN is_wp THEN CASE WHEN name = '' THEN code ELSE name END ELSE {sqltext.coord('lat', 'lon')} END, ' ' ORDER BY seq) AS local_text,
+  CASE WHEN arg_min(code, seq) FILTER (WHERE is_wp) IS NULL THEN 'flight-plan'
+    WHEN arg_min(code, seq) FILTER (WHERE is_wp) = arg_max(code, seq) FILTER (WHERE is_wp) THEN arg_min(code, seq) FILTER (WHERE is_wp)
+    ELSE (arg_min(code, seq) FILTER (WHERE is_wp)) || '-' || (arg_max(code, seq) FILTER (WHERE is_wp)) END AS plan_name
+FROM assembled GROUP BY plan_id
+""", "plan_point")
+
+
+def sql_functions(spark, sf):
+    registry.register(spark)
+    return load(spark, sf, "click").selectExpr(
+        "click_id", "round(gc_nm(lat, lon, 31D, 35D), 6) AS nm", "round(true_bearing(lat, lon, 31D, 35D), 6) AS brg",
+        "round(mag_bearing(lat, lon, 31D, 35D, 5D), 6) AS mag", "coord_text(lat, lon) AS token",
+        "round(coord_lat(coord_text(lat, lon)) * 60D, 0) AS lat_minutes", "round(coord_lon(coord_text(lat, lon)) * 60D, 0) AS lon_minutes",
+        "coord_lat(replace(coord_text(lat, lon), 'N', '9')) AS no_lat", "tile_x(lon, 13) AS x", "tile_y(lat, 13) AS y",
+        "hms(leg_seconds(gc_nm(lat, lon, 31D, 35D), 90D)) AS took", "round(circular_diff(lat * 10, 5D), 6) AS apart",
+    )
+
+
+_nm, _brg = sqltext.gc("lat", "lon", "31e0", "35e0"), sqltext.bearing("lat", "lon", "31e0", "35e0")
+_sec = f"CAST(round_even({_nm} / 90e0 * 3600e0, 0) AS BIGINT)"
+ORACLES_SQL_FUNCTIONS = f"""
+SELECT click_id, round({_nm}, 6) AS nm, round({_brg}, 6) AS brg, round(fmod({_brg} - 5e0 + 360e0, 360e0), 6) AS mag, {sqltext.coord('lat', 'lon')} AS token,
+  floor(lat) * 60e0 + round_even((lat - floor(lat)) * 60e0, 0) AS lat_minutes, floor(lon) * 60e0 + round_even((lon - floor(lon)) * 60e0, 0) AS lon_minutes, CAST(NULL AS DOUBLE) AS no_lat,
+  {sqltext.tile_x('lon', '13')} AS x, {sqltext.tile_y('lat', '13')} AS y,
+  printf('%02d:%02d:%02d', {_sec} // 3600, {_sec} % 3600 // 60, {_sec} % 60) AS took, round(least(fmod(lat * 10 - 5e0 + 360e0, 360e0), 360e0 - fmod(lat * 10 - 5e0 + 360e0, 360e0)), 6) AS apart
+FROM click
+"""
+QUERIES["sql_functions"] = sql_functions
+ORACLES["sql_functions"] = oracle(ORACLES_SQL_FUNCTIONS, "click")

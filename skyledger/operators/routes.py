@@ -96,26 +96,24 @@ def resolve_plans(tokens: DataFrame, waypoints: DataFrame) -> tuple[DataFrame, D
             ).alias("w")
         )
     )
-    joined = tokens.join(catalogue, F.upper(tokens["code"]) == F.col("_code"), "left")
-    failed = (F.col("kind") == "code") & F.col("w").isNull()
+    codes = tokens.where(F.col("kind") == "code").withColumn("_code", F.upper("code"))
+    # what is not in the catalogue is found on the different codes, which are few
+    unknown = codes.select("_code").distinct().join(catalogue, "_code", "left_anti")
     errors = (
-        joined.where(failed)
+        codes.join(unknown, "_code", "left_semi")
         .groupBy("plan_id")
         .agg(F.min(F.struct("position", "token")).alias("e"))
         .select("plan_id", "e.position", "e.token", F.lit("unknown code").alias("reason"))
     )
-    is_wp = F.col("kind") == "code"
-    points = joined.join(errors.select("plan_id"), "plan_id", "left_anti").select(
-        "plan_id",
-        "n_points",
-        "block",
-        (F.col("position") - 1).alias("seq"),
-        is_wp.alias("is_wp"),
-        F.when(is_wp, F.col("w.code")).alias("code"),
-        F.when(is_wp, F.col("w.name_he")).alias("name"),
-        F.when(is_wp, F.col("w.lat")).otherwise(tokens["lat"]).alias("lat"),
-        F.when(is_wp, F.col("w.lon")).otherwise(tokens["lon"]).alias("lon"),
+    shared = ["plan_id", "n_points", "block", (F.col("position") - 1).alias("seq")]
+    known = codes.join(catalogue, "_code").select(
+        *shared, F.lit(True).alias("is_wp"), "w.code", F.col("w.name_he").alias("name"), "w.lat", "w.lon"
+    )
+    # coordinates need no look-up, so they stay out of that join
+    coords = tokens.where(F.col("kind") == "coord").select(
+        *shared, F.lit(False).alias("is_wp"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("name"), "lat", "lon"
     )
+    points = known.unionByName(coords).join(errors.select("plan_id"), "plan_id", "left_anti")
     return points, errors
 
 
