@@ -39,7 +39,9 @@ def chart_arrows(spark, sf):
     df = load(spark, sf, "chart_arrow").withColumn(
         "altitudes_ft", F.when(F.col("arrow_no") % 4 == 1, F.array("alt2", "alt1")).otherwise(F.array("alt1"))
     )
-    return spatial.union_arrows(df)
+    # two sheets, so that the order of sheets decides ties
+    df = df.withColumn("sheet", F.when(F.col("arrow_no") % 3 == 0, "south").otherwise("north"))
+    return spatial.union_arrows(df.where("arrow_no % 3 <> 0"), df.where("arrow_no % 3 = 0"))
 
 
 def hop_legs(spark, sf):
@@ -105,6 +107,90 @@ def matched(spark, sf):
 
 
 QUERIES["route_altitudes"] = matched
+_turn = lambda x, y: f"least(fmod({x} - {y} + 720e0, 360e0), 360e0 - fmod({x} - {y} + 720e0, 360e0))"
+_apart = sqltext.gc("x.lat", "x.lon", "y.lat", "y.lon")
+_MATES = """p JOIN nb ON nb.first_no = p.arrow_no JOIN m ON m.plan_id = p.plan_id AND m.leg_no = p.leg_no AND m.arrow_no = nb.arrow_no
+  WHERE (p.bidirectional OR p.side * m.side >= 0)"""
+ORACLES["route_altitudes"] = oracle("WITH RECURSIVE " + MEASURED.lstrip() + f""",
+m AS (
+  SELECT plan_id, CAST(leg_no AS INT) AS leg_no, arrow_no, CASE WHEN arrow_no % 3 = 0 THEN 1 ELSE 0 END AS sheet, real, bidirectional, side, cls,
+    CASE WHEN ov > 0 THEN 1 ELSE 0 END AS tier, d + 0.01e0 * diff AS score, d, ov, diff, fits, bearing_deg FROM fitted
+),
+own AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, arrow_no ORDER BY cls, tier, score, leg_no) AS rn FROM m WHERE fits) t WHERE rn = 1),
+nb AS (
+  SELECT x.arrow_no AS first_no, y.arrow_no, {_apart} AS apart FROM chart_arrow x JOIN chart_arrow y
+    ON x.bidirectional = y.bidirectional AND x.arrow_no <> y.arrow_no AND abs(x.lat - y.lat) < 0.02 AND abs(x.lon - y.lon) < 0.02
+  WHERE {_apart} <= 0.55e0 AND (x.bidirectional OR {_turn('y.bearing_deg', 'x.bearing_deg')} <= 15)
+),
+lead_real AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, leg_no ORDER BY cls, tier, score, sheet, arrow_no) AS rn FROM own WHERE real) t WHERE rn = 1),
+wanted AS (SELECT m.* FROM lead_real {_MATES}),
+taken AS (
+  SELECT * EXCLUDE rn FROM (
+    SELECT w.*, row_number() OVER (PARTITION BY w.plan_id, w.arrow_no ORDER BY w.leg_no) AS rn
+    FROM wanted w JOIN own o ON o.plan_id = w.plan_id AND o.arrow_no = w.arrow_no AND NOT o.real) t WHERE rn = 1
+),
+own2 AS (
+  SELECT * FROM own o WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.plan_id = o.plan_id AND t.arrow_no = o.arrow_no) UNION ALL SELECT * FROM taken
+),
+first_of AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, leg_no ORDER BY cls, tier, score, sheet, arrow_no) AS rn FROM own2) t WHERE rn = 1),
+texts AS (SELECT arrow_no, unnest(CASE WHEN arrow_no % 4 = 1 THEN [alt2, alt1] ELSE [alt1] END) AS alt, unnest(CASE WHEN arrow_no % 4 = 1 THEN [1, 2] ELSE [1] END) AS pos FROM chart_arrow),
+mates AS (
+  SELECT m.plan_id, m.leg_no, m.arrow_no, m.sheet, nb.apart FROM first_of {_MATES}
+    AND coalesce((SELECT o.leg_no FROM own2 o WHERE o.plan_id = m.plan_id AND o.arrow_no = m.arrow_no), m.leg_no) = m.leg_no
+),
+lines AS (
+  SELECT f.plan_id, f.leg_no, -1e0 AS apart, f.sheet, f.arrow_no, t.pos, t.alt FROM first_of f JOIN texts t ON t.arrow_no = f.arrow_no
+  UNION ALL SELECT a.plan_id, a.leg_no, a.apart, a.sheet, a.arrow_no, t.pos, t.alt FROM mates a JOIN texts t ON t.arrow_no = a.arrow_no
+),
+unseen AS (SELECT *, row_number() OVER (PARTITION BY plan_id, leg_no, alt ORDER BY apart, sheet, arrow_no, pos) AS nth FROM lines),
+stacked AS (
+  SELECT plan_id, leg_no, string_agg(CAST(alt AS VARCHAR), ',' ORDER BY apart, sheet, arrow_no, pos) AS altitudes FROM unseen WHERE apart < 0 OR nth = 1 GROUP BY ALL
+),
+empty AS (
+  SELECT plan_id, CAST(leg_no AS INT) AS leg_no, {sqltext.bearing('a', 'o', 'b', 'q')} AS brg FROM hop h
+  WHERE b IS NOT NULL AND real AND NOT EXISTS (SELECT 1 FROM stacked s WHERE s.plan_id = h.plan_id AND s.leg_no = h.leg_no)
+),
+bends AS (
+  SELECT e.plan_id, e.leg_no, fmod(degrees(atan2(sin(radians(e.brg)) + sin(radians(n.brg)), cos(radians(e.brg)) + cos(radians(n.brg)))) + 360e0, 360e0) AS bis
+  FROM empty e JOIN empty n ON n.plan_id = e.plan_id AND n.leg_no = e.leg_no + 1 WHERE {_turn('e.brg', 'n.brg')} >= 30
+),
+near AS (
+  SELECT b.plan_id, b.leg_no, b.bis, m.arrow_no, m.sheet, m.bearing_deg, min(m.d) AS d
+  FROM bends b JOIN m ON m.plan_id = b.plan_id AND m.leg_no IN (b.leg_no, b.leg_no + 1) AND m.d <= 0.5e0 AND NOT m.bidirectional
+  WHERE NOT EXISTS (SELECT 1 FROM own2 o WHERE o.plan_id = m.plan_id AND o.arrow_no = m.arrow_no) GROUP BY ALL
+),
+options AS (
+  SELECT plan_id, leg_no, list(arrow_no ORDER BY d + 0.01e0 * {_turn('bearing_deg', 'bis')}, sheet, arrow_no) AS arrows FROM near
+  WHERE {_turn('bearing_deg', 'bis')} <= 15 GROUP BY ALL
+),
+walk AS (
+  SELECT plan_id, 0 AS leg_no, -1 AS done, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM (SELECT DISTINCT plan_id FROM options) p
+  UNION ALL
+  SELECT plan_id, leg_no, CASE WHEN found IS NULL THEN done ELSE leg_no + 1 END, CASE WHEN found IS NULL THEN used ELSE list_append(used, found) END, found
+  FROM (SELECT w.plan_id, w.leg_no + 1 AS leg_no, w.done, w.used,
+          CASE WHEN w.leg_no + 1 > w.done THEN list_filter(o.arrows, lambda x: NOT list_contains(w.used, x))[1] END AS found
+        FROM walk w LEFT JOIN options o ON o.plan_id = w.plan_id AND o.leg_no = w.leg_no + 1 WHERE w.leg_no < 8) q
+),
+rescued AS (SELECT plan_id, leg_no, pick AS arrow_no FROM walk WHERE pick IS NOT NULL),
+bend AS (SELECT plan_id, leg_no, arrow_no FROM rescued UNION ALL SELECT plan_id, leg_no + 1, arrow_no FROM rescued),
+wide AS (
+  SELECT *, row_number() OVER (PARTITION BY plan_id, arrow_no ORDER BY score, leg_no) AS rn FROM m
+  WHERE real AND NOT bidirectional AND ov <= 0 AND d <= CASE WHEN side < 0 THEN 1.8e0 WHEN side > 0 THEN 0.9e0 END AND diff <= 20
+    AND NOT EXISTS (SELECT 1 FROM own2 o WHERE o.plan_id = m.plan_id AND o.arrow_no = m.arrow_no)
+    AND NOT EXISTS (SELECT 1 FROM rescued o WHERE o.plan_id = m.plan_id AND o.arrow_no = m.arrow_no)
+    AND NOT EXISTS (SELECT 1 FROM stacked s WHERE s.plan_id = m.plan_id AND s.leg_no = m.leg_no)
+    AND NOT EXISTS (SELECT 1 FROM bend s WHERE s.plan_id = m.plan_id AND s.leg_no = m.leg_no)
+),
+wide_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, leg_no ORDER BY score, sheet, arrow_no) AS r2 FROM wide WHERE rn = 1) t WHERE r2 = 1),
+alone AS (SELECT arrow_no, string_agg(CAST(alt AS VARCHAR), ',' ORDER BY pos) AS altitudes FROM texts GROUP BY 1),
+found AS (
+  SELECT plan_id, leg_no, altitudes FROM stacked
+  UNION ALL SELECT plan_id, leg_no, altitudes FROM bend JOIN alone USING (arrow_no)
+  UNION ALL SELECT plan_id, leg_no, altitudes FROM wide_best JOIN alone USING (arrow_no)
+)
+SELECT h.plan_id, CAST(h.leg_no AS INT) AS leg_no, coalesce(f.altitudes, '') AS altitudes
+FROM hop h LEFT JOIN found f ON f.plan_id = h.plan_id AND f.leg_no = h.leg_no WHERE h.b IS NOT NULL
+""", "hop_point", "chart_arrow")
 
 
 # --- arrow extraction ------------------------------------------------------------------
