@@ -136,36 +136,36 @@ def traffic_board(pilots: DataFrame) -> DataFrame:
 
 
 def snapshot_chain(pilots: DataFrame) -> DataFrame:
-    """Each distinct snapshot time with the one after it.
+    """Each distinct snapshot time with its number (from 1) and the time after it.
 
-    The list grows with time, not with traffic (one row per poll), so its one
-    ordered window stays small however many aircraft a snapshot holds.
+    Times are numbered within their day and days add up, so no task orders all of them.
     """
-    return (
-        pilots.select("snapshot_ts")
-        .distinct()
-        .withColumn("next_ts", F.lead("snapshot_ts").over(Window.orderBy("snapshot_ts")))
+    times = pilots.select("snapshot_ts").distinct().withColumn("_day", F.to_date("snapshot_ts"))
+    days = times.groupBy("_day").agg(F.count("*").alias("n")).select(
+        "_day",
+        F.coalesce(F.sum("n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
     )
+    within = F.row_number().over(Window.partitionBy("_day").orderBy("snapshot_ts"))
+    numbered = times.withColumn("_at", within).join(days, "_day").select("snapshot_ts", (F.col("_before") + F.col("_at")).alias("ordinal"))
+    after = numbered.select((F.col("ordinal") - 1).alias("ordinal"), F.col("snapshot_ts").alias("next_ts"))
+    return numbered.join(after, "ordinal", "left")
 
 
 def presence_changes(pilots: DataFrame) -> DataFrame:
     """Callsigns missing from the following snapshot ('lost') or new in it ('appeared')."""
-    seen = pilots.select("callsign", "snapshot_ts").distinct()
-    chain = snapshot_chain(pilots).where(F.col("next_ts").isNotNull())
-    moved = seen.join(chain, "snapshot_ts").select("callsign", F.col("next_ts").alias("snapshot_ts"))
-    lost = moved.join(seen, ["callsign", "snapshot_ts"], "left_anti").withColumn("change", F.lit("lost"))
-    first = pilots.agg(F.min("snapshot_ts").alias("first_ts"))
-    appeared = (
-        seen.join(moved, ["callsign", "snapshot_ts"], "left_anti")
-        .join(F.broadcast(first), F.col("snapshot_ts") > F.col("first_ts"))  # one row
-        .drop("first_ts")
-        .withColumn("change", F.lit("appeared"))
-    )
-    return lost.unionByName(appeared)
+    seen = pilots.select("callsign", "snapshot_ts").distinct().join(snapshot_chain(pilots), "snapshot_ts")
+    order = Window.partitionBy("callsign").orderBy("ordinal")  # a row per snapshot at most
+    step = lambda f, n: F.coalesce(f("ordinal").over(order) == F.col("ordinal") + n, F.lit(False))
+    change = lambda ts, name: F.struct(F.col(ts).alias("snapshot_ts"), F.lit(name).alias("change"))
+    lost = F.when(F.col("next_ts").isNotNull() & ~step(F.lead, 1), change("next_ts", "lost"))
+    appeared = F.when((F.col("ordinal") > 1) & ~step(F.lag, -1), change("snapshot_ts", "appeared"))
+    return seen.select("callsign", lost.alias("lost"), appeared.alias("appeared")).select(
+        "callsign", F.explode(F.array_compact(F.array("lost", "appeared"))).alias("c")
+    ).select("callsign", "c.snapshot_ts", "c.change")
 
 
 def traffic_counts(pilots: DataFrame) -> DataFrame:
-    """Aircraft per snapshot, wake category and ground state, plus distinct callsigns."""
+    """Aircraft per snapshot, wake category and ground state."""
     return pilots.groupBy("snapshot_ts", "wake", on_ground().alias("on_ground")).agg(
         F.count("*").alias("n_aircraft")
     )
