@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
-_MEMO = 400_000  # words a task remembers; it then forgets all and starts again
+_MEMO = 200_000  # words a task remembers; it then forgets all and starts again
+_TEXTS = 256  # texts whose results a task sends on at once
 
 
 def byte_symbols() -> list[str]:
@@ -63,7 +64,8 @@ class Automaton:
 
     def _compile(self, merges: list[tuple[str, str]], size: int) -> tuple[np.ndarray, np.ndarray]:
         vocab = self.vocab
-        arcs = np.zeros((128, size), np.uint8)
+        # about a state for every fourth merge; memory is taken as rows are touched
+        arcs = np.zeros((len(merges) // 32 + 16, size), np.uint8)
         target = np.full(size, -1, np.int32)
         users = {0: 0}  # arcs' labels that lead to a state
         made = {a + b for a, b in merges}
@@ -86,7 +88,7 @@ class Automaton:
             else:
                 new, fresh = fresh, fresh + 1
                 if new >> 3 == len(arcs):
-                    arcs = np.concatenate([arcs, np.zeros_like(arcs)])
+                    arcs = np.concatenate([arcs, np.zeros((len(arcs) // 4 + 1, size), np.uint8)])
                 arcs[new >> 3] |= (arcs[old >> 3] >> (old & 7) & 1) << (new & 7)
                 users[old] -= 1
                 users[new] = 1
@@ -96,7 +98,7 @@ class Automaton:
             target[both] = beyond
             if beyond >= 0:
                 users[beyond] += 1
-        return target, arcs[: (fresh + 7) // 8].copy()
+        return target, arcs[: (fresh + 7) // 8]
 
     def encode_word(self, word: str) -> list[int]:
         """Token ids of one pre-split word, given in byte symbols."""
@@ -215,29 +217,33 @@ def decode_ids(encoded: DataFrame, automaton: Automaton, key: str = "doc_id", id
     return slim.mapInPandas(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def token_digests(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """Per document: doc_id, n_tokens, and the SHA-256 of its ids and of the text decoded from them.
+def token_digests(docs: DataFrame, automaton: Automaton, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """Per document: the columns `keep`, n_tokens, the SHA-256 of its ids and of the text decoded from them, and `ids` if asked for.
 
-    Encoding and decoding happen in one pass, so ids never leave the task. NULL texts
-    count as empty, whose ids and decoded text are empty. Equal rows are kept as they are.
+    Encoding and decoding happen in one pass, a few texts at a time, so a task holds
+    little beside the texts it was sent. NULL texts count as empty, whose ids and decoded
+    text are empty. Equal rows are kept as they are; columns not named play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for text in batch["text"]:
-                ids = encoder.encode(text)
-                decoded = encoder.automaton.decode(np.frombuffer(ids, "<u4").tolist())
-                counts.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n_tokens": np.array(counts, "int64"), "ids_sha256": ids_sha, "decoded_sha256": text_sha}
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+            for start in range(0, len(batch), _TEXTS):
+                part = batch.iloc[start : start + _TEXTS]
+                counts, arrays, ids_sha, text_sha = [], [], [], []
+                for text in part["_text"]:
+                    ids = encoder.encode(text)
+                    array = np.frombuffer(ids, "<u4")
+                    counts.append(len(array))
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(encoder.automaton.decode(array.tolist()).encode("utf-8")).hexdigest())
+                    if with_ids:
+                        arrays.append(array.astype("int32"))
+                out = part[[*keep]].reset_index(drop=True)
+                out = out.assign(n_tokens=np.array(counts, "int64"), ids_sha256=ids_sha, decoded_sha256=text_sha)
+                yield out.assign(ids=arrays) if with_ids else out
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    slim = docs.select(*keep, F.col("text").alias("_text"))
+    return slim.mapInPandas(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

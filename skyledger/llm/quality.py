@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MEMO = 200_000
+_MEMO = 100_000
 
 
 def _shape(word: str) -> str:
@@ -132,7 +132,7 @@ def _logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample: int = 8000, least: int = 4, most: int = 150_000, cost: float = 0.05, epochs: int = 25) -> Model:
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample: int = 8000, least: int = 4, most: int = 60_000, cost: float = 0.05, epochs: int = 25) -> Model:
     """Fit on at most `sample` labelled rows (label 0 or 1), those with the smallest hashed keys.
 
     `least`: rows an n-gram must occur in; `most`: n-grams kept, the most frequent ones.
@@ -173,7 +173,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     ones, n = counted["ones"].to_numpy("float64"), counted["n"].to_numpy("float64")
     p, q = 1 + ones, 1 + n - ones
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    vecs = [np.asarray(g, "int64") for g in data["grams"]]
+    vecs = [np.asarray(g, "int32") for g in data["grams"]]
+    del data
     part = np.arange(len(y)) % 5 == 0  # held back for the curve
     train = np.flatnonzero(~part) if len(set(y[part])) == 2 and len(set(y[~part])) == 2 else np.arange(len(y))
     held = np.flatnonzero(part) if len(train) < len(y) else train
