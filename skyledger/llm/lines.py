@@ -64,14 +64,15 @@ def repeated_lines(numbered: DataFrame, min_lines: int, line_words: int) -> Data
     return gone.unionByName(covered).distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, line_words: int = 5) -> DataFrame:
-    """All columns of `docs`, `text` without later copies; and `n_lines`, `removed` (runs of start, n).
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, line_words: int = 5, report: bool = True) -> DataFrame:
+    """All columns of `docs`, `text` without later copies; with `report` also `n_lines` and `removed` (runs of start, n).
 
     A run is deleted where it starts at least the second time, in order of key and line:
     a run of `min_lines` lines or more, or one line of `line_words` words or more. Lines
     end at newlines and are compared as they are; those without a word are no part of
     the sequences and stay. Rows that share a key follow in the order read, rows with a
     NULL key come last. A NULL text stays NULL with no lines; an emptied one is ''.
+    Columns of the names of the report are replaced by it.
     """
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
@@ -94,7 +95,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_li
     new = F.when(F.col("runs").isNull(), F.col(f"all.`{text}`")).otherwise(kept)
     count = F.coalesce(F.when(F.col(f"all.`{text}`").isNotNull(), F.size(whole)), F.lit(0)).cast("long")
     none = F.array().cast("array<struct<start:int,n:int>>")
-    cols = [new.alias(c) if c == text else F.col(f"all.`{c}`").alias(c) for c in names if c not in ("n_lines", "removed")]
+    out = [c for c in names if not (report and c.lower() in ("n_lines", "removed"))]
+    cols = [new.alias(c) if c == text else F.col(f"all.`{c}`").alias(c) for c in out]
+    if not report:
+        return both.select(*cols)
     return both.select(*cols, count.alias("n_lines"), F.coalesce("runs", none).alias("removed"))
 
 

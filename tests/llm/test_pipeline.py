@@ -60,6 +60,7 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark, tmp_path):
     item = "one two three four five six seven eight nine ten"
     rows = [(1, run + "own", "en", "a", 1, "x"), (1, run + "own", "en", "a", 1, "x"), (None, None, None, None, None, None), (3, "", "en", "b", 0, "y"), (4, "filler words " + item + " and more", "de", "c", 9, "z"), (5, "long " * 50_000, "en", "d", 0, "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, hits string").coalesce(1)
+    docs = docs.selectExpr("*", "'a' AS score", "1 AS n_lines", "2 AS removed", "3 AS fp", "4 AS row", "5 AS `all`")
     tables = {"documents": docs, "labels": spark.createDataFrame([(1, 1)], "doc_id long, quality int"), "benchmark": spark.createDataFrame([(7, item)], "item_id long, text string")}
     for name, df in tables.items():
         df.write.parquet(f"{tmp_path}/{name}.parquet")
