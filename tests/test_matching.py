@@ -144,14 +144,13 @@ def test_nearest_is_strict_and_ties_go_to_first(spark):
     assert spatial.nearest_waypoint(pts, wps.where("idx = 2"), one.near_nm).first().near_code is None
 
 
-@pytest.mark.parametrize("direct", [0, 64])
-def test_nearest_plan_point_both_ways(spark, direct):
+def test_nearest_plan_point(spark):
     rng = random.Random(5)
     pts = [(p, 9, s, 30 + rng.random() / 5, 35 + rng.random() / 5) for p in range(6) for s in range(9)]
     clicks = [(i, i % 6, 30 + rng.random() / 5, 35 + rng.random() / 5) for i in range(60)]
     out = spatial.nearest_plan_point(
         spark.createDataFrame(clicks, "click_id int, plan_id int, lat double, lon double"),
-        spark.createDataFrame(pts, "plan_id int, n_points int, seq int, lat double, lon double"), 4.0, direct,
+        spark.createDataFrame(pts, "plan_id int, n_points int, seq int, lat double, lon double"), 4.0,
     )
     got = {r.click_id: r.near_seq for r in out.collect()}
     for i, p, la, lo in clicks:
