@@ -9,7 +9,8 @@ scaled indicators by dual coordinate descent. A logistic curve, fitted on rows h
 back from the descent, turns margins into scores between 0 and 1.
 
 N-grams are counted by Spark over a bounded sample of labelled rows, the descent runs
-on the driver over that sample, and every document is scored in one pass.
+on the driver over that sample, and every document is scored in one pass. All n-grams
+that occur in enough rows are kept; they go by 64-bit hashes, so the driver holds numbers only.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,16 +75,20 @@ def _name(gram) -> str:
     return gram if isinstance(gram, str) else "\t".join(gram) if len(gram) > 1 else "\t" + gram[0]
 
 
+def _hash(gram) -> int:
+    return xxhash.xxh64_intdigest(_name(gram).encode("utf-8", "surrogatepass"))
+
+
 @dataclass
 class Model:
-    weights: dict[str, float]
+    weights: dict[int, float]  # by hashed n-gram
     bias: float
     slope: float
     shift: float
 
     def scores(self, texts) -> np.ndarray:
         grams, get = Grams(), self.weights.get
-        margins = [self.bias + math.fsum(get(_name(g), 0.0) for g in grams(t)) for t in texts]
+        margins = [self.bias + math.fsum(get(_hash(g), 0.0) for g in grams(t)) for t in texts]
         return 1.0 / (1.0 + np.exp(-(self.slope * np.array(margins, "float64") + self.shift)))
 
 
@@ -132,10 +138,22 @@ def _logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample: int = 8000, least: int = 4, most: int = 60_000, cost: float = 0.05, epochs: int = 25) -> Model:
+def _numbers(df: DataFrame) -> np.ndarray:
+    """A table of longs as an array, sent to the driver as bytes."""
+    width = len(df.columns)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"part": [batch.to_numpy("<i8").tobytes()]})
+
+    parts = [r.part for r in df.mapInPandas(pack, "part binary").collect()]
+    return np.frombuffer(b"".join(parts), "<i8").reshape(-1, width)
+
+
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample: int = 8000, least: int = 4, cost: float = 0.05, epochs: int = 25) -> Model:
     """Fit on at most `sample` labelled rows (label 0 or 1), those with the smallest hashed keys.
 
-    `least`: rows an n-gram must occur in; `most`: n-grams kept, the most frequent ones.
+    `least`: rows an n-gram must occur in; all that do are kept.
     Rows with NULL labels or keys are left out. Without rows of both classes the model
     scores every text with the share of class 1 (0.5 without rows).
     """
@@ -146,34 +164,39 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams()
         for batch in batches:
-            found = [[_name(g) for g in grams(t)] for t in batch["_text"]]
-            counts = [len(f) for f in found]
-            names = [g for f in found for g in f]
-            yield pd.DataFrame({"gram": names, "y": np.repeat(batch["_y"].to_numpy("int32"), counts)})
+            found = [np.fromiter(map(_hash, grams(t)), "uint64").view("int64") for t in batch["_text"]]
+            yield pd.DataFrame({"gram": np.concatenate(found or [np.zeros(0, "int64")]), "y": np.repeat(batch["_y"].to_numpy("int32"), list(map(len, found)))})
 
     counted = (
-        rows.mapInPandas(spread, "gram string, y int")
+        rows.mapInPandas(spread, "gram long, y int")
         .groupBy("gram").agg(F.sum("y").alias("ones"), F.count("*").alias("n"))
-        .filter(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(most).toPandas()
+        .filter(F.col("n") >= least)
     )
-    numbers = {g: i for i, g in enumerate(counted["gram"])}
-    shared = labelled.sparkSession.sparkContext.broadcast(numbers)  # at most `most` entries
+    counted = _numbers(counted.select("gram", "ones", "n"))
+    counted = counted[np.argsort(counted[:, 0])]
+    known = np.ascontiguousarray(counted[:, 0])
+    shared = labelled.sparkSession.sparkContext.broadcast(known)  # 8 bytes an n-gram of the sample
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, get = Grams(), shared.value.get
+        grams, known = Grams(), shared.value
         for batch in batches:
-            found = [sorted(n for n in map(get, map(_name, grams(t))) if n is not None) for t in batch["_text"]]
+            found = []
+            for t in batch["_text"]:
+                own = np.sort(np.fromiter(map(_hash, grams(t)), "uint64").view("int64"))
+                at = np.searchsorted(known, own)
+                at[at == len(known)] = 0
+                found.append(at[known[at] == own].astype("<i4").tobytes() if len(known) else b"")
             yield pd.DataFrame({"h": batch["_h"], "y": batch["_y"], "grams": found})
 
-    data = rows.mapInPandas(vectors, "h long, y int, grams array<int>").toPandas().sort_values("h", kind="stable")
+    data = rows.mapInPandas(vectors, "h long, y int, grams binary").toPandas().sort_values("h", kind="stable")
     y = np.where(data["y"].to_numpy() == 1, 1.0, -1.0)
     if not len(y) or abs(y.sum()) == len(y):
         share = (y > 0).mean() if len(y) else 0.5
         return Model({}, 0.0, 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    ones, n = counted["ones"].to_numpy("float64"), counted["n"].to_numpy("float64")
+    ones, n = counted[:, 1].astype("float64"), counted[:, 2].astype("float64")
     p, q = 1 + ones, 1 + n - ones
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    vecs = [np.asarray(g, "int32") for g in data["grams"]]
+    vecs = [np.frombuffer(g, "<i4") for g in data["grams"]]
     del data
     part = np.arange(len(y)) % 5 == 0  # held back for the curve
     train = np.flatnonzero(~part) if len(set(y[part])) == 2 and len(set(y[~part])) == 2 else np.arange(len(y))
@@ -185,7 +208,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     scaled = w * ratio
     margins = np.array([scaled[vecs[i]].sum() + bias for i in held])
     slope, shift = _logistic(margins, y[held])
-    return Model({g: float(scaled[i]) for g, i in numbers.items() if scaled[i]}, float(bias), slope, shift)
+    return Model({g: x for g, x in zip(known.view("uint64").tolist(), scaled.tolist()) if x}, float(bias), slope, shift)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

@@ -71,3 +71,12 @@ def test_no_labels_one_class_empty_table(frame):
     one = frame([(1, 1), (2, 1), (3, 1)], "doc_id long, quality int")
     assert all(r.score > 0.99 for r in quality.quality_scores(docs, one).collect())
     assert quality.quality_scores(frame([], "doc_id long, text string"), one).count() == 0
+
+
+def test_every_frequent_enough_n_gram_is_learnt(frame):
+    # 200,000 words in 4 texts each: more than were kept before; their class is known by them only
+    rows = [(4 * i + k, " ".join(f"{'gb'[i % 2]}{i}x{j}" for j in range(2500)), 1 - i % 2) for i in range(80) for k in range(4)]
+    model = quality.fit(frame(rows, "doc_id long, text string, label int"), epochs=3)
+    known = set(model.weights)
+    assert len(known) >= 80 * (2500 + 2499)
+    assert all(quality._hash(w) in known for _, text, _ in rows for w in text.split())
