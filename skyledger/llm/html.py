@@ -37,6 +37,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SILENT = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "noframes", "xmp", "canvas"}
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in ("script", "style", "textarea", "title", "iframe", "noframes", "xmp")}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _FURNITURE = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "fieldset", "datalist"}
 _BLOCK = set(
@@ -86,7 +87,9 @@ def blocks_of(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[str,
                 stream.extend((w, len(blocks)) for w in text.split())
             blocks.append((kind, text))
 
-    for m in _TOKEN.finditer(page or ""):
+    page, at = page or "", 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         text = m["text"]
         if text is not None:
             if skip is None:
@@ -102,7 +105,12 @@ def blocks_of(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[str,
             continue
         if name in _SILENT:
             if not end and not (m["rest"] or "").endswith("/"):
-                skip = name
+                if name in _RAW:
+                    # what looks like markup inside is none: only its own end tag ends it
+                    close = _RAW[name].search(page, at)
+                    at = close.end() if close else len(page)
+                else:
+                    skip = name
             continue
         if name == "br":
             words.append(" ")

@@ -75,3 +75,12 @@ def test_odd_rows(frame):
     long = "\n".join(["long text"] * 30_000)
     assert got == sorted([(1, None, "", 0), (1, None, "", 0), (None, "http://a/", "x y", 3), (3, "not a url", "", 0), (4, "http://a/", long, len(long))], key=str)
     assert html.page_rows(df.limit(0)).count() == 0
+
+
+def test_script_and_style_end_at_their_own_end_tag_only():
+    def text(p):
+        return "\n".join(t for k, t in html.blocks_of(p)[0] if k != html._FURN)
+
+    assert text("<article><p>a</p><script>for(i=0;i<n;i++) { f(i); }</script><p>b</p></article>") == "a\nb"
+    assert text("<p>a</p><script>x='<!--';</SCRIPT ><p>b</p><style>p{} <!-- </style><p>c</p>") == "a\nb\nc"
+    assert text("<title>x <b</title><p>a</p><script>s='</scripted>'</script>b<p>c</p><script>open") == "a\nb\nc"
