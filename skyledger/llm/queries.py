@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm import anchors, bpe, forest, html, lines, quality, sharding, simhash, tiling, warc
+from skyledger.llm import anchors, bpe, bytenet, forest, html, lines, phrases, quality, sharding, simhash, tiling, warc, whitening
 from skyledger.llm.common import table
 
 #: Where the public vocabulary files lie, on the driver.
@@ -49,5 +49,23 @@ def op10_anchor_dedup(spark, sf_dir):
     return anchors.dedup_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_html_text": op1_html_text, "op2_bpe": op2_bpe, "op3_warc_index": op3_warc_index, "op4_ring_shards": op4_ring_shards, "op5_quality": op5_quality, "op6_simhash": op6_simhash, "op7_forest": op7_forest, "op8_line_runs": op8_line_runs, "op9_tiling": op9_tiling, "op10_anchor_dedup": op10_anchor_dedup}
-ORACLES = {"op3_warc_index": warc.CAPTURE_SQL, "op8_line_runs": lines.LINE_SQL}
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_bytenet(spark, sf_dir):
+    return bytenet.language_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_text, op2_bpe, op3_warc_index, op4_ring_shards, op5_quality, op6_simhash, op7_forest,
+        op8_line_runs, op9_tiling, op10_anchor_dedup, op11_whitening, op12_collocations, op13_bytenet,
+    )
+}
+ORACLES = {"op3_warc_index": warc.CAPTURE_SQL, "op8_line_runs": lines.LINE_SQL, "op12_collocations": phrases.COLLOCATION_SQL}
