@@ -121,7 +121,7 @@ SELECT plan_id, seq, is_wp, code, round(lat, 6) AS lat, round(lon, 6) AS lon FRO
 
 
 def labels(spark, sf):
-    return routes.label_points(_points(spark, sf)).select("plan_id", "seq", "label")
+    return routes.assembled_labels(load(spark, sf, "plan_point")).select("plan_id", "seq", "label")
 
 
 QUERIES["point_labels"] = labels
@@ -289,8 +289,7 @@ FROM eff GROUP BY plan_id
 
 
 def trail_totals(spark, sf):
-    points = routes.assemble_plans(load(spark, sf, "trail_point"), block_rows=4096)
-    return routes.route_totals(routes.legs(points, block_rows=4096), 90.0).select(
+    return routes.route_totals(routes.plan_legs(load(spark, sf, "trail_point"), block_rows=4096), 90.0).select(
         "plan_id", "n_legs", F.round("total_nm", 3).alias("total_nm"), F.round("total_seconds", 1).alias("total_seconds")
     )
 
@@ -306,6 +305,23 @@ SELECT plan_id, count(*) AS n_legs, round(sum(nm), 3) AS total_nm, round(sum(nm
 """, "trail_point")
 
 
+def drift_totals(spark, sf):
+    walked = routes.assemble_plans(load(spark, sf, "drift_point"), block_rows=4096)
+    totals = routes.route_totals(routes.plan_legs(load(spark, sf, "drift_point"), block_rows=4096), 90.0)
+    places = walked.groupBy("plan_id").agg(F.count("*").alias("n_kept"), F.sum("seq").alias("seq_sum"), F.count_if("is_wp").alias("n_wp"))
+    return places.join(totals, "plan_id", "left").select("plan_id", "n_kept", "seq_sum", "n_wp", "n_legs", F.round("total_nm", 5).alias("total_nm"))
+
+
+QUERIES["drift_totals"] = drift_totals
+# Steps of 4e-7 degrees: every third point is kept, counted from the waypoint before.
+ORACLES["drift_totals"] = oracle(f"""
+WITH kept AS (SELECT plan_id, is_wp, lat, lon, row_number() OVER (PARTITION BY plan_id ORDER BY seq) - 1 AS k FROM drift_point WHERE since % 3 = 0),
+paired AS (SELECT plan_id, is_wp, k, lat AS a, lon AS o, lead(lat) OVER w AS b, lead(lon) OVER w AS q FROM kept WINDOW w AS (PARTITION BY plan_id ORDER BY k)),
+leg AS (SELECT *, CASE WHEN b IS NOT NULL THEN {sqltext.gc('a', 'o', 'b', 'q')} END AS nm FROM paired)
+SELECT plan_id, count(*) AS n_kept, sum(k) AS seq_sum, count(*) FILTER (WHERE is_wp) AS n_wp, nullif(count(nm), 0) AS n_legs, round(sum(nm), 5) AS total_nm FROM leg GROUP BY plan_id
+""", "drift_point")
+
+
 def exported_plans(spark, sf):
     path = f"{checkpoint_dir(spark)}/plans-{uuid.uuid4().hex}"
     catalogue.export_plans(_points(spark, sf), path)

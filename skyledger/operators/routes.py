@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions import geo
-from skyledger.operators import blocks
+from skyledger.operators import assembly, blocks
 
 PLAN = ["plan_id"]
 PLAN_BLOCK = ["plan_id", "block"]
 
 # Fixed values.
 CODE_PATTERN = r"^[A-Z]{4,5}$"
-SAME_POINT_DEG = 1e-6
 ORPHAN_BASE = "VIA"
 SPEED_LIMIT_KTS = 180.0
 FALLBACK_PLAN_NAME = "flight-plan"
@@ -121,140 +120,13 @@ def resolve_plans(tokens: DataFrame, waypoints: DataFrame) -> tuple[DataFrame, D
 
 
 def assemble_plans(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
-    """Drop repeats the way an editor refuses them, comparing with the last *kept* point.
-
-    A waypoint falls out when the last kept point is a waypoint of the same
-    code. An intermediate falls out before the first waypoint and within 1e-6
-    degrees on both axes of the last kept point. The comparison with the last
-    kept point looks sequential, but any waypoint row fixes that state, and so
-    does an intermediate more than two tolerances from its neighbour; only runs
-    of near-equal intermediates between such rows need an ordered fold, run by run.
-    """
-    row = F.struct("is_wp", "code", "lat", "lon")
-    w = blocks.in_block(PLAN, "seq")
-
-    # 1. previous row and "a waypoint came before", across blocks
-    carry1 = (
-        blocks.long_groups(points, block_rows)
-        .groupBy(*PLAN_BLOCK)
-        .agg(F.max_by(row, "seq").alias("last_row"), F.max("is_wp").alias("has_wp"))
-        .select(
-            *PLAN_BLOCK,
-            F.lag("last_row").over(blocks.over_blocks(PLAN)).alias("c_prev"),
-            F.max("has_wp")
-            .over(blocks.over_blocks(PLAN).rowsBetween(blocks.Window.unboundedPreceding, -1))
-            .alias("c_wp"),
-        )
-    )
-    before = w.rowsBetween(blocks.Window.unboundedPreceding, -1)
-    a = (
-        points.withColumn("_lag", F.lag(row).over(w))
-        .withColumn("_wp", F.max("is_wp").over(before))
-        .join(carry1, PLAN_BLOCK, "left")
-        .withColumn("prev", F.coalesce("_lag", "c_prev"))
-        .withColumn("wp_before", F.coalesce("_wp", F.lit(False)) | F.coalesce("c_wp", F.lit(False)))
-        .drop("_lag", "_wp", "c_prev", "c_wp")
-    )
-    dlat, dlon = F.abs(F.col("lat") - F.col("prev.lat")), F.abs(F.col("lon") - F.col("prev.lon"))
-    near = (dlat < SAME_POINT_DEG) & (dlon < SAME_POINT_DEG)
-    far = (dlat > 2.1 * SAME_POINT_DEG) | (dlon > 2.1 * SAME_POINT_DEG)
-    copy = ~F.col("prev.is_wp") & (dlat == 0.0) & (dlon == 0.0)
-    a = a.where(
-        F.col("is_wp") | (F.col("wp_before") & ~F.coalesce(copy, F.lit(False)))
-    ).withColumn(
-        "keep0",
-        F.when(F.col("is_wp"), True).when(F.col("prev.is_wp"), ~near).when(far, True),
-    )
-
-    # 2. the rare runs of near-equal intermediates, each from the decided row before it
-    start = F.struct(
-        F.col("seq"),
-        F.when(F.col("keep0"), F.col("lat")).otherwise(F.col("prev.lat")).alias("lat"),
-        F.when(F.col("keep0"), F.col("lon")).otherwise(F.col("prev.lon")).alias("lon"),
-    )
-    decided = F.when(F.col("keep0").isNotNull(), start)
-    carry_start = (
-        blocks.long_groups(a, block_rows)
-        .groupBy(*PLAN_BLOCK)
-        .agg(F.max(decided).alias("s"))
-        .select(
-            *PLAN_BLOCK,
-            F.last("s", ignorenulls=True)
-            .over(blocks.over_blocks(PLAN).rowsBetween(blocks.Window.unboundedPreceding, -1))
-            .alias("c_start"),
-        )
-    )
-    a = a.withColumn("start", F.last(decided, ignorenulls=True).over(w))
-    runs = (
-        a.where(F.col("keep0").isNull())
-        .join(carry_start, PLAN_BLOCK, "left")
-        .groupBy("plan_id", F.coalesce("start", "c_start").alias("start"))
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "block", "lat", "lon"))).alias("rows"))
-    )
-    origin = F.struct(F.col("start.lat").alias("lat"), F.col("start.lon").alias("lon"), F.array().cast("array<struct<block:int,seq:bigint>>").alias("kept"))
-
-    def step(at: Column, r: Column) -> Column:
-        same = (F.abs(r.lat - at.lat) < SAME_POINT_DEG) & (F.abs(r.lon - at.lon) < SAME_POINT_DEG)
-        place = F.struct(r.block.alias("block"), r.seq.cast("bigint").alias("seq"))
-        moved = F.struct(r.lat.alias("lat"), r.lon.alias("lon"), F.concat(at.kept, F.array(place)).alias("kept"))
-        return F.when(same, at).otherwise(moved)
+    """Drop repeats the way an editor refuses them, see ``assembly.walked``."""
+    return assembly.walked(points, block_rows).drop("label", "next_is_wp", "next_lat", "next_lon", "next_label")
 
-    kept = runs.select("plan_id", F.explode(F.aggregate("rows", origin, step)["kept"]).alias("k")).select(
-        "plan_id", "k.block", F.col("k.seq").alias("seq"), F.lit(True).alias("kept")
-    )
-    b = (
-        a.join(kept, [*PLAN_BLOCK, "seq"], "left")
-        .where(F.coalesce("keep0", "kept", F.lit(False)))
-        .drop("kept", "keep0", "prev", "wp_before", "start")
-    )
 
-    # 3. repeated waypoints, and a gapless position
-    def repeat_of(prev: str) -> Column:
-        return F.coalesce(
-            F.col("is_wp") & F.col(f"{prev}.is_wp") & (F.col("code") == F.col(f"{prev}.code")),
-            F.lit(False),
-        )
-
-    carry2 = (
-        blocks.long_groups(b, block_rows)
-        .withColumn("_lag", F.lag(row).over(w))
-        .withColumn("_keep", (~repeat_of("_lag")).cast("int"))
-        .groupBy(*PLAN_BLOCK)
-        .agg(
-            F.sum("_keep").alias("kept"),
-            F.min_by(row, "seq").alias("first"),
-            F.max_by(row, "seq").alias("last"),
-        )
-        .withColumn("c_prev", F.lag("last").over(blocks.over_blocks(PLAN)))
-        .withColumn(
-            "_real",
-            F.col("kept")
-            - F.coalesce(
-                (F.col("first.is_wp") & F.col("c_prev.is_wp") & (F.col("first.code") == F.col("c_prev.code"))).cast("int"),
-                F.lit(0),
-            ),
-        )
-        .select(
-            *PLAN_BLOCK,
-            "c_prev",
-            F.sum("_real")
-            .over(blocks.over_blocks(PLAN).rowsBetween(blocks.Window.unboundedPreceding, -1))
-            .alias("c_before"),
-        )
-    )
-    return (
-        b.withColumn("_lag", F.lag(row).over(w))
-        .join(carry2, PLAN_BLOCK, "left")
-        .withColumn("prev", F.coalesce("_lag", "c_prev"))
-        .where(~repeat_of("prev"))
-        .withColumn(
-            "seq2", F.coalesce("c_before", F.lit(0)) + F.row_number().over(w) - 1
-        )
-        .select(
-            "plan_id", "n_points", "block", F.col("seq2").cast("int").alias("seq"),
-            "is_wp", "code", "name", "lat", "lon",
-        )
-    )
+def assembled_labels(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """Assembled points with their labels, from the same pass."""
+    return assembly.walked(points, block_rows).drop("next_is_wp", "next_lat", "next_lon", "next_label")
 
 
 # --- labels and legs --------------------------------------------------------------
@@ -303,6 +175,15 @@ def label_points(points: DataFrame, block_rows: int = blocks.BLOCK_ROWS) -> Data
     )
 
 
+def _measured(pairs: DataFrame, magvar: float) -> DataFrame:
+    """Distance and bearings of rows with from_* and to_* columns."""
+    a_lat, a_lon, b_lat, b_lon = (F.col(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon"))
+    return pairs.withColumns({
+        "distance_nm": geo.great_circle_nm(a_lat, a_lon, b_lat, b_lon),
+        "true_bearing_deg": geo.true_bearing_deg(a_lat, a_lon, b_lat, b_lon),
+    }).withColumn("mag_bearing_deg", F.pmod(F.col("true_bearing_deg") - magvar, F.lit(360.0)))
+
+
 def legs(
     points: DataFrame,
     magvar: float = geo.DEFAULT_MAGVAR_E,
@@ -310,9 +191,7 @@ def legs(
 ) -> DataFrame:
     """One row per adjacent pair of points, with labels, distance and bearings."""
     ctx = _with_context(points, block_rows).where(F.col("next").isNotNull())
-    a_lat, a_lon, b_lat, b_lon = F.col("lat"), F.col("lon"), F.col("next.lat"), F.col("next.lon")
-    true_brg = geo.true_bearing_deg(a_lat, a_lon, b_lat, b_lon)
-    return ctx.select(
+    pairs = ctx.select(
         "plan_id",
         "n_points",
         "block",
@@ -321,18 +200,22 @@ def legs(
         _label(F.col("last_wp"), F.col("seq") + 1, F.col("next.is_wp"), F.col("next.code")).alias("to_label"),
         F.col("is_wp").alias("from_is_wp"),
         F.col("next.is_wp").alias("to_is_wp"),
-        a_lat.alias("from_lat"),
-        a_lon.alias("from_lon"),
-        b_lat.alias("to_lat"),
-        b_lon.alias("to_lon"),
-        geo.great_circle_nm(a_lat, a_lon, b_lat, b_lon).alias("distance_nm"),
-        true_brg.alias("true_bearing_deg"),
-    ).withColumn("mag_bearing_deg", F.pmod(F.col("true_bearing_deg") - magvar, F.lit(360.0)))
-
-
-def plan_legs(points: DataFrame, magvar: float = geo.DEFAULT_MAGVAR_E) -> DataFrame:
-    """Assemble and measure in one go."""
-    return legs(assemble_plans(points), magvar)
+        F.col("lat").alias("from_lat"),
+        F.col("lon").alias("from_lon"),
+        F.col("next.lat").alias("to_lat"),
+        F.col("next.lon").alias("to_lon"),
+    )
+    return _measured(pairs, magvar)
+
+
+def plan_legs(points: DataFrame, magvar: float = geo.DEFAULT_MAGVAR_E, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """Assemble and measure in one go: the pass that keeps points also pairs them."""
+    pairs = assembly.walked(points, block_rows).where(F.col("next_label").isNotNull()).select(
+        "plan_id", "n_points", "block", (F.col("seq") + 1).alias("leg_no"), F.col("label").alias("from_label"), F.col("next_label").alias("to_label"),
+        F.col("is_wp").alias("from_is_wp"), F.col("next_is_wp").alias("to_is_wp"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"),
+        F.col("next_lat").alias("to_lat"), F.col("next_lon").alias("to_lon"),
+    )
+    return _measured(pairs, magvar)
 
 
 def with_times(legs_df: DataFrame, speed_kts: float | Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from skyledger.functions import geo
 from skyledger.operators import spatial
-from skyledger.operators.routes import SAME_POINT_DEG
+from skyledger.operators.assembly import SAME_POINT_DEG
 from skyledger.streaming.traffic import use_rocksdb
 
 ROUTE_SCHEMA = "plan_id bigint, seq int, is_wp boolean, code string, lat double, lon double"

@@ -48,7 +48,7 @@ def random_plans(n, seed):
     return plans
 
 
-@pytest.mark.parametrize("block_rows", [3, blocks.BLOCK_ROWS])
+@pytest.mark.parametrize("block_rows", [1, 2, 3, 5, blocks.BLOCK_ROWS])
 def test_assembly_equals_sequential_walk(spark, block_rows):
     plans = random_plans(150, 7)
     got = {}
@@ -59,6 +59,53 @@ def test_assembly_equals_sequential_walk(spark, block_rows):
     assert got == {pid: kept for pid, pts in plans.items() if (kept := walk(pts))}
 
 
+def slow_plans():
+    """Runs of near-equal points over many blocks: drifts of several paces, hovering, waypoints of one code at two places."""
+    rng = random.Random(11)
+    plans = {}
+    for pid, pace in enumerate([1e-9, 3e-8, 2.5e-7, 4e-7, 9.9e-7, 0.0]):
+        plans[pid] = [("AAAAA", 31.0, 35.0)] + [(None, 31.0 + pace * i, 35.0 - pace * (i % 7)) for i in range(120)]
+    plans[10] = [("AAAAA", 31.0, 35.0)] + [(None, 31.0 + rng.uniform(-9e-7, 9e-7), 35.0 + rng.uniform(-9e-7, 9e-7)) for _ in range(120)]
+    plans[11] = [(None, 31.0, 35.0)] * 30 + [("AAAAA", 31.0 + (i % 2) * 7e-7, 35.0) if i % 3 else (None, 31.0 + rng.uniform(0, 2e-6), 35.0) for i in range(60)]
+    plans[12] = [(None, 31.0, 35.0)] * 20
+    plans[13] = [("AAAAA", 31.0, 35.0)] * 50 + [("BBBBB", 31.0, 35.0)]
+    return plans
+
+
+@pytest.mark.parametrize("block_rows", [2, 7, 16])
+def test_long_runs_equal_sequential_walk(spark, block_rows):
+    plans = {**slow_plans(), **{100 + p: pts for p, pts in random_plans(60, 5).items()}}
+    want = {pid: walk(pts) for pid, pts in plans.items()}
+    got = {}
+    for r in routes.assembled_labels(table(spark, plans, block_rows), block_rows).orderBy("plan_id", "seq").collect():
+        got.setdefault(r.plan_id, []).append((r.seq, r.code, r.lat, r.lon, r.label))
+    labelled = {}
+    for pid, kept in want.items():
+        base, since = None, 0
+        for i, p in enumerate(kept):
+            base, since = (p[0], 0) if p[0] else (base, since + 1)
+            labelled.setdefault(pid, []).append((i, *p, p[0] or f"{base}.{since}"))
+    assert got == labelled
+    cols = ["plan_id", "leg_no", "from_label", "to_label", "distance_nm", "from_is_wp", "to_is_wp"]
+    one_pass = routes.plan_legs(table(spark, plans, block_rows), block_rows=block_rows).select(*cols)
+    apart = routes.legs(table(spark, {p: k for p, k in want.items() if k})).select(*cols)
+    assert sorted(map(tuple, one_pass.collect())) == sorted(map(tuple, apart.collect()))
+
+
+def test_a_block_has_few_walks():
+    import json
+
+    import pandas as pd
+
+    from skyledger.operators import assembly
+
+    rows = [(1, i // 4096, False, None, 31.0 + 4e-7 * i, 35.0) for i in range(20_000)]
+    pdf = pd.DataFrame(rows, columns=["plan_id", "block", "is_wp", "code", "lat", "lon"])
+    out = pd.concat(assembly._summary(1e-6)(iter([pdf.iloc[:5000], pdf.iloc[5000:]])))
+    assert out["block"].tolist() == [0, 1, 2, 3, 4]
+    assert all(len(json.loads(w)) <= 8 for w in out["what"])
+
+
 def test_blocks_do_not_change_legs(spark):
     plans = {p: walk(pts) for p, pts in random_plans(60, 3).items()}
     plans[99] = [(None, 31.0, 35.0), (None, 31.1, 35.0), ("AAAAA", 31.2, 35.0), (None, 31.3, 35.0)]
