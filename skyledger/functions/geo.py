@@ -214,16 +214,16 @@ COORD_PATTERN = r"^([0-9]{2})([0-9]{2})([NS])([0-9]{3})([0-9]{2})([EW])$"
 def parse_coord(token: Column) -> tuple[Column, Column]:
     """Inverse of format_coord; both columns are NULL for an invalid token."""
 
-    def g(i: int) -> Column:
-        return F.regexp_extract(token, COORD_PATTERN, i)
-
-    lat_d, lat_m, lon_d, lon_m = (g(i).try_cast("int") for i in (1, 2, 4, 5))
+    # the pattern fixes the place of every part, so it is matched once and parts are cut out
+    part = lambda start, n: F.substring(token, start, n)
+    lat_d, lat_m, lon_d, lon_m = (part(*p).try_cast("int") for p in ((1, 2), (3, 2), (6, 3), (9, 2)))
     ok = (
-        (lat_m < 60)
+        token.rlike(COORD_PATTERN)
+        & (lat_m < 60)
         & (lon_m < 60)
         & ((lat_d < 90) | ((lat_d == 90) & (lat_m == 0)))
         & ((lon_d < 180) | ((lon_d == 180) & (lon_m == 0)))
     )
-    lat = (lat_d + lat_m / 60.0) * F.when(g(3) == "S", -1.0).otherwise(1.0)
-    lon = (lon_d + lon_m / 60.0) * F.when(g(6) == "W", -1.0).otherwise(1.0)
+    lat = (lat_d + lat_m / 60.0) * F.when(part(5, 1) == "S", -1.0).otherwise(1.0)
+    lon = (lon_d + lon_m / 60.0) * F.when(part(11, 1) == "W", -1.0).otherwise(1.0)
     return F.when(ok, lat), F.when(ok, lon)

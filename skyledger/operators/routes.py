@@ -20,6 +20,10 @@ CODE_PATTERN = r"^[A-Z]{4,5}$"
 ORPHAN_BASE = "VIA"
 SPEED_LIMIT_KTS = 180.0
 FALLBACK_PLAN_NAME = "flight-plan"
+BEARING_PATTERN = r"^\d{1,3}$"
+ALTITUDES_PATTERN = r"^\d{1,5}(\s*,\s*\d{1,5})*$"
+DISTANCE_PATTERN = r"^\d{1,4}(\.\d{1,2})?$"
+FREQUENCY_PATTERN = r"^\d{3}\.(\d{3}|\d)$"
 UNKNOWN_ALTITUDE = "unknown"
 
 # --- plan text ----------------------------------------------------------------
@@ -95,24 +99,21 @@ def resolve_plans(tokens: DataFrame, waypoints: DataFrame) -> tuple[DataFrame, D
             ).alias("w")
         )
     )
-    codes = tokens.where(F.col("kind") == "code").withColumn("_code", F.upper("code"))
-    # what is not in the catalogue is found on the different codes, which are few
-    unknown = codes.select("_code").distinct().join(catalogue, "_code", "left_anti")
+    # one look-up of all tokens; coordinates have no key, so they meet nothing and stay spread
+    keyed = tokens.withColumn("_code", F.when(F.col("kind") == "code", F.upper("code")))
+    keyed = keyed.join(catalogue, "_code", "left")
+    unknown = F.when((F.col("kind") == "code") & F.col("w").isNull(), F.struct("position", "token"))
+    first = F.min(unknown)
     errors = (
-        codes.join(unknown, "_code", "left_semi")
-        .groupBy("plan_id")
-        .agg(F.min(F.struct("position", "token")).alias("e"))
+        keyed.groupBy("plan_id").agg(first.alias("e")).where(F.col("e").isNotNull())
         .select("plan_id", "e.position", "e.token", F.lit("unknown code").alias("reason"))
     )
-    shared = ["plan_id", "n_points", "block", (F.col("position") - 1).alias("seq")]
-    known = codes.join(catalogue, "_code").select(
-        *shared, F.lit(True).alias("is_wp"), "w.code", F.col("w.name_he").alias("name"), "w.lat", "w.lon"
+    # a plan was one row of text, so its tokens may be looked at together
+    whole = keyed.withColumn("e", first.over(blocks.Window.partitionBy("plan_id"))).where(F.col("e").isNull())
+    points = whole.select(
+        "plan_id", "n_points", "block", (F.col("position") - 1).alias("seq"), (F.col("kind") == "code").alias("is_wp"),
+        "w.code", F.col("w.name_he").alias("name"), F.coalesce("w.lat", "lat").alias("lat"), F.coalesce("w.lon", "lon").alias("lon"),
     )
-    # coordinates need no look-up, so they stay out of that join
-    coords = tokens.where(F.col("kind") == "coord").select(
-        *shared, F.lit(False).alias("is_wp"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("name"), "lat", "lon"
-    )
-    points = known.unionByName(coords).join(errors.select("plan_id"), "plan_id", "left_anti")
     return points, errors
 
 
@@ -255,18 +256,18 @@ def parse_override(column: str, text: Column) -> Column:
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     if column == "bearing":
         n = t.try_cast("int")
-        return F.when(t.rlike(r"^\d{1,3}$") & (n <= 360), F.lpad(n.cast("string"), 3, "0"))
+        return F.when(t.rlike(BEARING_PATTERN) & (n <= 360), F.lpad(n.cast("string"), 3, "0"))
     if column == "altitude":
         values = F.transform(F.split(t, ","), lambda p: F.trim(p).try_cast("int"))
         return F.when(
-            t.rlike(r"^\d{1,5}(\s*,\s*\d{1,5})*$") & F.forall(values, lambda v: v > 0),
+            t.rlike(ALTITUDES_PATTERN) & F.forall(values, lambda v: v > 0),
             F.array_join(F.transform(values, lambda v: v.cast("string")), ","),
         )
     if column == "distance":
-        tenths = F.when(t.rlike(r"^\d{1,4}(\.\d{1,2})?$") & (t.try_cast("double") > 0.0), _one_decimal(t))
+        tenths = F.when(t.rlike(DISTANCE_PATTERN) & (t.try_cast("double") > 0.0), _one_decimal(t))
         return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
     if column == "frequency":
-        return F.when(t.rlike(r"^\d{3}\.(\d{3}|\d)$"), t)
+        return F.when(t.rlike(FREQUENCY_PATTERN), t)
     if column == "controller":
         return F.nullif(t, F.lit(""))
     raise ValueError(f"unknown override column {column!r}")
@@ -291,23 +292,17 @@ def apply_overrides(legs_df: DataFrame, overrides: DataFrame, speed_kts: float |
     wins. Repeated legs share their key and therefore their overrides.
     """
     stored = F.lit(None).cast("string")
-    for field, kind in OVERRIDE_FIELDS.items():
-        stored = F.when(F.col("field") == field, parse_override(kind, F.col("text"))).otherwise(stored)
+    for kind in dict.fromkeys(OVERRIDE_FIELDS.values()):
+        fields = [f for f, k in OVERRIDE_FIELDS.items() if k == kind]
+        stored = F.when(F.col("field").isin(fields), parse_override(kind, F.col("text"))).otherwise(stored)
     key = ["plan_id", "from_label", "to_label"]
-    side = (
-        overrides.withColumn("stored", stored)
-        .where(F.col("stored").isNotNull())
-        .groupBy(*key)
-        .agg(
-            *[
-                F.max_by(F.when(F.col("field") == f, F.col("stored")), F.when(F.col("field") == f, F.col("edit_no"))).alias(f"set_{f}")
-                for f in OVERRIDE_FIELDS
-            ]
-        )
-    )
+    # exploded, so that a text is parsed once and not in every place that reads the result
+    parsed = overrides.select(*key, "field", "edit_no", F.explode(F.array(stored)).alias("stored")).where(F.col("stored").isNotNull())
+    last = parsed.groupBy(*key, "field").agg(F.max(F.struct("edit_no", "stored")).alias("e"))
+    side = last.groupBy(*key).agg(*[F.max(F.when(F.col("field") == f, F.col("e.stored"))).alias(f"set_{f}") for f in OVERRIDE_FIELDS])
     # The stored distance is validated again when used: "0.0" and five digits fall back.
     nm = F.when(
-        F.col("set_distance").rlike(r"^\d{1,4}(\.\d{1,2})?$"), F.col("set_distance").try_cast("double")
+        F.col("set_distance").rlike(DISTANCE_PATTERN), F.col("set_distance").try_cast("double")
     )
     alts = F.transform(F.split("set_altitude", ","), lambda p: p.try_cast("int"))
     base_alts = F.col("altitudes_ft") if "altitudes_ft" in legs_df.columns else F.array().cast("array<int>")
