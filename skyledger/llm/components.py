@@ -20,7 +20,7 @@ def _star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node it is linked with, for every node in `links` (a, b: long, a <> b).
+    """(node, component): the smallest node it is linked with, for every node in `links` (a, b: of one type that has an order, a <> b).
 
     The links of a round are written to the shared folder, those of the round before
     deleted; rounds grow with the logarithm of the longest chain. NULL ends are no

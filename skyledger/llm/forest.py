@@ -3,7 +3,7 @@
 A tree halves a bounded sample of the vectors again and again, each time by the
 direction between two of them, into about `leaves` leaves. Every row of the table is
 then put into its leaf of each tree. A query searches all trees through one priority queue, ordered by how far a branch lies beyond the planes passed
-so far, and takes leaves until they hold `share` of the rows (`least` at any rate).
+so far, and takes leaves until they hold `share` of the rows.
 Within each leaf its queries meet its rows as two blocks of vectors, and each query
 keeps the exact nearest ones; those of all leaves are ranked once more.
 
@@ -92,25 +92,76 @@ def search(trees: list[Tree], counts: list[np.ndarray], x: np.ndarray, rows: flo
     return out
 
 
+def _power(x: np.ndarray) -> float:
+    """A power of two by which x is brought to at most 1/4 (1 for zeros)."""
+    top = float(np.abs(x).max()) if x.size else 0.0
+    return float(np.exp2(-np.float64(min(max(np.frexp(top)[1] + 2, -1000), 1020)))) if top else 1.0
+
+
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances of paired rows in double precision, also where squares leave its range."""
+    with np.errstate(over="ignore", under="ignore"):
+        d = q - x
+        plain = np.sqrt((d * d).sum(1))
+        odd = ~((plain > 1e-140) & (plain < 1e140)) & (d != 0).any(1)
+        if odd.any():
+            d = q[odd] / 4 - x[odd] / 4
+            top = np.abs(d).max(1)
+            top[top == 0] = 1.0
+            d /= top[:, None]
+            plain[odd] = np.sqrt((d * d).sum(1)) * top * 4
+    return plain
+
+
 def nearest_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of each query, ties to the smaller id, its own id left out; distances in double precision."""
-    q, x = q.astype("float64"), x.astype("float64")
-    rough = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * (q @ x.T)
-    rough[qid[:, None] == xid[None]] = np.inf
-    kth = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-    # the quick form is off by rounding: take a little more, then measure exactly
-    i, j = np.nonzero((rough <= (kth + 1e-9 * (1 + np.abs(kth)))[:, None]) & np.isfinite(rough))
-    score = np.sqrt(((q[i] - x[j]) ** 2).sum(1))
-    order = np.lexsort((xid[j], score, i))
-    i, j, score = i[order], j[order], score[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    keep = place < k
-    return pd.DataFrame({"query_id": qid[i[keep]], "vec_id": xid[j[keep]], "score": score[keep]})
+    """The k nearest rows of each query, ties to the smaller id, its own id left out; distances in double precision.
+
+    A quick form of the distance, with a bound of its rounding error for each pair, tells
+    which rows can be among the nearest; those are measured exactly. The rows are scaled by
+    a power of two and moved to their middle before, so offsets and large numbers cost nothing.
+    """
+    by_id = np.argsort(xid, kind="stable")
+    q, x, xid = q.astype("float64"), x[by_id].astype("float64"), xid[by_id]
+    scale = min(_power(q), _power(x))
+    xs, qs = x * scale, q * scale
+    middle = xs.mean(0)
+    xs, qs = xs - middle, qs - middle
+    scale = min(_power(qs), _power(xs))
+    xs, qs = xs * scale, qs * scale
+    # rounding of both shifts, the products and their sums, with room to spare
+    eps = 8 * (x.shape[1] + 8) * np.finfo("float64").eps
+    x2 = (xs * xs).sum(1)
+    _, first = np.unique(xid, return_index=True)  # rows of one id count once
+    parts = []
+    for start in range(0, len(q), 256):
+        at = slice(start, start + 256)
+        q2 = (qs[at] * qs[at]).sum(1)
+        rough = q2[:, None] + x2[None] - 2 * (qs[at] @ xs.T)
+        slack = eps * (q2[:, None] + x2[None]) + 1e-300
+        own = qid[at][:, None] == xid[None]
+        upper = rough + slack
+        upper[own] = np.inf
+        if len(first) < len(xid):
+            upper = np.minimum.reduceat(upper, first, axis=1)
+        kth = np.partition(upper, min(k, len(first)) - 1, axis=1)[:, min(k, len(first)) - 1]
+        i, j = np.nonzero((rough - slack <= kth[:, None]) & ~own)
+        score = distances(q[at][i], x[j])
+        order = np.lexsort((score, xid[j], i))
+        i, j, score = i[order], j[order], score[order]
+        best = np.ones(len(i), bool)
+        best[1:] = (np.diff(i) != 0) | (np.diff(xid[j]) != 0)
+        i, j, score = i[best], j[best], score[best]
+        order = np.lexsort((xid[j], score, i))
+        i, j, score = i[order], j[order], score[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        parts.append((qid[at][i[keep]], xid[j[keep]], score[keep]))
+    query, found, score = (np.concatenate(c) for c in zip(*parts))
+    return pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
 
 
 def forest_neighbours(
     vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10,
-    trees: int = 16, sample: int = 65_536, leaves: int = 64, share: float = 1.1, least: int = 3000,
+    trees: int = 16, sample: int = 65_536, leaves: int = 128, share: float = 0.8,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query row, by Euclidean distance.
 
@@ -119,7 +170,8 @@ def forest_neighbours(
     not zero. A query's own id is no candidate. Rows that share an id count once, at
     their smallest distance. Fewer candidates than k give fewer rows; none give none.
     `share` trades time for recall: rows in the searched leaves, all trees together, per
-    row of the table. A query visits about `leaves` * `share` leaves at any table size. Other columns play no part.
+    row of the table, and k + 1 rows a tree at any rate, so that k are found. A query visits
+    about `leaves` * `share` leaves at any table size. Other columns play no part.
     """
     item = F.col(vector)
     sound = F.col(key).isNotNull() & F.coalesce(
@@ -152,7 +204,8 @@ def forest_neighbours(
     for r in rows.mapInPandas(sort_in, "tree int, leaf int").groupBy("tree", "leaf").count().collect():
         counts[r["tree"]][r["leaf"]] = r["count"]
     total = int(counts[0].sum()) if trees else 0
-    wanted = max(least, share * total) if total > least else float("inf")
+    # the rows of one tree's leaves are all different, so this is never fewer than k and the query itself
+    wanted = max(share * total, trees * (k + 1))
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -201,7 +254,7 @@ def forest_neighbours(
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
         unpack = lambda col: np.frombuffer(b"".join(col), kind).reshape(-1, dim)
         return nearest_of(unpack(left["v"]), left["id"].to_numpy(), unpack(right["v"]), right["id"].to_numpy(), k)
 

@@ -33,22 +33,54 @@ def same(got, want):
         assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in want[q]], abs=1e-12)
 
 
-def test_small_table_is_searched_whole(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_recall(spark, sf):
+    vectors = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
-    same(as_dict(forest.hundredth_queries(vectors).collect()), by_hand(rows, range(0, 10**6, 100)))
-
-
-def test_recall(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
-    asked = set(range(0, 2000, 50))
+    asked = set(range(0, 2000, 20))
     want = by_hand(rows, asked)
-    got = as_dict(forest.forest_neighbours(vectors, vectors.filter("vec_id % 50 = 0"), least=100).collect())
+    got = as_dict(forest.forest_neighbours(vectors, vectors.filter("vec_id % 20 = 0")).collect())
+    assert got.keys() == want.keys() and all(len(found) == 10 for found in got.values())
     hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("offset, spread, big", [(1e6, 0.01, 1), (1e200, 1e190, 1), (0.0, 1.0, 1e300), (0.0, 1e-200, 1), (3.0, 1.0, 1), (0.0, 1e150, 1e-100)])
+def test_a_block_is_exact_at_any_scale(offset, spread, big):
+    rnd = np.random.default_rng(4)
+    x = offset + rnd.normal(size=(300, 16)) * spread
+    x[::50] *= big
+    x[7] = x[8]
+    ids = rnd.permutation(300)
+    got = forest.nearest_of(x[:40], ids[:40], x, ids, 10)
+    for q in range(40):
+        with np.errstate(over="ignore"):
+            d = [(float(np.sqrt(sum((float(a) / s - float(b) / s) ** 2 for a, b in zip(x[q], y)))) * s if (s := float(np.abs(x[q] / 2 - y / 2).max())) else 0.0, int(i)) for y, i in zip(x, ids) if i != ids[q]]
+        want = sorted(d)[:10]
+        rows = got[got["query_id"] == ids[q]]
+        assert rows["score"].tolist() == pytest.approx([s for s, _ in want], rel=1e-9)
+        assert len(rows) == 10 and len({*rows["vec_id"]} & {i for _, i in want}) >= 9  # order within rounding
+
+
+def test_rows_of_one_id_count_once():
+    x = np.array([[0.0], [1.0], [1.1], [1.2], [1.3], [5.0], [6.0]])
+    got = forest.nearest_of(x[:1], np.array([9]), x, np.array([9, 3, 3, 3, 3, 4, 2]), 3)
+    assert got[["vec_id", "score"]].to_numpy().tolist() == [[3, 1.0], [4, 5.0], [2, 6.0]]
+
+
+def test_large_offsets_through_the_forest(frame):
+    rnd = np.random.default_rng(6)
+    for offset, spread in ((1e6, 0.01), (1e200, 1e198)):
+        rows = [(i, [float(v) for v in offset + rnd.normal(size=4) * spread]) for i in range(400)]
+        df = frame(rows, "vec_id long, embedding array<double>")
+        got = as_dict(forest.hundredth_queries(df).collect())
+        assert sorted(got) == [0, 100, 200, 300]
+        for q, found in got.items():
+            d = {i: float(forest.distances(np.array([rows[q][1]]), np.array([v]))[0]) for i, v in rows if i != q}
+            want = sorted(d, key=lambda i: (d[i], i))[:10]
+            assert len(found) == 10 and len({i for _, i in found} & {*want}) >= 9
+
+
 def test_odd_rows_and_hot_vectors(frame, monkeypatch):
     monkeypatch.setattr(forest, "ROW_BLOCK", 7)
     monkeypatch.setattr(forest, "QUERY_BLOCK", 3)

@@ -6,8 +6,9 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 import public_tokenizers
 from skyledger.llm import quality, tiling
+from test_jaccard import plain_set
 from test_lines import by_hand
-from test_simhash import plain_fingerprint, union
+from test_simhash import union
 from test_tiling import plain_tiles
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -17,8 +18,8 @@ def plain_run(rows, items, model):
     """rows (doc_id, text, lang, source), in order of reading; all stages, one document at a time."""
     rows = [r for r in rows if model.scores([r[1]])[0] >= corpus_pipeline.LEAST_SCORE]
     rows = [(r[0], x[1], *r[2:]) for r, x in zip(rows, by_hand([r[:2] for r in rows]))]
-    fps = [plain_fingerprint(r[1]) for r in rows]
-    root = union(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (fps[i] ^ fps[j]).bit_count() <= 2])
+    sets = [plain_set(r[1]) for r in rows]
+    root = union(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])])
     best = {}
     for i, r in enumerate(rows):
         best[root[i]] = min(best.get(root[i], (True, 0, i)), (r[0] is None, r[0] or 0, i)) if root[i] in best else (r[0] is None, r[0] or 0, i)
