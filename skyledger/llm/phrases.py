@@ -1,13 +1,17 @@
 """Phrase collocations from depth-truncated suffix trees, partitioned by word prefixes.
 
-Every word occurrence starts a suffix of at most `most` words that ends with its piece.
-Equal truncated suffixes are counted before and after a shuffle; each of them is a leaf
-with its total. The leaves are partitioned vertically: a prefix (one word, then two, then
-three) that starts more leaves than the budget is extended by a word, and all shorter
-prefixes are dealt into groups of about the budget. Each group is put in order and built
-into its subtrees by itself, and the counts of phrases are read from leaf totals.
-Prefixes that were extended, whose leaves lie in several groups, are counted while the
-partition is made.
+Every word occurrence starts a suffix of at most four words that ends with its piece. The
+suffixes are partitioned vertically by a memory budget: words are counted first, and a
+prefix that starts more suffixes than the budget is extended by a word, which takes one more
+pass over the texts that counts only what begins with such a prefix. All prefixes that were
+not extended are dealt into groups of about the budget. Each group's suffixes go to one
+task, which puts them in order, builds the truncated subtrees of its prefixes and reads the
+counts of phrases from leaf totals, independently of all other groups. Prefixes that were
+extended have been counted while partitioning.
+
+On the way to its group a suffix travels packed: a task numbers the words of its texts,
+counts equal suffixes (the leaves) and sends each group one block of leaves with the words
+used there, so hot phrases are added up before the shuffle.
 
 Phrases of at least `least` occurrences are the nodes of that tree. Cuts of a phrase and
 the phrases inside a longer one are nodes too, as a part occurs at least as often as the
@@ -16,103 +20,255 @@ whole, so scores and nesting are joins of the node table with itself.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyledger.llm.common import cut
 
-ENDS = r"[.,;:!?\x0A-\x0D]"
-GAPS = r"[\x20\x09]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ENDS = b".,;:!?\n\x0b\x0c\r"
+DEPTH = 4
+_PLAIN = bytes(range(256)).lower().translate(bytes(10 if c in ENDS else 32 if c == 9 else c for c in range(256)))
+_FLUSH = 2_000_000  # words that are numbered and counted together
+_LISTED = 100_000  # prefixes of a level that may be extended, and so broadcast
+
+
+class Words:
+    """The words of one language's texts as numbers; 0 ends a suffix, 1 a piece."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = defaultdict(count().__next__)
+        self.number[b""], self.number[b"\n"]
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: str) -> None:
+        tokens = text.encode("utf-8", "surrogatepass").translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
+        codes = np.fromiter(map(self.number.__getitem__, tokens), "int64", len(tokens))
+        codes = codes[codes > 0]
+        self.parts += [codes, np.ones(1, "int64")]
+        self.size += len(codes)
+
+    def suffixes(self) -> np.ndarray:
+        """One column per word occurrence: the numbers of its suffix, zeros past the end."""
+        codes = np.concatenate([*self.parts, np.ones(DEPTH, "int64")])
+        at = np.flatnonzero(codes > 1)
+        rows = np.zeros((DEPTH, len(at)), "int64")
+        alive = np.ones(len(at), bool)
+        for k in range(DEPTH):
+            word = codes[at + k]
+            alive &= word > 1
+            rows[k] = np.where(alive, word, 0)
+        return rows
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns in order, and for each depth whether a column begins a new prefix of that depth."""
+    pair = lambda k: rows[k] << 32 | rows[k + 1]
+    order = np.lexsort((pair(2), pair(0)))
+    rows = rows[:, order]
+    new = np.zeros((DEPTH, rows.shape[1]), bool)
+    new[:, :1] = True
+    for k in range(DEPTH):
+        new[k, 1:] = (rows[k, 1:] != rows[k, :-1]) | (new[k - 1, 1:] if k else False)
+    return order, new
+
+
+def _leaves(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The different suffixes in order, and how often each occurs."""
+    rows = words.suffixes()
+    order, new = _runs(rows)
+    starts = np.flatnonzero(new[DEPTH - 1])
+    return rows[:, order[starts]], np.diff(np.append(starts, len(order)))
+
 
+def _by_lang(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, Words]]:
+    """Words of texts in turn, one language at a time, as soon as there are enough; what is left at the end."""
+    held: dict[str, Words] = defaultdict(Words)
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"]):
+            words = held[lang]
+            words.add(text)
+            if words.size >= _FLUSH or len(words.number) >= _FLUSH // 4:
+                yield lang, words
+                words.clear()
+        if sum(w.size for w in held.values()) >= 2 * _FLUSH:  # many languages, little of each
+            yield from held.items()
+            held.clear()
+    yield from held.items()
 
-def leaves(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 4) -> DataFrame:
-    """(lang, w1.., c): the truncated suffixes that occur, and how often; words past a suffix's end are NULL."""
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)
-    pieces = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.explode(F.split(low, ENDS)).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split("piece", GAPS), "").alias("w")).filter(F.size("w") > 0)
-    after = [F.col("w")] + [F.slice("w", F.lit(k), F.greatest(F.size("w") - k + 1, F.lit(0))) for k in range(2, most + 1)]
-    # the longest array is the first, so there is one row per word
-    suffixes = words.select("lang", F.inline(F.arrays_zip(*[a.alias(f"w{k}") for k, a in enumerate(after, 1)])).alias(*_names(most)))
-    return suffixes.groupBy("lang", *_names(most)).agg(F.count("*").alias("c"))
 
+class Partition:
+    """Prefixes to be extended, by language and number of words, and the number of groups."""
 
-def _names(most: int) -> list[str]:
-    return [f"w{k}" for k in range(1, most + 1)]
+    def __init__(self, heavy: Iterable[tuple[str, bytes]], groups: int):
+        self.groups = groups
+        self.heavy: dict[str, list[list[tuple[bytes, ...]]]] = defaultdict(lambda: [[] for _ in range(DEPTH)])
+        for lang, prefix in heavy:
+            words = tuple(prefix.split(b" "))
+            self.heavy[lang][len(words)].append(words)
 
+    def __reduce__(self):
+        return Partition, ([(lang, b" ".join(p)) for lang, levels in self.heavy.items() for level in levels for p in level], self.groups)
 
-def _same(names: list[str]) -> Column:
-    """Equality of two tables' prefixes, aliased l and r; a suffix's end equals itself."""
-    out = F.col("l.lang") == F.col("r.lang")
-    for c in names:
-        out &= F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return out
+    def begins(self, lang: str, depth: int, number: dict[bytes, int], rows: np.ndarray) -> np.ndarray:
+        """Which columns begin with a listed prefix of `depth` words."""
+        known = [[number.get(w, -1) for w in p] for p in self.heavy[lang][depth]] if lang in self.heavy else []
+        known = np.array([p for p in known if min(p) > 1], "int64").reshape(-1, depth)
+        out = np.zeros(rows.shape[1], bool)
+        if len(known):
+            top = max(number.values()) + 1
+            some = np.flatnonzero(np.isin(rows[0], known[:, 0]))
+            # prefixes as numbers: each depth numbers the pairs of the one before and its word
+            a, b = rows[0, some], known[:, 0]
+            for k in range(1, depth):
+                ids, both = np.unique(np.concatenate([a * top + rows[k, some], b * top + known[:, k]]), return_inverse=True)
+                a, b = both[: len(a)], both[len(a) :]
+            out[some] = np.isin(a, b)
+        return out
 
+    def route(self, lang: str, number: dict[bytes, int], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group, words of the prefix that decides it) of each column."""
+        hashed = np.array([0, 0] + [xxhash.xxh64_intdigest(w) for w in list(number)[2:]], "uint64")
+        mix = np.uint64(0x9E3779B97F4A7C15)
+        key = hashed[rows[0]] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 1))
+        depth = np.ones(rows.shape[1], "int64")
+        more = np.ones(rows.shape[1], bool)
+        for k in range(1, DEPTH):
+            more &= self.begins(lang, k, number, rows)
+            if not more.any():
+                break
+            key[more] = (key[more] * mix ^ key[more] >> np.uint64(29)) + hashed[rows[k, more]]
+            depth[more] = k + 1
+        key = (key ^ key >> np.uint64(31)) * mix
+        return (key >> np.uint64(20)) % np.uint64(self.groups), depth
 
-def nodes(leaf: DataFrame, least: int, most: int = 4, budget: int = 200_000) -> DataFrame:
-    """(lang, phrase, size, f): all phrases of at most `most` words and at least `least` occurrences.
 
-    leaf: (lang, w1.., c), one row per suffix. `budget`: leaves of one group of subtrees,
-    those that one task holds at a time (a group may hold a few times as many, as
-    prefixes are dealt by hash).
+def _counts(part: Partition | None, depth: int):
+    """Counts words of a prefix that is to be extended with `depth` words; all words at depth 1, and their sum without a word."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lang, words in _by_lang(batches):
+            names = list(words.number)
+            if depth == 1:
+                codes, c = np.unique(np.concatenate([np.zeros(0, "int64"), *words.parts]), return_counts=True)
+                found, c = [names[i] for i in codes.tolist()], c.tolist()
+                if found and found[0] == b"\n":
+                    found, c = found[1:], c[1:]
+                found, c = [*found, None], [*c, sum(c)]
+            else:
+                leaf, c = _leaves(words)
+                some = part.begins(lang, depth - 1, words.number, leaf) & (leaf[depth - 1] > 0)
+                total = Counter()
+                for k, n in zip(zip(*leaf[:depth, some].tolist()), c[some].tolist()):
+                    total[k] += n
+                found, c = [b" ".join(names[i] for i in k) for k in total], list(total.values())
+            yield pd.DataFrame({"lang": np.full(len(found), lang, object), "prefix": np.array(found, object), "c": np.array(c, "int64")})
+
+    return run
+
+
+def _send(part: Partition):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(1).compress
+        for lang, words in _by_lang(batches):
+            leaf, c = _leaves(words)
+            if not leaf.size:
+                continue
+            names = np.array(list(words.number), object)
+            group, depth = part.route(lang, words.number, leaf)
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else []
+            for a, b in zip(starts, [*starts[1:], len(order)]):
+                at = order[a:b]
+                used, own = np.unique(leaf[:, at], return_inverse=True)
+                data = np.concatenate([own.reshape(DEPTH, -1) + int(used[0] > 0), c[at][None], depth[at][None]]).astype("<u4")
+                text = b" ".join(names[used[used > 0]])
+                yield pd.DataFrame({"group": [int(group[at[0]])], "lang": [lang], "words": [pack(text)], "leaves": [pack(data.tobytes())]})
+
+    return run
+
+
+def _subtrees(least: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor().decompress
+        lang, phrase, size, f = [], [], [], []
+        for name, part in rows.groupby("lang"):
+            number = defaultdict(count(1).__next__)
+            blocks = []
+            for words, leaves in zip(part["words"], part["leaves"]):
+                own = np.array([0, *map(number.__getitem__, unpack(words).split(b" "))], "int64")
+                data = np.frombuffer(unpack(leaves), "<u4").reshape(DEPTH + 2, -1).astype("int64")
+                data[:DEPTH] = own[data[:DEPTH]]
+                blocks.append(data)
+            data = np.concatenate(blocks, axis=1)
+            del blocks
+            order, new = _runs(data[:DEPTH])
+            names = [None, *number]
+            totals, route = data[DEPTH][order], data[DEPTH + 1][order]
+            for k in range(DEPTH):
+                starts = np.flatnonzero(new[k])
+                sums = np.add.reduceat(totals, starts)
+                first = order[starts]
+                node = (sums >= least) & (data[k, first] > 0) & (route[starts] <= k + 1)
+                phrase += [b" ".join([names[i] for i in w]).decode("utf-8", "surrogatepass") for w in data[: k + 1, first[node]].T.tolist()]
+                f += sums[node].tolist()
+                size += [k + 1] * int(node.sum())
+                lang += [name] * int(node.sum())
+        return pd.DataFrame({"lang": np.array(lang, object), "phrase": np.array(phrase, object), "size": np.array(size, "int32"), "f": np.array(f, "int64")})
+
+    return run
+
+
+def nodes(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, budget: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, size, f): all phrases of at most four words and at least `least` occurrences; (lang, n): all words.
+
+    `budget`: suffixes of one group of subtrees, those that one task holds (as leaves that
+    are added up, and by chance somewhat more, as prefixes are dealt by hash). It grows
+    with the input beyond `_LISTED` times itself, so that the broadcast list of extended
+    prefixes keeps its bound.
     """
-    names = _names(most)
-    routed, heavy = leaf.withColumn("route", F.lit(1)), []
-    for depth in range(1, most):
-        prefix = ["lang", *names[:depth]]
-        # only what begins with a heavy prefix is counted at the next depth
-        counted = routed.filter(F.col("route") == depth).groupBy(*prefix).agg(F.sum("c").alias("f"), F.count("*").alias("rows"))
-        big = cut(counted.filter(F.col("rows") > budget).select(*prefix, "f"))
-        heavy.append(big)
-        if big.isEmpty():
+    texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    tally = lambda part, depth: texts.mapInPandas(_counts(part, depth), "lang string, prefix binary, c long").groupBy("lang", "prefix").agg(F.sum("c").alias("f"))
+    first = cut(tally(None, 1).filter(F.col("prefix").isNull() | (F.col("f") > budget)))
+    n = first.filter("prefix IS NULL AND f > 0").select("lang", F.col("f").alias("n"))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    budget = max(budget, -(-total // _LISTED))
+    level, heavy, listed = first.filter(F.col("prefix").isNotNull() & (F.col("f") > budget)), [], []
+    for depth in range(1, DEPTH):
+        found = level.collect()  # at most total / budget
+        if not found:
             break
-        found = routed.alias("l").join(big.withColumn("more", F.lit(1)).alias("r"), _same(names[:depth]), "left")
-        routed = found.select("l.lang", *[f"l.{c}" for c in names], "l.c", (F.col("l.route") + F.coalesce("r.more", F.lit(0))).alias("route"))
-    total = leaf.count()
-    groups = max(1, -(-total // budget))
-    cuts = [F.when(F.col("route") >= k, F.col(c)) for k, c in enumerate(names, 1)]
-    dealt = routed.withColumn("group", F.pmod(F.xxhash64("lang", *cuts), F.lit(groups)))
-
-    def subtrees(rows: pd.DataFrame) -> pd.DataFrame:
-        symbols = [pd.factorize(rows[c])[0] for c in ("lang", *names)]  # -1 past the end
-        order = np.lexsort(symbols[::-1])
-        totals, route = rows["c"].to_numpy("int64")[order], rows["route"].to_numpy()[order]
-        columns = [rows[c].to_numpy(object) for c in ("lang", *names)]
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        new[1:] |= np.diff(symbols[0][order]) != 0
-        lang, phrase, size, count = [], [], [], []
-        for depth in range(1, most + 1):
-            own = symbols[depth][order]
-            new[1:] |= np.diff(own) != 0
-            starts = np.flatnonzero(new)
-            f = np.add.reduceat(totals, starts)
-            node = (f >= least) & (own[starts] >= 0) & (route[starts] <= depth)
-            at = order[starts[node]]
-            lang += columns[0][at].tolist()
-            phrase += [" ".join(w) for w in zip(*[columns[k][at] for k in range(1, depth + 1)])]
-            size += [depth] * len(at)
-            count += f[node].tolist()
-        return pd.DataFrame({"lang": np.array(lang, object), "phrase": np.array(phrase, object), "size": np.array(size, "int32"), "f": np.array(count, "int64")})
-
-    found = dealt.groupBy("group").applyInPandas(subtrees, "lang string, phrase string, size int, f long")
-    for depth, big in enumerate(heavy, 1):
-        # a prefix past its suffix's end is no node
-        whole = big.filter(F.col(names[depth - 1]).isNotNull() & (F.col("f") >= least))
-        found = found.unionByName(whole.select("lang", F.concat_ws(" ", *names[:depth]).alias("phrase"), F.lit(depth).alias("size"), "f"))
-    return found
+        heavy.append(level.withColumn("size", F.lit(depth)))
+        listed += [(r["lang"], bytes(r["prefix"])) for r in found]
+        if depth + 1 < DEPTH:
+            level = cut(tally(Partition(listed, 1), depth + 1).filter(F.col("f") > budget))
+    part = Partition(listed, max(1, -(-total // budget)))
+    sent = texts.mapInPandas(_send(part), "group long, lang string, words binary, leaves binary")
+    tree = sent.groupBy("group").applyInPandas(_subtrees(least), "lang string, phrase string, size int, f long")
+    for level in heavy:
+        tree = tree.unionByName(level.filter(F.col("f") >= least).select("lang", F.decode("prefix", "UTF-8").alias("phrase"), "size", "f"))
+    return cut(tree), n
 
 
 def collocations(
-    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, most: int = 4, top: int | None = 2000, inside: int = 80, budget: int = 200_000
+    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int | None = 2000, inside: int = 80, budget: int = 2_000_000
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the collocations of each language, best first.
 
-    Texts are lower-cased in A-Z and split at `ENDS` into pieces, and those at `GAPS`
-    into words. a, l and r are the occurrences of a phrase of 2 to `most` words and of the
+    Texts are lower-cased in A-Z and split at `ENDS` into pieces, and those at
+    spaces and tabs into words. a, l and r are the occurrences of a phrase of 2 to 4 words and of the
     two parts at its worst cut (the lowest score, then the shortest first part), n those of
     all words, score = floor(2000000 * a / (l + r)). Phrases below `least` occurrences go,
     and those inside a longer one that has `inside` percent of their occurrences or more.
@@ -122,8 +278,12 @@ def collocations(
     row counts again. A text is split whole, whatever its length. An empty table, or one
     without phrases, gives an empty result. Other columns play no part.
     """
-    leaf = cut(leaves(docs, text, lang, most))
-    tree = cut(nodes(leaf, least, most, budget))
+    tree, n = nodes(docs, text, lang, least, budget)
+    return ranked(tree, n, top, inside)
+
+
+def ranked(tree: DataFrame, n: DataFrame, top: int | None = 2000, inside: int = 80) -> DataFrame:
+    """The collocations of a node table (lang, phrase, size, f) and its languages' words (lang, n), see collocations()."""
     words = F.split("phrase", " ")
     longer = tree.filter(F.col("size") >= 2).select("lang", "phrase", "size", F.col("f").alias("a"), words.alias("w"))
 
@@ -142,7 +302,6 @@ def collocations(
     covers = longer.filter(F.col("size") >= 3).select("lang", F.explode(parts).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
     covered = F.coalesce(wide("longest") * 100 >= wide("a") * inside, F.lit(False))
     kept = worst.join(covers, ["lang", "phrase"], "left").filter(~covered)
-    n = leaf.groupBy("lang").agg(F.sum("c").alias("n"))
     out = kept.select("lang", "phrase", "a", "cut.*").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
     if top is not None:
         out = out.filter(F.col("rank") <= top)

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pandas as pd
 
 from skyledger.llm import phrases
 
@@ -50,7 +51,7 @@ def corpus(seed=1, texts=160):
 def test_small_corpus_equals_brute_force_with_any_budget(frame):
     rows = corpus()
     docs = frame(rows, "text string, lang string").selectExpr("*", "'x' AS phrase", "1 AS c", "2 AS w1", "3 AS `group`")
-    for budget in (200_000, 40, 3):  # 40 and 3: prefixes are extended to two and three words
+    for budget in (2_000_000, 150, 8, 1):  # the smaller, the more prefixes are extended, to four words
         assert rows_of(phrases.collocations(docs, least=8, budget=budget)) == plain(rows, 8) != []
     assert rows_of(phrases.collocations(docs, least=8, top=3, inside=101)) == plain(rows, 8, 3, 101)
 
@@ -72,8 +73,29 @@ def test_odd_rows(frame):
     assert phrases.collocations(frame(rows, "text string, lang string").limit(0)).count() == 0
 
 
-def test_counts_past_64_bits(frame, spark):
+def test_counts_past_64_bits(frame):
     big = 4 * 10**18
-    leaf = frame([("en", "a", "b", None, None, big), ("en", "b", None, None, None, big)], "lang string, w1 string, w2 string, w3 string, w4 string, c long")
-    got = {r.phrase: r.f for r in phrases.nodes(leaf, 30).collect()}
-    assert got == {"a": big, "a b": big, "b": big}
+    tree = frame([("en", "a", 1, big), ("en", "b", 1, big + 5), ("en", "a b", 2, big - 1)], "lang string, phrase string, size int, f long")
+    n = frame([("en", big + 7)], "lang string, n long")
+    assert rows_of(phrases.ranked(tree, n)) == [("en", 1, "a b", big - 1, big, big + 5, big + 7, 2_000_000 * (big - 1) // (2 * big + 5))]
+
+
+def test_blocks_of_a_few_words_give_the_same(frame, monkeypatch):
+    rows = corpus(5, 60)
+    many = [(t, f"l{i % 7}") for i, (t, _) in enumerate(rows)]
+    want, want_many = plain(rows, 6), plain(many, 3)
+    monkeypatch.setattr(phrases, "_FLUSH", 50)  # the driver's copy: the functions run here
+    for given, least, expected in ((rows, 6, want), (many, 3, want_many)):
+        texts = [pd.DataFrame({"lang": ["und" if x is None else x for _, x in given], "text": [t for t, _ in given]})]
+        part = phrases.Partition([("en", b"the"), ("en", b"in the"), ("l1", b"w1")], 5)
+        sent = pd.concat(list(phrases._send(part)(iter(texts))))
+        tree = pd.concat([phrases._subtrees(least)(g) for _, g in sent.groupby("group")])
+        got = {(r.lang, r.phrase): r.f for r in tree.itertuples()}
+        f = Counter()
+        for text, lang in given:
+            low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+            for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+                w = re.findall(r"[^\x20\x09]+", piece)
+                f.update(("und" if lang is None else lang, " ".join(w[i : i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+        extended = {("en", "the"), ("l1", "w1")}  # "in the" is listed, but not "in"
+        assert got == {k: v for k, v in f.items() if v >= least and k not in extended} and expected
