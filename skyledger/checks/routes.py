@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skyledger.functions import registry, sqltext
+from skyledger.functions import mercator, registry, sqltext
 from skyledger.operators import routes
 from skyledger.plans.views import load, oracle
 from skyledger.session import checkpoint_dir
@@ -348,17 +348,50 @@ def sql_functions(spark, sf):
         "round(coord_lat(coord_text(lat, lon)) * 60D, 0) AS lat_minutes", "round(coord_lon(coord_text(lat, lon)) * 60D, 0) AS lon_minutes",
         "coord_lat(replace(coord_text(lat, lon), 'N', '9')) AS no_lat", "tile_x(lon, 13) AS x", "tile_y(lat, 13) AS y",
         "hms(leg_seconds(gc_nm(lat, lon, 31D, 35D), 90D)) AS took", "round(circular_diff(lat * 10, 5D), 6) AS apart",
+        "round(axis_diff(lat * 10, 5D), 6) AS axis", "round(bisector(CAST(click_id % 72 * 5 AS DOUBLE), CAST(click_id % 72 * 5 + (click_id DIV 72) % 5 * 45 AS DOUBLE)), 6) AS half",
+        "shown_bearing(mag_bearing(lat, lon, 31D, 35D, 5D)) AS shown", "round(world_px_x(lon, 13), 4) AS px", "round(world_px_y(lat, 13), 4) AS py",
+        "round(metres_per_pixel(lat, 13), 6) AS mpp", "round(view_width(lat, lon, lon + 0.5D), 6) AS wide",
+        "round(lcc_x(lat, lon), 9) AS cx", "round(lcc_y(lat, lon), 9) AS cy",
+        "round(lcc_lat(lcc_x(lat, lon), lcc_y(lat, lon)), 8) AS back_lat", "round(lcc_lon(lcc_x(lat, lon), lcc_y(lat, lon)), 8) AS back_lon",
+        "round(leg_fraction(30D, 34.2D, 32.5D, 35.1D, lat, lon), 9) AS part", "round(leg_distance(30D, 34.2D, 32.5D, 35.1D, lat, lon), 6) AS away",
+        "round(leg_overshoot(30D, 34.2D, 32.5D, 35.1D, lat, lon), 6) AS past", "leg_side(30D, 34.2D, 32.5D, 35.1D, lat, lon) AS side",
+        "round(sheet_coord(lat, lon, 20D, 1.5D, 0.4D), 8) AS u",
+        "round(sheet_lat(lcc_x(lat, lon) * 20D, lcc_y(lat, lon) * 20D, 0.05D, 0D, 0D, 0D, 0.05D, 0D), 8) AS sheet_lat",
+        "round(sheet_lon(lcc_x(lat, lon) * 20D, lcc_y(lat, lon) * 20D, 0.05D, 0D, 0D, 0D, 0.05D, 0D), 8) AS sheet_lon",
+        "round(crop_coord(CAST(click_id % 700 AS DOUBLE), 144D, 100D, 900D), 9) AS crop",
+        "round(ring_area2(array(struct(0D AS x, 0D AS y), struct(lon AS x, 0D AS y), struct(lon AS x, lat AS y), struct(0D AS x, lat AS y))), 6) AS area2",
+        "round(ring_axis(array(struct(0D AS x, 0D AS y), struct(lon AS x, 0D AS y), struct(lon AS x, -lat AS y))), 6) AS axis_of",
+        "canonical_url(concat(' HTTPS://charts.example/a b/', CAST(click_id AS STRING), '.pdf?q=%20 ')) AS url",
     )
 
 
 _nm, _brg = sqltext.gc("lat", "lon", "31e0", "35e0"), sqltext.bearing("lat", "lon", "31e0", "35e0")
 _sec = f"CAST(round_even({_nm} / 90e0 * 3600e0, 0) AS BIGINT)"
+_apart = "least(fmod(lat * 10 - 5e0 + 360e0, 360e0), 360e0 - fmod(lat * 10 - 5e0 + 360e0, 360e0))"
 ORACLES_SQL_FUNCTIONS = f"""
+WITH {sqltext.LCC.lstrip()}
 SELECT click_id, round({_nm}, 6) AS nm, round({_brg}, 6) AS brg, round(fmod({_brg} - 5e0 + 360e0, 360e0), 6) AS mag, {sqltext.coord('lat', 'lon')} AS token,
   floor(lat) * 60e0 + round_even((lat - floor(lat)) * 60e0, 0) AS lat_minutes, floor(lon) * 60e0 + round_even((lon - floor(lon)) * 60e0, 0) AS lon_minutes, CAST(NULL AS DOUBLE) AS no_lat,
   {sqltext.tile_x('lon', '13')} AS x, {sqltext.tile_y('lat', '13')} AS y,
-  printf('%02d:%02d:%02d', {_sec} // 3600, {_sec} % 3600 // 60, {_sec} % 60) AS took, round(least(fmod(lat * 10 - 5e0 + 360e0, 360e0), 360e0 - fmod(lat * 10 - 5e0 + 360e0, 360e0)), 6) AS apart
-FROM click
+  printf('%02d:%02d:%02d', {_sec} // 3600, {_sec} % 3600 // 60, {_sec} % 60) AS took, round(least(fmod(lat * 10 - 5e0 + 360e0, 360e0), 360e0 - fmod(lat * 10 - 5e0 + 360e0, 360e0)), 6) AS apart,
+  round(least({_apart}, 180e0 - {_apart}), 6) AS axis,
+  round(fmod(CASE WHEN (click_id // 72) % 5 = 4 THEN click_id % 72 * 5 + 90e0 ELSE click_id % 72 * 5 + (click_id // 72) % 5 * 22.5e0 END, 360e0), 6) AS half,
+  CAST((CAST(floor(fmod({_brg} - 5e0 + 360e0, 360e0) - 0.5e0) AS INT) + 360) % 360 AS INT) AS shown,
+  round((lon + 180e0) / 360e0 * 256 * 8192, 4) AS px, round((1e0 - ln(tan(radians(lat)) + 1e0 / cos(radians(lat))) / pi()) / 2e0 * 256 * 8192, 4) AS py,
+  round({mercator.EARTH_CIRCUMFERENCE_M!r}::DOUBLE * cos(radians(lat)) / (256 * 8192), 6) AS mpp,
+  round(2e0 * 3440.065e0 * asin(cos(radians(lat)) * sin(radians(0.5e0) / 2)), 6) AS wide,
+  round({sqltext.lcc_x('lat', 'lon')}, 9) AS cx, round({sqltext.lcc_y('lat', 'lon')}, 9) AS cy, round(lat, 8) AS back_lat, round(lon, 8) AS back_lon,
+  round(t, 9) AS part,
+  round(CASE WHEN t <= 0 THEN {sqltext.gc('lat', 'lon', '30e0', '34.2e0')} WHEN t >= 1 THEN {sqltext.gc('lat', 'lon', '32.5e0', '35.1e0')} ELSE sqrt(pow(wx - t * ex, 2) + pow(wy - t * ey, 2)) END, 6) AS away,
+  round(greatest(0e0, -t, t - 1e0) * sqrt(ex * ex + ey * ey), 6) AS past,
+  CAST(CASE WHEN side > 1e-12 THEN 1 WHEN side < -1e-12 THEN -1 ELSE 0 END AS INT) AS side,
+  round(20e0 * {sqltext.lcc_x('lat', 'lon')} + 1.5e0 * {sqltext.lcc_y('lat', 'lon')} + 0.4e0, 8) AS u, round(lat, 8) AS sheet_lat, round(lon, 8) AS sheet_lon,
+  CASE WHEN (click_id % 700 * 2e0 - 100e0) / 900e0 BETWEEN 0 AND 1 THEN round((click_id % 700 * 2e0 - 100e0) / 900e0, 9) END AS crop,
+  round(2e0 * lat * lon, 6) AS area2, round(degrees(atan2(lon, lat)), 6) AS axis_of,
+  'https://charts.example/a%20b/' || click_id || '.pdf?q=%20' AS url
+FROM (SELECT *, (wx * ex + wy * ey) / (ex * ex + ey * ey) AS t FROM (
+  SELECT *, 0.9e0 * k AS ex, 150e0 AS ey, (lon - 34.2e0) * k AS wx, (lat - 30e0) * 60e0 AS wy, 0.9e0 * (lat - 30e0) - 2.5e0 * (lon - 34.2e0) AS side
+  FROM (SELECT *, cos(radians(31.25e0)) * 60e0 AS k FROM click, lcc)))
 """
 QUERIES["sql_functions"] = sql_functions
 ORACLES["sql_functions"] = oracle(ORACLES_SQL_FUNCTIONS, "click")

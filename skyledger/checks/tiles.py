@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skyledger.functions import mercator, sqltext
+from skyledger.functions import mercator, registry, sqltext
 from skyledger.operators import tiles
 from skyledger.plans.views import load, oracle
 
@@ -35,6 +35,18 @@ QUERIES["tiles_for_boxes"] = lambda spark, sf: tiles.tiles_for_boxes(load(spark,
 ORACLES["tiles_for_boxes"] = oracle("WITH " + BOXED.lstrip() + " SELECT box_id, z, x, y FROM boxed", "box")
 
 
+def tiles_in_sql(spark, sf):
+    """The table function beside a table of boxes, for each zoom that the box names."""
+    registry.register(spark)
+    zooms = F.explode(F.array(*[F.lit(z) for z in ZOOMS]))
+    boxes = load(spark, sf, "box").withColumn("zoom", zooms)
+    return spark.sql("SELECT b.box_id, t.z, t.x, t.y FROM {boxes} AS b, LATERAL tiles_for_box(b.min_lat, b.max_lat, b.min_lon, b.max_lon, b.zoom) AS t", boxes=boxes)
+
+
+QUERIES["tiles_for_boxes_sql"] = tiles_in_sql
+ORACLES["tiles_for_boxes_sql"] = ORACLES["tiles_for_boxes"]
+
+
 def missing(spark, sf):
     provider = F.when(F.col("box_id") % 2 == 0, "prov0").otherwise("prov1")
     required = tiles.tiles_for_boxes(load(spark, sf, "box"), ZOOMS).withColumn("provider", provider)

@@ -100,3 +100,22 @@ def test_sql_coordinates_follow_the_same_rules(spark):
     back = df.where("coord_lat(t) is not null").select("t", F.expr("coord_text(coord_lat(t), coord_lon(t))").alias("s")).collect()
     assert all(r.s == r.t for r in back)
     assert spark.sql("SELECT bisector(350D, 20D) AS b").first().b == pytest.approx(5.0)
+
+
+def test_sql_geometry_agrees_with_columns(spark):
+    from skyledger.sources import charts
+
+    registry.register(spark)
+    pairs = spark.range(72 * 3).selectExpr("CAST(id % 72 * 5 AS DOUBLE) AS a", "CAST(id % 72 * 5 + 180 + (id DIV 72) * 35 AS DOUBLE) AS b")
+    for r in pairs.select("a", "b", F.expr("bisector(a, b)").alias("s"), geo.bisector_deg(F.col("a"), F.col("b")).alias("c")).collect():
+        assert r.s == pytest.approx(r.c, abs=1e-9)
+    legs = spark.createDataFrame([(31.0, 35.0, 31.5, 35.2, p, q) for p in (30.9, 31.2, 31.6) for q in (34.9, 35.1, 35.3)] + [(31.0, 35.0, 31.0, 35.0, 31.1, 35.0)], "a_lat double, a_lon double, b_lat double, b_lon double, p_lat double, p_lon double")
+    args = [F.col(c) for c in legs.columns]
+    for name, column in (("fraction", geo.leg_fraction), ("distance", geo.leg_distance_nm), ("overshoot", geo.leg_overshoot_nm), ("side", geo.leg_side)):
+        for r in legs.select(F.expr(f"leg_{name}({', '.join(legs.columns)})").alias("s"), column(*args).alias("c")).collect():
+            assert r.s == (r.c if r.c is None else pytest.approx(r.c, abs=1e-12))
+    urls = spark.createDataFrame([(u,) for u in (" HTTP://h/a b?c=%20#d e ", "no scheme/ü'x", "x:y", "", "file:///a\"b")], "url string")
+    for r in urls.select(F.expr("canonical_url(url)").alias("s"), charts.canonical_url(F.col("url")).alias("c")).collect():
+        assert r.s == r.c
+    row = spark.sql("SELECT ring_area2(array()) AS e, ring_axis(array(struct(0D AS x, 0D AS y))) AS none, view_width(0D, 0D, 1D) AS w, crop_coord(10D, 72D, 0D, 0D) AS bad").first()
+    assert (row.e, row.none, row.bad) == (0.0, None, None) and row.w == pytest.approx(3440.065 * 3.141592653589793 / 180)
