@@ -133,11 +133,26 @@ WHERE NOT EXISTS (SELECT 1 FROM seen b WHERE b.callsign = a.callsign AND b.t = a
   AND t + INTERVAL '61 minutes' <= last - INTERVAL '10 minutes'
 """, "ping")
 
+def replay_stream(spark, sf):
+    """Edits landed by spans of five days, a seventh of them one span late; what is final when the stream ends."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    log = load(spark, sf, "route_edit")
+    span = F.floor(F.unix_timestamp("edit_ts") / (5 * 86400)) + (F.col("edit_no") % 7 == 3).cast("int")
+    log = log.withColumn("span", span)
+    for number in sorted(r[0] for r in log.select("span").distinct().collect()):
+        log.where(F.col("span") == number).drop("span").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    landed = spark.readStream.schema(log.drop("span").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream = edits.edit_stream(landed.withWatermark("edit_ts", "11 days"), load(spark, sf, "waypoint"))
+    return edits.current_routes(_finish(spark, stream, "append"))
+
+
+QUERIES["route_replay_stream"] = replay_stream
+
 QUERIES["route_replay"] = lambda spark, sf: edits.replay_edits(load(spark, sf, "route_edit"), load(spark, sf, "waypoint"))
 # Edit by edit, every plan's route as a list.
 _near = sqltext.gc("r.lat", "r.lon", "w.lat", "w.lon")
 _to = sqltext.gc("e.lat", "e.lon", "p.lat", "p.lon")
-ORACLES["route_replay"] = oracle(f"""
+REPLAYED = f"""
 WITH RECURSIVE snap AS (
   SELECT r.plan_id, r.edit_no, w.code, w.lat, w.lon, row_number() OVER (PARTITION BY r.plan_id, r.edit_no ORDER BY {_near}, w.idx) AS rn
   FROM route_edit r JOIN waypoint w ON r.action = 'add' AND abs(w.lat - r.lat) < 1 AND {_near} < {spatial.SNAP_NM!r}
@@ -163,4 +178,11 @@ ended AS (SELECT plan_id, arg_max(route, k) AS route FROM walk GROUP BY plan_id)
 SELECT plan_id, CAST(unnest(range(len(route))) AS INT) AS seq, unnest(list_transform(route, lambda p: p.is_wp)) AS is_wp,
   unnest(list_transform(route, lambda p: p.code)) AS code, unnest(list_transform(route, lambda p: p.lat)) AS lat, unnest(list_transform(route, lambda p: p.lon)) AS lon
 FROM ended
-""", "route_edit", "waypoint")
+"""
+ORACLES["route_replay"] = oracle(REPLAYED, "route_edit", "waypoint")
+# Edits that the watermark (11 days behind) has not passed are not applied yet.
+ORACLES["route_replay_stream"] = oracle(
+    REPLAYED.replace("FROM route_edit r JOIN", "FROM final r JOIN").replace("FROM route_edit r LEFT JOIN", "FROM final r LEFT JOIN").replace(
+        "WITH RECURSIVE snap AS", "WITH RECURSIVE final AS (SELECT * FROM route_edit WHERE edit_ts <= (SELECT max(edit_ts) FROM route_edit) - INTERVAL '11 days'), snap AS"
+    ), "route_edit", "waypoint")
+

@@ -272,13 +272,14 @@ SELECT p_partkey DIV 60 AS edition, p_partkey % 60 AS ord,
   34.2e0 + CAST((p_partkey * 6007) % 17000 AS DOUBLE) / 10009e0 AS lon
 FROM part
 """
-# Route edits per user: adds on or beside waypoints, removes, and a few clears.
+# Route edits per user, a third of all on one plan: adds on or beside waypoints, removes, and a few clears.
 VIEWS["route_edit"] = """
-SELECT user_id AS plan_id, event_id AS edit_no,
-  CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_id % 5 = 4 THEN 'remove' ELSE 'add' END AS action,
+SELECT plan_id, event_id AS edit_no, edit_ts,
+  CASE WHEN event_id % 97 = 0 AND (plan_id > 0 OR event_id % 10 = 0) THEN 'clear' WHEN event_id % 5 = 4 THEN 'remove' ELSE 'add' END AS action,
   29.4e0 + CAST((k * 37) % 390 AS DOUBLE) / 100e0 + CASE WHEN event_id % 3 = 0 THEN 0.04e0 ELSE 0.004e0 END AS lat,
   34.1e0 + CAST((k * 53) % 180 AS DOUBLE) / 100e0 AS lon
-FROM (SELECT event_id, user_id, (event_id - CASE WHEN event_id % 5 = 4 THEN 1 ELSE 0 END) * 7 % 97 AS k FROM events) t
+FROM (SELECT event_id, CASE WHEN event_id % 9 < 3 THEN 0 ELSE user_id + 1 END AS plan_id, date_trunc('second', ts) AS edit_ts,
+        (event_id - CASE WHEN event_id % 5 = 4 THEN 1 ELSE 0 END) * 7 % 97 AS k FROM events) t
 """
 # Fingerprints of chart files: present state and what the last ingest recorded.
 VIEWS["source_now"] = """

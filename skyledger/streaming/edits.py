@@ -17,32 +17,82 @@ from skyledger.streaming.traffic import use_rocksdb
 ROUTE_SCHEMA = "plan_id bigint, seq int, is_wp boolean, code string, lat double, lon double"
 
 
-def _editor(remove_nm: float, tolerance: float, radius_km: float, km_per_nm: float):
-    """One edit applied to a route (a list of (is_wp, code, lat, lon)), as a closure."""
+def _route(remove_nm: float, tolerance: float, radius_km: float, km_per_nm: float, degree_nm: float, margin: float):
+    """The class of a route that edits are applied to, as a closure for workers."""
     import math
 
+    height = remove_nm / degree_nm * margin
+
+    def width(band: int) -> float:
+        poleward = min(max(abs(band * height), abs((band + 1) * height)) + height, 89.0)
+        return height / math.cos(math.radians(poleward))
+
     def nm(a: float, o: float, b: float, q: float) -> float:
         p, r = math.radians(a), math.radians(b)
         h = math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin(math.radians(q - o) / 2) ** 2
         return 2 * radius_km / km_per_nm * math.atan2(math.sqrt(h), math.sqrt(1 - h))
 
-    def apply(route: list, action: str, lat: float, lon: float, code, wp_lat, wp_lon) -> None:
-        if action == "clear":
-            route.clear()
-        elif action == "remove":
-            near = [(nm(lat, lon, p[2], p[3]), i) for i, p in enumerate(route)]
-            best = min((d for d in near if d[0] < remove_nm), default=None)
+    class Route:
+        """Points (is_wp, code, lat, lon) by a rising order key, and their keys by grid cell.
+
+        A removal looks at the cells around the click, not at the whole route.
+        """
+
+        def __init__(self):
+            self.points: dict[int, tuple] = {}
+            self.cells: dict[tuple, set] = {}
+            self.next = 0
+
+        def _cell(self, lat: float, lon: float) -> tuple:
+            band = math.floor(lat / height)
+            return band, math.floor(lon / width(band))
+
+        def append(self, point: tuple, key: int | None = None) -> None:
+            key = self.next if key is None else key
+            self.points[key] = point
+            self.cells.setdefault(self._cell(point[2], point[3]), set()).add(key)
+            self.next = key + 1
+
+        def last(self):
+            return self.points[next(reversed(self.points))] if self.points else None
+
+        def remove_near(self, lat: float, lon: float) -> None:
+            best = None
+            band = math.floor(lat / height)
+            for b in (band - 1, band, band + 1):
+                column = math.floor(lon / width(b))
+                for c in (column - 1, column, column + 1):
+                    for key in self.cells.get((b, c), ()):
+                        p = self.points[key]
+                        d = nm(lat, lon, p[2], p[3])
+                        if d < remove_nm and (best is None or (d, key) < best):
+                            best = d, key
             if best is not None:
-                del route[best[1]]
-        elif action == "add" and isinstance(code, str):
-            if not (route and route[-1][0] and route[-1][1] == code):
-                route.append((True, code, wp_lat, wp_lon))
-        elif action == "add" and route:
-            last = route[-1]
-            if abs(last[2] - lat) >= tolerance or abs(last[3] - lon) >= tolerance:
-                route.append((False, None, lat, lon))
+                p = self.points.pop(best[1])
+                at = self._cell(p[2], p[3])
+                self.cells[at].discard(best[1])
+                if not self.cells[at]:
+                    del self.cells[at]
+
+        def apply(self, action: str, lat: float, lon: float, code, wp_lat, wp_lon) -> None:
+            if action == "clear":
+                self.points.clear()
+                self.cells.clear()
+            elif action == "remove":
+                self.remove_near(lat, lon)
+            elif action == "add":
+                last = self.last()
+                if isinstance(code, str):
+                    if not (last and last[0] and last[1] == code):
+                        self.append((True, code, wp_lat, wp_lon))
+                elif last and (abs(last[2] - lat) >= tolerance or abs(last[3] - lon) >= tolerance):
+                    self.append((False, None, lat, lon))
+
+    return Route
 
-    return apply
+
+def _new_route(remove_nm: float):
+    return _route(remove_nm, SAME_POINT_DEG, geo.EARTH_RADIUS_KM, geo.KM_PER_NM, geo.NM_PER_DEGREE, spatial.grid.CELL_MARGIN)
 
 
 def snapped_edits(edits: DataFrame, waypoints: DataFrame, snap_nm: float = spatial.SNAP_NM) -> DataFrame:
@@ -68,7 +118,8 @@ def replay_edits(edits: DataFrame, waypoints: DataFrame, snap_nm: float = spatia
     Only the edits after a plan's last clear matter; the rest is dropped before
     the shuffle. What remains is read as a sorted stream that holds one route
     at a time, never a plan's whole log: a removal looks at the route as it
-    stands, so these steps cannot be reordered.
+    stands, so these steps cannot be reordered. An edit costs the same however
+    long the route is: points lie in grid cells.
     """
     cleared = (
         edits.where(F.col("action") == "clear")
@@ -87,29 +138,40 @@ def replay_edits(edits: DataFrame, waypoints: DataFrame, snap_nm: float = spatia
         .repartition("plan_id")
         .sortWithinPartitions("plan_id", "edit_no")
     )
-    apply = _editor(remove_nm, SAME_POINT_DEG, geo.EARTH_RADIUS_KM, geo.KM_PER_NM)
+    Route = _new_route(remove_nm)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["plan_id", "seq", "is_wp", "code", "lat", "lon"]
-        plan, route = None, []
+        plan, route = None, Route()
         for pdf in batches:
             out = []
             for row in zip(pdf.plan_id, pdf.action, pdf.lat, pdf.lon, pdf.code, pdf.wp_lat, pdf.wp_lon):
                 if row[0] != plan:
-                    out += [(plan, i, *p) for i, p in enumerate(route)]
-                    plan, route = row[0], []
-                apply(route, *row[1:])
+                    out += [(plan, i, *p) for i, p in enumerate(route.points.values())]
+                    plan, route = row[0], Route()
+                route.apply(*row[1:])
             yield pd.DataFrame(out, columns=cols)
-        yield pd.DataFrame([(plan, i, *p) for i, p in enumerate(route)], columns=cols)
+        yield pd.DataFrame([(plan, i, *p) for i, p in enumerate(route.points.values())], columns=cols)
 
     return ordered.mapInPandas(fold, ROUTE_SCHEMA)
 
 
+CHANGE_SCHEMA = "plan_id bigint, version bigint, seq int, removed boolean, is_wp boolean, code string, lat double, lon double"
+
+
 def edit_stream(edits: DataFrame, waypoints: DataFrame, snap_nm: float = spatial.SNAP_NM, remove_nm: float = spatial.REMOVE_NM) -> DataFrame:
-    """Streaming replay: after each batch the current route of every plan it touched.
+    """Streaming replay: the changes of every route, row by row, once its edits are final.
 
-    Snapping an unbounded stream works per row: each click meets the catalogue's
-    grid cells in a stream-static join and the state keeps the nearest hit.
+    ``edits``: plan_id, edit_no, action, lat, lon and ``edit_ts``, which needs a
+    watermark. An edit waits in the state until the watermark has passed its time;
+    the plan's timer then applies what is due in order of time and number, so edits of files that land late within the watermark's delay take their place.
+    A changed row of a route is (plan_id, version, seq, removed = false, point); a
+    row that a shorter route no longer has is a retraction (removed = true), so a
+    cleared plan retracts all of its rows. ``version`` rises with every change of
+    a plan: the newest row of (plan_id, seq) holds.
+
+    Each click meets the catalogue's grid cells in a stream-static join; the
+    state keeps the nearest hit. The edits of a batch are never put together.
     """
     use_rocksdb(edits.sparkSession)
     places = waypoints.select(
@@ -117,39 +179,97 @@ def edit_stream(edits: DataFrame, waypoints: DataFrame, snap_nm: float = spatial
         F.explode(spatial.grid.cells_around(F.col("lat"), F.col("lon"), snap_nm)).alias("_cell"),
     ).select("idx", "code", "wp_lat", "wp_lon", "_cell.gy", "_cell.gx")
     gy, gx = spatial.grid.cell_of(F.col("lat"), F.col("lon"), snap_nm)
+    nm = geo.great_circle_nm(F.col("lat"), F.col("lon"), F.col("wp_lat"), F.col("wp_lon"))
     rows = (
         edits.withColumn("gy", gy)
         .withColumn("gx", gx)
         .join(places, ["gy", "gx"], "left")
-        .withColumn("nm", geo.great_circle_nm(F.col("lat"), F.col("lon"), F.col("wp_lat"), F.col("wp_lon")))
-        .withColumn("hit", F.coalesce(F.col("nm") < snap_nm, F.lit(False)) & (F.col("action") == "add"))
-        .select(F.col("plan_id").cast("bigint").alias("plan_id"), "edit_no", "action", "lat", "lon", "idx", "code", "wp_lat", "wp_lon", "nm", "hit")
+        .withColumn("nm", F.when((nm < snap_nm) & (F.col("action") == "add"), nm))
+        .select(F.col("plan_id").cast("bigint").alias("plan_id"), "edit_ts", "edit_no", "action", "lat", "lon", "idx", "code", "wp_lat", "wp_lon", "nm")
     )
-    apply = _editor(remove_nm, SAME_POINT_DEG, geo.EARTH_RADIUS_KM, geo.KM_PER_NM)
+    Route = _new_route(remove_nm)
+
+    def nearer(a: tuple, b: tuple) -> bool:
+        """Is a, one waypoint of an edit, to be taken before b?"""
+        return a[9] is not None and (b[9] is None or (a[9], a[5]) < (b[9], b[5]))
 
     class Replay(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            edit = "ms bigint, edit_no bigint, action string, lat double, lon double, idx bigint, code string, wp_lat double, wp_lon double, nm double"
+            self.due = handle.getListState("due", edit)
             self.points = handle.getListState("route", "is_wp boolean, code string, lat double, lon double")
+            # when the next timer rings, and the number of the last change
+            self.mark = handle.getValueState("mark", "timer bigint, version bigint")
+
+        def _held(self) -> tuple:
+            return tuple(self.mark.get()) if self.mark.exists() else (None, 0)
 
         def handleInputRows(self, key, batches: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            route = [tuple(p) for p in self.points.get()]
-            pdf = pd.concat(list(batches), ignore_index=True)
-            pdf = pdf.sort_values(["edit_no", "hit", "nm", "idx"], ascending=[True, False, True, True])
-            pdf = pdf.drop_duplicates("edit_no")
-            for r in pdf.itertuples():
-                apply(route, r.action, r.lat, r.lon, r.code if r.hit else None, r.wp_lat, r.wp_lon)
-            if route:
-                self.points.put(route)
-            else:
-                self.points.clear()
-            yield pd.DataFrame(
-                [(key[0], i, bool(p[0]), p[1], float(p[2]), float(p[3])) for i, p in enumerate(route)],
-                columns=["plan_id", "seq", "is_wp", "code", "lat", "lon"],
-            )
+            first = None
+            for pdf in batches:  # each goes to the state by itself
+                best: dict[tuple, tuple] = {}
+                stamps = [int(t.timestamp() * 1000) for t in pdf["edit_ts"]]
+                columns = [pdf[c].tolist() for c in ("edit_no", "action", "lat", "lon", "idx", "code", "wp_lat", "wp_lon", "nm")]
+                for ms, edit_no, action, lat, lon, idx, code, wp_lat, wp_lon, nm in zip(stamps, *columns):
+                    hit = nm is not None and nm == nm
+                    row = (ms, int(edit_no), action, lat, lon, *((int(idx), code, wp_lat, wp_lon, nm) if hit else (None,) * 5))
+                    if row[:2] not in best or nearer(row, best[row[:2]]):
+                        best[row[:2]] = row
+                if best:
+                    self.due.appendList(list(best.values()))
+                    least = min(best)[0]
+                    first = least if first is None else min(first, least)
+            timer, version = self._held()
+            if first is not None and (timer is None or first < timer):
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(first)
+                self.mark.update((first, version))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = timerValues.getCurrentWatermarkInMs()
+            ready: dict[tuple, tuple] = {}
+            rest = []
+            for row in map(tuple, self.due.get()):
+                if row[0] > now:
+                    rest.append(row)
+                elif row[:2] not in ready or nearer(row, ready[row[:2]]):
+                    ready[row[:2]] = row
+            before = [tuple(p) for p in self.points.get()]
+            route = Route()
+            for p in before:
+                route.append(p)
+            for at in sorted(ready):
+                action, lat, lon, _, code, wp_lat, wp_lon, _ = ready[at][2:]
+                route.apply(action, lat, lon, code, wp_lat, wp_lon)
+            after = list(route.points.values())
+            _, version = self._held()
+            version += 1
+            out = [(key[0], version, i, False, *p) for i, p in enumerate(after) if i >= len(before) or before[i] != p]
+            out += [(key[0], version, i, True, None, None, None, None) for i in range(len(after), len(before))]
+            for state, rows in ((self.points, after), (self.due, rest)):
+                if rows:
+                    state.put(rows)
+                else:
+                    state.clear()
+            timer = min(r[0] for r in rest) if rest else None
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            self.mark.update((timer, version))
+            columns = ["plan_id", "version", "seq", "removed", "is_wp", "code", "lat", "lon"]
+            return iter([pd.DataFrame(out, columns=columns)] if out else ())
 
         def close(self) -> None:
             pass
 
     return rows.groupBy("plan_id").transformWithStateInPandas(
-        statefulProcessor=Replay(), outputStructType=ROUTE_SCHEMA, outputMode="Update", timeMode="None"
+        statefulProcessor=Replay(), outputStructType=CHANGE_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
+
+
+def current_routes(changes: DataFrame) -> DataFrame:
+    """The routes that a table of changes leaves: the newest row of each place, unless it is a retraction."""
+    newest = changes.groupBy("plan_id", "seq").agg(F.max_by(F.struct("removed", "is_wp", "code", "lat", "lon"), "version").alias("r"))
+    return newest.where(~F.col("r.removed")).select("plan_id", "seq", "r.is_wp", "r.code", "r.lat", "r.lon")

@@ -65,25 +65,66 @@ def test_replay_equals_sequential_edits(spark):
     assert got == brute(rows)
 
 
-def test_stream_replay_equals_batch(spark, tmp_path):
-    rows = edit_rows(60, 4)
-    df = spark.createDataFrame(rows, EDIT)
-    for i in range(2):  # two landings, in order
-        df.where((F.col("edit_no") >= i * 30) & (F.col("edit_no") < i * 30 + 30)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    last = {}
-
-    def take(batch, _):
-        seen = routes_of(batch.collect())
-        last.update(seen)
-
+def run_edits(spark, files, folder, delay):
+    """Lands lists of edits one after the other; returns all changes."""
+    schema = EDIT + ", edit_ts timestamp"
+    start = dt.datetime(2024, 1, 1)
+    for rows in files:
+        timed = [(*r, start + dt.timedelta(minutes=r[1])) for r in rows]
+        spark.createDataFrame(timed, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").withWatermark("edit_ts", delay)
     q = (
-        edits.edit_stream(stream, waypoints(spark)).writeStream.outputMode("update").foreachBatch(take)
-        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        edits.edit_stream(stream, waypoints(spark)).writeStream.outputMode("append").format("parquet")
+        .option("checkpointLocation", f"{folder}/cp").option("path", f"{folder}/out").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    want = brute(rows)
-    assert {p: r for p, r in last.items() if p in want} == want
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_stream_replay_with_late_files_equals_batch(spark, tmp_path):
+    rows = edit_rows(90, 4)
+    end = [(99, 100_000, "clear", 0.0, 0.0)]  # the watermark passes all others
+    late = [r for r in rows if r[1] % 5 == 2]
+    files = [
+        [r for r in rows if r[1] < 40 and r not in late],
+        [r for r in rows if 40 <= r[1] < 70 and r not in late] + [r for r in late if r[1] < 40],
+        [r for r in rows if r[1] >= 70 and r not in late] + [r for r in late if r[1] >= 40],
+        end,
+    ]
+    changes = run_edits(spark, files, tmp_path, "75 minutes")
+    assert routes_of(edits.current_routes(changes).collect()) == brute(rows)
+
+
+def test_stream_retracts_rows_of_cleared_and_shorter_routes(spark, tmp_path):
+    add = lambda n, i, plan=1: (plan, n, "add", 31 + i / 10, 35.0)
+    files = [
+        [add(0, 0), add(1, 1), add(2, 2), add(0, 0, 2)],
+        [(99, 150, "clear", 0.0, 0.0)],
+        [(1, 200, "remove", 31.1, 35.0), (2, 201, "clear", 0.0, 0.0)],
+        [(99, 100_000, "clear", 0.0, 0.0)],
+    ]
+    changes = run_edits(spark, files, tmp_path, "10 minutes")
+    got = [(r.plan_id, r.version, r.seq, r.removed, r.code) for r in changes.orderBy("plan_id", "version", "seq").collect()]
+    assert got == [
+        (1, 1, 0, False, "W0"), (1, 1, 1, False, "W1"), (1, 1, 2, False, "W2"), (1, 2, 1, False, "W2"), (1, 2, 2, True, None),
+        (2, 1, 0, False, "W0"), (2, 2, 0, True, None),
+    ]
+    assert routes_of(edits.current_routes(changes).collect()) == {1: ["W0", "W2"]}
+
+
+def test_an_edit_costs_the_same_on_a_long_route():
+    import time
+
+    Route = edits._new_route(4.0)
+    spent = []
+    for n in (2_000, 20_000):
+        route, start = Route(), time.process_time()
+        for i in range(n):
+            route.apply("add", 29.5 + (i * 37 % 3900) / 1000, 34.1 + (i * 53 % 1800) / 1000 + i * 1e-7, None if i else "AAAAA", 29.5, 34.1)
+            if i % 3 == 2:
+                route.apply("remove", 29.5 + (i * 7 % 3900) / 1000, 34.1 + (i * 11 % 1800) / 1000, None, None, None)
+        spent.append(time.process_time() - start)
+    assert len(route.points) > 10_000 and spent[1] < 60 * spent[0]
 
 
 def test_current_snapshot_sink(spark, tmp_path):
