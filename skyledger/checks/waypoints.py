@@ -27,6 +27,8 @@ NAMES = [
     ([(1.0, "7 עין גדי"), (2.0, "חובה")], ("עין גדי", "חובה"), ("עין גדי", "חובה")),
     ([(1.0, "xx ווו מחלף ינאי היד")], ("מחלף ינאי", ""), ("ווו מחלף ינאי היד", "")),
     ([(1.0, "ים המלחימ - צפונ"), (2.0, "דרישה")], ("ים המלחים צפון", "דרישה"), ("ים המלחים - צפון", "דרישה")),
+    ([(1.0, "(a) אל כפר סבא"), (2.0, "חובה")], ("אל כפר סבא", "חובה"), ("אל כפר סבא", "חובה")),
+    ([(1.0, "(a) אל7 כפר סבא"), (2.0, "חובה")], ("כפר סבא", "חובה"), ("אל7 כפר סבא", "חובה")),
 ]
 
 

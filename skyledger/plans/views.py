@@ -223,7 +223,7 @@ SELECT edition, CASE WHEN edition % 2 = 0 THEN 'vec' ELSE 'rec' END AS mode_id,
        ELSE replace(replace(concat(CAST(d AS VARCHAR(2)), '.', lpad(CAST(m AS VARCHAR(2)), 2, '0'), ' ', lpad(CAST(s AS VARCHAR(2)), 2, '0'), 'N'), '0', 'O'), '1', 'l') END AS lat_text,
   CASE WHEN edition % 2 = 0 THEN concat(CAST(od AS VARCHAR(2)), '°', CAST(om AS VARCHAR(2)), chr(39), lpad(CAST(s AS VARCHAR(2)), 2, '0'), '"E')
        ELSE replace(concat(CAST(od AS VARCHAR(2)), lpad(CAST(om AS VARCHAR(2)), 2, '0'), lpad(CAST(s AS VARCHAR(2)), 2, '0')), '5', 'S') END AS lon_text,
-  d, m, s, od, om, k, CAST(k0 % 15 AS INT) AS name_kind
+  d, m, s, od, om, k, CAST(k0 % 17 AS INT) AS name_kind
 FROM (
   SELECT *, CAST(29 + k0 * 37 % 4 AS INT) AS d, CAST(k0 * 7 % 60 AS INT) AS m, CAST(k0 * 11 % 60 AS INT) AS s,
     CAST(34 + k0 % 2 AS INT) AS od, CAST(k0 * 13 % 60 AS INT) AS om

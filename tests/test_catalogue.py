@@ -14,6 +14,7 @@ CELL = "edition string, mode_id string, sheet string, sheet_ord int, ord int, st
         ("ו מגדל", "מגדל"), ("\"נמל חיפה\" ..", "נמל חיפה"), ("כפר סבא", "כפר סבא"), ("", ""),
         ("xx ווו מחלף ינאי היד", "מחלף ינאי"), ("abc דיו קיסריה", "קיסריה"), ("אבג קיסריה 7", "קיסריה"), ('כרם מהר"ל', "כרם מהר"),
         ("ים המלחימ - צפונ", "ים המלחים צפון"), ("אחת שתיים שלוש ארבע חמש שבע", "שתיים שלוש ארבע חמש שבע"), ("ABC", ""),
+        ("(a) אל כפר סבא", "אל כפר סבא"), ("(a) אל7 כפר סבא", "כפר סבא"), ("אל -- כפר סבא", "כפר סבא"),
     ],
 )
 def test_polished_names(spark, raw, clean):
@@ -25,6 +26,7 @@ def test_polished_names(spark, raw, clean):
     [
         ("שפך", "שפך"), ("בת שלמה", "בת שלמה"), ("בית שמש", "בית שמש"), ("גלילות מזרח", "גלילות מזרח"), ("עין יהב", "עין יהב"),
         ('כרם מהר"ל', 'כרם מהר"ל'), ("דור*", "דור"), ("א אור עקיב", "אור עקיבא"), ("| גילת", "גילת"), ("7 עין גדי", "עין גדי"),
+        ("(a) אל כפר סבא", "אל כפר סבא"), ("א b עקיב", "א b עקיב"), ("- *", ""), ("", ""), ("א", "א"), ("xyz", "xyz"), ("<דור> - .", "דור"),
     ],
 )
 def test_light_names_stay_whole(spark, raw, clean):
