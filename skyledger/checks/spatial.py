@@ -28,7 +28,7 @@ QUERIES["nearest_plan_point"] = lambda spark, sf: spatial.nearest_plan_point(
 ).select("click_id", "plan_id", "near_seq", F.round("near_nm", 6).alias("near_nm"))
 ORACLES["nearest_plan_point"] = oracle(f"""
 WITH d AS (
-  SELECT click_id, p.seq, {sqltext.gc('c.lat', 'c.lon', 'p.lat', 'p.lon')} AS nm FROM plan_click c JOIN plan_point p ON p.plan_id = c.plan_id
+  SELECT click_id, p.seq, {sqltext.gc('c.lat', 'c.lon', 'p.lat', 'p.lon')} AS nm FROM plan_click c JOIN plan_point p ON p.plan_id = c.plan_id AND abs(c.lat - p.lat) < 0.1 AND abs(c.lon - p.lon) < 0.1
 ),
 r AS (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY nm, seq) AS rn FROM d WHERE nm < 4)
 SELECT c.click_id, c.plan_id, r.seq AS near_seq, round(r.nm, 6) AS near_nm FROM plan_click c LEFT JOIN r ON r.click_id = c.click_id AND r.rn = 1

@@ -2,8 +2,8 @@
 
 Rows are latitude bands a little taller than the search radius; inside a band
 the cell width is fixed by the band's most poleward latitude, so no pass over
-the data is needed to size the cells. The probe side keeps one row; the other
-side is copied into the 3 x 3 cells it can be seen from. The antimeridian and
+the data is needed to size the cells. One side keeps one row; the other is
+copied into the cells it can be seen from. The antimeridian and
 the poles are not supported.
 """
 
@@ -38,33 +38,49 @@ def cell_of(lat: Column, lon: Column, nm: float) -> tuple[Column, Column]:
     return band, F.floor(lon / _cell_width(band, nm)).cast("int")
 
 
-def cells_around(lat: Column, lon: Column, nm: float) -> Column:
-    """Array of the nine (band, column) cells from which the point is within ``nm``."""
-    band = band_of(lat, nm)
+def cells_in_reach(lat: Column, lon: Column, nm: float) -> Column:
+    """Array of the cells, of twice the radius, that hold everything within ``nm``: four.
+
+    A cell of that size reaches past its middle as far as ``nm``, so only the
+    neighbours on the point's own side of the middle, in both directions, matter.
+    """
+    wide = 2.0 * nm
+    y = lat / _band_height(wide)
+    own = F.floor(y).cast("int")
     cells = []
-    for db in (-1, 0, 1):
-        b = band + db
-        col = F.floor(lon / _cell_width(b, nm)).cast("int")
-        cells += [F.struct(b.alias("gy"), (col + dc).alias("gx")) for dc in (-1, 0, 1)]
+    for band in (own, own + F.when(y - own < 0.5, -1).otherwise(1)):
+        x = lon / _cell_width(band, wide)
+        column = F.floor(x).cast("int")
+        cells += [F.struct(band.alias("gy"), c.alias("gx")) for c in (column, column + F.when(x - column < 0.5, -1).otherwise(1))]
     return F.array(*cells)
 
 
-def with_cells_of_box(
-    df: DataFrame, lat0: Column, lat1: Column, lon0: Column, lon1: Column, nm: float
-) -> DataFrame:
-    """One row per cell (gy, gx) that a latitude/longitude box touches, band by band."""
-    width = _cell_width(F.col("gy"), nm)
-    return (
-        df.withColumns({"_lon0": lon0, "_lon1": lon1})
-        .withColumn("gy", F.explode(F.sequence(band_of(lat0, nm), band_of(lat1, nm))))
-        .withColumn(
-            "gx",
-            F.explode(
-                F.sequence(F.floor(F.col("_lon0") / width).cast("int"), F.floor(F.col("_lon1") / width).cast("int"))
-            ),
-        )
-        .drop("_lon0", "_lon1")
-    )
+def cell_of_reach(lat: Column, lon: Column, nm: float) -> tuple[Column, Column]:
+    """The one cell of that grid that a point lies in."""
+    return cell_of(lat, lon, 2.0 * nm)
+
+
+def with_cells_along(df: DataFrame, ends: tuple[Column, Column, Column, Column], pad: Column, pad_lon: Column, nm: float) -> DataFrame:
+    """One row per cell (gy, gx) within ``pad`` degrees (``pad_lon`` in longitude) of the line between two places.
+
+    Walks the bands the line crosses; in each, only the columns beside the part of
+    the line that lies in the band, so a long slanting line has as many rows as
+    cells along it, not as many as its box.
+    """
+    a_lat, a_lon, b_lat, b_lon = ends
+    height, width = _band_height(nm), _cell_width(F.col("gy"), nm)
+    south, north = F.least(a_lat, b_lat) - pad, F.greatest(a_lat, b_lat) + pad
+    rows = df.withColumns({"_pad": pad, "_pad_lon": pad_lon}).withColumn("gy", F.explode(F.sequence(band_of(south, nm), band_of(north, nm))))
+    # where the line enters and leaves the band and its margin, 0 at the first place and 1 at the second
+    rise = F.when(b_lat != a_lat, b_lat - a_lat)
+    at = lambda lat: (lat - a_lat) / rise
+    enter, leave = at(F.col("gy") * height - F.col("_pad")), at((F.col("gy") + 1) * height + F.col("_pad"))
+    first = F.coalesce(F.greatest(F.least(enter, leave), F.lit(0.0)), F.lit(0.0))
+    last = F.coalesce(F.least(F.greatest(enter, leave), F.lit(1.0)), F.lit(1.0))
+    rows = rows.withColumns({"_p": a_lon + first * (b_lon - a_lon), "_q": a_lon + last * (b_lon - a_lon)})
+    west, east = F.least("_p", "_q") - F.col("_pad_lon"), F.greatest("_p", "_q") + F.col("_pad_lon")
+    columns = F.sequence(F.floor(west / width).cast("int"), F.floor(east / width).cast("int"))
+    return rows.withColumn("gx", F.explode(columns)).drop("_p", "_q", "_pad", "_pad_lon")
 
 
 def nearest(
@@ -76,52 +92,40 @@ def nearest(
     target_order: str,
     target_cols: Sequence[str],
     keep_all: bool = True,
+    copy_points: bool = False,
 ) -> DataFrame:
     """Nearest target strictly closer than ``max_nm`` for every point.
 
     Both sides need ``lat`` and ``lon``; ``keys`` restrict matches to the same
     group (a plan, an edition). Ties go to the lowest ``target_order``. Points
-    without a match keep their row with NULLs unless ``keep_all`` is off. Targets at the same spot are
-    reduced to the first of them before the join: the others can never win.
+    without a match keep their row with NULLs unless ``keep_all`` is off.
+
+    Places meet, not rows: targets at one spot are reduced to the first of them,
+    which the others can't beat, and points at one spot are looked up once; the rows
+    get the answer by a join on their place. One side has four copies, the targets
+    or, with ``copy_points``, the points: name the smaller one.
     """
     cols = [c for c in dict.fromkeys([target_order, *target_cols]) if c not in keys]
-    spots = (
-        targets.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .groupBy(*keys, "lat", "lon")
-        .agg(F.min_by(F.struct(*cols), F.col(target_order)).alias("_t"))
-        .select(
-            *[F.col(k) for k in keys],
-            F.col("lat").alias("_tlat"),
-            F.col("lon").alias("_tlon"),
-            "_t",
-            F.explode(cells_around(F.col("lat"), F.col("lon"), max_nm)).alias("_cell"),
-        )
-        .select(*keys, "_tlat", "_tlon", "_t", "_cell.gy", "_cell.gx")
-    )
-    gy, gx = cell_of(F.col("lat"), F.col("lon"), max_nm)
+    own, reach = cell_of_reach(F.col("lat"), F.col("lon"), max_nm), F.explode(cells_in_reach(F.col("lat"), F.col("lon"), max_nm))
+
+    def placed(df: DataFrame, copies: bool) -> DataFrame:
+        if copies:
+            return df.withColumn("_cell", reach).withColumns({"gy": F.col("_cell.gy"), "gx": F.col("_cell.gx")}).drop("_cell")
+        return df.withColumns({"gy": own[0], "gx": own[1]})
+
+    there = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    spots = targets.where(there).groupBy(*keys, "lat", "lon").agg(F.min_by(F.struct(*cols), F.col(target_order)).alias("_t"))
+    spots = placed(spots, not copy_points).withColumnsRenamed({"lat": "_tlat", "lon": "_tlon"})
+    asked = points.where(there).select(*keys, "lat", "lon").distinct()
     dist = geo.great_circle_nm(F.col("lat"), F.col("lon"), F.col("_tlat"), F.col("_tlon"))
-    return (
-        # numbered, so that equal rows stay apart and the grouping key is slim
-        points.withColumns({"_row": F.monotonically_increasing_id(), "gy": gy, "gx": gx})
-        .join(spots, [*keys, "gy", "gx"], "left" if keep_all else "inner")
+    hits = (
+        placed(asked, copy_points)
+        .join(spots, [*keys, "gy", "gx"])
         .withColumn("_d", dist)
-        .withColumn(
-            "_hit",
-            F.when(
-                F.col("_d") < max_nm,
-                F.struct(F.col("_d").alias("d"), F.col(f"_t.{target_order}").alias("o"), F.col("_t").alias("t")),
-            ),
-        )
-        .groupBy("_row")
-        .agg(F.first(F.struct(*points.columns)).alias("_p"), F.min("_hit").alias("_best"))
-        .select(
-            *[F.col(f"_p.{c}").alias(c) for c in points.columns],
-            *[F.col(f"_best.t.{c}").alias(f"near_{c}") for c in cols],
-            F.col("_best.d").alias("near_nm"),
-        )
+        .where(F.col("_d") < max_nm)
+        .groupBy(*keys, "lat", "lon")
+        .agg(F.min(F.struct(F.col("_d").alias("d"), F.col(f"_t.{target_order}").alias("o"), F.col("_t").alias("t"))).alias("_best"))
+    )
+    return points.join(hits, [*keys, "lat", "lon"], "left" if keep_all else "inner").select(
+        *[F.col(c) for c in points.columns], *[F.col(f"_best.t.{c}").alias(f"near_{c}") for c in cols], F.col("_best.d").alias("near_nm")
     )
-
-
-def cell_centre(band: Column, column: Column, nm: float) -> tuple[Column, Column]:
-    h = _band_height(nm)
-    return (band + 0.5) * h, (column + 0.5) * _cell_width(band, nm)

@@ -37,37 +37,18 @@ def _ends() -> tuple[Column, Column, Column, Column]:
     return F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon")
 
 
-def _near_line(lat: Column, lon: Column) -> Column:
-    """Squared flat distance of a cell's centre from the leg: plain arithmetic, run per cell."""
-    a_lat, a_lon, b_lat, b_lon = _ends()
-    k = F.col("_k")
-    bx, by = (b_lon - a_lon) * k, (b_lat - a_lat) * geo.NM_PER_DEGREE
-    px, py = (lon - a_lon) * k, (lat - a_lat) * geo.NM_PER_DEGREE
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * bx + py * by) / F.greatest(bx * bx + by * by, F.lit(1e-9))))
-    return (px - t * bx) * (px - t * bx) + (py - t * by) * (py - t * by)
-
-
 def arrow_leg_candidates(legs: DataFrame, arrows: DataFrame, reach: float = REACH) -> DataFrame:
     """Every (leg, arrow) pair within ``reach``, with its measures and whether it fits.
 
-    ``arrows``: arrow_ord (orderable), lat, lon, bearing_deg, bidirectional. A
-    leg is copied to the cells along its line only, an arrow sits in one cell.
+    ``arrows``: arrow_ord (orderable), lat, lon, bearing_deg, bidirectional. Legs
+    of one geometry, which many plans share, meet the arrows once. A leg is copied
+    to the cells along its line, an arrow sits in one cell.
     """
     a_lat, a_lon, b_lat, b_lon = _ends()
-    pad = reach / geo.NM_PER_DEGREE * 1.02
+    shape = ["from_is_wp", "to_is_wp", "from_lat", "from_lon", "to_lat", "to_lon", "true_bearing_deg"]
+    pad = F.lit(reach / geo.NM_PER_DEGREE * 1.02)
     pad_lon = pad / F.cos(F.radians(F.greatest(F.abs(a_lat), F.abs(b_lat)) + 1.0))
-    mid_lat, mid_lon = grid.cell_centre(F.col("gy"), F.col("gx"), CELL_NM)
-    spread = (
-        grid.with_cells_of_box(
-            legs.select(*LEG, "from_is_wp", "to_is_wp", "from_lat", "from_lon", "to_lat", "to_lon", "true_bearing_deg").withColumn(
-                "_k", F.cos(F.radians((a_lat + b_lat) * 0.5)) * geo.NM_PER_DEGREE
-            ),
-            F.least(a_lat, b_lat) - pad, F.greatest(a_lat, b_lat) + pad,
-            F.least(a_lon, b_lon) - pad_lon, F.greatest(a_lon, b_lon) + pad_lon, CELL_NM,
-        )
-        .where(_near_line(mid_lat, mid_lon) <= (reach + CELL_NM) ** 2)
-        .drop("_k")
-    )
+    spread = grid.with_cells_along(legs.select(*shape).distinct(), _ends(), pad, pad_lon, CELL_NM)
     gy, gx = grid.cell_of(F.col("lat"), F.col("lon"), CELL_NM)
     side = arrows.select(
         "arrow_ord", "lat", "lon", "bearing_deg", "bidirectional", gy.alias("gy"), gx.alias("gx")
@@ -85,8 +66,8 @@ def arrow_leg_candidates(legs: DataFrame, arrows: DataFrame, reach: float = REAC
     )
     radius = F.when(F.col("real"), RADIUS_WAYPOINT).otherwise(RADIUS_INTERMEDIATE)
     past = F.col("overshoot_nm") > 0.0
-    return pairs.select(
-        *LEG, "arrow_ord", "real", "bidirectional", "d_nm", "overshoot_nm", "side", "diff_deg",
+    measured = pairs.select(
+        *shape, "arrow_ord", "real", "bidirectional", "d_nm", "overshoot_nm", "side", "diff_deg",
         F.when(F.col("bidirectional"), 2).when(F.col("side") < 0, 0).otherwise(1).alias("cls"),
         F.when(past, 1).otherwise(0).alias("tier"),
         (F.col("d_nm") + DEGREE_WEIGHT * F.col("diff_deg")).alias("score"),
@@ -97,6 +78,7 @@ def arrow_leg_candidates(legs: DataFrame, arrows: DataFrame, reach: float = REAC
             & ~(past & (F.col("diff_deg") > PARALLEL_PAST_END_DEG))
         ).alias("fits"),
     )
+    return legs.select(*LEG, *shape).join(measured, shape).drop(*shape)
 
 
 def arrow_owners(candidates: DataFrame) -> DataFrame:
@@ -114,11 +96,11 @@ def arrow_neighbours(arrows: DataFrame) -> DataFrame:
     near = arrows.select(
         "arrow_ord", "lat", "lon", "bearing_deg", "bidirectional",
     )
-    gy, gx = grid.cell_of(F.col("lat"), F.col("lon"), STACK_RADIUS)
+    gy, gx = grid.cell_of_reach(F.col("lat"), F.col("lon"), STACK_RADIUS)
     one = near.withColumn("gy", gy).withColumn("gx", gx)
     other = near.select(
         *[F.col(c).alias(f"o_{c}") for c in near.columns],
-        F.explode(grid.cells_around(F.col("lat"), F.col("lon"), STACK_RADIUS)).alias("_cell"),
+        F.explode(grid.cells_in_reach(F.col("lat"), F.col("lon"), STACK_RADIUS)).alias("_cell"),
     ).select("*", "_cell.gy", "_cell.gx").drop("_cell")
     return (
         one.join(other, ["gy", "gx"])

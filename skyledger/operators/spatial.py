@@ -31,7 +31,7 @@ def nearest_waypoint(points: DataFrame, waypoints: DataFrame, max_nm: float = SN
 def nearest_plan_point(clicks: DataFrame, points: DataFrame, max_nm: float = REMOVE_NM) -> DataFrame:
     """Closest point of the same plan, strictly within ``max_nm``, lowest position on ties."""
     return grid.nearest(
-        clicks, points, max_nm, keys=["plan_id"], target_order="seq", target_cols=["seq"]
+        clicks, points, max_nm, keys=["plan_id"], target_order="seq", target_cols=["seq"], copy_points=True
     ).select(*clicks.columns, "near_seq", "near_nm")
 
 

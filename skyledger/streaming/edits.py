@@ -176,9 +176,9 @@ def edit_stream(edits: DataFrame, waypoints: DataFrame, snap_nm: float = spatial
     use_rocksdb(edits.sparkSession)
     places = waypoints.select(
         "idx", F.col("code"), F.col("lat").alias("wp_lat"), F.col("lon").alias("wp_lon"),
-        F.explode(spatial.grid.cells_around(F.col("lat"), F.col("lon"), snap_nm)).alias("_cell"),
+        F.explode(spatial.grid.cells_in_reach(F.col("lat"), F.col("lon"), snap_nm)).alias("_cell"),
     ).select("idx", "code", "wp_lat", "wp_lon", "_cell.gy", "_cell.gx")
-    gy, gx = spatial.grid.cell_of(F.col("lat"), F.col("lon"), snap_nm)
+    gy, gx = spatial.grid.cell_of_reach(F.col("lat"), F.col("lon"), snap_nm)
     nm = geo.great_circle_nm(F.col("lat"), F.col("lon"), F.col("wp_lat"), F.col("wp_lon"))
     rows = (
         edits.withColumn("gy", gy)

@@ -156,3 +156,31 @@ def test_nearest_plan_point(spark):
     for i, p, la, lo in clicks:
         c = [(d, s) for q, _, s, a, o in pts if q == p and (d := nm(la, lo, a, o)) < 4.0]
         assert got[i] == (min(c)[1] if c else None)
+
+
+def test_cells_along_a_line_hold_every_place_in_reach(spark):
+    import math
+    import random
+
+    from skyledger.operators import grid
+
+    rng = random.Random(2)
+    legs, places = [], []
+    for n in range(40):
+        a = (rng.uniform(29, 33), rng.uniform(34, 36))
+        b = (a[0] + rng.choice([0, 0, 1]) * rng.uniform(-1.5, 1.5), a[1] + rng.choice([0, 1]) * rng.uniform(-1.5, 1.5))
+        legs.append((n, *a, *b))
+        for _ in range(30):
+            t, turn, off = rng.uniform(0, 1), rng.uniform(0, 2 * math.pi), rng.uniform(0, 1.99) / 60
+            lat, lon = a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])
+            places.append((n, lat + off * math.cos(turn), lon + off * math.sin(turn) / math.cos(math.radians(lat))))
+    df = spark.createDataFrame(legs, "n int, a double, o double, b double, q double")
+    ends = tuple(F.col(c) for c in "aobq")
+    pad = F.lit(2.0 / 60 * 1.02)
+    cells = grid.with_cells_along(df, ends, pad, pad / F.cos(F.radians(F.greatest("a", "b") + 1.0)), 4.0)
+    have = {(r.n, r.gy, r.gx) for r in cells.collect()}
+    gy, gx = grid.cell_of(F.col("lat"), F.col("lon"), 4.0)
+    want = {(r.n, r.gy, r.gx) for r in spark.createDataFrame(places, "n int, lat double, lon double").select("n", gy.alias("gy"), gx.alias("gx")).collect()}
+    assert want <= have
+    length = sum(math.hypot((b - a) * 60, (q - o) * 60 * math.cos(math.radians(a))) for _, a, o, b, q in legs)
+    assert len(have) <= 2 * (length / 4 * 3 + 9 * len(legs))  # three cells side by side, and the ends
