@@ -165,3 +165,19 @@ QUERIES["snapshot_dedupe"] = deduped
 ORACLES["snapshot_dedupe"] = oracle(
     "SELECT DISTINCT snapshot_ts, pos FROM feed_elem WHERE NOT broken AND NOT no_list", "feed_elem"
 )
+
+
+def sketched_traffic(spark, sf):
+    """Sketches of six hours rolled up to ten days, beside the exact counts: is each estimate within its error?"""
+    pings = _waked(spark, sf).withColumn("snapshot_ts", F.col("snapshot_ts").cast("timestamp"))
+    guess = feed.distinct_traffic(feed.traffic_sketches(pings, "6 hours", "wake"), "10 days", "wake")
+    exact = pings.groupBy(F.window("snapshot_ts", "10 days")["start"].alias("window_start"), "wake").agg(F.count_distinct("callsign").alias("n_exact"))
+    near = F.abs(F.col("n_aircraft") - F.col("n_exact")) <= F.greatest(F.col("n_exact") * 0.05, F.lit(1.0))
+    return exact.join(guess, ["window_start", "wake"], "full").select("window_start", "wake", "n_exact", near.alias("within"))
+
+
+QUERIES["distinct_traffic"] = sketched_traffic
+ORACLES["distinct_traffic"] = oracle("WITH " + WAKED.lstrip() + """
+SELECT time_bucket(INTERVAL '10 days', snapshot_ts, TIMESTAMP '1970-01-01') AS window_start, wake, count(DISTINCT callsign) AS n_exact, TRUE AS within
+FROM waked GROUP BY ALL
+""", "ping", "wake_dim")

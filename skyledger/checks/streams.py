@@ -10,6 +10,7 @@ from skyledger.functions import sqltext
 from skyledger.operators import feed, spatial
 from skyledger.plans.views import load, oracle
 from skyledger.session import checkpoint_dir
+from skyledger.sources import feed as feed_source
 from skyledger.streaming import edits, traffic
 
 QUERIES = {}
@@ -57,6 +58,50 @@ def _wake_by_type(spark, sf):
     return feed.with_wake(types, load(spark, sf, "wake_dim"))
 
 
+def _land_feed(spark, sf):
+    """One document per hour of pings in files of their own, some broken, some landed a second time; then ingested."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    entry = F.to_json(F.struct(F.col("cid"), "callsign", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.struct(F.col("aircraft_type").alias("aircraft_short")).alias("flight_plan")))
+    hours = load(spark, sf, "ping").groupBy("snapshot_ts").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"]), ",").alias("body"))
+    hour = F.floor(F.unix_timestamp("snapshot_ts") / 3600)
+    text = F.concat(F.lit('{"general":{"update_timestamp":"'), F.date_format("snapshot_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"},"pilots":['), "body", F.lit("]}"))
+    value = F.when(hour % 29 == 3, F.lit('{"pilots": [')).when(hour % 31 == 4, F.lit("[1, 2]")).otherwise(text)
+    docs = hours.select(value.alias("value"), hour.alias("hour"))
+    again = docs.where("hour % 7 = 0").withColumn("hour", -F.col("hour"))
+    docs.unionByName(again).coalesce(4).write.partitionBy("hour").text(f"{base}/landed")
+    feed_source.ingest_feed(spark, f"{base}/landed/hour=*", f"{base}/feed").awaitTermination()
+    return f"{base}/feed"
+
+
+def ingested_stream(spark, sf):
+    """Landed files, ingested, read again as a stream with event time and freed of snapshots that landed twice."""
+    entries = feed_source.ingested_entries(spark, _land_feed(spark, sf), streaming=True, delay="31 days")
+    once = traffic.dedupe_snapshots(entries)
+    return feed.clean_pilots(_finish(spark, once.withColumn("entry", F.to_json("entry")), "append").withColumn("entry", F.parse_json("entry"))).select(
+        "snapshot_ts", "pos", "cid", "callsign", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "aircraft_type"
+    )
+
+
+_HOUR = "(epoch(snapshot_ts)::BIGINT // 3600)"
+QUERIES["feed_ingest_stream"] = ingested_stream
+ORACLES["feed_ingest_stream"] = oracle(f"""
+SELECT snapshot_ts, CAST(row_number() OVER (PARTITION BY snapshot_ts ORDER BY pos) - 1 AS INT) AS pos, cid, callsign, round(lat, 6) AS lat, round(lon, 6) AS lon, nullif(trim(aircraft_type), '') AS aircraft_type
+FROM ping WHERE {_HOUR} % 29 <> 3 AND {_HOUR} % 31 <> 4
+""", "ping")
+
+
+def rejected_stream(spark, sf):
+    found = feed_source.rejected_documents(spark, _land_feed(spark, sf))
+    return found.select(F.regexp_extract("doc_id", "hour=([^/]+)/", 1).cast("bigint").alias("hour"), "reason")
+
+
+QUERIES["feed_rejected_stream"] = rejected_stream
+ORACLES["feed_rejected_stream"] = oracle(f"""
+WITH h AS (SELECT DISTINCT {_HOUR} AS hour FROM ping), landed AS (SELECT hour, hour AS h FROM h UNION ALL SELECT -hour, hour FROM h WHERE hour % 7 = 0)
+SELECT hour, CASE WHEN h % 29 = 3 THEN 'not valid JSON' ELSE 'root is not an object' END AS reason FROM landed WHERE h % 29 = 3 OR h % 31 = 4
+""", "ping")
+
+
 def counts_stream(spark, sf):
     pings = traffic.with_event_time(_pings(spark, sf), "10 minutes")
     waked = pings.join(_wake_by_type(spark, sf), "aircraft_type", "left").withColumn(

@@ -178,6 +178,31 @@ def traffic_rollup(pilots: DataFrame) -> DataFrame:
     )
 
 
+SKETCH_BITS = 12  # 4096 registers: a standard error of 1.04 / 64, 1.6 percent
+
+
+def traffic_sketches(pilots: DataFrame, width: str, *by: str) -> DataFrame:
+    """(window_start, window_end, by..., sketch): which callsigns a time window saw, as a mergeable sketch of fixed size."""
+    return (
+        pilots.groupBy(F.window("snapshot_ts", width).alias("w"), *by)
+        .agg(F.hll_sketch_agg("callsign", SKETCH_BITS).alias("sketch"))
+        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "sketch")
+    )
+
+
+def distinct_traffic(sketches: DataFrame, width: str, *by: str) -> DataFrame:
+    """(window_start, by..., n_aircraft): estimated different callsigns of longer windows, from the sketches of their parts.
+
+    ``width`` should be a multiple of the sketches' width. The estimate is within
+    5 percent, three standard errors, in 99.7 of 100 cases.
+    """
+    return (
+        sketches.groupBy(F.window("window_start", width).alias("w"), *by)
+        .agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_aircraft"))
+        .select(F.col("w.start").alias("window_start"), *by, "n_aircraft")
+    )
+
+
 def current_traffic(pilots: DataFrame) -> DataFrame:
     """Rows of the newest snapshot; its time is one row, found by a partial aggregate."""
     newest = pilots.agg(F.max("snapshot_ts").alias("snapshot_ts"))

@@ -50,11 +50,49 @@ def bad_documents(docs: DataFrame) -> DataFrame:
 
 
 def read_feed(
-    spark: SparkSession, path: str, streaming: bool = False
+    spark: SparkSession, path: str, streaming: bool = False, delay: str = "10 minutes"
 ) -> tuple[DataFrame, DataFrame]:
-    """Snapshot files -> (one row per feed entry, rejected documents)."""
+    """Snapshot files -> (one row per feed entry, rejected documents).
+
+    As a stream, entries carry a watermark on ``snapshot_ts``, ``delay`` behind the
+    newest ``update_timestamp``; the two frames are then streams of their own, each
+    with its own read. ``ingest_feed`` serves both from one.
+    """
     docs = read_feed_documents(spark, path, streaming)
-    return feed_entries(docs), bad_documents(docs)
+    entries = feed_entries(docs)
+    return (entries.withWatermark("snapshot_ts", delay) if streaming else entries), bad_documents(docs)
+
+
+def ingest_feed(spark: SparkSession, path: str, target: str, files_per_batch: int = 1000):
+    """A stream query over landed files that reads each once and fills two tables below ``target``.
+
+    ``entries`` and ``rejected`` get one folder per batch, written over if the batch
+    is repeated, so every file counts once. Documents are held for the two writes of their
+    batch only.
+    """
+    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).load(path)
+    docs = files.select(F.col("_metadata.file_path").alias("doc_id"), "value")
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        rows = feed_entries(batch).withColumn("entry", F.to_json("entry"))
+        rows.write.mode("overwrite").parquet(f"{target}/entries/batch={batch_id}")
+        bad_documents(batch).write.mode("overwrite").parquet(f"{target}/rejected/batch={batch_id}")
+        batch.unpersist()
+
+    return docs.writeStream.foreachBatch(land).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
+
+
+def ingested_entries(spark: SparkSession, target: str, streaming: bool = False, delay: str = "10 minutes") -> DataFrame:
+    """What ``ingest_feed`` landed, as ``feed_entries`` gives it; a stream has a watermark on the event time."""
+    schema = "doc_id string, snapshot_ts timestamp, pos int, entry string, batch bigint"
+    reader = spark.readStream if streaming else spark.read
+    rows = reader.schema(schema).parquet(f"{target}/entries").withColumn("entry", F.parse_json("entry")).drop("batch")
+    return rows.withWatermark("snapshot_ts", delay) if streaming else rows
+
+
+def rejected_documents(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(f"{target}/rejected").drop("batch")
 
 
 def wake_dimension(docs: DataFrame) -> DataFrame:
