@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skyledger.checks import routes as route_checks
 from skyledger.checks.waypoints import CLEANED, clean
 from skyledger.operators import routes, waypoints
 from skyledger.plans.views import load, oracle
+from skyledger.session import checkpoint_dir
 from skyledger.sources import catalogue, charts
 from skyledger.sources import feed as feed_source
 
@@ -150,3 +153,70 @@ QUERIES["cell_rows"] = lambda spark, sf: catalogue.table_rows(
     )
 ).select("k")
 ORACLES["cell_rows"] = oracle("SELECT k FROM cell WHERE ord % 40 > 0 AND k % 4 >= 2", "cell")
+
+
+def _stored_waypoints(spark, sf):
+    path = f"{checkpoint_dir(spark)}/waypoints-{uuid.uuid4().hex}"
+    catalogue.write_waypoint_files(load(spark, sf, "waypoint").withColumn("mode_id", F.col("idx") % 2), path)
+    return path
+
+
+def waypoint_files(spark, sf):
+    return spark.read.parquet(_stored_waypoints(spark, sf)).select("mode_id", "idx", "code", "name_he", F.round("lat", 6).alias("lat"))
+
+
+QUERIES["waypoint_table"] = waypoint_files
+ORACLES["waypoint_table"] = oracle("SELECT CAST(idx % 2 AS INT) AS mode_id, idx, code, name_he, round(lat, 6) AS lat FROM waypoint", "waypoint")
+
+CODES = ["aaaab", " AAAAD ", "AAAAE", "AAABZ", "ZZZZZ"]
+QUERIES["waypoint_lookup"] = lambda spark, sf: catalogue.waypoints_by_code(spark, _stored_waypoints(spark, sf), 1, CODES).select("idx", "code")
+ORACLES["waypoint_lookup"] = oracle("SELECT idx, code FROM waypoint WHERE idx % 2 = 1 AND code IN ('AAAAB', 'AAAAD', 'AAAAE', 'AAABZ', 'ZZZZZ')", "waypoint")
+
+
+def tile_range(spark, sf):
+    path = f"{checkpoint_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    charts.write_tile_table(load(spark, sf, "inventory"), path)
+    return charts.tiles_in_range(spark, path, "prov0", 13, (4870, 4880), (3286, 3300)).select("provider", "z", "x", "y", "bytes")
+
+
+QUERIES["tile_table_range"] = tile_range
+ORACLES["tile_table_range"] = oracle("""
+SELECT provider, z, x, y, bytes FROM inventory WHERE provider = 'prov0' AND z = 13 AND x BETWEEN 4870 AND 4880 AND y BETWEEN 3286 AND 3300
+""", "inventory")
+
+
+def tile_updates(spark, sf):
+    """A second listing of zoom 14: some files gone, some of another size, some new."""
+    path = f"{checkpoint_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    first = load(spark, sf, "inventory")
+    charts.write_tile_table(first, path)
+    again = first.where("z = 14 AND bytes % 11 <> 3").withColumn("bytes", F.when(F.col("bytes") % 7 == 2, F.col("bytes") + 1).otherwise(F.col("bytes")))
+    more = first.where("z = 14 AND bytes % 13 = 5").withColumn("x", F.col("x") + 100000)
+    changed = charts.update_tile_table(spark, path, again.unionByName(more))
+    after = spark.read.parquet(path).groupBy("provider", "z").agg(F.count("*").alias("n_files"), F.sum("bytes").alias("n_bytes"))
+    counts = changed.groupBy("provider", "z").agg(*[F.count_if(F.col("change") == c).alias(f"n_{c}") for c in ("new", "changed", "gone")])
+    return after.join(counts, ["provider", "z"], "left").na.fill(0, ["n_new", "n_changed", "n_gone"])
+
+
+QUERIES["tile_table_update"] = tile_updates
+ORACLES["tile_table_update"] = oracle("""
+WITH s AS (SELECT provider, z, bytes, CASE WHEN z = 14 AND bytes % 11 = 3 THEN 0 ELSE 1 END AS stays, CASE WHEN z = 14 AND bytes % 11 <> 3 AND bytes % 7 = 2 THEN 1 ELSE 0 END AS grows,
+  CASE WHEN z = 14 AND bytes % 13 = 5 THEN 1 ELSE 0 END AS twin FROM inventory)
+SELECT provider, z, CAST(sum(stays + twin) AS BIGINT) AS n_files, CAST(sum(stays * (bytes + grows) + twin * bytes) AS BIGINT) AS n_bytes,
+  CAST(sum(twin) AS BIGINT) AS n_new, CAST(sum(grows) AS BIGINT) AS n_changed, CAST(sum(1 - stays) AS BIGINT) AS n_gone FROM s GROUP BY provider, z
+""", "inventory")
+
+
+def plan_files(spark, sf):
+    """Plan lines in files of their own, the first of every 97th plan, read back with trimmed ends."""
+    path = f"{checkpoint_dir(spark)}/plans-{uuid.uuid4().hex}"
+    lines = load(spark, sf, "plan_text").select((F.col("plan_id") % 97).alias("bundle"), F.concat(F.lit(" "), F.trim("text"), F.lit(" ")).alias("value"), "plan_id")
+    # a file holds the first plan of its bundle
+    firsts = lines.groupBy("bundle").agg(F.min_by("value", "plan_id").alias("value"))
+    firsts.coalesce(1).write.partitionBy("bundle").text(path)
+    plans = catalogue.read_plans(spark, f"{path}/bundle=*")
+    return plans.select(F.regexp_extract("plan_id", "bundle=([0-9]+)/", 1).cast("bigint").alias("bundle"), "text")
+
+
+QUERIES["plan_files"] = plan_files
+ORACLES["plan_files"] = oracle("SELECT plan_id % 97 AS bundle, trim(arg_min(text, plan_id), ' ') AS text FROM plan_text GROUP BY 1", "plan_text")

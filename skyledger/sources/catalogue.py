@@ -38,6 +38,17 @@ def write_waypoints(df: DataFrame, table: str) -> None:
     )
 
 
+def write_waypoint_files(df: DataFrame, path: str) -> None:
+    """The same layout as files: a folder per mode, ranges of codes apart, so that a look-up opens few files."""
+    df.repartitionByRange("mode_id", "code").sortWithinPartitions("mode_id", "code").write.mode("overwrite").partitionBy("mode_id").parquet(path)
+
+
+def waypoints_by_code(spark: SparkSession, path: str, mode_id, codes: list[str]) -> DataFrame:
+    """Rows of one mode with one of a few codes (upper case, no blanks); the mode prunes folders, codes reach the scan."""
+    wanted = sorted({c.strip().upper() for c in codes})
+    return spark.read.parquet(path).where((F.col("mode_id") == mode_id) & F.col("code").isin(wanted))
+
+
 def waypoint_sheet(df: DataFrame) -> DataFrame:
     """The seven export columns, in export order."""
     fixed = lambda c: F.format_string("%.6f", F.col(c))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators import calib, tiles
+from skyledger.session import cut
 
 # Fixed values.
 ARROW_FORMAT = 7
@@ -103,6 +104,40 @@ def read_tile_inventory(spark: SparkSession, root: str) -> DataFrame:
     return tiles.parse_tile_paths(files)
 
 
+def write_tile_table(inventory: DataFrame, path: str) -> None:
+    """Keep an inventory as files: a folder per provider and zoom, columns of tiles in order and ranges apart."""
+    order = ["provider", "z", "x", "y"]
+    inventory.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("provider", "z").parquet(path)
+
+
+def tiles_in_range(spark: SparkSession, path: str, provider: str, zoom: int, x: tuple[int, int], y: tuple[int, int]) -> DataFrame:
+    """Stored tiles of a rectangle: folders are pruned by provider and zoom, files by their ranges of x and y."""
+    stored = spark.read.parquet(path)
+    return stored.where((F.col("provider") == provider) & (F.col("z") == zoom) & F.col("x").between(*x) & F.col("y").between(*y))
+
+
+def update_tile_table(spark: SparkSession, path: str, listing: DataFrame) -> DataFrame:
+    """Fold a newer listing (provider, z, x, y, bytes, mtime) of some folders into the table; returns what changed.
+
+    ``listing`` is complete for every (provider, z) that it names, so folders that
+    did not change need no listing. Only folders with a change (``change``: new,
+    changed or gone) are written again; the rest stays as it lies.
+    """
+    key = ["provider", "z", "x", "y"]
+    folders = listing.select("provider", "z").distinct()
+    held = spark.read.parquet(path).join(folders, ["provider", "z"], "left_semi")
+    both = held.select(*key, F.struct("bytes", "mtime").alias("old")).join(listing.select(*key, F.struct("bytes", "mtime").alias("new")), key, "full")
+    change = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "gone").when(F.col("old") != F.col("new"), "changed")
+    # written first: the table is written over below
+    changed = cut(both.select(*key, change.alias("change")).where(F.col("change").isNotNull()))
+    touched = changed.select("provider", "z").distinct()
+    fresh = listing.join(touched, ["provider", "z"], "left_semi")
+    columns = [c for c in spark.read.parquet(path).columns if c not in ("provider", "z")]
+    ordered = fresh.select(*columns, "provider", "z").repartitionByRange(*key).sortWithinPartitions(*key)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider", "z").parquet(path)
+    return changed
+
+
 def canonical_url(url: Column) -> Column:
     """Percent-encode what is not allowed in a path, query or fragment; scheme in lower case.
 

@@ -81,3 +81,34 @@ def test_anchor_choice(spark):
         by.setdefault(r.sheet, []).append(r.code)
     assert set(by) == {"north", "south"}
     assert all(len(set(v)) == len(v) >= 4 and "W09XX" not in v for v in by.values())
+
+
+def test_stored_tables_are_pruned(spark, tmp_path):
+    from skyledger.sources import charts
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    rows = [("p0" if i % 2 else "p1", 12 + i % 3, i, 10_000 - i, 5) for i in range(3000)]
+    tiles = spark.createDataFrame(rows, "provider string, z int, x int, y int, bytes int")
+    charts.write_tile_table(tiles, f"{tmp_path}/tiles")
+    part = charts.tiles_in_range(spark, f"{tmp_path}/tiles", "p0", 13, (100, 400), (0, 10_000))
+    plan = part._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(provider" in plan and "GreaterThanOrEqual(x,100)" in plan and "LessThanOrEqual(y,10000)" in plan
+    assert sorted(r.x for r in part.collect()) == [i for i in range(100, 401) if i % 2 and 12 + i % 3 == 13]
+    points = spark.createDataFrame([(i, f"A{i:04d}", i % 2) for i in range(500)], "idx int, code string, mode_id int")
+    catalogue.write_waypoint_files(points, f"{tmp_path}/points")
+    found = catalogue.waypoints_by_code(spark, f"{tmp_path}/points", 1, ["a0007", " A0008 ", "A0009"])
+    plan = found._jdf.queryExecution().toString()
+    assert "mode_id" in plan.split("PartitionFilters: ")[1][:60] and "In(code, [A0007,A0008,A0009])" in plan
+    assert sorted(r.idx for r in found.collect()) == [7, 9]
+
+
+def test_tile_table_takes_up_changes(spark, tmp_path):
+    from skyledger.sources import charts
+
+    schema = "provider string, z int, x int, y int, bytes int, mtime int"
+    charts.write_tile_table(spark.createDataFrame([("p", 1, 0, 0, 5, 1), ("p", 1, 1, 0, 5, 1), ("p", 2, 0, 0, 7, 1), ("q", 1, 0, 0, 9, 1)], schema), f"{tmp_path}/t")
+    listing = spark.createDataFrame([("p", 1, 0, 0, 5, 2), ("p", 1, 2, 0, 5, 1), ("q", 1, 0, 0, 9, 1)], schema)
+    changed = charts.update_tile_table(spark, f"{tmp_path}/t", listing)
+    assert sorted((r.provider, r.z, r.x, r.change) for r in changed.collect()) == [("p", 1, 0, "changed"), ("p", 1, 1, "gone"), ("p", 1, 2, "new")]
+    after = spark.read.parquet(f"{tmp_path}/t").select("provider", "z", "x", "mtime").collect()
+    assert sorted(map(tuple, after)) == [("p", 1, 0, 2), ("p", 1, 2, 1), ("p", 2, 0, 1), ("q", 1, 0, 1)]
