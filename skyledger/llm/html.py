@@ -45,13 +45,34 @@ _BLOCK = set(
     " head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _CLOSES_P = _BLOCK - {"head", "html", "body", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary"}
-_SIGNS = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter\w*|subscri\w*"
-    r"|comments?|replies|respond|disqus|navbar|nav|navigation|navigation-\w+|menus?|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|widgets?|pagination|pager|login|signup|search)(?=$|[\s_\-])",
-    re.I,
+# Parts of class names and ids, as words. A name tells of furniture if some part does and all others only say where it lies.
+_LAYOUT = "side sidebar sidebars header masthead topbar toolbar banner banners notice notices alert alerts overlay modal modals popup popups cookie cookies consent gdpr"
+_FOREIGN = (
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion newsletter newsletters subscribe subscription"
+    " comment comments reply replies respond disqus navbar nav navigation menu menus breadcrumb breadcrumbs footer foot share sharing social related widget widgets"
+    " pagination pager login signup search"
 )
+_PLACE = (
+    "left right top bottom main primary secondary site page post article global wrapper wrap container content box bar area inner outer list section block group items item"
+    " slot unit inline bottom fixed sticky mobile desktop small large form links icons buttons message bg"
+)
+_SOFT_PARTS, _HARD_PARTS, _PLACE_PARTS = set(_LAYOUT.split()), set(_FOREIGN.split()), set(_PLACE.split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[^\W_]+")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
-_TEXT, _FURN, _OPEN = 0, 1, 2  # in the article, furniture, neither
+_TEXT, _FURN, _OPEN, _SOFT = 0, 1, 2, 3  # in the article, furniture, neither, furniture by a layout name that an article inside overrules
+
+
+def _sign(names: str) -> int | None:
+    """What class names or an id say: _FURN, _SOFT or nothing."""
+    out = None
+    for name in names.replace("side-bar", "sidebar").split():
+        parts = {p.lower() for p in _PARTS.findall(name) if not p.isdigit()}
+        signs = parts - _PLACE_PARTS
+        if signs & _HARD_PARTS and signs <= _HARD_PARTS | _SOFT_PARTS:
+            return _FURN
+        if signs and signs <= _SOFT_PARTS:
+            out = _SOFT
+    return out
 
 
 def _kind(name: str, rest: str, inside: bool) -> int | None:
@@ -62,10 +83,14 @@ def _kind(name: str, rest: str, inside: bool) -> int | None:
     if signs:
         if signs.get("role", "").strip().lower() in _ROLES:
             return _FURN
-        if name not in ("html", "body", "main") and (_SIGNS.search(signs.get("class", "")) or _SIGNS.search(signs.get("id", ""))):
+        if name not in ("html", "body", "main"):
+            said = [_sign(signs.get("class", "")), _sign(signs.get("id", ""))]
+            if inside and (said[1] == _SOFT or re.fullmatch("h[1-6]", name)):
+                said[1] = None  # within an article an id may name a heading or a part of the text
+            found = _FURN if _FURN in said else _SOFT if _SOFT in said else None
             # an article may be of a class like "header-image"; only one for comments or adverts is no article
-            if name != "article" or re.search(r"comment|repl|respon|advert|sponsor|promo|related|teaser", signs.get("class", "") + signs.get("id", ""), re.I):
-                return _FURN
+            if found is not None and (name != "article" or re.search(r"comment|repl|respon|advert|sponsor|promo|related|teaser", signs.get("class", "") + signs.get("id", ""), re.I)):
+                return _FURN if name == "article" else found
         if signs.get("role", "").strip().lower() in ("main", "article"):
             return _TEXT
     return _TEXT if name in ("article", "main") else None
@@ -85,7 +110,7 @@ def blocks_of(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[str,
         if text:
             if kind != _TEXT:
                 stream.extend((w, len(blocks)) for w in text.split())
-            blocks.append((kind, text))
+            blocks.append((_FURN if kind == _SOFT else kind, text))
 
     page, at = page or "", 0
     while m := _TOKEN.match(page, at):
@@ -137,8 +162,8 @@ def blocks_of(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[str,
                 stack.pop()
                 kind = stack[-1][1] if stack else _OPEN
             new = _kind(name, m["rest"] or m["rest2"] or "", kind == _TEXT)
-            # furniture stays furniture whatever is inside
-            if kind != _FURN and new is not None:
+            # furniture stays furniture whatever is inside, but a wrapper's name does not outweigh an article
+            if new is not None and (kind not in (_FURN, _SOFT) or (kind == _SOFT and new == _TEXT) or (kind == _SOFT and new == _FURN)):
                 flush()
                 kind = new
             stack.append((name, kind))

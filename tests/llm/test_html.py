@@ -84,3 +84,21 @@ def test_script_and_style_end_at_their_own_end_tag_only():
     assert text("<article><p>a</p><script>for(i=0;i<n;i++) { f(i); }</script><p>b</p></article>") == "a\nb"
     assert text("<p>a</p><script>x='<!--';</SCRIPT ><p>b</p><style>p{} <!-- </style><p>c</p>") == "a\nb\nc"
     assert text("<title>x <b</title><p>a</p><script>s='</scripted>'</script>b<p>c</p><script>open") == "a\nb\nc"
+
+
+def test_wrappers_and_names_inside_an_article():
+    def text(p):
+        return "\n".join(t for k, t in html.blocks_of(p)[0] if k != html._FURN)
+
+    body = "<article><h2>T</h2><p>one two</p></article>"
+    for names in ("layout no-sidebar", "page has-header", "with_sidebar", "headerless", "sidebar-left"):
+        assert text(f'<div class="{names}">{body}<p>after</p></div>').startswith("T\none two")
+    assert text(f'<div class="sidebar-left">{body}<p>after</p></div>') == "T\none two"
+    assert text('<article><section id="search-methods"><p>a</p></section><div class="social-history"><p>b</p></div><h2 id="related">c</h2><section id="comments"><p>no</p></section></article>') == "a\nb\nc"
+    gone = '<div class="{}"><article><p>no</p></article><p>no</p></div><p>yes</p>'
+    for names in ("comments", "post-comments", "related", "comment-list", "ad-slot", "AdBanner", "newsletterSignup"):
+        assert text(gone.format(names)) == "yes"
+    for names in ("cookie-notice", "site-header", "side-bar", "x sidebar", "sidebar_2", "top-banner"):
+        assert text(f'<div class="{names}"><p>no</p></div><p>yes</p>') == "yes"
+    for names in ("adventure", "header-story", "searchable", "foot-notes", "socialist party", "menu-planning"):
+        assert text(f'<div class="{names}"><p>yes</p></div>') == "yes"
