@@ -54,8 +54,12 @@ def test_a_block_is_exact_at_any_scale(offset, spread, big):
     ids = rnd.permutation(300)
     got = forest.nearest_of(x[:40], ids[:40], x, ids, 10)
     for q in range(40):
-        with np.errstate(over="ignore"):
-            d = [(float(np.sqrt(sum((float(a) / s - float(b) / s) ** 2 for a, b in zip(x[q], y)))) * s if (s := float(np.abs(x[q] / 2 - y / 2).max())) else 0.0, int(i)) for y, i in zip(x, ids) if i != ids[q]]
+        d = []
+        for y, i in zip(x, ids):
+            if i != ids[q]:
+                off = x[q] / 4 - y / 4  # a power of two: exact, and in range
+                top = np.abs(off).max() or 1.0
+                d.append((float(np.sqrt(((off / top) ** 2).sum()) * top * 4), int(i)))
         want = sorted(d)[:10]
         rows = got[got["query_id"] == ids[q]]
         assert rows["score"].tolist() == pytest.approx([s for s, _ in want], rel=1e-9)
