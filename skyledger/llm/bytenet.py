@@ -164,16 +164,18 @@ def train(parts: list[bytes], y: np.ndarray, langs: list[str], steps: int = 900,
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 1500, langs: int = 100, draws: int = 3, steps: int = 900) -> Network:
     """Train on the first `draws` windows, spread over the text, of at most `per_lang` texts of each language.
 
-    The sample holds the texts of the smallest hashed keys of the `langs` most frequent
+    The sample holds the texts of the smallest hashed keys, of a share of the rows that a
+    second hash draws so that about 4 * `per_lang` are left, of the `langs` most frequent
     languages. Rows with a NULL key, text or language and texts without letters are left
     out. The choice of windows depends on the text alone. Without rows the network knows
     no language.
     """
     rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).dropna().filter(F.col("text").rlike(r"\p{L}"))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).select("lang")
-    # ids first, texts only of those drawn
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
+    # ids first, texts only of those drawn; about four times as many as wanted are put in order, however many there are
     order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    drawn = rows.join(known, "lang").select("lang", "k").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang).select("lang", "k").distinct()
+    near = F.shiftrightunsigned(F.xxhash64("k", F.lit(1)), 11) < F.lit(4.0 * per_lang * 2.0**53) / F.col("n")
+    drawn = rows.join(known, "lang").filter(near).select("lang", "k").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_lang).select("lang", "k")
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,7 +184,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 at = sorted({round(i * (len(parts) - 1) / max(1, draws - 1)) for i in range(draws)})
                 yield pd.DataFrame({"lang": row.lang, "k": row.k, "at": at, "part": [parts[i] for i in at]})
 
-    sample = rows.join(drawn, ["lang", "k"]).mapInPandas(some, "lang string, k string, at int, part binary").toPandas()
+    # at most per_lang * langs keys, so texts need no shuffle
+    sample = rows.join(F.broadcast(drawn), ["lang", "k"]).mapInPandas(some, "lang string, k string, at int, part binary").toPandas()
     sample = sample.sort_values(["lang", "k", "at", "part"], kind="stable")
     names = sorted(set(sample["lang"]))
     y = np.array([names.index(v) for v in sample["lang"]], "int64")
