@@ -32,8 +32,9 @@ from skyledger.llm.common import cut, shared_dir
 
 LEAST_PAYLOAD = 100  # bytes from which an equal payload is a revisit
 BLOCK_LINES = 1024
+READ_BYTES = 8 << 20  # of packed records that one task looks up, about
 _LINE = "key string, page_id long, record_type string, file string, offset long, length long"
-_PARTS = "first_key string, first_id long, file string, at long, length long, lines long"
+_PARTS = "first_key string, first_id long, file string, at long, length long, lines long, stored long"
 
 
 def reversed_host_key(url: Column) -> Column:
@@ -141,7 +142,7 @@ def _unpack(data: bytes) -> list[tuple]:
 
 
 def build_index(lines: DataFrame, folder: str) -> list[tuple]:
-    """Write the sorted index under `folder`; a row per index file (first_key, first_id, file, place and length of its directory, lines), in key order.
+    """Write the sorted index under `folder`; a row per index file (first_key, first_id, file, place and length of its directory, lines, bytes of their records), in key order.
 
     The rows are as many as sorted partitions, and are all the driver holds.
     """
@@ -149,7 +150,7 @@ def build_index(lines: DataFrame, folder: str) -> list[tuple]:
     ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, at, total, directory, held, out = f"{folder}/index-{uuid.uuid4().hex}", 0, 0, [], [], None
+        path, at, total, stored, directory, held, out = f"{folder}/index-{uuid.uuid4().hex}", 0, 0, 0, [], [], None
 
         def flush(block: list[tuple]) -> None:
             nonlocal at, out
@@ -166,6 +167,7 @@ def build_index(lines: DataFrame, folder: str) -> list[tuple]:
             ids = [None if pd.isna(i) else int(i) for i in batch["page_id"]]
             held += zip(batch["key"], ids, batch["record_type"], batch["file"], batch["offset"].tolist(), batch["length"].tolist())
             total += len(batch)
+            stored += int(batch["length"].sum())
             while len(held) >= BLOCK_LINES:
                 flush(held[:BLOCK_LINES])
                 held = held[BLOCK_LINES:]
@@ -175,7 +177,7 @@ def build_index(lines: DataFrame, folder: str) -> list[tuple]:
             data = _pack(directory)
             out.write(data)
             out.close()
-            yield pd.DataFrame([(*directory[0][:2], path, at, len(data), total)], columns=["first_key", "first_id", "file", "at", "length", "lines"]).astype({"first_id": "Int64"})
+            yield pd.DataFrame([(*directory[0][:2], path, at, len(data), total, stored)], columns=["first_key", "first_id", "file", "at", "length", "lines", "stored"]).astype({"first_id": "Int64"})
 
     parts = cut(ordered.mapInPandas(write, _PARTS)).collect()
     return sorted([tuple(p) for p in parts], key=lambda p: (p[0].encode("utf-8", "surrogatepass"), _sortable(p[1])))
@@ -237,7 +239,9 @@ def look_up(captures: DataFrame, parts: list[tuple]) -> DataFrame:
     """
     shared = captures.sparkSession.sparkContext.broadcast(parts)  # one row per index file
     asked = captures.select("key", "page_id").distinct()
-    asked = asked.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # keys are small beside the records they lead to, so the tasks are numbered by those
+    tasks = max(1, -(-sum(p[6] for p in parts) // READ_BYTES))
+    asked = asked.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(shared.value)
