@@ -20,7 +20,7 @@ whole, so scores and nesting are joins of the node table with itself.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import count
 
@@ -168,12 +168,15 @@ def _counts(part: Partition | None, depth: int):
                     found, c = found[1:], c[1:]
                 found, c = [*found, None], [*c, sum(c)]
             else:
-                leaf, c = _leaves(words)
-                some = part.begins(lang, depth - 1, words.number, leaf) & (leaf[depth - 1] > 0)
-                total = Counter()
-                for k, n in zip(zip(*leaf[:depth, some].tolist()), c[some].tolist()):
-                    total[k] += n
-                found, c = [b" ".join(names[i] for i in k) for k in total], list(total.values())
+                rows = words.suffixes()
+                # only what begins with a listed prefix is put in order
+                some = part.begins(lang, depth - 1, words.number, rows) & (rows[depth - 1] > 0)
+                prefix = np.zeros((DEPTH, int(some.sum())), "int64")
+                prefix[:depth] = rows[:depth, some]
+                order, new = _runs(prefix)
+                starts = np.flatnonzero(new[DEPTH - 1])
+                found = [b" ".join(names[i] for i in k) for k in prefix[:depth, order[starts]].T.tolist()]
+                c = np.diff(np.append(starts, len(order))).tolist()
             yield pd.DataFrame({"lang": np.full(len(found), lang, object), "prefix": np.array(found, object), "c": np.array(c, "int64")})
 
     return run
