@@ -109,10 +109,13 @@ def anchor_pairs(candidates: DataFrame, cell_km: float = 12.0) -> DataFrame:
     # One row per occupied cell: the number of cells is bounded by the sheet's area.
     cells = spots.groupBy(*SHEET, "mid", "cy", "cx").agg(F.min(F.struct("ord", "lat", "lon")).alias("r"))
     other = cells.select(*SHEET, F.col("cy").alias("oy"), F.col("cx").alias("ox"), F.col("r").alias("o"))
-    reach = int(BANDS_KM[-1][1] / cell_km) + 2
-    cell_pairs = cells.join(other, SHEET).where(
-        (F.abs(F.col("cy") - F.col("oy")) <= reach) & (F.abs(F.col("cx") - F.col("ox")) <= reach)
-    )
+    gap = lambda a, b: F.greatest(F.abs(a - b) - 1, F.lit(0)) * cell_km
+    far = lambda a, b: (F.abs(a - b) + 1) * cell_km
+    lo = F.hypot(gap(F.col("cy"), F.col("oy")), gap(F.col("cx"), F.col("ox")))
+    hi = F.hypot(far(F.col("cy"), F.col("oy")), far(F.col("cx"), F.col("ox")))
+    widest = BANDS_KM[-1]
+    # a chart covers some hundred cells; only those in a ring that the widest band can reach are partners
+    cell_pairs = cells.join(other, SHEET).where((lo <= widest[1]) & (hi >= widest[0]))
     d = _km(F.col("r.lat"), F.col("r.lon"), F.col("o.lat"), F.col("o.lon"), F.col("mid"))
     band = _band(F.col("_d"))
     bound = (
@@ -122,16 +125,18 @@ def anchor_pairs(candidates: DataFrame, cell_km: float = 12.0) -> DataFrame:
         .groupBy(*SHEET)
         .agg(F.min(F.struct(F.col("_band").alias("band"), F.abs(F.col("_d") - TARGET_KM).alias("score"))).alias("b"))
     )
-    gap = lambda a, b: F.greatest(F.abs(a - b) - 1, F.lit(0)) * cell_km
-    far = lambda a, b: (F.abs(a - b) + 1) * cell_km
-    lo = F.hypot(gap(F.col("cy"), F.col("oy")), gap(F.col("cx"), F.col("ox")))
-    hi = F.hypot(far(F.col("cy"), F.col("oy")), far(F.col("cx"), F.col("ox")))
     best = F.col("b.score") * (1.0 + 1e-9) + 1e-9
-    can_win = (
-        F.when(F.col("b").isNull(), True)
-        .when(F.col("b.band") == 0, (lo <= TARGET_KM + best) & (hi >= TARGET_KM - best))
-        .otherwise(True)
-    )
+
+    def reaches(low: Column, high: Column) -> Column:
+        return (lo <= high) & (hi >= low)
+
+    # a pair wins in a better band, or nearer to the target in the same one
+    can_win = reaches(F.lit(widest[0]), F.lit(widest[1]))
+    for number in range(len(BANDS_KM)):
+        low, high = TARGET_KM - best, TARGET_KM + best
+        if number:
+            low, high = F.least(low, F.lit(BANDS_KM[number - 1][0])), F.greatest(high, F.lit(BANDS_KM[number - 1][1]))
+        can_win = F.when(F.col("b.band") == number, reaches(low, high)).otherwise(can_win)
     open_pairs = (
         cell_pairs.join(bound, SHEET, "left").where(can_win).select(*SHEET, "cy", "cx", "oy", "ox")
     )

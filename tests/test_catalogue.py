@@ -112,3 +112,34 @@ def test_tile_table_takes_up_changes(spark, tmp_path):
     assert sorted((r.provider, r.z, r.x, r.change) for r in changed.collect()) == [("p", 1, 0, "changed"), ("p", 1, 1, "gone"), ("p", 1, 2, "new")]
     after = spark.read.parquet(f"{tmp_path}/t").select("provider", "z", "x", "mtime").collect()
     assert sorted(map(tuple, after)) == [("p", 1, 0, 2), ("p", 1, 2, 1), ("p", 2, 0, 1), ("q", 1, 0, 1)]
+
+
+def test_anchor_pairs_of_every_band_equal_all_pairs(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    crowds = {1: [(31, 35)], 2: [(30, 34.5), (31.0, 35.2)], 3: [(29.5, 34.5), (30.9, 35.1)], 4: [(31, 35), (31.17, 35)], 5: [(31, 35), (31.3, 35.3), (32, 35)], 6: [(29, 34), (33, 36)]}
+    for edition, spots in crowds.items():
+        for n in range(40):
+            lat, lon = spots[n % len(spots)]
+            rows.append((edition, "north", n, f"C{n % 37:03d}", lat + rng.uniform(-0.02, 0.02), lon + rng.uniform(-0.02, 0.02)))
+    df = spark.createDataFrame(rows, "edition int, sheet string, ord int, code string, lat double, lon double")
+    got = {r.edition: (r.first_code, r.second_code, round(r.km, 9)) for r in anchors.anchor_pairs(df).collect()}
+    want = {}
+    for edition in crowds:
+        own = [r for r in rows if r[0] == edition]
+        k = math.cos(math.radians(sum(r[4] for r in own) / len(own)))
+        best = None
+        for a in own:
+            for b in own:
+                if a[2] < b[2]:
+                    km = math.hypot((a[5] - b[5]) * k * anchors.KM_PER_DEGREE, (a[4] - b[4]) * anchors.KM_PER_DEGREE)
+                    band = next((i for i, (lo, hi) in enumerate(anchors.BANDS_KM) if lo <= km <= hi), None)
+                    if band is not None and (best is None or (band, abs(km - 48), a[2], b[2]) < best[:4]):
+                        best = (band, abs(km - 48), a[2], b[2], a[3], b[3], km)
+        if best:
+            want[edition] = (*sorted(best[4:6], key=str.lower), round(best[6], 9))
+    assert got == want and 0 < len(want) < 6
+    assert len({next(i for i, (lo, hi) in enumerate(anchors.BANDS_KM) if lo <= km <= hi) for _, _, km in want.values()}) == 3
