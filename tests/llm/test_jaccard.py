@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline
+import pytest
 from skyledger.llm import jaccard, simhash
 from test_simhash import union
 
@@ -73,19 +74,21 @@ def test_bands_meet_at_the_threshold():
         assert not jaccard.similar(a[:-1], b, 0.8)
 
 
-def test_a_common_passage_gives_no_square(spark):
+@pytest.mark.parametrize("counters", [1 << 20, 64])
+def test_a_common_passage_gives_no_square(spark, monkeypatch, counters):
     """Texts that share a passage without being near copies: candidates stay near the number of texts, and none is lost."""
+    monkeypatch.setattr(jaccard, "COUNTERS", counters)
     rnd = random.Random(9)
     counts = []
     for texts in (100, 200):
         passage = [f"p{i}" for i in range(100)]
         own = [[f"x{rnd.random()}" for _ in range(rnd.choice([30, 31, 34, 40]))] for _ in range(texts)]
         rows = [passage + o for o in own] + [passage + own[0][:-2], passage + own[0][2:]]
-        sets = [(str(i), str(i), len(s), h) for i, r in enumerate(rows) for s in [jaccard.shingles(" ".join(r))] for h in s.view("int64").tolist()]
-        df = spark.createDataFrame(sets, "sig string, c string, n long, h long")
-        got = {(min(r.a, r.b, key=int), max(r.a, r.b, key=int)) for r in jaccard.prefix_pairs(df, 0.8).collect()}
+        df = spark.createDataFrame([(i, i, " ".join(r)) for i, r in enumerate(rows)], "node long, c long, _text string")
+        got = {(min(r.a, r.b), max(r.a, r.b)) for r in jaccard.prefix_pairs(df, 5, 0.8).collect()}
         plain = [plain_set(" ".join(r)) for r in rows]
-        want = {(str(i), str(j)) for j in range(len(rows)) for i in range(j) if 10 * len(plain[i] & plain[j]) >= 8 * len(plain[i] | plain[j])}
+        want = {(i, j) for j in range(len(rows)) for i in range(j) if 10 * len(plain[i] & plain[j]) >= 8 * len(plain[i] | plain[j])}
         assert want <= got and len(want) >= 3
         counts.append(len(got))
-    assert counts[1] <= 3 * counts[0] + 50 and counts[1] < 1000, counts
+    if counters > 64:  # few classes tell rare from common no more: more candidates, none lost
+        assert counts[1] <= 3 * counts[0] + 50 and counts[1] < 1000, counts
