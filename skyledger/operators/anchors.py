@@ -80,8 +80,9 @@ def anchor_candidates(waypoints: DataFrame) -> DataFrame:
 
 
 def _km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column, mid: Column) -> Column:
-    dx = (lon_a - lon_b) * F.cos(F.radians(mid)) * KM_PER_DEGREE
-    return F.hypot(dx, (lat_a - lat_b) * KM_PER_DEGREE)
+    # not hypot, whose last bit differs: of distances equal but for that, the wrong one would win a choice
+    dx, dy = (lon_a - lon_b) * F.cos(F.radians(mid)) * KM_PER_DEGREE, (lat_a - lat_b) * KM_PER_DEGREE
+    return F.sqrt(F.pow(dx, F.lit(2.0)) + F.pow(dy, F.lit(2.0)))
 
 
 def anchor_pairs(candidates: DataFrame, cell_km: float = 12.0) -> DataFrame:
