@@ -8,7 +8,7 @@ candidate list as a sorted stream and remembers just the arrows it has used.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -198,7 +198,9 @@ def _bend_fold():
     return fold
 
 
-def rescue_bends(legs: DataFrame, filled: DataFrame, owners: DataFrame, candidates: DataFrame, arrows: DataFrame) -> DataFrame:
+def rescue_bends(
+    legs: DataFrame, filled: DataFrame, owners: DataFrame, candidates: DataFrame, arrows: DataFrame, bisector: Callable[[Column, Column], Column] = geo.bisector_deg
+) -> DataFrame:
     """Arrows drawn along the bisector of a bend between two waypoint legs without altitudes."""
     real = legs.where(F.col("from_is_wp") & F.col("to_is_wp"))
     empty = real.join(filled.select(*LEG), LEG, "left_anti").select(
@@ -215,7 +217,7 @@ def rescue_bends(legs: DataFrame, filled: DataFrame, owners: DataFrame, candidat
             & (F.abs(F.col("to_lon") - F.col("n_lon")) <= 1e-9)
             & (geo.circular_diff_deg(F.col("true_bearing_deg"), F.col("n_brg")) >= BEND_MIN_DEG)
         )
-        .select(*LEG, geo.bisector_deg(F.col("true_bearing_deg"), F.col("n_brg")).alias("bisector"))
+        .select(*LEG, bisector(F.col("true_bearing_deg"), F.col("n_brg")).alias("bisector"))
     )
     close = candidates.where((F.col("d_nm") <= BEND_RADIUS) & ~F.col("bidirectional")).select(*LEG, "arrow_ord", "d_nm")
     both = close.unionByName(close.withColumn("leg_no", F.col("leg_no") - 1))
@@ -260,19 +262,20 @@ def wide_corridor(filled: DataFrame, used: DataFrame, candidates: DataFrame) ->
     )
 
 
-def match_altitudes(legs: DataFrame, arrows: DataFrame) -> DataFrame:
+def match_altitudes(legs: DataFrame, arrows: DataFrame, bisector: Callable[[Column, Column], Column] = geo.bisector_deg) -> DataFrame:
     """``legs`` plus ``altitudes_ft`` (empty where the chart gives none).
 
     ``arrows``: arrow_ord struct<sheet_no, arrow_no>, lat, lon, bearing_deg,
     altitudes_ft, bidirectional. Tables that several steps read (legs, candidate
     pairs, owners) are written to the shared folder once instead of being built anew.
+    ``bisector`` is the direction half-way between two bearings; rules differ for opposite ones.
     """
     legs, arrows = cut(legs), cut(arrows)
     candidates = cut(arrow_leg_candidates(legs, arrows))
     neighbours = cut(arrow_neighbours(arrows))
     owners = cut(promote(cut(arrow_owners(candidates)), neighbours, candidates))
     stacked = cut(collect_stacks(owners, neighbours, candidates, arrows).where(F.size("altitudes_ft") > 0))
-    rescued = cut(rescue_bends(legs, stacked, owners, candidates, arrows))
+    rescued = cut(rescue_bends(legs, stacked, owners, candidates, arrows, bisector))
     texts = arrows.select("arrow_ord", "altitudes_ft")
     bend_pairs = rescued.unionByName(rescued.withColumn("leg_no", F.col("leg_no") + 1))
     bend = bend_pairs.join(texts, "arrow_ord").select(*LEG, "altitudes_ft")

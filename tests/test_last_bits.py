@@ -32,6 +32,13 @@ def test_foot_on_the_end_of_a_leg(spark):
     assert all(want[r.a, r.o, r.q, r.s][2] == pytest.approx(r.d, abs=1e-9) for r in got)
 
 
+def test_direction_of_opposite_bearings(spark):
+    r = spark.range(1).select(geo.mean_direction_deg(180.0, 0.0).alias("x"), geo.mean_direction_deg(0.0, 180.0).alias("y"), geo.mean_direction_deg(350.0, 20.0).alias("z")).first()
+    assert r.x == pytest.approx(90.0) and r.y == pytest.approx(90.0) and r.z == pytest.approx(5.0)
+    # the operator's rule stays that of the reference
+    assert spark.range(1).select(geo.bisector_deg(180.0, 0.0).alias("x")).first().x == pytest.approx(270.0)
+
+
 def test_anchor_distance_is_that_of_the_twin(spark):
     rows = [(29.5 + (i * 7919) % 38000 / 10007.0, 34.2 + (i * 6007) % 17000 / 10009.0, 29.5 + (i * 4001) % 38000 / 10007.0, 34.2 + (i * 911) % 17000 / 10009.0) for i in range(500)]
     df = spark.createDataFrame(rows, "a double, o double, b double, q double")
