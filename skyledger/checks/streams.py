@@ -184,8 +184,10 @@ def replay_stream(spark, sf):
     log = load(spark, sf, "route_edit")
     span = F.floor(F.unix_timestamp("edit_ts") / (5 * 86400)) + (F.col("edit_no") % 7 == 3).cast("int")
     log = log.withColumn("span", span)
-    for number in sorted(r[0] for r in log.select("span").distinct().collect()):
-        log.where(F.col("span") == number).drop("span").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    log.repartition("span").write.partitionBy("span").parquet(f"{base}/spans")
+    spans = spark.read.schema(log.schema).parquet(f"{base}/spans")  # a span is read by itself
+    for number in sorted(r[0] for r in spans.select("span").distinct().collect()):
+        spans.where(F.col("span") == number).select(*log.drop("span").columns).coalesce(1).write.mode("append").parquet(f"{base}/in")
     landed = spark.readStream.schema(log.drop("span").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     stream = edits.edit_stream(landed.withWatermark("edit_ts", "11 days"), load(spark, sf, "waypoint"))
     return edits.current_routes(_finish(spark, stream, "append"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -159,112 +160,143 @@ def replay_edits(edits: DataFrame, waypoints: DataFrame, snap_nm: float = spatia
 CHANGE_SCHEMA = "plan_id bigint, version bigint, seq int, removed boolean, is_wp boolean, code string, lat double, lon double"
 
 
-def edit_stream(edits: DataFrame, waypoints: DataFrame, snap_nm: float = spatial.SNAP_NM, remove_nm: float = spatial.REMOVE_NM) -> DataFrame:
+def edit_stream(edits: DataFrame, waypoints: DataFrame, snap_nm: float = spatial.SNAP_NM, remove_nm: float = spatial.REMOVE_NM, buckets: int = 1024) -> DataFrame:
     """Streaming replay: the changes of every route, row by row, once its edits are final.
 
     ``edits``: plan_id, edit_no, action, lat, lon and ``edit_ts``, which needs a
     watermark. An edit waits in the state until the watermark has passed its time;
-    the plan's timer then applies what is due in order of time and number, so edits of files that land late within the watermark's delay take their place.
+    a timer then applies what is due in order of time and number, so edits of files that land late within the watermark's delay take their place.
     A changed row of a route is (plan_id, version, seq, removed = false, point); a
     row that a shorter route no longer has is a retraction (removed = true), so a
     cleared plan retracts all of its rows. ``version`` rises with every change of
     a plan: the newest row of (plan_id, seq) holds.
 
-    Each click meets the catalogue's grid cells in a stream-static join; the
-    state keeps the nearest hit. The edits of a batch are never put together.
+    Each click meets the catalogue's spots (waypoints at one place count once, as the
+    first of them) in a stream-static join, from which only hits within reach and
+    edits without a hit come out; the state keeps the nearest hit. Plans share ``buckets``
+    timers, as a call per plan and batch costs more than its few edits. A bucket's edits
+    wait in packs of one day of event time, which are opened a day at a time when they
+    are due; its routes lie in the state one by one.
     """
     use_rocksdb(edits.sparkSession)
-    places = waypoints.select(
-        "idx", F.col("code"), F.col("lat").alias("wp_lat"), F.col("lon").alias("wp_lon"),
+    spots = waypoints.groupBy("lat", "lon").agg(F.min(F.struct("idx", "code")).alias("_w"))
+    places = spots.select(
+        "_w.idx", "_w.code", F.col("lat").alias("wp_lat"), F.col("lon").alias("wp_lon"),
         F.explode(spatial.grid.cells_in_reach(F.col("lat"), F.col("lon"), snap_nm)).alias("_cell"),
-    ).select("idx", "code", "wp_lat", "wp_lon", "_cell.gy", "_cell.gx")
+    ).select("idx", "code", "wp_lat", "wp_lon", F.col("_cell.gy").alias("_gy"), F.col("_cell.gx").alias("_gx"))
     gy, gx = spatial.grid.cell_of_reach(F.col("lat"), F.col("lon"), snap_nm)
     nm = geo.great_circle_nm(F.col("lat"), F.col("lon"), F.col("wp_lat"), F.col("wp_lon"))
+    met = (F.col("gy") == F.col("_gy")) & (F.col("gx") == F.col("_gx")) & (F.col("action") == "add") & (nm < snap_nm)
     rows = (
         edits.withColumn("gy", gy)
         .withColumn("gx", gx)
-        .join(places, ["gy", "gx"], "left")
-        .withColumn("nm", F.when((nm < snap_nm) & (F.col("action") == "add"), nm))
+        .join(places, met, "left")
+        .withColumn("nm", F.when(F.col("_gy").isNotNull(), nm))
         .select(F.col("plan_id").cast("bigint").alias("plan_id"), "edit_ts", "edit_no", "action", "lat", "lon", "idx", "code", "wp_lat", "wp_lon", "nm")
+        .withColumn("bucket", F.pmod(F.xxhash64("plan_id"), F.lit(buckets)))
     )
     Route = _new_route(remove_nm)
 
-    def nearer(a: tuple, b: tuple) -> bool:
-        """Is a, one waypoint of an edit, to be taken before b?"""
-        return a[9] is not None and (b[9] is None or (a[9], a[5]) < (b[9], b[5]))
+    day = 86_400_000
+    numbers = ["ms", "plan_id", "edit_no", "action", "lat", "lon", "idx", "code", "wp_lat", "wp_lon", "nm"]
+
+    def nearest(rows: Iterator[tuple]) -> dict[tuple, tuple]:
+        """The edits by (ms, plan, number), each with its nearest waypoint, of equal ones the first."""
+        best: dict[tuple, tuple] = {}
+        for row in rows:
+            held = best.get(row[:3])
+            if held is None or (row[10] is not None and (held[10] is None or (row[10], row[6]) < (held[10], held[6]))):
+                best[row[:3]] = row
+        return best
+
+    def packs(rows: list[tuple]) -> list[tuple]:
+        """Edits as (least ms, day, edits): one pack a day."""
+        days: dict[int, list] = {}
+        for row in rows:
+            days.setdefault(row[0] // day, []).append(row)
+        return [(min(r[0] for r in part), number, pickle.dumps(part)) for number, part in days.items()]
 
     class Replay(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            edit = "ms bigint, edit_no bigint, action string, lat double, lon double, idx bigint, code string, wp_lat double, wp_lon double, nm double"
-            self.due = handle.getListState("due", edit)
-            self.points = handle.getListState("route", "is_wp boolean, code string, lat double, lon double")
-            # when the next timer rings, and the number of the last change
-            self.mark = handle.getValueState("mark", "timer bigint, version bigint")
-
-        def _held(self) -> tuple:
-            return tuple(self.mark.get()) if self.mark.exists() else (None, 0)
+            self.due = handle.getListState("due", "first bigint, day bigint, edits binary")
+            # per plan the number of its last change and the route's points (is_wp, code, lat, lon)
+            self.routes = handle.getMapState("routes", "plan_id bigint", "version bigint, points binary")
+            self.timer = handle.getValueState("timer", "ms bigint")
 
         def handleInputRows(self, key, batches: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             first = None
             for pdf in batches:  # each goes to the state by itself
-                best: dict[tuple, tuple] = {}
-                stamps = [int(t.timestamp() * 1000) for t in pdf["edit_ts"]]
-                columns = [pdf[c].tolist() for c in ("edit_no", "action", "lat", "lon", "idx", "code", "wp_lat", "wp_lon", "nm")]
-                for ms, edit_no, action, lat, lon, idx, code, wp_lat, wp_lon, nm in zip(stamps, *columns):
-                    hit = nm is not None and nm == nm
-                    row = (ms, int(edit_no), action, lat, lon, *((int(idx), code, wp_lat, wp_lon, nm) if hit else (None,) * 5))
-                    if row[:2] not in best or nearer(row, best[row[:2]]):
-                        best[row[:2]] = row
+                hit = pdf["nm"].notna().tolist()
+                columns = {c: pdf[c].tolist() for c in numbers if c != "ms"}
+                columns["ms"] = pdf["edit_ts"].to_numpy().astype("datetime64[ms]").astype("int64").tolist()
+                rows = zip(*[columns[c] for c in numbers])
+                rows = ((*r[:6], int(r[6]), *r[7:]) if h else (*r[:6], None, None, None, None, None) for r, h in zip(rows, hit))
+                best = list(nearest(rows).values())
                 if best:
-                    self.due.appendList(list(best.values()))
-                    least = min(best)[0]
+                    self.due.appendList(packs(best))
+                    least = min(r[0] for r in best)
                     first = least if first is None else min(first, least)
-            timer, version = self._held()
+            timer = self.timer.get()[0] if self.timer.exists() else None
             if first is not None and (timer is None or first < timer):
                 if timer is not None:
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(first)
-                self.mark.update((first, version))
+                self.timer.update((first,))
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             now = timerValues.getCurrentWatermarkInMs()
-            ready: dict[tuple, tuple] = {}
+            ready: dict[int, list] = {}
             rest = []
-            for row in map(tuple, self.due.get()):
-                if row[0] > now:
-                    rest.append(row)
-                elif row[:2] not in ready or nearer(row, ready[row[:2]]):
-                    ready[row[:2]] = row
-            before = [tuple(p) for p in self.points.get()]
-            route = Route()
-            for p in before:
-                route.append(p)
-            for at in sorted(ready):
-                action, lat, lon, _, code, wp_lat, wp_lon, _ = ready[at][2:]
-                route.apply(action, lat, lon, code, wp_lat, wp_lon)
-            after = list(route.points.values())
-            _, version = self._held()
-            version += 1
-            out = [(key[0], version, i, False, *p) for i, p in enumerate(after) if i >= len(before) or before[i] != p]
-            out += [(key[0], version, i, True, None, None, None, None) for i in range(len(after), len(before))]
-            for state, rows in ((self.points, after), (self.due, rest)):
-                if rows:
-                    state.put(rows)
+            for first, number, edits in map(tuple, self.due.get()):
+                if first > now:
+                    rest.append((first, number, bytes(edits)))
                 else:
-                    state.clear()
-            timer = min(r[0] for r in rest) if rest else None
-            if timer is not None:
+                    ready.setdefault(number, []).append(bytes(edits))
+            opened: dict[int, tuple] = {}  # plan -> (version, points before, route)
+            for number in sorted(ready):
+                found = [r for pack in ready.pop(number) for r in pickle.loads(pack)]
+                rest += packs([r for r in found if r[0] > now])
+                best = nearest(r for r in found if r[0] <= now)
+                cleared: dict[int, tuple] = {}
+                for at, row in best.items():
+                    if row[3] == "clear":
+                        cleared[at[1]] = max(at, cleared.get(at[1], at))
+                for at in sorted(best):
+                    plan = at[1]
+                    if plan not in opened:
+                        held = self.routes.getValue((plan,)) if self.routes.containsKey((plan,)) else None
+                        version, before = (held[0], pickle.loads(bytes(held[1]))) if held else (0, [])
+                        route = Route()
+                        for p in before:
+                            route.append(p)
+                        opened[plan] = version + 1, before, route
+                    if plan in cleared and at < cleared[plan]:
+                        continue  # what a clear undoes need not be done
+                    action, lat, lon, _, code, wp_lat, wp_lon, _ = best[at][3:]
+                    opened[plan][2].apply(action, lat, lon, code, wp_lat, wp_lon)
+            out = []
+            for plan, (version, before, route) in opened.items():
+                after = list(route.points.values())
+                out += [(plan, version, i, False, *p) for i, p in enumerate(after) if i >= len(before) or before[i] != p]
+                out += [(plan, version, i, True, None, None, None, None) for i in range(len(after), len(before))]
+                self.routes.updateValue((plan,), (version, pickle.dumps(after)))
+            if rest:
+                self.due.put(rest)
+                timer = min(r[0] for r in rest)
                 self.handle.registerTimer(timer)
-            self.mark.update((timer, version))
+                self.timer.update((timer,))
+            else:
+                self.due.clear()
+                self.timer.clear()
             columns = ["plan_id", "version", "seq", "removed", "is_wp", "code", "lat", "lon"]
             return iter([pd.DataFrame(out, columns=columns)] if out else ())
 
         def close(self) -> None:
             pass
 
-    return rows.groupBy("plan_id").transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Replay(), outputStructType=CHANGE_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
