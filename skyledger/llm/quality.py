@@ -19,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _MEMO = 100_000
+_digest = xxhash.xxh64_intdigest
 
 
 def _shape(word: str) -> str:
@@ -67,16 +69,19 @@ class Grams:
         again = [" "] + ["=" if a == b else " " for a, b in zip(words, words[1:])]
         marks = list(map(str.__add__, again, shapes))
         low = list(map(str.lower, words))
-        return {*low, *zip(low, low[1:]), *zip(marks), *zip(marks, marks[1:], ("|",) * len(marks)), *zip(marks, marks[1:], marks[2:], ("|",) * len(marks))}
+        # one string per n-gram; words hold no white space, so the tab keeps kinds and parts apart
+        join, bars = "\t".join, ("|",) * len(marks)
+        return {
+            *low, *map(join, zip(low, low[1:])), *map("\t".__add__, marks),
+            *map(join, zip(marks, marks[1:], bars)), *map(join, zip(marks, marks[1:], marks[2:], bars)),
+        }
 
 
-def _name(gram) -> str:
-    """One string per n-gram; words hold no white space, so the tab keeps kinds and parts apart."""
-    return gram if isinstance(gram, str) else "\t".join(gram) if len(gram) > 1 else "\t" + gram[0]
-
-
-def _hash(gram) -> int:
-    return xxhash.xxh64_intdigest(_name(gram).encode("utf-8", "surrogatepass"))
+def _hash(gram: str) -> int:
+    try:
+        return _digest(gram)  # of its UTF-8
+    except UnicodeEncodeError:
+        return _digest(gram.encode("utf-8", "surrogatepass"))
 
 
 @dataclass
@@ -88,7 +93,14 @@ class Model:
 
     def scores(self, texts) -> np.ndarray:
         grams, get = Grams(), self.weights.get
-        margins = [self.bias + math.fsum(get(_hash(g), 0.0) for g in grams(t)) for t in texts]
+        margins = []
+        for t in texts:
+            found = grams(t)
+            try:
+                hashes = list(map(_digest, found))
+            except UnicodeEncodeError:
+                hashes = list(map(_hash, found))
+            margins.append(self.bias + math.fsum(map(get, hashes, repeat(0.0))))
         return 1.0 / (1.0 + np.exp(-(self.slope * np.array(margins, "float64") + self.shift)))
 
 
