@@ -1,10 +1,12 @@
-"""Near copies by the exact similarity of their five-word shingles.
+"""Near copies by SimHash links and the exact similarity of their five-word shingles.
 
 Two texts are near copies if their sets of shingles have a Jaccard similarity of at
-least `least`. Candidates come from MinHash bands: a band is four minima of the set
+least `least`. The first candidates are the links of `simhash`: fingerprints that differ
+in at most two bits, found by bit planes inside pigeonhole buckets. Few near copies lie as
+close as that, so candidates of MinHash bands follow: a band is four minima of the set
 under four hash functions, and of 32 bands a pair at 0.8 shares at least one but for
 5 pairs in 10^8 (a pair at 0.9: in 10^15). Every candidate pair that is linked has been
-compared set against set, so a band shared by chance or by a common passage links nothing.
+compared set against set, so a fingerprint or band shared by chance or by a common passage links nothing.
 
 Texts of equal sets become one before that. A bucket (texts of one band) is never compared
 all against all. In a few rounds its members are compared with one of them, another one
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyledger.llm import simhash
 from skyledger.llm.common import cut, drop_cut
 from skyledger.llm.components import components
 
@@ -104,6 +107,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     return out
 
 
+def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `node` that connect the nodes whose fingerprints do; texts: node, _text. One pair per node and link."""
+    marked = cut(simhash.fingerprints(texts, "_text").select("node", "fp"))
+    hubs = marked.groupBy("fp").agg(F.min("node").alias("hub"))
+    equal = marked.join(hubs, "fp").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    close = simhash.links(marked).join(hubs.toDF("a", "x"), "a").join(hubs.toDF("b", "y"), "b")
+    out = cut(equal.unionByName(close.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    drop_cut(marked)
+    return out
+
+
 def _common(sets: DataFrame, size: int) -> np.ndarray:
     """How often the shingles of each of COUNTERS hash classes occur; a table of fixed size."""
 
@@ -188,8 +202,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     texts_of = each.select(F.col("least.row").alias("row"), F.col("least.n").alias("n")).join(texts.select("row", "_text"), "row")
     one = texts_of.select(F.col("row").alias("node"), "n", "_text")
 
-    members = each.select(F.col("least.row").alias("node"), F.explode("least.bands").alias("k")).withColumn("c", F.col("node"))
-    links, used, looked_at = docs.sparkSession.createDataFrame([], "a long, b long"), [], []
+    near = _fingerprint_pairs(one.select("node", "_text"))
+    links = _verified(near, one, size, least)
+    found = cut(components(links))
+    members = each.select(F.col("least.row").alias("node"), F.explode("least.bands").alias("k")).join(found, "node", "left")
+    members = members.select("node", "k", F.coalesce("component", "node").alias("c"))
+    used, looked_at = [near, found], []
     for turn in range(ROUNDS):
         # buckets of one component are done with
         mixed = members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "c")).alias("hub"))

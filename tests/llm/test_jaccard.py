@@ -58,6 +58,18 @@ def test_pipeline_stage_equals_brute_force_of_five_word_similarity(frame, spark)
     assert len(want) < old < len(rows)  # two bits leave near copies
 
 
+def test_fingerprints_link_near_copies_without_any_band(frame, spark, monkeypatch):
+    """The stage's first links come from op6's fingerprints, compared as sets; bands are not needed for them."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(900)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + ["end"])), (3, " ".join(["start"] + base)), (4, " ".join(rnd.sample(base, 900)))]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    assert all((prints[0] ^ p).bit_count() <= 2 for p in prints[1:3]) and (prints[0] ^ prints[3]).bit_count() > 2
+    monkeypatch.setattr(jaccard, "bands", lambda hashes: hashes[:0].view("int64"))
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4] == plain_keep(rows)
+
+
 def test_given_table(frame, spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = sorted([r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()], key=str)
