@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.operators import blocks
-from skyledger.session import cut
+from skyledger.session import cut, spread
 
 # Words, letters, patterns and limits of the catalogue's format.
 TYPE_ON_DEMAND = "דרישה"
@@ -320,8 +320,10 @@ def clean_waypoints(cells: DataFrame) -> DataFrame:
 
     ``cells``: edition, mode_id, sheet, sheet_ord, ord, strategy ('vector' or
     'recognised'), code, lat_text, lon_text, meta array<struct<x0, text>>. Rows
-    without a proper code or position fall away.
+    without a proper code or position fall away. Rows are dealt to all cores first: the
+    texts take long, and a catalogue of millions of rows fits one small file.
     """
+    cells = spread(cells)
     recognised = F.col("strategy") == "recognised"
     joined = F.concat_ws(
         SEPARATOR,
@@ -342,12 +344,12 @@ def clean_waypoints(cells: DataFrame) -> DataFrame:
         return F.when(recognised, _recovered(t, hemisphere, limits)).otherwise(_strict(t, hemisphere))
 
     placed = (
-        texts.withColumn("_la", position(0, "N", LAT_LIMITS))
-        .withColumn("_lo", position(1, "E", LON_LIMITS))
+        # exploded, so that the filter does not read the positions a second time
+        texts.withColumn("_at", F.explode(F.array(F.struct(position(0, "N", LAT_LIMITS).alias("la"), position(1, "E", LON_LIMITS).alias("lo")))))
         .select(
             *keep, "_t",
-            F.col("_la.value").alias("lat"), F.col("_lo.value").alias("lon"),
-            F.col("_la.text").alias("lat_dms"), F.col("_lo.text").alias("lon_dms"),
+            F.col("_at.la.value").alias("lat"), F.col("_at.lo.value").alias("lon"),
+            F.col("_at.la.text").alias("lat_dms"), F.col("_at.lo.text").alias("lon_dms"),
         )
         .where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     )
