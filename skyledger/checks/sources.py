@@ -10,7 +10,7 @@ from skyledger.checks import routes as route_checks
 from skyledger.checks.waypoints import CLEANED, clean
 from skyledger.operators import routes, waypoints
 from skyledger.plans.views import load, oracle
-from skyledger.session import checkpoint_dir
+from skyledger.session import checkpoint_dir, spread
 from skyledger.sources import catalogue, charts
 from skyledger.sources import feed as feed_source
 
@@ -28,7 +28,7 @@ def stored_arrows(spark, sf):
     bad = F.when(n % 5 == 1, F.lit('{"u":"x"}')).when(n % 5 == 2, F.lit("3")).otherwise(
         F.lit('{"u":0.25,"v":0.75,"bearing_deg":10.5,"altitudes_ft":[3000]}')
     )
-    docs = load(spark, sf, "part").select(
+    docs = spread(load(spark, sf, "part").select("p_partkey")).select(
         n.alias("edition"), F.lit("north").alias("sheet"),
         F.try_parse_json(
             F.concat(
@@ -63,7 +63,7 @@ def stored_anchors(spark, sf):
         F.when((n % 6 == 5) & F.lit(i == 2), F.lit('"?"')).otherwise(F.lit("0.5")), F.lit("}"),
     )
     pts = lambda k: F.concat(F.lit("["), F.concat_ws(",", *[point(i) for i in range(1, k + 1)]), F.lit("]"))
-    docs = load(spark, sf, "part").select(
+    docs = spread(load(spark, sf, "part").select("p_partkey")).select(
         n.alias("edition"),
         F.try_parse_json(
             F.concat(

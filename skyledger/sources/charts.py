@@ -79,7 +79,8 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     )
     bad = lambda r: r["code"].isNull() | r["lat"].isNull() | r["lon"].isNull() | r["u"].isNull() | r["v"].isNull()
     return (
-        sheets.withColumn("rows", rows)
+        # exploded, so that the filter does not read the list a second time
+        sheets.select("edition", "sheet", F.explode(F.array(rows)).alias("rows"))
         .where((F.size("rows") >= calib.MIN_ANCHORS) & ~F.exists("rows", bad))
         .select("edition", "sheet", F.posexplode("rows").alias("ord", "r"))
         .select("edition", "sheet", "ord", "r.*")
