@@ -1,6 +1,10 @@
 """Plans that keep time, shuffle and memory in proportion to the input."""
 
+import random
+
 import __spark_entry__ as entry
+from skyledger.operators import spatial
+from test_matching import nm
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +21,29 @@ def test_rows_of_a_small_file_are_dealt_to_all_cores(spark):
     assert tasks_of(spark.read.parquet(f"{SF}/part.parquet")) == 1
     for name in ("waypoint_clean", "stored_anchors", "stored_arrows"):
         assert tasks_of(entry.queries()[name](spark, SF)) >= 4, name
+
+
+def test_clicks_on_short_plans_have_no_copies(spark):
+    points = spark.range(200).selectExpr("id DIV 5 AS plan_id", "5 AS n_points", "CAST(id % 5 AS int) AS seq", "30D + id / 100 AS lat", "35D AS lon")
+    out = spatial.nearest_plan_point(points.selectExpr("plan_id", "seq AS click_id", "lat", "lon"), points)
+    assert all(r.near_seq == r.click_id and r.near_nm == 0 for r in out.collect())
+    done = plan_of(out).split("== Final Plan ==")[1].split("== Initial Plan ==")[0]
+    assert "gx" not in done and "gy" not in done
+
+
+def test_clicks_on_long_and_short_plans(spark):
+    rng = random.Random(11)
+    size = {0: 3, 1: 64, 2: 65, 3: 200}
+    points = [(p, n, s, 30 + rng.random(), 35 + rng.random()) for p, n in size.items() for s in range(n)]
+    points += [(1, 64, 70, points[10][3], points[10][4]), (3, 200, 300, points[150][3], points[150][4]), (0, 3, 9, None, 35.0)]
+    clicks = [(i, i % 5, 30 + rng.random(), 35 + rng.random()) for i in range(400)]
+    clicks += [(500, 1, points[10][3], points[10][4]), (501, 3, points[150][3], points[150][4]), (502, 1, None, 35.0), (503, None, 30.5, 35.5), clicks[0]]
+    out = spatial.nearest_plan_point(
+        spark.createDataFrame(clicks, "click_id int, plan_id int, lat double, lon double"),
+        spark.createDataFrame(points, "plan_id int, n_points int, seq int, lat double, lon double"), 4.0,
+    )
+    rows = out.collect()
+    assert sorted(r.click_id for r in rows) == sorted(c[0] for c in clicks) and out.columns == ["click_id", "plan_id", "lat", "lon", "near_seq", "near_nm"]
+    for r in rows:
+        near = [(d, s) for p, _, s, a, o in points if None not in (r.lat, a) and p == r.plan_id and (d := nm(r.lat, r.lon, a, o)) < 4.0]
+        assert r.near_seq == (min(near)[1] if near else None)
