@@ -3,7 +3,10 @@
 import random
 
 import __spark_entry__ as entry
+from skyledger.checks import routes
+from skyledger.operators import routes as operators
 from skyledger.operators import spatial
+from skyledger.plans.views import load
 from test_matching import nm
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +50,29 @@ def test_clicks_on_long_and_short_plans(spark):
     for r in rows:
         near = [(d, s) for p, _, s, a, o in points if None not in (r.lat, a) and p == r.plan_id and (d := nm(r.lat, r.lon, a, o)) < 4.0]
         assert r.near_seq == (min(near)[1] if near else None)
+
+
+def test_strings_and_drifts_walk_their_plans_once(spark):
+    for name in ("plan_strings", "drift_totals"):
+        tree = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert tree.count("next_label") > 0 and sum("MapInPandas" in line and "next_label" in line for line in tree.split("\n")) == 1, name
+
+
+def test_long_plans_are_no_window(spark):
+    """No window runs over a whole plan's rows; those of drift_totals are per block or over one row per block."""
+    tree = entry.queries()["trail_totals"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in tree
+    for name, points in (("trail_point", routes.trail_points), ("drift_point", routes.drift_points)):
+        want = load(spark, SF, name)
+        got = points(spark, SF).select(*want.columns)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 0
+
+
+def test_an_override_text_is_trimmed_once(spark):
+    legs = spark.createDataFrame([(1, "A", "B", 10.0, 90.0)], "plan_id long, from_label string, to_label string, distance_nm double, mag_bearing_deg double")
+    edits = spark.createDataFrame([(1, "A", "B", "distance", " 1.25 ", 0), (1, "A", "B", "distance", "x", 1), (1, "A", "B", "ctr", " C ", 2)], "plan_id long, from_label string, to_label string, field string, text string, edit_no int")
+    out = operators.apply_overrides(legs, edits, 90.0)
+    row = out.first()
+    assert (row.eff_distance_nm, row.eff_bearing, row.ctr, row.freq) == (1.2, 89, "C", None)
+    tree = out._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("regexp_replace(") == 1
