@@ -40,45 +40,56 @@ def windowed_counts(df: DataFrame, width: str = "15 minutes", slide: str | None
 def presence_processor(period_s: float, grace_s: float) -> StatefulProcessor:
     """Reports a callsign as lost when the snapshot after its last one has come and gone.
 
-    Built as a local class, so that it travels to workers that do not have this package.
+    A key is a bucket of callsigns, which share one state value, their names and last
+    times, and one timer, that of the earliest of them. Built as a local class, so that
+    it travels to workers that do not have this package.
     """
 
     period_ms, grace_ms = int(period_s * 1000), int(grace_s * 1000)
 
-    def report(callsign: str, last_ms: list[int]) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "callsign": [callsign] * len(last_ms),
-                "last_seen": pd.to_datetime(last_ms, unit="ms"),
-                "snapshot_ts": pd.to_datetime([m + period_ms for m in last_ms], unit="ms"),
-            }
-        )
-
     class Presence(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last_seen_ms", "ms bigint")
+            self.last = handle.getValueState("last_seen", "callsigns array<string>, ms array<bigint>")
+            self.timer = handle.getValueState("timer", "at bigint")
+
+        def known(self) -> pd.DataFrame:
+            callsigns, ms = self.last.get() if self.last.exists() else ([], [])
+            return pd.DataFrame({"callsign": pd.Series(list(callsigns), dtype=object), "ms": pd.Series(list(ms), dtype="int64")})
+
+        def keep(self, last: pd.DataFrame) -> None:
+            due = int(last["ms"].min()) + period_ms + grace_ms if len(last) else None
+            set_ = self.timer.get()[0] if self.timer.exists() else None
+            if set_ != due:
+                if set_ is not None:
+                    self.handle.deleteTimer(set_)
+                    self.timer.clear()
+                if due is not None:
+                    self.handle.registerTimer(due)
+                    self.timer.update((due,))
+            if len(last):
+                self.last.update((last["callsign"].tolist(), last["ms"].tolist()))
+            else:
+                self.last.clear()
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            known = self.last.get()[0] if self.last.exists() else None
-            seen = set()  # snapshot times, not rows
-            for pdf in rows:
-                seen.update(int(t.timestamp() * 1000) for t in pdf["snapshot_ts"].unique())
-            times = sorted(t for t in seen if known is None or t > known)
-            if not times:
-                return iter(())
-            chain = times if known is None else [known, *times]
-            gaps = [a for a, b in zip(chain, chain[1:]) if b - a > period_ms]
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.last.update((times[-1],))
-            self.handle.registerTimer(times[-1] + period_ms + grace_ms)
-            return iter([report(key[0], gaps)] if gaps else ())
+            known = self.known()
+            seen = pd.concat([pdf[["callsign", "ms"]].drop_duplicates() for pdf in rows])
+            # snapshot times, not rows; none that the last known one has passed
+            after = seen.merge(known.rename(columns={"ms": "since"}), on="callsign", how="left")
+            new = after.loc[~(after["ms"] <= after["since"]), ["callsign", "ms"]]
+            chain = pd.concat([known, new]).astype({"ms": "int64"}).drop_duplicates().sort_values("ms", kind="stable")
+            following = chain.groupby("callsign", dropna=False)["ms"].shift(-1)
+            self.keep(chain[following.isna()])
+            gaps = chain[following - chain["ms"] > period_ms]
+            return iter([gaps] if len(gaps) else ())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            ms = self.last.get()[0]
-            self.last.clear()
-            return iter([report(key[0], [ms])])
+            known = self.known()
+            self.timer.clear()  # it is gone with its expiry
+            over = known["ms"] + period_ms + grace_ms <= timerValues.getCurrentWatermarkInMs()
+            self.keep(known[~over])
+            return iter([known[over]])
 
         def close(self) -> None:
             pass
@@ -86,23 +97,26 @@ def presence_processor(period_s: float, grace_s: float) -> StatefulProcessor:
     return Presence()
 
 
-def presence_stream(pilots: DataFrame, period_s: float, grace_s: float) -> DataFrame:
+def presence_stream(pilots: DataFrame, period_s: float, grace_s: float, buckets: int = 1024) -> DataFrame:
     """Stream of (callsign, last_seen, snapshot_ts = first snapshot it missed).
 
     ``pilots`` needs a watermark on ``snapshot_ts``. The next snapshot is taken
-    to be due ``period_s`` after the last one; ``grace_s`` allows for delay.
+    to be due ``period_s`` after the last one; ``grace_s`` allows for delay. Times count
+    to the millisecond; rows without one are left out. Callsigns share timers and
+    state in ``buckets``; more suit more callsigns than some 100 million.
     """
     use_rocksdb(pilots.sparkSession)
-    return (
-        pilots.select("callsign", "snapshot_ts")
-        .groupBy("callsign")
-        .transformWithStateInPandas(
-            statefulProcessor=presence_processor(period_s, grace_s),
-            outputStructType="callsign string, last_seen timestamp, snapshot_ts timestamp",
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+    rows = pilots.where("snapshot_ts IS NOT NULL").select(
+        F.pmod(F.xxhash64("callsign"), F.lit(buckets)).alias("bucket"), "callsign", F.unix_millis("snapshot_ts").alias("ms"), "snapshot_ts"
+    )
+    found = rows.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=presence_processor(period_s, grace_s),
+        outputStructType="callsign string, ms bigint",
+        outputMode="Append",
+        timeMode="EventTime",
     )
+    missed = F.timestamp_millis(F.col("ms") + int(period_s * 1000))
+    return found.select("callsign", F.timestamp_millis("ms").alias("last_seen"), missed.alias("snapshot_ts"))
 
 
 def _versions(spark: SparkSession, target: str) -> list[int]:
