@@ -80,11 +80,12 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs (a, b) of `node` whose sets are similar; texts: node, n, _text, one row per node."""
+    """The pairs (a, b) of `node` whose sets are similar, with all their columns; texts: node, n, _text, one row per node."""
+    names, kinds = pairs.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
     sizes = texts.select("node", "n")
     # sets whose sizes differ too much can't be similar
     pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    pairs = cut(pairs.filter(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).select("a", "b"))
+    pairs = cut(pairs.filter(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).select(*names))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,10 +99,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [similar(np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64"), least) for x, y in zip(batch["x"], batch["y"])]
-            yield batch.loc[np.array(found, bool), ["a", "b"]]
+            yield batch.loc[np.array(found, bool), names]
 
     sided = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
-    out = cut(sided.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"))
+    out = cut(sided.select(*names, "x", "y").mapInPandas(compare, kinds))
     for used in (pairs, known):
         drop_cut(used)
     return out
@@ -203,11 +204,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     one = texts_of.select(F.col("row").alias("node"), "n", "_text")
 
     near = _fingerprint_pairs(one.select("node", "_text"))
-    links = _verified(near, one, size, least)
-    found = cut(components(links))
+    alike = _verified(near, one, size, least)
+    found = cut(components(alike))
+    links = found.toDF("a", "b")
     members = each.select(F.col("least.row").alias("node"), F.explode("least.bands").alias("k")).join(found, "node", "left")
     members = members.select("node", "k", F.coalesce("component", "node").alias("c"))
-    used, looked_at = [near, found], []
+    used, looked_at, linked = [near, alike], [], [found]
     for turn in range(ROUNDS):
         # buckets of one component are done with
         mixed = members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "c")).alias("hub"))
@@ -222,11 +224,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
             # only texts that share a bucket are looked at from here on
             one = cut(one.join(members.select("node").distinct(), "node", "left_semi"))
             looked_at = [one]
-        stars = members.filter("c <> ca").select("a", F.col("node").alias("b")).distinct()
-        links = links.unionByName(_verified(stars, one, size, least))
-        found = cut(components(links))
-        used = [members, found]
-        members = members.select("node", "k").join(found, "node", "left").select("node", "k", F.coalesce("component", "node").alias("c"))
+        stars = members.filter("c <> ca").select("a", F.col("node").alias("b"), "ca", F.col("c").alias("cb")).distinct()
+        alike = _verified(stars, one, size, least)
+        # components are linked, not their members: what was found before is not gone through again
+        found = cut(components(alike.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        links = links.unionByName(found.toDF("a", "b"))
+        linked.append(found)
+        used = [members, alike]
+        members = members.select("node", "k", "c").join(found.toDF("c", "component"), "c", "left").select("node", "k", F.coalesce("component", "c").alias("c"))
 
     mixed = members.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k")
     left = members.join(mixed, "k", "left_semi").select("node", "c").distinct()
@@ -234,11 +239,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     for old in used:
         drop_cut(old)
     if not sets.isEmpty():
-        links = links.unionByName(_verified(prefix_pairs(sets, size, least), one, size, least))
+        alike = _verified(prefix_pairs(sets, size, least), one, size, least)
+        links = links.unionByName(alike)
+        linked.append(alike)
     for old in [sets, *looked_at]:
         drop_cut(old)
 
     found = components(links)
+    for old in linked:
+        drop_cut(old)
     kept = each.select(F.col("least.row").alias("node"), F.struct("least.col1", "least._key", "least.row").alias("least")).join(found, "node", "left")
     kept = kept.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
     return rows.join(kept, "row", "left_semi").select(*[F.col(f"all.`{c}`").alias(c) for c in names])
