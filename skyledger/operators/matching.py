@@ -1,7 +1,8 @@
 """Printed altitudes for route legs.
 
 Legs of all plans meet the chart's arrows through a grid equi-join; everything
-after that is grouping and joining on (plan, leg) and (plan, arrow). Only the
+after that is grouping and joining on (plan, leg) and (plan, arrow), for plans of
+equal legs once. Only the
 bend rescue depends on the order of a plan's legs; it reads an already small
 candidate list as a sorted stream and remembers just the arrows it has used.
 """
@@ -20,6 +21,7 @@ from skyledger.session import cut
 
 LEG = ["plan_id", "leg_no"]
 OWNED = ["plan_id", "arrow_ord"]
+SHAPE = ["from_is_wp", "to_is_wp", "from_lat", "from_lon", "to_lat", "to_lon", "true_bearing_deg"]
 
 # Fixed values (nm and degrees).
 RADIUS_WAYPOINT, RADIUS_INTERMEDIATE = 0.65, 1.30
@@ -37,26 +39,12 @@ def _ends() -> tuple[Column, Column, Column, Column]:
     return F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon")
 
 
-def arrow_leg_candidates(legs: DataFrame, arrows: DataFrame, reach: float = REACH) -> DataFrame:
-    """Every (leg, arrow) pair within ``reach``, with its measures and whether it fits.
-
-    ``arrows``: arrow_ord (orderable), lat, lon, bearing_deg, bidirectional. Legs
-    of one geometry, which many plans share, meet the arrows once. A leg is copied
-    to the cells along its line, an arrow sits in one cell.
-    """
+def _measured(pairs: DataFrame, reach: float) -> DataFrame:
+    """Legs beside arrows, with the measures of each pair within ``reach`` in place of the arrow's columns."""
     a_lat, a_lon, b_lat, b_lon = _ends()
-    shape = ["from_is_wp", "to_is_wp", "from_lat", "from_lon", "to_lat", "to_lon", "true_bearing_deg"]
-    pad = F.lit(reach / geo.NM_PER_DEGREE * 1.02)
-    pad_lon = pad / F.cos(F.radians(F.greatest(F.abs(a_lat), F.abs(b_lat)) + 1.0))
-    spread = grid.with_cells_along(legs.select(*shape).distinct(), _ends(), pad, pad_lon, CELL_NM)
-    gy, gx = grid.cell_of(F.col("lat"), F.col("lon"), CELL_NM)
-    side = arrows.select(
-        "arrow_ord", "lat", "lon", "bearing_deg", "bidirectional", gy.alias("gy"), gx.alias("gx")
-    )
     p_lat, p_lon = F.col("lat"), F.col("lon")
-    pairs = (
-        spread.join(side, ["gy", "gx"])
-        .withColumn("d_nm", geo.leg_distance_nm(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon))
+    within = (
+        pairs.withColumn("d_nm", geo.leg_distance_nm(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon))
         .where(F.col("d_nm") <= reach)
         .withColumn("overshoot_nm", geo.leg_overshoot_nm(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon))
         .withColumn("side", geo.leg_side(a_lat, a_lon, b_lat, b_lon, p_lat, p_lon))
@@ -66,19 +54,40 @@ def arrow_leg_candidates(legs: DataFrame, arrows: DataFrame, reach: float = REAC
     )
     radius = F.when(F.col("real"), RADIUS_WAYPOINT).otherwise(RADIUS_INTERMEDIATE)
     past = F.col("overshoot_nm") > 0.0
-    measured = pairs.select(
-        *shape, "arrow_ord", "real", "bidirectional", "d_nm", "overshoot_nm", "side", "diff_deg",
-        F.when(F.col("bidirectional"), 2).when(F.col("side") < 0, 0).otherwise(1).alias("cls"),
-        F.when(past, 1).otherwise(0).alias("tier"),
-        (F.col("d_nm") + DEGREE_WEIGHT * F.col("diff_deg")).alias("score"),
-        (
-            (F.col("d_nm") <= radius)
-            & (F.col("overshoot_nm") <= OVERSHOOT_MAX)
-            & (F.col("diff_deg") <= PARALLEL_DEG)
-            & ~(past & (F.col("diff_deg") > PARALLEL_PAST_END_DEG))
-        ).alias("fits"),
+    return within.withColumns({
+        "cls": F.when(F.col("bidirectional"), 2).when(F.col("side") < 0, 0).otherwise(1),
+        "tier": F.when(past, 1).otherwise(0),
+        "score": F.col("d_nm") + DEGREE_WEIGHT * F.col("diff_deg"),
+        "fits": (F.col("d_nm") <= radius)
+        & (F.col("overshoot_nm") <= OVERSHOOT_MAX)
+        & (F.col("diff_deg") <= PARALLEL_DEG)
+        & ~(past & (F.col("diff_deg") > PARALLEL_PAST_END_DEG)),
+    }).drop("lat", "lon", "bearing_deg", "fwd")
+
+
+def arrow_leg_candidates(
+    legs: DataFrame, arrows: DataFrame, reach: float = REACH, refine: Callable[[DataFrame], DataFrame] = lambda measured: measured
+) -> DataFrame:
+    """Every (leg, arrow) pair within ``reach``, with its measures and whether it fits.
+
+    ``arrows``: arrow_ord (orderable), lat, lon, bearing_deg, bidirectional. Legs
+    of one geometry, which many plans share, meet the arrows once; the geometries are
+    numbered, and a leg gets its pairs by that number. A leg is copied
+    to the cells along its line, an arrow sits in one cell. ``refine`` filters the pairs or
+    works on their columns while there is one for all legs of a geometry.
+    """
+    a_lat, _, b_lat, _ = _ends()
+    pad = F.lit(reach / geo.NM_PER_DEGREE * 1.02)
+    pad_lon = pad / F.cos(F.radians(F.greatest(F.abs(a_lat), F.abs(b_lat)) + 1.0))
+    # written, as the numbers must be the same for both that read them
+    shapes = cut(legs.select(*SHAPE).distinct().withColumn("_shape", F.monotonically_increasing_id()))
+    spread = grid.with_cells_along(shapes, _ends(), pad, pad_lon, CELL_NM)
+    gy, gx = grid.cell_of(F.col("lat"), F.col("lon"), CELL_NM)
+    side = arrows.select(
+        "arrow_ord", "lat", "lon", "bearing_deg", "bidirectional", gy.alias("gy"), gx.alias("gx")
     )
-    return legs.select(*LEG, *shape).join(measured, shape).drop(*shape)
+    measured = refine(_measured(spread.join(side, ["gy", "gx"]), reach).drop("gy", "gx", *SHAPE))
+    return legs.select(*LEG, *SHAPE).join(shapes, SHAPE).select(*LEG, "_shape").join(measured, "_shape").drop("_shape")
 
 
 def arrow_owners(candidates: DataFrame) -> DataFrame:
@@ -123,24 +132,21 @@ def _primaries(owners: DataFrame) -> DataFrame:
     )
 
 
-def _mates(primaries: DataFrame, neighbours: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Arrows stacked on each leg's primary, on the same side of the leg."""
-    measures = candidates.select(*LEG, "arrow_ord", "cls", "tier", "score", "side", "real", "bidirectional")
-    return (
-        primaries.join(neighbours, "primary")
-        .join(measures, [*LEG, "arrow_ord"])
-        .where(F.col("p_bidir") | (F.col("p_side") * F.col("side") >= 0))
-    )
+def _mates(primaries: DataFrame, neighbours: DataFrame, legs: DataFrame, arrows: DataFrame) -> DataFrame:
+    """Arrows stacked on each leg's primary, on the same side of the leg; few enough to be measured anew."""
+    places = arrows.select("arrow_ord", "lat", "lon", "bearing_deg", "bidirectional")
+    beside = primaries.join(neighbours, "primary").join(places, "arrow_ord").join(legs.select(*LEG, *SHAPE).dropna(subset=SHAPE), LEG)
+    return _measured(beside, REACH).drop(*SHAPE).where(F.col("p_bidir") | (F.col("p_side") * F.col("side") >= 0))
 
 
-def promote(owners: DataFrame, neighbours: DataFrame, candidates: DataFrame) -> DataFrame:
+def promote(owners: DataFrame, neighbours: DataFrame, legs: DataFrame, arrows: DataFrame) -> DataFrame:
     """Let waypoint legs take over stacked arrows that intermediate legs own.
 
     Legs act in order, but an arrow once taken by a waypoint leg stays there and
     a leg's primary is never among the arrows taken from it, so each arrow
     simply goes to the lowest leg number that wants it.
     """
-    wanted = _mates(_primaries(owners.where(F.col("real"))), neighbours, candidates)
+    wanted = _mates(_primaries(owners.where(F.col("real"))), neighbours, legs, arrows)
     loose = owners.where(~F.col("real")).select(*OWNED)
     taken = (
         wanted.join(loose, OWNED, "left_semi")
@@ -152,13 +158,13 @@ def promote(owners: DataFrame, neighbours: DataFrame, candidates: DataFrame) ->
     return stay.unionByName(taken)
 
 
-def collect_stacks(owners: DataFrame, neighbours: DataFrame, candidates: DataFrame, arrows: DataFrame) -> DataFrame:
+def collect_stacks(owners: DataFrame, neighbours: DataFrame, legs: DataFrame, arrows: DataFrame) -> DataFrame:
     """Altitudes per leg: the primary's list, then unseen ones of its stack by distance."""
     primaries = _primaries(owners)
     owner_of = owners.select(*OWNED, F.col("leg_no").alias("owner_leg"))
     texts = arrows.select("arrow_ord", "altitudes_ft")
     mates = (
-        _mates(primaries, neighbours, candidates)
+        _mates(primaries, neighbours, legs, arrows)
         .join(owner_of, OWNED, "left")
         .where(F.col("owner_leg").isNull() | (F.col("owner_leg") == F.col("leg_no")))
         .join(texts, "arrow_ord")
@@ -262,27 +268,53 @@ def wide_corridor(filled: DataFrame, used: DataFrame, candidates: DataFrame) ->
     )
 
 
+def _copied_plans(legs: DataFrame) -> DataFrame:
+    """(plan_id, like): plans whose legs are, by number and geometry, those of a plan of smaller number.
+
+    A plan is known by the count of its legs and four sums of 48-bit hashes of their texts, so a
+    long plan takes no more room than a short one, and unlike plans do not agree in 192 bits by chance.
+    """
+    known = ["_n", "_h0", "_h1", "_h2", "_h3"]
+    text = F.struct("leg_no", *SHAPE).cast("string")
+    sums = [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(i), "_text"), 16)).alias(f"_h{i}") for i in range(4)]
+    plans = legs.where(F.col("plan_id").isNotNull()).select("plan_id", text.alias("_text")).groupBy("plan_id").agg(F.count("*").alias("_n"), *sums)
+    first = plans.groupBy(*known).agg(F.min("plan_id").alias("like"))
+    return plans.join(first, known).where(F.col("plan_id") != F.col("like")).select("plan_id", "like")
+
+
 def match_altitudes(legs: DataFrame, arrows: DataFrame, bisector: Callable[[Column, Column], Column] = geo.bisector_deg) -> DataFrame:
     """``legs`` plus ``altitudes_ft`` (empty where the chart gives none).
 
     ``arrows``: arrow_ord struct<sheet_no, arrow_no>, lat, lon, bearing_deg,
-    altitudes_ft, bidirectional. Tables that several steps read (legs, candidate
-    pairs, owners) are written to the shared folder once instead of being built anew.
+    altitudes_ft, bidirectional. Plans of equal legs are matched once. Of the (leg, arrow)
+    pairs, as many as legs times arrows nearby, only those are written that a leg
+    without altitudes may still use. Tables that several steps read (legs, owners)
+    are written to the shared folder once instead of being built anew.
     ``bisector`` is the direction half-way between two bearings; rules differ for opposite ones.
     """
-    legs, arrows = cut(legs), cut(arrows)
-    candidates = cut(arrow_leg_candidates(legs, arrows))
+    every, arrows = cut(legs), cut(arrows)
+    copied = cut(_copied_plans(every))
+    legs = cut(every.join(copied, "plan_id", "left_anti").select(*LEG, *SHAPE))
     neighbours = cut(arrow_neighbours(arrows))
-    owners = cut(promote(cut(arrow_owners(candidates)), neighbours, candidates))
-    stacked = cut(collect_stacks(owners, neighbours, candidates, arrows).where(F.size("altitudes_ft") > 0))
-    rescued = cut(rescue_bends(legs, stacked, owners, candidates, arrows, bisector))
+    fitting = arrow_leg_candidates(legs, arrows, refine=lambda m: m.where(F.col("fits")))
+    owners = cut(promote(cut(arrow_owners(fitting)), neighbours, legs, arrows))
+    stacked = cut(collect_stacks(owners, neighbours, legs, arrows).where(F.size("altitudes_ft") > 0))
+    empty = legs.where(F.col("from_is_wp") & F.col("to_is_wp")).join(stacked.select(*LEG), LEG, "left_anti").select(*LEG).distinct()
+    # what the last two steps can use: arrows near a bend, or beside a leg
+    late = (F.col("d_nm") <= BEND_RADIUS) | ((F.col("overshoot_nm") <= 0.0) & (F.col("diff_deg") <= CORRIDOR_DEG))
+    left = cut(arrow_leg_candidates(legs.join(empty, LEG, "left_semi"), arrows, refine=lambda m: m.where(~F.col("bidirectional") & late)))
+    rescued = cut(rescue_bends(legs, stacked, owners, left, arrows, bisector))
     texts = arrows.select("arrow_ord", "altitudes_ft")
     bend_pairs = rescued.unionByName(rescued.withColumn("leg_no", F.col("leg_no") + 1))
     bend = bend_pairs.join(texts, "arrow_ord").select(*LEG, "altitudes_ft")
     filled = stacked.select(*LEG).unionByName(bend.select(*LEG))
     used = owners.select(*OWNED).unionByName(rescued.select(*OWNED))
-    wide = wide_corridor(filled, used, candidates).join(texts, "arrow_ord").select(*LEG, "altitudes_ft")
-    found = stacked.unionByName(bend).unionByName(wide)
-    return legs.join(found, LEG, "left").withColumn(
-        "altitudes_ft", F.coalesce("altitudes_ft", F.array().cast("array<int>"))
+    wide = wide_corridor(filled, used, left).join(texts, "arrow_ord").select(*LEG, "altitudes_ft")
+    found = stacked.unionByName(bend).unionByName(wide).withColumnsRenamed({"plan_id": "_like"})
+    return (
+        every.join(copied, "plan_id", "left")
+        .withColumn("_like", F.coalesce("like", "plan_id"))
+        .drop("like")
+        .join(found, ["_like", "leg_no"], "left")
+        .select(*every.columns, F.coalesce("altitudes_ft", F.array().cast("array<int>")).alias("altitudes_ft"))
     )
