@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import geo
 from skyledger.operators import grid
-from skyledger.session import cut
+from skyledger.session import cut, spread
 
 LEG = ["plan_id", "leg_no"]
 OWNED = ["plan_id", "arrow_ord"]
@@ -81,12 +81,12 @@ def arrow_leg_candidates(
     pad_lon = pad / F.cos(F.radians(F.greatest(F.abs(a_lat), F.abs(b_lat)) + 1.0))
     # written, as the numbers must be the same for both that read them
     shapes = cut(legs.select(*SHAPE).distinct().withColumn("_shape", F.monotonically_increasing_id()))
-    spread = grid.with_cells_along(shapes, _ends(), pad, pad_lon, CELL_NM)
+    celled = grid.with_cells_along(spread(shapes), _ends(), pad, pad_lon, CELL_NM)
     gy, gx = grid.cell_of(F.col("lat"), F.col("lon"), CELL_NM)
     side = arrows.select(
         "arrow_ord", "lat", "lon", "bearing_deg", "bidirectional", gy.alias("gy"), gx.alias("gx")
     )
-    measured = refine(_measured(spread.join(side, ["gy", "gx"]), reach).drop("gy", "gx", *SHAPE))
+    measured = refine(_measured(celled.join(side, ["gy", "gx"]), reach).drop("gy", "gx", *SHAPE))
     return legs.select(*LEG, *SHAPE).join(shapes, SHAPE).select(*LEG, "_shape").join(measured, "_shape").drop("_shape")
 
 

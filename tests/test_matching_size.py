@@ -3,6 +3,7 @@
 import math
 import random
 
+import __spark_entry__ as entry
 from skyledger.operators import matching, routes, spatial
 from test_matching import POINT, brg, brute
 
@@ -81,3 +82,8 @@ def count_rows(seen):
             yield pdf
 
     return fold
+
+
+def test_listed_candidates_are_rounded_before_legs_get_them(spark):
+    tree = entry.queries()["arrow_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("round(") == 2 and tree.index("Join") < tree.index("round(")
