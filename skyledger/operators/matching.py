@@ -2,9 +2,9 @@
 
 Legs of all plans meet the chart's arrows through a grid equi-join; everything
 after that is grouping and joining on (plan, leg) and (plan, arrow), for plans of
-equal legs once. Only the
-bend rescue depends on the order of a plan's legs; it reads an already small
-candidate list as a sorted stream and remembers just the arrows it has used.
+equal legs once. Only the bend rescue depends on the order of a plan's legs; it
+reads an already small candidate list as a sorted stream and remembers just the
+arrows it has used.
 """
 
 from __future__ import annotations
